@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, pii, secrets
+from . import decontaminate, exact_dedup, langid, licenses, mixing, near_dedup, pii, secrets, token_counts
 
 #: The key of the pseudonyms: set ``spark.scriptoria.pii.key`` in production; the default serves tests only.
 PII_KEY_CONF, PII_TEST_KEY = "spark.scriptoria.pii.key", "not-a-secret"
@@ -28,6 +28,17 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    found, (lang, score) = langid.identify(docs.select("doc_id", "text"), profiles, keep=["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
+
+
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.corpus_rollup(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).totals()
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,6 +58,16 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", "text", *[F.col(f"found.{kind}").cast("long").alias(f"n_{kind}") for kind, _ in pii.KINDS])
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, (n_words, spans, items) = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    names = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", F.col(n_words).alias("n_words"), decontaminate.hit_words(F.col(spans)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), decontaminate.contaminated(F.col(n_words), F.col(spans)).alias("contaminated"))
+
+
 def _spans_sql(name: str, pattern: str, keep: str) -> str:
     quoted = pattern.replace("'", "''")
     return f"""{name} as (
@@ -108,12 +129,37 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, f:
 from d left join base using (doc_id) left join best using (doc_id)"""
 
 
+_OP9_SQL = """with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select u, v from l union all select v, u from l),
+r(id, c) as (select doc_id, doc_id from documents union select e.v, r.c from r join e on e.u = r.id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, doc_id = c as kept from (select id as doc_id, min(c) as c from r group by id) left join n using (doc_id)"""
+
+_OP10_SQL = """with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+bw as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
+win as (select distinct item_id, least(13, len(w)) as k, array_to_string(w[i:i + 12], ' ') as g from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as i from bw where len(w) > 0)),
+ks as (select distinct k from win),
+grams as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from dw, ks where len(w) >= k)),
+occ as (select doc_id, i, grams.k, item_id from grams join win on grams.k = win.k and grams.g = win.g),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from occ) group by doc_id),
+its as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as names from occ group by doc_id)
+select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from dw left join hit using (doc_id) left join its using (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_source_mixing": op2_source_mixing,
+    "op3_language_id": op3_language_id,
+    "op4_token_rollups": op4_token_rollups,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scans": op6_license_scans,
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -121,4 +167,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": _OP2_SQL,
     "op5_exact_dedup": _OP5_SQL,
     "op6_license_scans": _op6_sql(),
+    "op9_near_dedup": _OP9_SQL,
+    "op10_decontamination": _OP10_SQL,
 }
