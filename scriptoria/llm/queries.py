@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, licenses, mixing, near_dedup, pii, secrets, token_counts
+from . import decontaminate, exact_dedup, langid, licenses, mixing, near_dedup, pii, quality, secrets, token_counts
 
 #: The key of the pseudonyms: set ``spark.scriptoria.pii.key`` in production; the default serves tests only.
 PII_KEY_CONF, PII_TEST_KEY = "spark.scriptoria.pii.key", "not-a-secret"
@@ -52,6 +52,11 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_base.alias("n_base"), F.array_min(F.transform(places, lambda p: p["first"])).alias("first_word"), F.array_max(F.transform(places, lambda p: p["last"])).alias("last_word"), labels(base).alias("base_labels"), labels(F.concat(base, "template_labels")).alias("labels"), "score")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.conf.get(PII_KEY_CONF, PII_TEST_KEY)
     masked = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key, counts_col="found")
@@ -157,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_rollups": op4_token_rollups,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scans": op6_license_scans,
+    "op7_quality": op7_quality,
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
