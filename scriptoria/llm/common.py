@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, shared_table
+
+__all__ = ["shared_dir", "shared_table"]
+
 #: White space as the operators read it: space, and tab to carriage return.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD_BY_SPACE = r"[^\x20\x09-\x0D]+"
@@ -23,40 +24,6 @@ def ship_by_value(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, on a local master alone, a new temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # the session has ended: the folder stays for whoever owns it
-        pass
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scriptoria-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared(df: DataFrame) -> None:
-    """Delete a table of :func:`shared_table` that nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
-
-
 EMPTY_SPANS = "cast(array() as array<struct<start:int,end:int,piece:string>>)"
 
 

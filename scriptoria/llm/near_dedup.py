@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from .common import fresh_name, shared_table, ship_by_value
-from .components import components
 
 ship_by_value(__name__)
 

@@ -8,7 +8,9 @@ order. All of this is joins and sums over (language, n-gram) tables, one model f
 Scoring is sharded. A task packs its documents into shards of about ``shard_chars`` characters and asks for a shard's
 distinct n-grams once; the distinct n-grams of all shards are joined with the model, order by order; each shard gets
 its answers back together with its packed documents and adds up their logarithms. A document's perplexity is per
-character. It is accepted if that is at most the language's quantile of the perplexities of its trusted documents.
+character. It is accepted if that is at most the quantile of the perplexities of the language's trusted documents of
+its length class (lengths double from class to class, since short texts scatter more), or, where the language has
+fewer than ``least_trusted`` trusted documents of that class, of all its trusted documents.
 
 Defined results: null or blank text, and text of a language without trusted text, have null perplexity and are not
 accepted; null language is a language of its own; repeated rows are scored each; labels without a document do
@@ -32,7 +34,7 @@ from .common import shared_table, ship_by_value
 
 ship_by_value(__name__)
 
-ORDER, QUANTILE = 4, 0.995
+ORDER, QUANTILE = 4, 0.99
 BEGIN, END = "\x02", "\x03"
 RUN = re.compile(r"[\x00-\x20]+")
 
@@ -240,14 +242,15 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_c
     return scored.select("id", "lang", "n_chars", F.exp(-F.col("logp") / (F.col("n_chars") + 1)).alias("perplexity"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, least_trusted: int = 200) -> DataFrame:
     """One row per input row: id, lang, n_chars, perplexity, threshold, accepted. ``trusted_ids`` has the one column ``id_col``."""
     trusted = trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
     model = train(docs.join(trusted, id_col, "left_semi"), text_col, lang_col, order)
     scored = shared_table(perplexities(docs, model, id_col, text_col, lang_col), "perplexities")
-    cuts = scored.join(trusted.select(F.col(id_col).alias("id")), "id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
-    cuts = shared_table(cuts.withColumnRenamed("lang", "cut_lang"), "thresholds")
-    out = scored.join(cuts, scored["lang"] == cuts["cut_lang"], "left")
+    scored = scored.withColumn("class", F.greatest(F.lit(4), F.floor(F.log2(F.col("n_chars") + 1))).cast("int"))
+    known = scored.join(trusted.select(F.col(id_col).alias("id")), "id", "left_semi")
+    cut = F.percentile_approx("perplexity", quantile, 10000)
+    by_class = shared_table(known.groupBy("lang", "class").agg(cut.alias("class_cut"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_trusted).drop("n"), "class_cuts")
+    by_lang = shared_table(known.groupBy("lang").agg(cut.alias("lang_cut")), "lang_cuts")
+    out = scored.join(by_class, ["lang", "class"], "left").join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("class_cut", "lang_cut"))
     return out.select(F.col("id").alias(id_col), F.nullif(F.col("lang"), F.lit("")).alias("lang"), "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("accepted"))
-
-
