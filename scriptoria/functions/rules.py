@@ -58,6 +58,7 @@ TERM_LINES = (
     rf"(?i)^({TERM_ANY_CASE})[ \t]+refers to[ \t]+(.+)$",
     rf"(?i)^({TERM_ANY_CASE})[ \t]+is defined as[ \t]+(.+)$",
 )
+LAST_WORD = r"(?i)(?:^| )(?:as|the|a|an|of|to|mi|po)$"
 ACRONYM_LINE = r"^([A-Z0-9/-]{2,12})[ \t]*[-:][ \t]*([A-Z][A-Za-z0-9 ,()/_-]{4,120})$"
 STEP_LINE = r"^[0-9]+[.)][ \t]+.+$"
 STEP_NUMBER = r"^[0-9]+[.)][ \t]*"
@@ -99,66 +100,62 @@ def promotion_text(line_array: str, d: Dialect = SPARK) -> str:
     return f"trim({d.sub(d.join(kept, d.text(' ')), r'[ \t]+([,.;:])', chr(92) + '1')})"
 
 
-def admin_heading(x: str, d: Dialect = SPARK) -> str:
-    s = d.sub(squeezed(x, d), "^[ :;,.-]+|[ :;,.-]+$", "")
-    return f"({d.has(s, ADMIN_HEADING)} or {d.has(s, r'^[A-Z]{1,2}[0-9][A-Z0-9.-]{0,6}$')})"
+def bare(x: str, d: Dialect = SPARK) -> str:
+    """Squeezed, without punctuation at the ends."""
+    return d.sub(squeezed(x, d), "^[ :;,.-]+|[ :;,.-]+$", "")
 
 
-def low_value(text: str, line_array: str, d: Dialect = SPARK) -> str:
-    p = promotion_text(line_array, d)
-    return f"({p} = '' or {admin_at_least(text, line_array, 50, d)} or {admin_heading(p, d)})"
+def admin_heading(s: str, d: Dialect = SPARK) -> str:
+    """Of a bare text."""
+    return f"({d.has(s, ADMIN_HEADING)} or {d.has(s, r'^[A-Z]{1,2}[0-9][A-Z0-9.-]{0,6}$')})"
 
 
-def fragment(x: str, d: Dialect = SPARK) -> str:
-    s = squeezed(x, d)
+def fragment(s: str, n: str, d: Dialect = SPARK) -> str:
+    """Of a squeezed text of ``n`` words."""
     closed = d.has(s, "[.:;]$")
     return (
-        f"(length({s}) < 12 or ({d.has(s, NOISE_WORD)} and {words(s, d)} <= 4) or (not {closed} and {words(s, d)} < 8) or {words(s, d)} <= 2"
-        f" or ({tokens(s, d)} = 3 and not {closed} and {is_upper(f'substr({s}, 1, 1)')}))"
+        f"(length({s}) < 12 or ({n} <= 4 and {d.has(s, NOISE_WORD)}) or (not {closed} and ({n} < 8 or ({tokens(s, d)} = 3 and {is_upper(f'substr({s}, 1, 1)')}))) or {n} <= 2)"
     )
 
 
-def clean_term(x: str, d: Dialect = SPARK) -> str:
-    s = d.sub(squeezed(x, d), "^[ :;,.-]+|[ :;,.-]+$", "")
-    last = d.group(f"lower({s})", r"([^ ]+)$", 1)
+def clean_term(s: str, d: Dialect = SPARK) -> str:
+    """Of a bare text."""
     return (
         f"({s} <> '' and length({s}) <= 60 and not ({is_upper(s)} and {tokens(s, d)} > 2) and not {_in(f'lower({s})', GENERIC_NOTES, d)} and not {d.has(s, GENERIC_TERM)}"
-        f" and not {_in(last, ['as', 'the', 'a', 'an', 'of', 'to', 'mi', 'po'], d)} and not {d.has(s, SPACED_LETTERS)})"
+        f" and not {d.has(s, LAST_WORD)} and not {d.has(s, SPACED_LETTERS)})"
     )
 
 
-def definition_body(x: str, d: Dialect = SPARK) -> str:
-    s = squeezed(x, d)
-    return f"({s} <> '' and not {d.has(s, NOTE_STYLE)} and not {d.has(s, '^[A-Z0-9 /._-]{2,40}$')} and not {d.has(s, r'^[0-9]+(?:\.[0-9]+)?(?:,[ \t]*[0-9]+(?:\.[0-9]+)?)*$')} and {words(s, d)} >= 3)"
+def definition_body(s: str, n: str, d: Dialect = SPARK) -> str:
+    """Of a squeezed text of ``n`` words."""
+    return f"({n} >= 3 and not {d.has(s, NOTE_STYLE)} and not {d.has(s, '^[A-Z0-9 /._-]{2,40}$')} and not {d.has(s, r'^[0-9]+(?:\.[0-9]+)?(?:,[ \t]*[0-9]+(?:\.[0-9]+)?)*$')})"
 
 
-def _one_line(x: str, d: Dialect) -> str:
-    return lines(x, d)
+# the texts scored below are single lines, so their share of admin lines is all or nothing
 
 
-def glossary_score(term: str, body: str, d: Dialect = SPARK) -> str:
-    both = f"concat({term}, ' ', {body})"
-    n = words(body, d)
+def glossary_score(term: str, bare_term: str, body: str, n: str, d: Dialect = SPARK) -> str:
+    """``body`` is squeezed and has ``n`` words."""
     return points(
         (250, f"{tokens(term, d)} between 2 and 8"),
         (100, f"{is_upper(f'substr({term}, 1, 1)')} and not {is_upper(term)}"),
         (200, d.has(body, DEFINES)),
         (250, f"{n} between 4 and 40"),
         (100, d.has(body, "[.;]$")),
-        (400, f"{d.has(term, '^[A-Z0-9/-]{2,12}$')} and {n} between 2 and 12"),
-        (-800, admin_at_least(both, _one_line(both, d), 35, d)),
+        (400, f"{n} between 2 and 12 and {d.has(term, '^[A-Z0-9/-]{2,12}$')}"),
+        (-800, admin_line(f"concat({term}, ' ', {body})", d)),
         (-400, f"({d.has(term, SPACED_LETTERS)} or {d.has(body, SPACED_LETTERS)})"),
-        (-350, fragment(body, d)),
-        (-450, f"not {clean_term(term, d)}"),
-        (-550, f"not {definition_body(body, d)}"),
+        (-350, fragment(body, n, d)),
+        (-450, f"not {clean_term(bare_term, d)}"),
+        (-550, f"not {definition_body(body, n, d)}"),
         (-150, f"length({body}) > 320"),
     )
 
 
-def fact_score(x: str, d: Dialect = SPARK) -> str:
-    n = words(x, d)
+def fact_score(x: str, n: str, d: Dialect = SPARK) -> str:
+    """Of a squeezed text of ``n`` words."""
     return points(
-        (-750, admin_at_least(x, _one_line(x, d), 35, d)),
+        (-750, admin_line(x, d)),
         (-500, d.has(x, PATH_LIKE)),
         (-600, f"{d.has(x, MIXED_METADATA)} and {_occurrences(x, ',')} + {_occurrences(x, '|')} + {_occurrences(x, ':')} >= 3"),
         (-350, d.has(x, NOTE_STYLE)),
@@ -170,7 +167,7 @@ def fact_score(x: str, d: Dialect = SPARK) -> str:
         (100, d.has_text(x, d.text(":"))),
         (200, f"{n} between 3 and 35"),
         (100, f"{n} between 3 and 12"),
-        (-300, fragment(x, d)),
+        (-300, fragment(x, n, d)),
         (-350, d.has(x, SPACED_LETTERS)),
     )
 
@@ -204,10 +201,10 @@ def imperatives(steps: str, d: Dialect = SPARK) -> str:
     return d.size(d.keep(steps, "l", d.has("l", IMPERATIVE)))
 
 
-def procedure_score(title: str, heading: str, steps: str, d: Dialect = SPARK) -> str:
-    hits, joined = imperatives(steps, d), d.join(steps, d.text(" "))
+def procedure_score(title: str, heading: str, steps: str, joined: str, hits: str, d: Dialect = SPARK) -> str:
+    """``joined``: the steps in one line; ``hits``: how many open with an imperative."""
     named = d.has(title, PROCEDURE_WORDS)
-    weak = d.size(d.keep(steps, "l", f"{fragment('l', d)} and not {d.has('l', IMPERATIVE)}"))
+    weak = d.size(d.keep(steps, "l", f"{fragment('l', words('l', d), d)} and not {d.has('l', IMPERATIVE)}"))
     return points(
         (250, f"({named} or {d.has(heading, PROCEDURE_WORDS)})"),
         (-350, f"({d.has(title, NO_PROCEDURE_WORDS)} or {d.has(heading, NO_PROCEDURE_WORDS)})"),
@@ -215,7 +212,7 @@ def procedure_score(title: str, heading: str, steps: str, d: Dialect = SPARK) ->
         (f"least({hits} * 120, 300)", "true"),
         (-400, f"{hits} = 0 and not {named}"),
         (-300, f"{weak} > 0"),
-        (-700, admin_at_least(joined, _one_line(joined, d), 30, d)),
+        (-700, admin_line(joined, d)),
         (-350, d.has(joined, SPACED_LETTERS)),
     )
 
@@ -226,11 +223,10 @@ def topic_words(x: str, d: Dialect = SPARK) -> str:
     return d.each(kept, "t", "lower(t)")
 
 
-def topic_score(x: str, heading: str, title: str, signal: str, d: Dialect = SPARK) -> str:
-    """``signal``: the text has two topic words or more."""
-    n = words(x, d)
+def topic_score(x: str, n: str, heading: str, title: str, signal: str, d: Dialect = SPARK) -> str:
+    """Of a squeezed text of ``n`` words; ``signal``: it has two topic words or more."""
     return points(
-        (-900, admin_at_least(x, _one_line(x, d), 30, d)),
+        (-900, admin_line(x, d)),
         (250, f"{heading} <> '' and {heading} <> {title}"),
         (250, f"{n} between 20 and 180"),
         (150, f"{n} between 6 and 19"),
@@ -239,6 +235,6 @@ def topic_score(x: str, heading: str, title: str, signal: str, d: Dialect = SPAR
         (150, d.has(x, DEFINES)),
         (150, signal),
         (-200, d.has(x, NOTE_STYLE)),
-        (-300, fragment(x, d)),
+        (-300, fragment(x, n, d)),
         (-250, d.has(x, SPACED_LETTERS)),
     )

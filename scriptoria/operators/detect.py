@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.dialect import SPARK
+from .settle import settled
 
 #: Acceptance thresholds in thousandths.
 GLOSSARY_LEAST, PROCEDURE_LEAST, FACT_LEAST, TOPIC_LEAST = 450, 500, 450, 400
@@ -37,10 +38,13 @@ def glossary(chunks: DataFrame) -> DataFrame:
     which = F.coalesce(*[F.when(F.col("line").rlike(p), F.lit(i)) for i, p in enumerate(rules.TERM_LINES)], F.when(F.col("line").rlike(rules.ACRONYM_LINE), F.lit(len(rules.TERM_LINES))))
     part = lambda g: F.coalesce(*[F.when(F.col("rule") == i, F.regexp_extract("line", p, g)) for i, p in enumerate((*rules.TERM_LINES, rules.ACRONYM_LINE))])
     rows = rows.withColumn("rule", which).where("rule is not null").withColumn("term", F.trim(part(1))).withColumn("body", F.trim(part(2)))
-    rows = rows.withColumn("clean", F.expr(rules.clean_term("term"))).withColumn("raw_score", F.expr(rules.glossary_score("term", "body")))
+    rows = rows.withColumn("bare_term", F.expr(rules.bare("term"))).withColumn("flat", F.expr(text.squeezed("body"))).withColumn("n", F.expr(text.words("flat")))
+    rows = settled(rows.withColumn("clean", F.expr(rules.clean_term("bare_term"))), "clean")
     rows = rows.where(f"clean or rule < {len(rules.TERM_LINES)}")  # an unclean acronym is no candidate at all
+    rows = rows.withColumn("raw_score", F.expr(rules.glossary_score("term", "bare_term", "flat", "n")))
     reason = F.when(~F.col("clean"), "unclean_term").when(F.col("raw_score") < GLOSSARY_LEAST, "below_threshold")
-    return rows.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.col("line_no").cast("long").alias("line_no"), "term", "body", F.when(F.col("clean"), F.col("raw_score")).otherwise(F.lit(0).cast("long")).alias("score"), reason.alias("rejection_reason"))
+    out = rows.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.col("line_no").cast("long").alias("line_no"), "term", "body", F.when(F.col("clean"), F.col("raw_score")).otherwise(F.lit(0).cast("long")).alias("score"), reason.alias("rejection_reason"))
+    return settled(out, "score", "rejection_reason")
 
 
 def procedures(chunks: DataFrame) -> DataFrame:
@@ -48,22 +52,25 @@ def procedures(chunks: DataFrame) -> DataFrame:
     rows = chunks.where("not low_value").withColumn("usable", F.expr(rules.usable_steps("line_list"))).withColumn("n_steps", F.expr(SPARK.size(SPARK.keep("line_list", "l", SPARK.has("l", rules.STEP_LINE))))).where("n_steps > 0")
     named = (F.col("heading") != "") & (F.col("heading") != F.col("title"))
     rows = rows.withColumn("proc_title", F.when(named, F.col("heading")).otherwise(F.concat("title", F.lit(" Procedure"))))
-    rows = rows.withColumn("raw_score", F.expr(rules.procedure_score("proc_title", "heading", "usable")))
-    weak = (F.expr(rules.imperatives("usable")) == 0) & ~F.col("proc_title").rlike(rules.PROCEDURE_WORDS)
+    rows = rows.withColumn("joined", F.array_join("usable", " ")).withColumn("hits", F.expr(rules.imperatives("usable")))
+    rows = rows.withColumn("raw_score", F.expr(rules.procedure_score("proc_title", "heading", "usable", "joined", "hits")))
+    weak = (F.col("hits") == 0) & ~F.col("proc_title").rlike(rules.PROCEDURE_WORDS)
     reason = F.when(F.size("usable") < 2, "insufficient_usable_steps").when(weak, "weak_procedural_signal").when(F.col("raw_score") < PROCEDURE_LEAST, "below_threshold")
     rows = rows.withColumn("rejection_reason", reason)
     scored = F.col("rejection_reason").isNull() | (F.col("rejection_reason") == "below_threshold")
     steps = F.transform("usable", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
-    return rows.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.col("proc_title").alias("title"), steps.alias("steps"), F.when(scored, F.col("raw_score")).otherwise(F.lit(0).cast("long")).alias("score"), "rejection_reason")
+    out = rows.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.col("proc_title").alias("title"), steps.alias("steps"), F.when(scored, F.col("raw_score")).otherwise(F.lit(0).cast("long")).alias("score"), "rejection_reason")
+    return settled(out, "score", "rejection_reason")
 
 
 def facts(chunks: DataFrame) -> DataFrame:
     """doc_id, source_filename, chunk_id, heading, chunk_index, sentence_idx, body, category, score, rejection_reason."""
     per_line = F.expr(f"flatten({SPARK.each('line_list', 'x', text.sentences('x'))})")
     rows = chunks.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.posexplode(per_line).alias("sentence_idx", "sentence")).where(F.col("sentence").rlike(rules.FACT_SIGNAL))
-    rows = rows.withColumn("body", F.expr(rules.fact_sentence("sentence"))).withColumn("atomic", F.expr(rules.atomic_fact("body"))).withColumn("raw_score", F.when(F.col("atomic"), F.expr(rules.fact_score("body"))).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("body", F.expr(rules.fact_sentence("sentence"))).withColumn("n", F.expr(text.words("body"))).withColumn("atomic", F.expr(rules.atomic_fact("body"))).withColumn("raw_score", F.when(F.col("atomic"), F.expr(rules.fact_score("body", "n"))).otherwise(F.lit(0).cast("long")))
     reason = F.when(~F.col("atomic"), "non_atomic_fact").when(F.col("raw_score") < FACT_LEAST, "below_threshold")
-    return rows.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.col("sentence_idx").cast("long").alias("sentence_idx"), "body", F.expr(rules.fact_category("body")).alias("category"), F.col("raw_score").alias("score"), reason.alias("rejection_reason"))
+    out = rows.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.col("sentence_idx").cast("long").alias("sentence_idx"), "body", F.expr(rules.fact_category("body")).alias("category"), F.col("raw_score").alias("score"), reason.alias("rejection_reason"))
+    return settled(out, "body", "category", "score", "rejection_reason")
 
 
 def ranked_words(words: Column, size: int = 3) -> Column:
@@ -75,25 +82,25 @@ def ranked_words(words: Column, size: int = 3) -> Column:
 def topics(chunks: DataFrame) -> DataFrame:
     """doc_id, source_filename, chunk_id, heading, chunk_index, topic_key, topic_label, body, score, rejection_reason."""
     rows = chunks.withColumn("topic_words", F.expr(rules.topic_words("promotion_text"))).withColumn("terms", ranked_words(F.col("topic_words")))
-    named = (F.col("heading") != "") & (F.col("heading") != F.col("title")) & ~F.col("heading").rlike("^[0-9]+$") & ~F.expr(rules.admin_heading("heading"))
-    rows = rows.withColumn("joined_terms", F.array_join("terms", " "))
+    named = (F.col("heading") != "") & (F.col("heading") != F.col("title")) & ~F.col("heading").rlike("^[0-9]+$") & ~F.expr(rules.admin_heading("bare_heading"))
+    rows = rows.withColumn("bare_heading", F.expr(rules.bare("heading"))).withColumn("joined_terms", F.array_join("terms", " "))
     label = F.when(named, F.col("heading")).when(F.size("terms") > 0, F.expr(text.title_case("joined_terms"))).otherwise(F.col("title"))
     rows = rows.withColumn("topic_label", label).withColumn("n", F.expr(text.words("promotion_text")))
-    rows = rows.where("low_value or n >= 8")
-    rows = rows.withColumn("raw_score", F.expr(rules.topic_score("promotion_text", "heading", "title", "size(terms) >= 2")))
-    reason = F.when(F.col("low_value"), "admin_boilerplate").when(F.expr(rules.admin_heading("topic_label")) & (F.col("n") < 12), "weak_sheet_anchor").when(F.col("raw_score") < TOPIC_LEAST, "below_threshold")
+    rows = rows.where("low_value or n >= 8").withColumn("flat", F.expr(text.squeezed("promotion_text"))).withColumn("bare_label", F.expr(rules.bare("topic_label"))).withColumn("n_terms", F.size("terms"))
+    rows = rows.withColumn("raw_score", F.expr(rules.topic_score("flat", "n", "heading", "title", "n_terms >= 2")))
+    reason = F.when(F.col("low_value"), "admin_boilerplate").when(F.expr(rules.admin_heading("bare_label")) & (F.col("n") < 12), "weak_sheet_anchor").when(F.col("raw_score") < TOPIC_LEAST, "below_threshold")
     rows = rows.withColumn("rejection_reason", reason)
     scored = F.col("rejection_reason").isNull() | (F.col("rejection_reason") == "below_threshold")
-    return rows.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.expr(text.slug("topic_label", 80)).alias("topic_key"), "topic_label", F.col("promotion_text").alias("body"), F.when(scored, F.col("raw_score")).otherwise(F.lit(0).cast("long")).alias("score"), "rejection_reason")
+    out = rows.select("doc_id", "source_filename", "chunk_id", "heading", "chunk_index", F.expr(text.slug("topic_label", 80)).alias("topic_key"), "topic_label", F.col("promotion_text").alias("body"), F.when(scored, F.col("raw_score")).otherwise(F.lit(0).cast("long")).alias("score"), "rejection_reason")
+    return settled(out, "topic_key", "score", "rejection_reason")
 
 
-def _real_entity(value: str) -> Column:
-    s = SPARK.sub(text.squeezed(value), "^[ :;,.-]+|[ :;,.-]+$", "")
-    upper, n = text.is_upper(s), text.tokens(s)
+def _real_entity(s: str) -> Column:
+    """Of a bare text."""
     codes = ", ".join(SPARK.text(b) for b in STANDARD_BODIES)
     return F.expr(
         f"({s} <> '' and length({s}) >= 3 and not upper({s}) in ({', '.join(SPARK.text(w) for w in ENTITY_STOP)}) and not lower({s}) in ({', '.join(SPARK.text(w) for w in rules.GENERIC_NOTES)})"
-        f" and not {rules.admin_heading(s)} and not ({upper} and {n} > 2) and not ({SPARK.has(s, '^[A-Z]{1,4}$')} and {s} not in ({codes})) and not {SPARK.has(s, rf'(?i)^[0-9]+(?:[.][0-9]+)?[ ]?(?:{rules.UNITS}|%)$')})"
+        f" and not {rules.admin_heading(s)} and not ({text.is_upper(s)} and {text.tokens(s)} > 2) and not ({SPARK.has(s, '^[A-Z]{1,4}$')} and {s} not in ({codes})) and not {SPARK.has(s, rf'(?i)^[0-9]+(?:[.][0-9]+)?[ ]?(?:{rules.UNITS}|%)$')})"
     )
 
 
@@ -107,7 +114,8 @@ def entities(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
     generic = F.lower(named).isin("entities", "entity", "drawing", "topic", "notes", "general notes", "title page") | F.lower(named).startswith("entity ")
     as_type = lambda kind: lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("value"))
     every = F.concat(F.transform("standards", as_type("standard")), F.transform(outside, as_type("organization")), F.transform("parts", as_type("product")), F.when((named != "") & ~generic, F.array(F.struct(F.lit("document").alias("entity_type"), named.alias("value")))).otherwise(F.expr("cast(array() as array<struct<entity_type:string,value:string>>)")))
-    rows = rows.select("doc_id", "source_filename", F.posexplode(every).alias("place", "e")).select("doc_id", "source_filename", "place", "e.entity_type", F.trim("e.value").alias("value")).where(_real_entity("value"))
+    rows = rows.select("doc_id", "source_filename", F.posexplode(every).alias("place", "e")).select("doc_id", "source_filename", "place", "e.entity_type", F.trim("e.value").alias("value")).withColumn("bare_value", F.expr(rules.bare("value")))
+    rows = settled(rows, "bare_value").where(_real_entity("bare_value"))
     rows = rows.withColumn("both", F.concat("entity_type", F.lit("-"), "value")).withColumn("normalized_key", F.expr(text.slug("both", 180)))
     return rows.groupBy("doc_id", "source_filename", "normalized_key").agg(F.min(F.struct("place", "entity_type", "value")).alias("first")).select("doc_id", "source_filename", "first.entity_type", "first.value", "normalized_key", F.col("first.place").cast("long").alias("place"))
 
