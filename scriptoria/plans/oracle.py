@@ -226,6 +226,8 @@ select *, case when n_docs = 0 then 'empty' when n_high > 0 then 'needs_review'
     "removed_docs": f"with {_SNAPSHOTS} select * from old where source_path not in (select source_path from new)",
     "artifact_duplicates": f"""with {MANUALS}, {_paragraphs(rules.HEADING, "title")}, a as (select source_filename as file_name, arg_max(text, para_idx) as content from para group by 1), g as (select *, min(file_name) over (partition by content) as first_name from a)
 select file_name, first_name from g where file_name <> first_name""",
+    "event_windows": "select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n, count(value) as n_values from events group by all",
+    "stream_scan": "select source, count(*) as n_docs, count(distinct text) as n_texts from documents group by source",
     "log_parse": "select event_type as kind, count(*) as n, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) as last_at, count(distinct user_id) as n_users, max(event_id) as last_id from events group by event_type",
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions.dialect import SPARK
 from ..operators import aggregate, changes, detect, duplicates, normalize, profile, review, segment
-from ..shared import shared_table
+from ..shared import shared_dir, shared_table
 from ..sources import tables
+from ..streaming import scan
+from . import package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -334,6 +337,25 @@ def log_parse(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"), F.countDistinct(F.col("fields")["user"]).alias("n_users"), F.max(F.col("fields")["id"].cast("long")).alias("last_id"))
 
 
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return scan.event_counts(tables.table(spark, d, "events"))
+
+
+def stream_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents read as a stream of files into a scan state; one row per source with what the state knows of it."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    state = scan.ScanState(spark, f"{base}/state")
+    schema = tables.table(spark, d, "documents").schema
+    name = F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    scan.scan_stream(spark, f"{d}/documents*.parquet", schema, state, f"{base}/checkpoint", name).awaitTermination()
+    return state.current().groupBy(F.split("source_path", "/")[2].alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct("checksum").alias("n_texts"))
+
+
+def package_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the manuals' knowledge package, with size and digest."""
+    return package.artifacts(tables.manuals(spark, d)).select("file_name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+
+
 QUERIES: dict[str, Query] = {
     "reference_facts": reference_facts,
     "word_count_by_source": word_count_by_source,
@@ -396,4 +418,7 @@ QUERIES: dict[str, Query] = {
     "provenance": provenance,
     "artifact_duplicates": artifact_duplicates,
     "log_parse": log_parse,
+    "event_windows": event_windows,
+    "stream_scan": stream_scan,
+    "package_files": package_files,
 }
