@@ -73,15 +73,23 @@ def facts(chunks: DataFrame) -> DataFrame:
     return settled(out, "body", "category", "score", "rejection_reason")
 
 
-def ranked_words(words: Column, size: int = 3) -> Column:
-    """The most frequent words of an array: by count, then length, both falling, then by themselves."""
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda v: v == w))).alias("n"), (-F.length(w)).alias("l"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(counted), 1, size), lambda x: x["w"])
+def with_ranked_words(rows: DataFrame, words: Column, out: str, size: int = 3) -> DataFrame:
+    """``rows`` with the most frequent words of an array: by count, then length, both falling, then by themselves.
+
+    Equal words stand together in the sorted array, so counts are the lengths of its runs: one pass, however long it is.
+    """
+    rows = settled(rows.withColumn("_sorted", F.array_sort(words)), "_sorted")
+    n, at = F.size("_sorted"), lambda i: F.get("_sorted", i)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    rows = settled(rows.withColumn("_starts", F.when(n > 0, starts)), "_starts")
+    runs = F.zip_with("_starts", F.concat(F.slice("_starts", 2, n), F.array(n)), lambda a, b: F.struct((a - b).alias("n"), (-F.length(at(a))).alias("l"), at(a).alias("w")))
+    top = F.transform(F.slice(F.array_sort(runs), 1, size), lambda x: x["w"])
+    return rows.withColumn(out, F.when(n > 0, top).otherwise(F.expr("cast(array() as array<string>)"))).drop("_sorted", "_starts")
 
 
 def topics(chunks: DataFrame) -> DataFrame:
     """doc_id, source_filename, chunk_id, heading, chunk_index, topic_key, topic_label, body, score, rejection_reason."""
-    rows = chunks.withColumn("topic_words", F.expr(rules.topic_words("promotion_text"))).withColumn("terms", ranked_words(F.col("topic_words")))
+    rows = with_ranked_words(chunks, F.expr(rules.topic_words("promotion_text")), "terms")
     named = (F.col("heading") != "") & (F.col("heading") != F.col("title")) & ~F.col("heading").rlike("^[0-9]+$") & ~F.expr(rules.admin_heading("bare_heading"))
     rows = rows.withColumn("bare_heading", F.expr(rules.bare("heading"))).withColumn("joined_terms", F.array_join("terms", " "))
     label = F.when(named, F.col("heading")).when(F.size("terms") > 0, F.expr(text.title_case("joined_terms"))).otherwise(F.col("title"))
