@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_dir, shared_table
@@ -48,6 +50,18 @@ def regex_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.expr(EMPTY_SPANS))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows in the jobs that run inside: rows that carry whole texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh_name(columns: list[str], wish: str) -> str:
     """A column name that clashes with none of ``columns`` (compared as Spark does, without case)."""
     taken = {c.lower() for c in columns}

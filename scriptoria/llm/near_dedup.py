@@ -2,15 +2,18 @@
 
 A document's set holds its distinct shingles of ``width`` words. Each of ``hashes`` permutations is evaluated once and
 gives two signature values, its minimum and its maximum over the set. A band joins ``rows`` values of different
-permutations, minima with minima and maxima with maxima; documents that share a band are candidates. With 81
-permutations, 6 values a band and so 27 + 26 and more bands, a pair of similarity 0.8 shares no band with a chance
-below one in ten million. Links are confirmed on the full sets of words.
+permutations, minima with minima and maxima with maxima; documents that share a band are candidates. With 132
+permutations and 6 values a band there are 22 + 22 bands, and a pair of similarity 0.8 shares none with a chance below
+two in a million. Links are confirmed on the full sets of words.
 
 No bucket is expanded into pairs. Documents with equal sets are one class, and the class's smallest id stands for it.
-Each member of a bucket is compared with the bucket's pivot (its smallest id); what that links forms components.
-Then, round by round, only buckets whose members still lie in different components are looked at, and only pairs
-of different components, first against other pivots (the member with the most confirmed links, then one by a hash),
-last, for what is left, all pairs across components, so that no link between components is lost.
+A bucket's pivot is the member that meets most others over all bands; each member is first compared with the best
+pivot of its buckets, then with those pivots that are still in another component. What stays apart from its pivot p
+can only link to a bucket mate y by sharing differences: with D(x) the symmetric difference of x and p, similarity t
+asks |D(x) & D(y)| >= (|D(x)| + |D(y)| - (|x| + |y|)(1 - t) / (1 + t)) / 2, which is at least one, and more the farther x
+lies from p. So such members are joined with their bucket mates on the first elements of their differences (elements
+that p lacks, then elements of p), as far as that bound and their places allow, and confirmed. That is a lossless prefix
+filter: no link between components is missed inside a bucket.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; texts of fewer words than
 ``width`` have one shingle, the whole sequence; repeated rows share their class; a row with a null id belongs to no
@@ -29,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
-from .common import fresh_name, shared_table, ship_by_value
+from .common import arrow_batches, fresh_name, shared_table, ship_by_value
 
 ship_by_value(__name__)
 
-HASHES, ROWS = 162, 6
+HASHES, ROWS = 132, 6
 #: Shingles that are hashed at once, so that a permutation's values stay in the processor's cache.
 CHUNK = 1 << 17
 
@@ -51,7 +54,7 @@ def shingle_set(text: bytes | None, width: int) -> frozenset:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -127,86 +130,153 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_sketcher(width, hashes, rows, seed), schema)
 
 
+def _pairs(batch: pa.RecordBatch, width: int, known: dict[int, frozenset]) -> Iterator[tuple[frozenset, frozenset]]:
+    """The sets of each row (u, v, text of u, text of v); ``known`` keeps the last few."""
+    texts = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
+    for i, ids in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        found = []
+        for k, column in zip(ids, texts, strict=True):
+            if k not in known:
+                if len(known) > 32:
+                    known.clear()
+                known[k] = shingle_set(column[i].as_py(), width)
+            found.append(known[k])
+        yield found[0], found[1]
+
+
 def _linker(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, frozenset] = {}
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            a, b = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
             linked = []
-            for i, (x, y) in enumerate(zip(u, v, strict=True)):
-                for k, column in ((x, a), (y, b)):
-                    if k not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[k] = shingle_set(column[i].as_py(), width)
-                p, q = known.get(x) or shingle_set(a[i].as_py(), width), known.get(y) or shingle_set(b[i].as_py(), width)
+            for p, q in _pairs(batch, width, known):
                 both = len(p & q)
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold."""
+def _differ(width: int):
+    def hashed(shingles: frozenset) -> list[int]:
+        return sorted(xxhash.xxh3_64_intdigest(b" ".join(s)) - (1 << 63) for s in shingles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, frozenset] = {}
+        for batch in batches:
+            sizes, tokens = [], []
+            for p, x in _pairs(batch, width, known):
+                sizes.append((len(p), len(x)))
+                tokens.append(hashed(x - p) + hashed(p - x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in sizes], pa.int64()), pa.array([b for _, b in sizes], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["pivot", "id", "pivot_n", "n", "tokens"])
+
+    return run
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v, text of u, text of v): v's text comes first, since few pairs share their v."""
     a, b = texts.select(F.col("id").alias("u"), F.col("text").alias("a")), texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_linker(width, percent), "u long, v long")
+    return pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "a", "b")
 
 
-def _close(percent: int) -> Column:
-    """Set sizes n and pivot_n can reach the threshold."""
-    return (F.col("n") * 100 >= F.col("pivot_n") * percent) & (F.col("pivot_n") * 100 >= F.col("n") * percent)
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the threshold."""
+    return _with_texts(pairs, texts).mapInArrow(_linker(width, percent), "u long, v long, linked boolean").where("linked").select("u", "v")
+
+
+def _joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after more links: only the components that a new link joins are worked on."""
+    if labels is None:
+        return shared_table(components(links), "labels")
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
+    ends = shared_table(ends, "ends")
+    merged = shared_table(components(ends.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))), "merged").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("cu").alias("component")), F.struct(F.col("v").alias("id"), F.col("cv").alias("component")))).alias("e")).select("e.*").distinct()
+    every = labels.unionByName(fresh.join(labels.select("id"), "id", "left_anti"))
+    return shared_table(every.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component")), "labels")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` (id, pivot, ...) with the components of both, id_component and pivot_component."""
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
+    out = pairs.join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
+    return out.withColumns({f"{end}_component": F.coalesce(f"{end}_component", end) for end in ("id", "pivot")})
+
+
+def _difference_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate pairs (u, v) across components among the ``members`` (pivot, id, id_component, pivot_component) of a pivot."""
+    sets = _with_texts(members.select(F.col("pivot").alias("u"), F.col("id").alias("v")), texts).mapInArrow(_differ(width), "pivot long, id long, pivot_n long, n long, tokens array<long>")
+    sets = shared_table(sets, "differences").join(members, ["pivot", "id"]).withColumn("d", F.size("tokens").cast("long"))
+    over, under = 100 + percent, 100 - percent
+    # twice the excess of |D| over what a link to the pivot allows, in units of 1 / (100 + percent)
+    excess = F.col("d") * over - (F.col("n") + F.col("pivot_n")) * under
+    least_open = F.greatest(F.lit(1), F.ceil(excess / F.lit(200.0) - 1e-9))
+    least_any = F.greatest(F.lit(1), F.ceil(F.col("d") * percent / F.lit(float(over)) - 1e-9))
+
+    def prefix(rows: DataFrame, least: Column, tag: str) -> DataFrame:
+        firsts = F.slice("tokens", 1, F.greatest(F.lit(0), F.col("d") - least + 1).cast("int"))
+        return rows.select("pivot", F.col("id").alias(f"id_{tag}"), F.col("n").alias(f"n_{tag}"), F.col("d").alias(f"d_{tag}"), F.col("id_component").alias(f"c_{tag}"), F.posexplode(firsts).alias(f"pos_{tag}", "token"))
+
+    x = prefix(sets.where("id_component <> pivot_component"), least_open, "x")
+    y = prefix(sets, least_any, "y")
+    need = F.greatest(F.lit(1), F.ceil(((F.col("d_x") + F.col("d_y")) * over - (F.col("n_x") + F.col("n_y")) * under) / F.lit(2.0 * over) - 1e-9))
+    fits = (F.col("c_x") != F.col("c_y")) & (F.col("pos_x") <= F.col("d_x") - need) & (F.col("pos_y") <= F.col("d_y") - need)
+    return x.join(y, ["pivot", "token"]).where(fits).select(F.least("id_x", "id_y").alias("u"), F.greatest("id_x", "id_y").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
+    with arrow_batches(docs.sparkSession, 1000):
+        sketch, known = _sketch_and_components(docs, id_col, text_col, width, percent, hashes, rows)
+    out = sketch.select("id", "n", "digest").join(known, "digest", "left")
+    component = F.coalesce(F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")), F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def _sketch_and_components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hashes: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and (digest, component) of every class."""
     sketch = shared_table(sketches(docs, id_col, text_col, width, hashes, rows), "sketches")
     classes = shared_table(sketch.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     heads = sketch.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    members = shared_table(heads.select("id", "n", F.explode("bands").alias("band")), "members")
-    # buckets of more than one class; the pivot is the smallest id
-    buckets = shared_table(members.groupBy("band").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "buckets")
+    members = heads.select("id", F.explode("bands").alias("band"))
+    buckets = shared_table(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     inside = shared_table(members.join(buckets, "band"), "inside")
-    pairs = inside.where("id <> pivot").where(_close(percent)).select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
+    # a bucket's pivot meets most others over all bands
+    meets = shared_table(inside.groupBy("id").agg(F.sum("size").alias("meets")), "meets")
+    best = F.max(F.struct("meets", (-F.col("id")).alias("neg"))).alias("p")
+    ranked = inside.join(meets, "id")
+    pivots = shared_table(ranked.groupBy("band").agg(best).select("band", (-F.col("p.neg")).alias("pivot"), F.col("p.meets").alias("pivot_meets")), "pivots")
+    pairs = inside.join(pivots, "band").where("id <> pivot").groupBy("id", "pivot").agg(F.max("pivot_meets").alias("pivot_meets"))
     pairs = shared_table(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = pairs.select(F.explode(F.array("id", "pivot")).alias("id")).distinct()
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    texts = lambda ids: raw.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    links = shared_table(confirmed(pairs, texts(wanted), width, percent), "links")
-    tested = pairs
-    labels = shared_table(components(links), "labels")
-    for turn in range(3):
-        # buckets that still join different components
-        at = inside.select("band", "id", "n").join(labels, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-        open_ = at.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-        open_ = shared_table(open_, "open")
-        if open_.isEmpty():
+    texts = shared_table(raw.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # first each member with the best of its pivots, then the pairs that are still apart
+    first = pairs.groupBy("id").agg(F.max_by("pivot", F.struct("pivot_meets", (-F.col("pivot")).alias("neg"))).alias("pivot"))
+    links = shared_table(confirmed(first.select(F.col("pivot").alias("u"), F.col("id").alias("v")), texts, width, percent), "links")
+    labels = _joined_labels(None, links)
+    rest = shared_table(_apart(pairs.join(first, ["id", "pivot"], "left_anti"), labels).where("id_component <> pivot_component").select(F.col("pivot").alias("u"), F.col("id").alias("v")), "rest")
+    if not rest.isEmpty():
+        labels = _joined_labels(labels, shared_table(confirmed(rest, texts, width, percent), "more_links"))
+    # what stays apart from a pivot whose bucket holds others: one try with the best of those, then by differences
+    for turn in range(2):
+        at = shared_table(_apart(pairs, labels), "at")
+        open_pivots = at.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id_component") != F.col("pivot_component")).alias("n_open")).where("n_open > 0 and n > 1").select("pivot")
+        left = shared_table(at.join(open_pivots, "pivot", "left_semi").select("pivot", "id", "id_component", "pivot_component"), "left")
+        if left.isEmpty():
             break
-        left = shared_table(at.join(open_, "band", "left_semi"), "left")
-        if turn < 2:
-            degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").count()
-            order = F.struct(-F.coalesce("count", F.lit(0)), F.xxhash64("id"), "id", "n", "component") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), F.lit(0), "id", "n", "component")
-            chosen = left.join(degree, "id", "left").groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
-            chosen = shared_table(chosen, "chosen")
-            more = left.join(chosen, "band").where("component <> pivot_component")
+        if turn == 0:
+            far = left.where("id_component <> pivot_component").join(meets, "id")
+            second = far.groupBy("pivot").agg(F.max_by(F.struct("id", "id_component"), F.struct("meets", (-F.col("id")).alias("neg"))).alias("s"))
+            second = shared_table(second.select("pivot", F.col("s.id").alias("second"), F.col("s.id_component").alias("second_component")), "second")
+            tries = far.join(second, "pivot").where("id_component <> second_component").select(F.col("second").alias("u"), F.col("id").alias("v")).distinct()
         else:
-            other = left.select("band", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
-            more = left.join(other, "band").where("component < pivot_component")
-        more = more.where(_close(percent)).select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-        more = shared_table(more.join(tested, ["u", "v"], "left_anti"), "more")
-        if not more.isEmpty():
-            tested = tested.unionByName(more)
-            wanted = more.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-            new = shared_table(confirmed(more, texts(wanted), width, percent), "new")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                labels = shared_table(components(links), "labels")
-    known = shared_table(classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("component")), "known")
-    out = sketch.select("id", "n", "digest").join(known, "digest", "left")
-    component = F.coalesce(F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")), F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+            tries = _difference_pairs(left, texts, width, percent)
+        tries = shared_table(tries, "tries")
+        if not tries.isEmpty():
+            labels = _joined_labels(labels, shared_table(confirmed(tries, texts, width, percent), "late_links"))
+    return sketch, shared_table(classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("component")), "known")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
