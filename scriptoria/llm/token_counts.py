@@ -14,6 +14,7 @@ they stand; keys whose totals are all 0 again are left out; an empty store has n
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ ship_by_value(__name__)
 VOCABULARIES = {"byte-bpe-50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte-bpe-multi-50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
 #: Fixed value: how these vocabularies split a text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -44,22 +46,27 @@ def _counter(files: Mapping[str, object]):
         encoders = {name: _encoder(file.value) for name, file in files.items()}
         for batch in batches:
             texts = [t or "" for t in batch.column(3).to_pylist()]
+            plain = [SPACES.sub(" ", t) for t in texts]
             for name, encoder in encoders.items():
                 counts = [len(encoder.encode_ordinary(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([name] * len(texts), pa.string()), pa.array(counts, pa.int64())], names=["doc_id", *KEYS, "n_tokens"])
+                squeezed = [n if p == t else len(encoder.encode_ordinary(p)) for t, p, n in zip(texts, plain, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([name] * len(texts), pa.string()), pa.array(counts, pa.int64()), pa.array(squeezed, pa.int64())], names=["doc_id", *KEYS, "n_tokens", "n_squeezed"])
 
     return run
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", vocabularies: Mapping[str, str] = VOCABULARIES) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens) for each row and tokenizer version."""
+    """(doc_id, source, lang, tokenizer, n_tokens, n_squeezed) for each row and tokenizer version.
+
+    n_squeezed counts the text with each run of white space as one space, so that a later revision needs no text.
+    """
     sc = docs.sparkSession.sparkContext
     files = {}
     for name, path in vocabularies.items():
         with open(path, "rb") as f:  # a vocabulary is under a megabyte; tasks get it from the driver
             files[name] = sc.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_counter(files), "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+    return rows.mapInArrow(_counter(files), "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_squeezed long")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -118,7 +125,7 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame, path: str | None = None, v
     for b in range(load_batches):
         rollup.commit(f"load-{b}", inserts(counts.where(F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(load_batches)) == b)))
     poor, toxic = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct(), labels.where("toxic = 1").select("doc_id").distinct()
-    poor_docs = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    rollup.commit("revise", revisions(counts.join(poor, "doc_id", "left_semi"), count_tokens(poor_docs, vocabularies=vocabularies)))
+    old = counts.join(poor, "doc_id", "left_semi")
+    rollup.commit("revise", revisions(old, old.withColumn("n_tokens", F.col("n_squeezed"))))
     rollup.commit("delete", deletes(counts.join(toxic, "doc_id", "left_semi")))
     return rollup
