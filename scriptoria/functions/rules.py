@@ -7,7 +7,7 @@ values: results depend on each of them.
 from __future__ import annotations
 
 from .dialect import SPARK, Dialect
-from .text import NOT_W, W, bounded, is_upper, lines, squeezed, stripped, tokens, words
+from .text import NOT_W, W, bounded, is_upper, squeezed, stripped, tokens, words
 
 HEADING = r"^(?:#{1,6}[ \t]+.+|[0-9]+(?:\.[0-9]+){0,4}[ \t]+.+|[A-Z][A-Z0-9 \t/&,-]{4,})$"
 PROCEDURE_WORDS = bounded("procedure|process|installation|method|steps|instructions|checklist")

@@ -2,15 +2,17 @@
 
 Two texts are near-duplicates if twice the characters in their matching blocks, found from the later path's text
 against the earlier one's, are at least ``threshold`` of both lengths. Equal texts are one class and are compared
-once. Candidates share a band of a min-hash signature over character five-grams and have lengths that can reach the
-threshold; each bucket links its members to the neighbour before them and to the first, so a bucket of a hundred
-thousand copies makes two hundred thousand pairs, not all of them. Every candidate is then measured.
+once. Candidates share a band of a min-hash signature over their words and have lengths that can reach the
+threshold. Each member of a bucket is measured against the bucket's first, and then, if they still lie in different
+groups, against its neighbour by length: a bucket of a hundred thousand copies makes two hundred thousand pairs at
+most, not all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ..shared import shared_table
 from .components import components
 
-HASHES, ROWS, GRAM = 120, 3, 5
+HASHES, ROWS, GRAM = 200, 4, 5
 
 
 def exact_groups(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
@@ -30,13 +32,18 @@ def exact_groups(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
     return rows.join(groups, "digest").select("doc_id", "source_path", "canonical", "group_size")
 
 
+def features(text: str) -> np.ndarray:
+    """Hashes of a text's words, or, where words are long or white space is rare, of its character five-grams."""
+    words = set(text.split())
+    if 20 * len(words) < len(set(text[i : i + GRAM] for i in range(0, len(text), GRAM))):
+        words = {text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
+    codes = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    return (codes ^ (codes >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def signature(text: str, factors: np.ndarray) -> list[int]:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    grams = np.zeros(max(1, len(codes) - GRAM + 1), np.uint64)
-    for i in range(min(GRAM, len(codes))):
-        grams = grams * np.uint64(1_000_003) + codes[i : i + len(grams)]
-    grams = np.unique((grams ^ (grams >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15))
-    least = np.array([((grams ^ f) * (f | np.uint64(1))).min() for f in factors])
+    found = features(text)
+    least = np.array([((found ^ (f >> np.uint64(1))) * (f | np.uint64(1))).min() for f in factors])
     keys = np.zeros(HASHES // ROWS, np.uint64)
     for r in range(ROWS):
         keys = keys * np.uint64(0xD1342543DE82EF95) + least[r::ROWS]
@@ -78,16 +85,27 @@ def near_duplicate_groups(corpus: DataFrame, text_col: str = "raw_text", thresho
     bands = classes.select("path", F.length("t").alias("n"), F.pandas_udf(_signatures, "array<long>")("t").alias("keys")).select("path", "n", F.explode("keys").alias("band"))
     bands = shared_table(bands, "bands")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("path").alias("first")).where("size > 1")
-    members = bands.join(shared, "band")
-    order = Window.partitionBy("band").orderBy("n", "path")
-    near = members.withColumn("before", F.lag("path").over(order))
-    pairs = near.select("path", F.explode(F.array_compact(F.array("before", "first"))).alias("other")).where("path <> other")
-    pairs = pairs.select(F.greatest("path", "other").alias("u"), F.least("path", "other").alias("v")).distinct()
+    members = shared_table(bands.join(shared, "band"), "members")
     later, earlier = classes.select(F.col("path").alias("u"), F.col("t").alias("later")), classes.select(F.col("path").alias("v"), F.col("t").alias("earlier"))
-    both = pairs.join(later, "u").join(earlier, "v")
     least, most = F.least(F.length("later"), F.length("earlier")), F.greatest(F.length("later"), F.length("earlier"))
-    links = both.where(least >= threshold / (2 - threshold) * most).select("u", "v", "later", "earlier").mapInPandas(_measured(threshold), "u string, v string")
-    joined = components(shared_table(links, "links"))
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(later, "u").join(earlier, "v").where(least >= threshold / (2 - threshold) * most)
+        return shared_table(both.select("u", "v", "later", "earlier").repartition("u", "v").mapInPandas(_measured(threshold), "u string, v string"), name)
+
+    ordered = lambda other: members.where(F.col("path") != F.col(other)).select(F.greatest("path", other).alias("u"), F.least("path", other).alias("v")).distinct()
+    links = linked(ordered("first"), "first_links")
+    joined = shared_table(components(links), "joined")
+    # a bucket of more than ten thousand is sorted in parts of about that size
+    part = F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.ceil(F.col("size") / 10_000)))
+    order = Window.partitionBy("band", part).orderBy("n", "path")
+    near = members.select("path", F.lag("path").over(order).alias("before")).where("before is not null")
+    near = near.select(F.greatest("path", "before").alias("u"), F.least("path", "before").alias("v")).distinct()
+    of = lambda end: joined.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))
+    apart = near.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("u_group", "u") != F.coalesce("v_group", "v")).select("u", "v")
+    more = linked(apart.join(ordered("first"), ["u", "v"], "left_anti"), "near_links")
+    if not more.isEmpty():
+        joined = shared_table(components(links.unionByName(more)), "joined_again")
     named = heads.join(joined, heads["path"] == joined["id"], "left").select("digest", F.coalesce("component", "path").alias("component"))
     grouped = shared_table(paths.join(named, "digest"), "grouped")
     canonical = grouped.groupBy("component").agg(F.min("source_path").alias("canonical"), F.count(F.lit(1)).alias("size")).where("size > 1")

@@ -261,10 +261,6 @@ def listing(spark: SparkSession, path: str, supported_only: bool = True) -> Data
     return rows.where("document_type is not null") if supported_only else rows
 
 
-def heavy_estimate(suffixes: list[str]) -> bool:
-    return any(s in IMAGES or s == "pdf" for s in suffixes)
-
-
 def extracted(files: DataFrame, strategy: Column | str = "default", most_bytes: int = MOST_BYTES) -> DataFrame:
     """A listing's files with their text, status, quality and preview; files over ``most_bytes`` are not read."""
     content = F.when(F.col("length") <= most_bytes, F.col("content"))
