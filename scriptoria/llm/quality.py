@@ -1,6 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
 N-grams are runs of ``order`` characters (runs of white space are one space) with marks before and after a document.
+A Bloom filter of fixed size over the trusted ids lets map tasks drop most other texts before the exact join by id.
 Trusted documents are counted in the tasks and added up by Spark; lower orders count distinct left neighbours. Every
 order has three discounts, from its counts of counts, and each context gives the mass it saves to the next lower
 order. All of this is joins and sums over (language, n-gram) tables, one model for each language.
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_table, ship_by_value
@@ -84,12 +85,55 @@ def _blocks(texts: list[tuple], size: int) -> Iterator[list[tuple]]:
         yield held
 
 
+#: Bits of the Bloom filter over trusted ids: 8 MB, whatever the input.
+BLOOM_BITS, BLOOM_HASHES = 1 << 26, 2
+
+
+def bloom_buckets(id_col: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(id_col, F.lit(i)), F.lit(BLOOM_BITS)).alias(f"bucket{i}") for i in range(BLOOM_HASHES)]
+
+
+def bloom_filter(ids: DataFrame) -> np.ndarray:
+    """The filter of a table of ids, as 64-bit words; the driver gets at most all of its words."""
+    buckets = ids.select(F.explode(F.array(*bloom_buckets(F.col(ids.columns[0])))).alias("b"))
+    words = buckets.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _likely(words):
+    """Rows (id, lang, text, buckets...) that pass the filter, their text packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = words.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(BLOOM_HASHES):
+                b = batch.column(3 + i).to_numpy(zero_copy_only=False).astype(np.uint64)
+                keep &= ((bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
+            kept = batch.filter(pa.array(keep))
+            packs = [zstandard.compress(prepared(t).encode("utf-8", "surrogatepass"), 3) for t in kept.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(packs, pa.binary())], names=["id", "lang", "pack"])
+
+    return run
+
+
+def trusted_packs(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(pack, lang) of the documents whose id is in ``trusted``."""
+    words = docs.sparkSession.sparkContext.broadcast(bloom_filter(trusted))
+    key = F.col(id_col).cast("long")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(key.alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"), *bloom_buckets(key))
+    likely = rows.mapInArrow(_likely(words), "id long, lang string, pack binary")
+    return likely.join(trusted.select(F.col(id_col).cast("long").alias("id")).hint("merge"), "id", "left_semi").select("pack", "lang")
+
+
 def _trainer(order: int, block: int = 1 << 21):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_lang: dict = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if clean := prepared(text):
+            for pack, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if clean := zstandard.decompress(pack).decode("utf-8", "surrogatepass"):
                     by_lang.setdefault(lang, []).append((clean,))
             for lang, rows in by_lang.items():
                 for held in _blocks(rows, block):
@@ -109,11 +153,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), float(i + 1)) for i, d in enumerate(raw))
 
 
-def train(trusted: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order 1..order: (lang, g, p) of seen n-grams and (lang, ctx, gamma) of seen contexts."""
-    spark = trusted.sparkSession
-    rows = trusted.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
-    counted = rows.mapInArrow(_trainer(order), "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+def train(packs: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order 1..order: (lang, g, p) of seen n-grams and (lang, ctx, gamma) of seen contexts, from (pack, lang)."""
+    spark = packs.sparkSession
+    counted = packs.mapInArrow(_trainer(order), "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
     counts = {order: shared_table(counted, "top")}
     for k in range(order - 1, 0, -1):
         counts[k] = shared_table(counts[k + 1].groupBy("lang", F.expr(f"right(g, {k})").alias("g")).agg(F.count(F.lit(1)).alias("c")), f"order{k}")
@@ -234,8 +277,8 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_c
     """(id, lang, n_chars, perplexity) of each row; n_chars counts the prepared text."""
     order = len(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    asked = rows.mapInArrow(_asker(order, shard_chars), "shard long, lang string, g string")
-    answers = answers_of(asked.select("lang", "g").distinct(), model)
+    asked = shared_table(rows.mapInArrow(_asker(order, shard_chars), "shard long, lang string, g string"), "asked")
+    answers = answers_of(shared_table(asked.select("lang", "g").distinct(), "wanted"), model)
     replies = asked.join(answers, ["lang", "g"]).select("shard", "lang", "g", "logp")
     packs = rows.mapInArrow(_packer(shard_chars), "shard long, pack binary")
     scored = packs.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_scorer(order), "id long, lang string, n_chars long, logp double")
@@ -245,7 +288,7 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_c
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, least_trusted: int = 200) -> DataFrame:
     """One row per input row: id, lang, n_chars, perplexity, threshold, accepted. ``trusted_ids`` has the one column ``id_col``."""
     trusted = trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    model = train(docs.join(trusted, id_col, "left_semi"), text_col, lang_col, order)
+    model = train(trusted_packs(docs, trusted, id_col, text_col, lang_col), order)
     scored = shared_table(perplexities(docs, model, id_col, text_col, lang_col), "perplexities")
     scored = scored.withColumn("class", F.greatest(F.lit(4), F.floor(F.log2(F.col("n_chars") + 1))).cast("int"))
     known = scored.join(trusted.select(F.col(id_col).alias("id")), "id", "left_semi")
