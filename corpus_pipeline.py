@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with how often it is read and where; each source is read once at least, none over four times more than its weight asks."""
+    """Every document with how often it is read and where; each source is read once at least and four times at most."""
     placed = mixing.mixture(docs, cover=True).select("doc_id", F.col("n_tokens"), "copies", "start_token")
     return docs.join(placed.dropDuplicates(["doc_id"]), "doc_id", "left")
 

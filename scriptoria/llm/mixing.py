@@ -2,7 +2,7 @@
 
 A source's weight is its share of tokens to the power t, normalised. The exponent is bisected on [0, 1]: the largest
 t whose weights still reach the target entropy, or, to keep the repetition limit, the smallest t at which no source
-is read more than ``max_epochs`` times. Six steps of the bisection are one aggregation over the table of sources: it
+is read more than ``max_epochs`` times; with ``cover``, under the budget that covers at that t. Six steps of the bisection are one aggregation over the table of sources: it
 evaluates all 63 inner points of the present bracket, and the driver, which gets those 63 numbers, walks down them.
 
 Weights become token quotas: a source is read ``quota div tokens`` times in full, and once more up to the rest, in
@@ -30,18 +30,22 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_BY_SPACE)), F.lit(0)).cast("long")
 
 
-def _evaluated(sources: DataFrame, low: float, high: float, budget: int | None) -> list[tuple[float, float, float]]:
-    """(t, entropy, most epochs) at the inner points of the bracket, from one pass over the sources."""
+def _evaluated(sources: DataFrame, low: float, high: float, budget: int | None, cover: bool) -> list[tuple[float, float, float]]:
+    """(t, entropy, most epochs) at the inner points of the bracket, from one pass over the sources.
+
+    With ``cover`` each point has its own budget, that with which its least read source is read once.
+    """
     n = 2**STEPS
     points = F.explode(F.array(*[F.lit(low + (high - low) * i / n) for i in range(1, n)]))
     total = sources.where("tokens > 0").agg(F.sum("tokens")).first()[0] or 1
     rows = sources.where("tokens > 0").select("tokens", points.alias("t")).withColumn("p", F.pow(F.col("tokens") / F.lit(float(total)), F.col("t")))
-    epochs = F.max(F.col("p") / F.col("tokens"))
-    got = rows.groupBy("t").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.log("p")).alias("plogp"), epochs.alias("most")).collect()
-    return sorted((r["t"], math.log(r["z"]) - r["plogp"] / r["z"], r["most"] / r["z"] * (budget if budget is not None else total)) for r in got)
+    epochs = F.col("p") / F.col("tokens")
+    got = rows.groupBy("t").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.log("p")).alias("plogp"), F.max(epochs).alias("most"), F.min(epochs).alias("least")).collect()
+    per_epoch = lambda r: 1 / r["least"] if cover else (budget if budget is not None else total) / r["z"]
+    return sorted((r["t"], math.log(r["z"]) - r["plogp"] / r["z"], r["most"] * per_epoch(r)) for r in got)
 
 
-def bisect_exponent(sources: DataFrame, entropy_share: float | None = None, max_epochs: float | None = None, budget: int | None = None) -> float:
+def bisect_exponent(sources: DataFrame, entropy_share: float | None = None, max_epochs: float | None = None, budget: int | None = None, cover: bool = False) -> float:
     """The exponent for a table (source, tokens); without a target it is 1, the sources' own shares.
 
     ``entropy_share`` is a share of the greatest entropy, ln(number of sources with tokens).
@@ -54,7 +58,7 @@ def bisect_exponent(sources: DataFrame, entropy_share: float | None = None, max_
         """``low_is_right(entropy, epochs)``: the answer lies above this point."""
         low, high = 0.0, 1.0
         for _ in range(PASSES):
-            points = _evaluated(sources, low, high, budget)
+            points = _evaluated(sources, low, high, budget, cover)
             a, b = 0, 2**STEPS
             lo, hi = low, high
             while b - a > 1:
@@ -81,13 +85,13 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     ``copies``: how often the document is read. ``start_token``: where it starts in its source's permutation.
     The budget is ``budget_tokens``, by default the tokens of the input; with ``cover`` it is the least with which
-    every source is read at least once, so that no document is lost.
+    every source is read at least once, so that no document is lost, and ``max_epochs`` (1 at least) holds for that budget.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), token_count(F.col(text_col)).alias("n_tokens"))
     rows = shared_table(rows, "tokens")
     sources = shared_table(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
     budget = budget_tokens if budget_tokens is not None else sources.agg(F.sum("tokens")).first()[0] or 0
-    t = bisect_exponent(sources, entropy_share, max_epochs, budget)
+    t = bisect_exponent(sources, entropy_share, max_epochs, budget, cover)
     total = sources.agg(F.sum("tokens")).first()[0] or 1
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total)), F.lit(t))).otherwise(0.0)
     z = sources.agg(F.sum(power)).first()[0] or 1.0

@@ -76,6 +76,16 @@ def test_mixing_meets_its_targets(spark, odd, none):
     assert mixing.mixture(odd).count() == len(ODD) and mixing.mixture(none).count() == 0
 
 
+@pytest.mark.parametrize("tokens", [[1000000, 300000, 100000, 30000, 10000, 3000], [500000] + [50000] * 9 + [500]])
+def test_mixing_keeps_the_limit_under_cover(spark, tokens):
+    """A hot and a tiny source: each is read once at least, and none more often than the limit."""
+    rows = [(n, "w " * (size // 100), "en", f"s{i}", size) for i, size in enumerate(tokens) for n in range(100 * i, 100 * i + 100)]
+    got = mixing.mixture(spark.createDataFrame(rows, DOC), cover=True, max_epochs=4.0)
+    read = got.groupBy("source").agg((F.sum(F.col("copies") * F.col("n_tokens")) / F.sum("n_tokens")).alias("epochs"), F.min("copies").alias("least"), F.max("copies").alias("most")).collect()
+    assert len(read) == len(tokens) and min(r["least"] for r in read) >= 1
+    assert max(r["most"] for r in read) <= 4 and 3.9 < max(r["epochs"] for r in read) <= 4
+
+
 # 3 language
 
 
