@@ -7,6 +7,11 @@ permutation is a Feistel network over two moduli whose product is the size of th
 SHA-256 value of the other half. A mail address has no number to permute: both its parts become keyed digests under
 the reserved domain ``example.invalid``, so it stays an address and stays linked.
 
+Cards are looked for between the other findings, in whole runs of digits with single blanks or hyphens: of a run's
+groups, the leftmost that start a valid card are taken with as many more as still make one, and the search goes on
+behind it. A phone number in brackets or after +1 may have any area code and exchange; numbers of each validity are
+permuted among themselves, so that a number has one pseudonym in every form.
+
 Only built-in functions are used. Defined results: null text stays null; what fails its validity test stays as it
 is; texts without findings come back unchanged; an empty table gives an empty result; other columns are untouched.
 """
@@ -24,10 +29,12 @@ MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9]|-[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((MAIL, IPV4, DATE, SSN, PHONE, CARD))
+PHONE = r"(?<![0-9])(?:(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}|\+1[ .-]?[0-9]{3}[ .-][0-9]{3}|(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2})[ .-][0-9]{4}(?![0-9])"
+CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
+ANY = "|".join((MAIL, IPV4, DATE, SSN, PHONE))
 KINDS = (("mail", MAIL), ("ipv4", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("card", CARD))
+#: Digits of a card number.
+LEAST_CARD, MOST_CARD = 13, 19
 #: Days from 1900-01-01 to 2099-12-31, and two factors of that number.
 DAYS = (17, 4297)
 
@@ -102,8 +109,13 @@ def pseudonym(kind: str, piece: Column, key: str) -> Column:
     if kind == "phone":
 
         def line(d: Column) -> Column:
-            f = feistel(key, kind, F.substring(d, 1, 3).cast("long") - 200, F.substring(d, 4, 7).cast("long") - 2_000_000, F.lit(800), F.lit(8_000_000))
-            return _one(f, lambda r: _into(piece, F.concat((r["a"] + 200).cast("string"), (r["b"] + 2_000_000).cast("string"))))
+            area, rest = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 7).cast("long")
+            # area codes from 200 and exchanges from 200; lower area codes; lower exchanges: each is permuted within itself
+            low_rest, low_area = rest < 2_000_000, area < 200
+            area_from, areas = F.when(low_rest | low_area, 0).otherwise(200), F.when(low_rest, 1000).when(low_area, 200).otherwise(800)
+            rest_from, rests = F.when(low_rest, 0).otherwise(2_000_000), F.when(low_rest, 2_000_000).otherwise(8_000_000)
+            f = feistel(key, kind, area - area_from, rest - rest_from, areas, rests)
+            return _one(f, lambda r: _into(piece, F.concat(F.lpad((r["a"] + area_from).cast("string"), 3, "0"), F.lpad((r["b"] + rest_from).cast("string"), 7, "0"))))
 
         return _one(F.substring(digits, -10, 10), line)
     assert kind == "card"
@@ -121,27 +133,76 @@ def pseudonym(kind: str, piece: Column, key: str) -> Column:
     return _one(digits, card)
 
 
+def _is_card(digits: Column) -> Column:
+    return F.length(digits).between(LEAST_CARD, MOST_CARD) & (_luhn_sum(digits) % 10 == 0)
+
+
+PART = "struct<gap:string,old:string,kind:string,new:string>"
+
+
+def _part(gap: Column, old: Column | None = None, kind: Column | None = None, new: Column | None = None) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct(gap.alias("gap"), (null if old is None else old).alias("old"), (null if kind is None else kind).alias("kind"), (null if new is None else new).alias("new"))
+
+
+def _run_parts(run: Column, key: str) -> Column:
+    """The parts of a run of digits: cards, and what stands between them."""
+
+    def of_groups(groups: Column) -> Column:
+        span = lambda i, n: F.array_join(F.slice(groups, i, n), "")
+        sizes = lambda i: F.sequence(F.least(F.lit(MOST_CARD), F.size(groups) - i + 1), F.lit(1), F.lit(-1))
+        longest = lambda i: F.coalesce(F.get(F.filter(sizes(i), lambda n: _one(_digits(span(i, n)), _is_card)), F.lit(0)), F.lit(0))
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<i:int,n:int>>").alias("found"))
+
+        def step(acc: Column, i: Column) -> Column:
+            n = F.when(i < acc["next"], 0).otherwise(longest(i)).cast("int")
+            return _one(n, lambda n: F.when(n > 0, F.struct((i + n).alias("next"), F.concat(acc["found"], F.array(F.struct(i.alias("i"), n.alias("n")))).alias("found"))).otherwise(acc))
+
+        def cut(found: Column) -> Column:
+            end = lambda k: F.when(k == 0, 1).otherwise(F.get(found, k - 1)["i"] + F.get(found, k - 1)["n"])
+
+            def card(x: Column, k: Column) -> Column:
+                whole = span(x["i"], x["n"])
+                # a group has the blank or hyphen before it
+                number = F.regexp_replace(whole, "^[ -]", "")
+                gap = F.concat(span(end(k), x["i"] - end(k)), F.substr(whole, F.lit(1), F.length(whole) - F.length(number)))
+                return _part(gap, number, F.lit("card"), pseudonym("card", number, key))
+
+            last = end(F.size(found))
+            return F.concat(F.transform(found, card), F.array(_part(span(last, F.size(groups) - last + 1))))
+
+        return _one(F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda acc: acc["found"]), cut)
+
+    return _one(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), of_groups)
+
+
+def _gap_parts(gap: Column, key: str) -> Column:
+    """The parts of a stretch between the findings of the other kinds."""
+    pairs = F.zip_with(F.split(gap, CARD, -1), F.regexp_extract_all(gap, F.lit(CARD), F.lit(0)), lambda g, run: F.when(run.isNull(), F.array(_part(g))).otherwise(F.concat(F.array(_part(g)), _run_parts(run, key))))
+    return F.when(gap.rlike(CARD), F.flatten(pairs)).otherwise(F.array(_part(gap)))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:
     """``docs`` with the text pseudonymised; ``counts_col``, if named, gets struct<mail,ipv4,date,ssn,phone,card>."""
     text = F.col(text_col)
 
     def replaced(piece: Column) -> Column:
         which = F.lit(None).cast("struct<kind:string,new:string>")
-        for kind, pattern in reversed(KINDS):
+        for kind, pattern in reversed(KINDS[:-1]):
             exact = f"^(?:{pattern})$"
             new = F.struct(F.lit(kind).alias("kind"), pseudonym(kind, piece, key).alias("new"))
             which = F.when(piece.rlike(exact), new).otherwise(which)
-        return which
+        return _one(which, lambda w: F.array(_part(F.lit(""), piece, w["kind"], w["new"])))
 
-    gaps = F.split(text, ANY, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda p: F.struct(p.alias("old"), replaced(p).alias("as")))
-    parts = F.when(text.rlike(ANY), F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))))
+    gaps = F.transform(F.split(text, ANY, -1), lambda g: _gap_parts(g, key))
+    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced)
+    parts = F.when(text.rlike(f"{ANY}|{CARD}"), F.flatten(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(m, F.array().cast(f"array<{PART}>"))))))
     parts_col = fresh_name(docs.columns, "pii_parts")
     rows = docs.withColumn(parts_col, parts)
-    new_text = F.when(F.col(parts_col).isNull(), text).otherwise(F.array_join(F.transform(parts_col, lambda x: F.concat(x["gap"], F.coalesce(x["m"]["as"]["new"], x["m"]["old"], F.lit("")))), ""))
+    new_text = F.when(F.col(parts_col).isNull(), text).otherwise(F.array_join(F.transform(parts_col, lambda x: F.concat(x["gap"], F.coalesce(x["new"], x["old"], F.lit("")))), ""))
     out = []
     if counts_col:
-        of_kind = lambda kind: lambda x: (x["m"]["as"]["kind"] == kind) & x["m"]["as"]["new"].isNotNull()
+        of_kind = lambda kind: lambda x: (x["kind"] == kind) & x["new"].isNotNull()
         counts = F.struct(*[F.size(F.filter(parts_col, of_kind(kind))).alias(kind) for kind, _ in KINDS])
         zero = F.struct(*[F.lit(0).alias(kind) for kind, _ in KINDS])
         out = [F.when(F.col(parts_col).isNull(), zero).otherwise(counts).alias(counts_col)]

@@ -273,6 +273,25 @@ def test_pseudonyms_keep_their_format_and_link(spark, odd, none):
     assert pii.pseudonymise(none, "k").count() == 0
 
 
+def test_pseudonyms_of_any_area_code_and_of_cards_beside_other_digits(spark):
+    texts = [
+        "call +1 (017) 555-7713 or (017) 555-7713, not +1 017-155-7713;",
+        "4539148803436467 12",
+        "77 4539-1488-0343-6467 4539 1488 0343 6467 123-45-6789",
+        "4539148803436468 12 and 1" + " 1" * 3,
+    ]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k", counts_col="n").orderBy("doc_id").collect()
+    assert [(r["n"]["phone"], r["n"]["card"], r["n"]["ssn"]) for r in out] == [(3, 0, 0), (0, 1, 0), (0, 2, 1), (0, 0, 0)]
+    new = [r["text"] for r in out]
+    first, again = re.fullmatch(r"call \+1 (\(\d{3}\) \d{3}-\d{4}) or (\(\d{3}\) \d{3}-\d{4}), not \+1 \d{3}-\d{3}-\d{4};", new[0]).groups()
+    assert first == again and "555-7713" not in new[0] and "155-7713" not in new[0]
+    card = re.fullmatch(r"(\d{16}) 12", new[1])[1]
+    assert card != "4539148803436467"
+    hyphens, spaces = re.fullmatch(r"77 (\d{4}-\d{4}-\d{4}-\d{4}) (\d{4} \d{4} \d{4} \d{4}) \d{3}-\d{2}-\d{4}", new[2]).groups()
+    assert hyphens.replace("-", "") == spaces.replace(" ", "") == card and "123-45-6789" not in new[2]
+    assert new[3] == texts[3]
+
+
 def test_feistel_is_a_permutation(spark):
     out = spark.range(12 * 35).select(pii.feistel("k", "t", F.col("id") % 12, F.floor(F.col("id") / 12), F.lit(12), F.lit(35)).alias("f")).select("f.a", "f.b").distinct()
     assert out.count() == 12 * 35 and out.agg(F.max("a"), F.max("b")).first()[:] == (11, 34)
