@@ -9,9 +9,11 @@ order. All of this is joins and sums over (language, n-gram) tables, one model f
 Scoring is sharded. A task packs its documents into shards of about ``shard_chars`` characters and asks for a shard's
 distinct n-grams once; the distinct n-grams of all shards are joined with the model, order by order; each shard gets
 its answers back together with its packed documents and adds up their logarithms. A document's perplexity is per
-character. It is accepted if that is at most the quantile of the perplexities of the language's trusted documents of
-its length class (lengths double from class to class, since short texts scatter more), or, where the language has
-fewer than ``least_trusted`` trusted documents of that class, of all its trusted documents.
+character. Short texts score higher and scatter more, so it is adjusted to the length n: over all trusted documents
+of a language its logarithm is fitted as a line in 1/(n + 1) (the marks cost about the same in every text), and the
+distance from that line as a line in 1/sqrt(n + 1). A document is accepted if its distance, in units of the one
+expected at its length, is at most the quantile of the language's trusted documents. The rule is the same for every
+number of documents.
 
 Defined results: null or blank text, and text of a language without trusted text, have null perplexity and are not
 accepted; null language is a language of its own; repeated rows are scored each; labels without a document do
@@ -285,15 +287,30 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_c
     return scored.select("id", "lang", "n_chars", F.exp(-F.col("logp") / (F.col("n_chars") + 1)).alias("perplexity"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, least_trusted: int = 200) -> DataFrame:
+def verdicts(scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
+    """``scored`` (id, lang, n_chars, perplexity) with threshold and accepted; ``trusted`` has the one column id."""
+    y, x, root = F.log("perplexity"), 1 / (F.col("n_chars") + 1), 1 / F.sqrt(F.col("n_chars") + 1)
+    known = scored.where("perplexity is not null").join(trusted, "id", "left_semi")
+    slope = F.coalesce(F.regr_slope(y, x), F.lit(0.0))
+    levels = shared_table(known.groupBy("lang").agg(slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("level")), "levels")
+    off = y - F.col("level") - F.col("slope") * x
+    spread = F.greatest(F.coalesce(F.regr_slope(F.abs(off), root), F.lit(0.0)), F.lit(0.0))
+    # a tenth of the mean at least, so that the spread stays positive at every length
+    base = F.greatest(F.avg(F.abs(off)) - spread * F.avg(root), F.avg(F.abs(off)) / 10, F.lit(1e-9))
+    spreads = known.join(levels, "lang").groupBy("lang", "level", "slope").agg(spread.alias("spread"), base.alias("base"))
+    fitted = shared_table(spreads, "spreads")
+    unit = F.col("base") + F.col("spread") * root
+    cuts = shared_table(known.join(fitted, "lang").groupBy("lang", "level", "slope", "spread", "base").agg(F.percentile_approx(off / unit, quantile, 10000).alias("cut")), "cuts")
+    # the document at the quantile is accepted in spite of rounding
+    threshold = F.exp(F.col("level") + F.col("slope") * x + F.col("cut") * unit) * (1 + 1e-9)
+    out = scored.join(cuts, "lang", "left").withColumn("threshold", threshold)
+    return out.select("id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("accepted"))
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """One row per input row: id, lang, n_chars, perplexity, threshold, accepted. ``trusted_ids`` has the one column ``id_col``."""
     trusted = trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
     model = train(trusted_packs(docs, trusted, id_col, text_col, lang_col), order)
     scored = shared_table(perplexities(docs, model, id_col, text_col, lang_col), "perplexities")
-    scored = scored.withColumn("class", F.greatest(F.lit(4), F.floor(F.log2(F.col("n_chars") + 1))).cast("int"))
-    known = scored.join(trusted.select(F.col(id_col).alias("id")), "id", "left_semi")
-    cut = F.percentile_approx("perplexity", quantile, 10000)
-    by_class = shared_table(known.groupBy("lang", "class").agg(cut.alias("class_cut"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_trusted).drop("n"), "class_cuts")
-    by_lang = shared_table(known.groupBy("lang").agg(cut.alias("lang_cut")), "lang_cuts")
-    out = scored.join(by_class, ["lang", "class"], "left").join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("class_cut", "lang_cut"))
-    return out.select(F.col("id").alias(id_col), F.nullif(F.col("lang"), F.lit("")).alias("lang"), "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("accepted"))
+    out = verdicts(scored, trusted.select(F.col(id_col).cast("long").alias("id")), quantile)
+    return out.select(F.col("id").alias(id_col), F.nullif(F.col("lang"), F.lit("")).alias("lang"), "n_chars", "perplexity", "threshold", "accepted")

@@ -246,6 +246,23 @@ def test_quality_keeps_good_texts_and_finds_junk(spark, sf_dir):
     assert by[1] > 0.95 and by[0] < 0.3
 
 
+def test_quality_verdicts_do_not_depend_on_the_number_of_documents(spark, monkeypatch):
+    """Given perplexities, each of the rows tenfold: short trusted texts that scatter, long clean ones, and long noisy ones."""
+    rng = random.Random(5)
+    kinds = [(30, 2.0, 0.2)] * 30 + [(2000, 1.5, 0.02)] * 30 + [(2000, 1.8, 0.02)] * 10 + [(2000, 1.5, 0.005)] * 10
+    rows = [("en", n, math.exp(rng.gauss(level, spread))) for n, level, spread in kinds]
+    monkeypatch.setattr(quality, "train", lambda *a, **k: None)
+    monkeypatch.setattr(quality, "trusted_packs", lambda *a, **k: None)
+    monkeypatch.setattr(quality, "perplexities", lambda docs, *a, **k: docs.select(F.col("doc_id").alias("id"), "lang", "n_chars", "perplexity"))
+    found = []
+    for times in (1, 10):
+        docs = spark.createDataFrame([(100 * k + i, *row) for k in range(times) for i, row in enumerate(rows)], "doc_id long, lang string, n_chars long, perplexity double")
+        got = quality.classify(docs, docs.where("doc_id % 100 < 60").select("doc_id")).collect()
+        found.append({i: {r["accepted"] for r in got if r["doc_id"] % 100 == i} for i in range(len(rows))})
+    assert found[0] == found[1]
+    assert all(found[0][i] == {False} for i in range(60, 70)) and all(found[0][i] == {True} for i in range(70, 80))
+
+
 def test_quality_odd_rows(spark, odd, none):
     got = quality.classify(odd, odd.where("doc_id in (5, 6)").select("doc_id")).collect()
     assert len(got) == len(ODD) and all(r["perplexity"] is None for r in got if r["doc_id"] in (1, 2, 3, 4))
