@@ -6,9 +6,12 @@ import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import shared_dir, shared_table
 
@@ -26,6 +29,38 @@ def ship_by_value(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+#: Bits of the Bloom filter over ids: 8 MB, whatever the input; with very many ids it passes more rows, never fewer.
+BLOOM_BITS, BLOOM_HASHES = 1 << 26, 2
+
+
+def bloom_buckets(id_col: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(id_col, F.lit(i)), F.lit(BLOOM_BITS)).alias(f"bucket{i}") for i in range(BLOOM_HASHES)]
+
+
+def bloom_filter(ids: DataFrame) -> np.ndarray:
+    """The filter of a table of ids, as 64-bit words; the driver gets at most all of its words."""
+    buckets = ids.select(F.explode(F.array(*bloom_buckets(F.col(ids.columns[0])))).alias("b"))
+    words = buckets.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def bloom_passes(bits: np.ndarray, batch: pa.RecordBatch, at: int) -> pa.Array:
+    """Which rows pass; their buckets are the columns from ``at`` on."""
+    keep = np.ones(batch.num_rows, bool)
+    for i in range(BLOOM_HASHES):
+        b = batch.column(at + i).to_numpy(zero_copy_only=False).astype(np.uint64)
+        keep &= ((bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return pa.array(keep)
+
+
+def integer_id(docs: DataFrame, id_col: str) -> None:
+    """An id column of another type than whole numbers is an error at once, not in a task."""
+    if not isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{id_col} must hold whole numbers")
+
+
 EMPTY_SPANS = "cast(array() as array<struct<start:int,end:int,piece:string>>)"
 
 
@@ -68,3 +103,6 @@ def fresh_name(columns: list[str], wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
+
+
+ship_by_value(__name__)

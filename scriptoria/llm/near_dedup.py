@@ -7,8 +7,8 @@ permutations and 6 values a band there are 22 + 22 bands, and a pair of similari
 two in a million. Links are confirmed on the full sets of words.
 
 No bucket is expanded into pairs. Documents with equal sets are one class, and the class's smallest id stands for it.
-A bucket's pivot is the member that meets most others over all bands; each member is first compared with the best
-pivot of its buckets, then with those pivots that are still in another component. What stays apart from its pivot p
+A bucket's pivot is the member that meets most others over all bands; each member is compared once with every pivot
+of its buckets, which also gives the two's differences. What stays apart from its pivot p
 can only link to a bucket mate y by sharing differences: with D(x) the symmetric difference of x and p, similarity t
 asks |D(x) & D(y)| >= (|D(x)| + |D(y)| - (|x| + |y|)(1 - t) / (1 + t)) / 2, which is at least one, and more the farther x
 lies from p. So such members are joined with their bucket mates on the first elements of their differences (elements
@@ -16,8 +16,10 @@ that p lacks, then elements of p), as far as that bound and their places allow,
 filter: no link between components is missed inside a bucket.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; texts of fewer words than
-``width`` have one shingle, the whole sequence; repeated rows share their class; a row with a null id belongs to no
-class but its own; an empty table gives an empty result; other columns are untouched.
+``width`` have one shingle, the whole sequence; repeated rows share their class; rows of one id are one document: their
+texts share a component, and if that id is the smallest of several sets, the set with the smallest digest is compared
+for it; a row with a null id belongs to no class but its own; an id column that holds no whole numbers is an error; an
+empty table gives an empty result; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
-from .common import arrow_batches, fresh_name, shared_table, ship_by_value
+from .common import arrow_batches, bloom_buckets, bloom_filter, bloom_passes, fresh_name, integer_id, shared_table, ship_by_value
 
 ship_by_value(__name__)
 
@@ -130,58 +132,86 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_sketcher(width, hashes, rows, seed), schema)
 
 
-def _pairs(batch: pa.RecordBatch, width: int, known: dict[int, frozenset]) -> Iterator[tuple[frozenset, frozenset]]:
-    """The sets of each row (u, v, text of u, text of v); ``known`` keeps the last few."""
-    texts = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-    for i, ids in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-        found = []
-        for k, column in zip(ids, texts, strict=True):
-            if k not in known:
-                if len(known) > 32:
-                    known.clear()
-                known[k] = shingle_set(column[i].as_py(), width)
-            found.append(known[k])
-        yield found[0], found[1]
+#: Members that are compared with one copy of their pivot's text.
+PER_COPY = 256
 
 
-def _linker(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, frozenset] = {}
-        for batch in batches:
-            linked = []
-            for p, q in _pairs(batch, width, known):
-                both = len(p & q)
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
-
-    return run
-
+def _comparer(width: int, percent: int, differences: bool):
+    """Rows (u, v, lead, text) sorted so that u's own row (lead) comes before those of the v compared with it; holds two sets at a time."""
 
-def _differ(width: int):
     def hashed(shingles: frozenset) -> list[int]:
         return sorted(xxhash.xxh3_64_intdigest(b" ".join(s)) - (1 << 63) for s in shingles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, frozenset] = {}
+        pivot, p = None, frozenset()
         for batch in batches:
-            sizes, tokens = [], []
-            for p, x in _pairs(batch, width, known):
+            us, vs, sizes, linked, tokens = [], [], [], [], []
+            texts = batch.column(3).cast(pa.binary())
+            for i, (u, v, lead) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                x = shingle_set(texts[i].as_py(), width)
+                if lead:
+                    pivot, p = u, x
+                    continue
+                if pivot != u:
+                    raise RuntimeError(f"no text of {u}")
+                both = len(p & x)
+                us.append(u)
+                vs.append(v)
                 sizes.append((len(p), len(x)))
-                tokens.append(hashed(x - p) + hashed(p - x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in sizes], pa.int64()), pa.array([b for _, b in sizes], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["pivot", "id", "pivot_n", "n", "tokens"])
+                linked.append(100 * both >= percent * (len(p) + len(x) - both))
+                if differences:
+                    tokens.append(hashed(x - p) + hashed(p - x))
+            columns = [pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array([a for a, _ in sizes], pa.int64()), pa.array([b for _, b in sizes], pa.int64()), pa.array(linked, pa.bool_())]
+            if differences:
+                columns.append(pa.array(tokens, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=COMPARED[: len(columns)])
 
     return run
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v, text of u, text of v): v's text comes first, since few pairs share their v."""
-    a, b = texts.select(F.col("id").alias("u"), F.col("text").alias("a")), texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
-    return pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "a", "b")
+COMPARED = ["u", "v", "u_n", "v_n", "linked", "tokens"]
+
+
+def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int, differences: bool = False) -> DataFrame:
+    """The distinct pairs (u, v) with their sizes and whether their full sets reach the threshold; ``differences`` adds the hashes of v without u, then of u without v.
+
+    Every text moves to the pairs it is in, next to its partner's: u with many v is dealt over copies of u, each with about
+    ``PER_COPY`` of them.
+    """
+    copies = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PER_COPY).cast("long").alias("copies"))
+    members = pairs.join(copies.hint("merge"), "u").select(F.col("v").alias("id"), "u", "v", F.pmod(F.xxhash64("v"), "copies").alias("copy"), F.lit(False).alias("lead"))
+    leads = copies.select(F.col("u").alias("id"), "u", F.lit(None).cast("long").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("lead"))
+    roles = shared_table(members.unionByName(leads), "roles")
+    rows = texts.join(roles.hint("merge"), "id").select("u", "v", "lead", "text", "copy")
+    dealt = rows.repartition("u", "copy").sortWithinPartitions("u", "copy", F.desc("lead"), "v").select("u", "v", "lead", "text")
+    schema = "u long, v long, u_n long, v_n long, linked boolean" + (", tokens array<long>" if differences else "")
+    return dealt.mapInArrow(_comparer(width, percent, differences), schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold."""
-    return _with_texts(pairs, texts).mapInArrow(_linker(width, percent), "u long, v long, linked boolean").where("linked").select("u", "v")
+    return compared(pairs, texts, width, percent).where("linked").select("u", "v")
+
+
+def _chooser(words, width: int):
+    """Rows (id, text, buckets...) whose id passes the filter, with the digest of their set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            kept = batch.filter(bloom_passes(words.value, batch, 2))
+            digests = [xxhash.xxh3_128_digest(hashed_set(t, width, hashes).tobytes()) for t in kept.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(digests, pa.binary()), kept.column(1)], names=["id", "digest", "text"])
+
+    return run
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, text) of the nodes ``wanted`` (id, digest): a Bloom filter lets map tasks drop most other texts before the exact join."""
+    words = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select("id")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *bloom_buckets(F.col(id_col).cast("long")))
+    likely = rows.mapInArrow(_chooser(words, width), "id long, digest binary, text string")
+    return likely.join(wanted.hint("merge"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "text")
 
 
 def _joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -204,10 +234,10 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumns({f"{end}_component": F.coalesce(f"{end}_component", end) for end in ("id", "pivot")})
 
 
-def _difference_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _difference_pairs(members: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (u, v) across components among the ``members`` (pivot, id, id_component, pivot_component) of a pivot."""
-    sets = _with_texts(members.select(F.col("pivot").alias("u"), F.col("id").alias("v")), texts).mapInArrow(_differ(width), "pivot long, id long, pivot_n long, n long, tokens array<long>")
-    sets = shared_table(sets, "differences").join(members, ["pivot", "id"]).withColumn("d", F.size("tokens").cast("long"))
+    own = differences.select(F.col("u").alias("pivot"), F.col("v").alias("id"), F.col("u_n").alias("pivot_n"), F.col("v_n").alias("n"), "tokens")
+    sets = own.join(members.hint("merge"), ["pivot", "id"]).withColumn("d", F.size("tokens").cast("long"))
     over, under = 100 + percent, 100 - percent
     # twice the excess of |D| over what a link to the pivot allows, in units of 1 / (100 + percent)
     excess = F.col("d") * over - (F.col("n") + F.col("pivot_n")) * under
@@ -227,6 +257,7 @@ def _difference_pairs(members: DataFrame, texts: DataFrame, width: int, percent:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
+    integer_id(docs, id_col)
     with arrow_batches(docs.sparkSession, 1000):
         sketch, known = _sketch_and_components(docs, id_col, text_col, width, percent, hashes, rows)
     out = sketch.select("id", "n", "digest").join(known, "digest", "left")
@@ -238,27 +269,23 @@ def _sketch_and_components(docs: DataFrame, id_col: str, text_col: str, width: i
     """The sketches, and (digest, component) of every class."""
     sketch = shared_table(sketches(docs, id_col, text_col, width, hashes, rows), "sketches")
     classes = shared_table(sketch.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    heads = sketch.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    # a node of the graph is a class's smallest id; if that id has several texts, the set with the smallest digest stands for it
+    nodes = shared_table(classes.groupBy(F.col("rep").alias("id")).agg(F.min("digest").alias("digest")), "nodes")
+    heads = sketch.join(nodes.hint("merge"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
     members = heads.select("id", F.explode("bands").alias("band"))
     buckets = shared_table(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    inside = shared_table(members.join(buckets, "band"), "inside")
+    inside = shared_table(members.join(buckets.hint("merge"), "band"), "inside")
     # a bucket's pivot meets most others over all bands
     meets = shared_table(inside.groupBy("id").agg(F.sum("size").alias("meets")), "meets")
     best = F.max(F.struct("meets", (-F.col("id")).alias("neg"))).alias("p")
-    ranked = inside.join(meets, "id")
-    pivots = shared_table(ranked.groupBy("band").agg(best).select("band", (-F.col("p.neg")).alias("pivot"), F.col("p.meets").alias("pivot_meets")), "pivots")
-    pairs = inside.join(pivots, "band").where("id <> pivot").groupBy("id", "pivot").agg(F.max("pivot_meets").alias("pivot_meets"))
-    pairs = shared_table(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("id", "pivot")).alias("id")).distinct()
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    texts = shared_table(raw.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    # first each member with the best of its pivots, then the pairs that are still apart
-    first = pairs.groupBy("id").agg(F.max_by("pivot", F.struct("pivot_meets", (-F.col("pivot")).alias("neg"))).alias("pivot"))
-    links = shared_table(confirmed(first.select(F.col("pivot").alias("u"), F.col("id").alias("v")), texts, width, percent), "links")
-    labels = _joined_labels(None, links)
-    rest = shared_table(_apart(pairs.join(first, ["id", "pivot"], "left_anti"), labels).where("id_component <> pivot_component").select(F.col("pivot").alias("u"), F.col("id").alias("v")), "rest")
-    if not rest.isEmpty():
-        labels = _joined_labels(labels, shared_table(confirmed(rest, texts, width, percent), "more_links"))
+    ranked = inside.join(meets.hint("merge"), "id")
+    pivots = shared_table(ranked.groupBy("band").agg(best).select("band", (-F.col("p.neg")).alias("pivot")), "pivots")
+    pairs = shared_table(inside.join(pivots.hint("merge"), "band").where("id <> pivot").select("id", "pivot").distinct(), "pairs")
+    wanted = shared_table(nodes.join(meets.hint("merge"), "id", "left_semi"), "wanted")
+    texts = shared_table(_texts_of(docs, wanted, id_col, text_col, width), "texts")
+    # every member against the pivots of its buckets
+    differences = shared_table(compared(pairs.select(F.col("pivot").alias("u"), F.col("id").alias("v")), texts, width, percent, differences=True), "differences")
+    labels = _joined_labels(None, differences.where("linked").select("u", "v"))
     # what stays apart from a pivot whose bucket holds others: one try with the best of those, then by differences
     for turn in range(2):
         at = shared_table(_apart(pairs, labels), "at")
@@ -272,11 +299,12 @@ def _sketch_and_components(docs: DataFrame, id_col: str, text_col: str, width: i
             second = shared_table(second.select("pivot", F.col("s.id").alias("second"), F.col("s.id_component").alias("second_component")), "second")
             tries = far.join(second, "pivot").where("id_component <> second_component").select(F.col("second").alias("u"), F.col("id").alias("v")).distinct()
         else:
-            tries = _difference_pairs(left, texts, width, percent)
+            tries = _difference_pairs(left, differences, percent)
         tries = shared_table(tries, "tries")
         if not tries.isEmpty():
             labels = _joined_labels(labels, shared_table(confirmed(tries, texts, width, percent), "late_links"))
-    return sketch, shared_table(classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("component")), "known")
+    known = classes.join(labels.hint("merge"), classes["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    return sketch, shared_table(known, "known")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -30,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, ship_by_value
+from .common import bloom_buckets, bloom_filter, bloom_passes, integer_id, shared_table, ship_by_value
 
 ship_by_value(__name__)
 
@@ -87,34 +87,12 @@ def _blocks(texts: list[tuple], size: int) -> Iterator[list[tuple]]:
         yield held
 
 
-#: Bits of the Bloom filter over trusted ids: 8 MB, whatever the input.
-BLOOM_BITS, BLOOM_HASHES = 1 << 26, 2
-
-
-def bloom_buckets(id_col: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(id_col, F.lit(i)), F.lit(BLOOM_BITS)).alias(f"bucket{i}") for i in range(BLOOM_HASHES)]
-
-
-def bloom_filter(ids: DataFrame) -> np.ndarray:
-    """The filter of a table of ids, as 64-bit words; the driver gets at most all of its words."""
-    buckets = ids.select(F.explode(F.array(*bloom_buckets(F.col(ids.columns[0])))).alias("b"))
-    words = buckets.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def _likely(words):
     """Rows (id, lang, text, buckets...) that pass the filter, their text packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = words.value
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for i in range(BLOOM_HASHES):
-                b = batch.column(3 + i).to_numpy(zero_copy_only=False).astype(np.uint64)
-                keep &= ((bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
-            kept = batch.filter(pa.array(keep))
+            kept = batch.filter(bloom_passes(words.value, batch, 3))
             packs = [zstandard.compress(prepared(t).encode("utf-8", "surrogatepass"), 3) for t in kept.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(packs, pa.binary())], names=["id", "lang", "pack"])
 
