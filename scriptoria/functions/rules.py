@@ -16,6 +16,8 @@ ADMIN_HEADING = bounded(
     "title page|tower profile|detail[ \\t]+[a-z0-9-]+|sheet[ \\t]+[a-z0-9.-]+|vw[ \\t]+[a-z0-9.-]+|revision|legend|general notes?|cover sheet|"
     "site address|site number|job number|project number|prepared for|prepared by|description|legal"
 )
+#: A sign is no part of a word, so one must follow it.
+ADMIN_NUMBER = rf"(?i)(?:^|{NOT_W})project[ \t]*#{W}"
 IMPERATIVE = rf"(?i)^(?:install|remove|verify|check|tighten|inspect|connect|disconnect|measure|set|ensure|confirm|apply|attach|bond|ground)(?:$|{NOT_W})"
 DEFINES = bounded("means|refers to|is defined as|defined as")
 UNITS = "v|a|w|hz|mm|cm|m|ft|in|lb|psi|n|nm"
@@ -35,7 +37,7 @@ ADMIN_OPEN = rf"(?i)(?:^|{NOT_W})(?:www[.]|https?://|project[ \t]*#){W}"
 CONTACT = rf"(?i)(?:^|{NOT_W})(?:tel|phone|fax)(?:$|{NOT_W})|(?:^|{NOT_W})(?:www[.]|https?://){W}|{W}@{W}"
 DRAWING_WORDS = bounded("sheet|rev|issue|drawing")
 NUMBER_WORD = bounded("[0-9]+", "")
-PATH_LIKE = r"(?i)(?:[a-z]:\\|\\[\w .-]+\\[\w .\\/:-]+|/[\w.-]+/[\w./-]+|www\.|https?://)"
+PATH_LIKE = r"(?i)(?:[a-z]:\\|\\[\w .-]+\\[\w .\\/:-]+|/[\w.-]+/[\w./-]+|www\.|https?://|\.\\[\w .\\/:-]+\.(?:png|jpg|jpeg|pdf|dwg|dxf|tif|tiff))"
 MIXED_METADATA = bounded("sheet|rev|issue|date|drawn by|checked by|approved by|project no|drawing no")
 MODAL = bounded("shall|must|required|prohibited|should")
 STRICT_MODAL = bounded("shall|must|required|prohibited")
@@ -43,10 +45,10 @@ TOPIC_CUE = bounded("shall|must|required|should|warning|caution|definition|scope
 YEAR = bounded("20[0-9]{2}", "")
 FACT_SIGNAL = rf"(?i)(?:^|{NOT_W})(?:[a-z]{{2,}}[a-z0-9/.-]*|20[0-9]{{2}}|[0-9]+(?:\.[0-9]+)?[ \t]?(?:{UNITS}))(?:$|{NOT_W})"
 STANDARD_WORD = bounded("ansi|tia|osha|bicsi|ieee|iso|iec")
-GENERIC_NOTES = "note,notes,all construction,general notes,necessary,shall,qty,size,detail,title page,tower profile,description,legal,site,number,job number,site number,isolated,lat".split(",")
+GENERIC_NOTES = ("note", "notes", "all construction", "general notes", "necessary", "shall", "qty", "size", "detail", "title page", "tower profile", "description", "legal", "site", "number", "job number", "site number", "isolated", "lat")
 GENERIC_TERM = r"(?i)^(?:description|legal|option[ \t]+[0-9]+|lat|long|lon|site|number|job number|site number)$"
-STOP_WORDS = "this that with from have shall must required using into for when where procedure process instructions".split()
-TOPIC_STOP_WORDS = STOP_WORDS + "title page detail sheet tower profile project prepared issued address revision general notes copyright site number job description legal option lat".split()
+STOP_WORDS = ("this", "that", "with", "from", "have", "shall", "must", "required", "using", "into", "for", "when", "where", "procedure", "process", "instructions")
+TOPIC_STOP_WORDS = STOP_WORDS + ("title", "page", "detail", "sheet", "tower", "profile", "project", "prepared", "issued", "address", "revision", "general", "notes", "copyright", "site", "number", "job", "description", "legal", "option", "lat")
 TOPIC_WORD = r"[A-Za-z][A-Za-z0-9/-]{3,}"
 TERM = "[A-Z][A-Za-z0-9 /()_-]{1,60}"
 TERM_ANY_CASE = "[A-Za-z][A-Za-z0-9 /()_-]{1,60}"
@@ -64,7 +66,7 @@ STEP_LINE = r"^[0-9]+[.)][ \t]+.+$"
 STEP_NUMBER = r"^[0-9]+[.)][ \t]*"
 
 
-def _in(x: str, values: list[str], d: Dialect) -> str:
+def _in(x: str, values: tuple[str, ...], d: Dialect) -> str:
     return f"{x} in ({', '.join(d.text(v) for v in values)})"
 
 
@@ -107,7 +109,7 @@ def bare(x: str, d: Dialect = SPARK) -> str:
 
 def admin_heading(s: str, d: Dialect = SPARK) -> str:
     """Of a bare text."""
-    return f"({d.has(s, ADMIN_HEADING)} or {d.has(s, r'^[A-Z]{1,2}[0-9][A-Z0-9.-]{0,6}$')})"
+    return f"({d.has(s, ADMIN_HEADING)} or {d.has(s, ADMIN_NUMBER)} or {d.has(s, r'^[A-Z]{1,2}[0-9][A-Z0-9.-]{0,6}$')})"
 
 
 def fragment(s: str, n: str, d: Dialect = SPARK) -> str:

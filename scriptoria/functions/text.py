@@ -6,6 +6,8 @@ read alike: word characters are spelled out, a word's bounds are classes, not \\
 
 from __future__ import annotations
 
+import unicodedata
+
 from .dialect import SPARK, Dialect
 
 W = r"[\p{L}\p{N}_]"
@@ -57,9 +59,37 @@ def is_upper(x: str) -> str:
     return f"({x} = upper({x}) and {x} <> lower({x}))"
 
 
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """From the rule that a slug keeps the ASCII part of the compatibility decomposition: (characters, their letters, characters of several letters)."""
+    one, several = {}, []
+    for block in (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2000, 0x2190), range(0x2460, 0x24EB), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F)):
+        for char in map(chr, block):
+            plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+            plain = "".join(c if c.isalnum() or c in "-_" else " " for c in plain)  # a slug has no other signs
+            if len(plain) == 1:
+                one[char] = plain
+            elif plain:
+                several.append((char, plain))
+    return "".join(one), "".join(one.values()), several
+
+
+FOLD_FROM, FOLD_TO, FOLD_LONG = _folds()
+
+
+def folded(x: str, d: Dialect = SPARK) -> str:
+    """Letters without their accents, ligatures and numbers in a circle or raised as plain ones; what is then not ASCII goes."""
+    wide = r"[^\x00-\x7F]"
+    longer = x
+    for char, plain in FOLD_LONG:
+        longer = f"replace({longer}, {d.text(char)}, {d.text(plain)})"
+    # the long ones are tried only where there is one
+    some = f"case when {d.has(x, '[' + ''.join(c for c, _ in FOLD_LONG) + ']')} then {longer} else {x} end"
+    return f"case when {d.has(x, wide)} then {d.sub(f'translate({some}, {d.text(FOLD_FROM)}, {d.text(FOLD_TO)})', wide, '')} else {x} end"
+
+
 def slug(x: str, most: int, d: Dialect = SPARK) -> str:
-    """Of ASCII text: lower case, words joined by single hyphens, cut to ``most`` characters; 'unknown' if empty."""
-    plain = d.sub(d.sub(d.sub(f"lower({x})", r"[^a-z0-9_ \t\n\r\f-]", " "), r"[ \t\n\r\f_]+", "-"), "-+", "-")
+    """Folded to ASCII, lower case, words joined by single hyphens, cut to ``most`` characters; 'unknown' if empty."""
+    plain = d.sub(d.sub(d.sub(f"lower({folded(x, d)})", r"[^a-z0-9_ \t\n\r\f-]", " "), r"[ \t\n\r\f_]+", "-"), "-+", "-")
     whole = d.sub(plain, "^-|-$", "")
     cut = d.sub(f"substr({whole}, 1, {most})", "-$", "")
     return f"coalesce(nullif({cut}, ''), 'unknown')"

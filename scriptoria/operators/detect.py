@@ -24,8 +24,8 @@ WARNING = r"(?i)^(warning|caution|danger|note)[ \t]*[:-]?[ \t]*(.+)$"
 SPEC = r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9 /()-]{2,40}?)[ \t]*[:=][ \t]*([-+]?[0-9]+(?:\.[0-9]+)?)[ \t]*([A-Za-z%/.-]{0,11}[A-Za-z]|)(?:$|[^A-Za-z0-9_])"
 REQUIREMENT = rf"(?i)(?:^|{text.NOT_W})(shall|must|required|prohibited)(?:$|{text.NOT_W})"
 WARNING_WORD = text.bounded("warning|caution|danger|note")
-ENTITY_STOP = "NECESSARY SHALL QTY SIZE NOTE NOTES CONSTRUCTION GENERAL DETAIL TITLE PAGE NUMBER NUMBERS DESCRIPTION WEIGHT PROVIDED WITHOUT DRAWING SHEET PROJECT REVISION STANDARD SYSTEM ENTITY ENTITIES SITE LEGAL ISOLATED TAGS NUMBERS/TAGS LAT".split()
-STANDARD_BODIES = "ANSI OSHA BICSI IEEE NFPA NEC ISO IEC TIA".split()
+ENTITY_STOP = ("NECESSARY", "SHALL", "QTY", "SIZE", "NOTE", "NOTES", "CONSTRUCTION", "GENERAL", "DETAIL", "TITLE", "PAGE", "NUMBER", "NUMBERS", "DESCRIPTION", "WEIGHT", "PROVIDED", "WITHOUT", "DRAWING", "SHEET", "PROJECT", "REVISION", "STANDARD", "SYSTEM", "ENTITY", "ENTITIES", "SITE", "LEGAL", "ISOLATED", "TAGS", "NUMBERS/TAGS", "LAT")
+STANDARD_BODIES = ("ANSI", "OSHA", "BICSI", "IEEE", "NFPA", "NEC", "ISO", "IEC", "TIA")
 
 
 def lines_of(chunks: DataFrame) -> DataFrame:
