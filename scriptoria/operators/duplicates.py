@@ -2,10 +2,11 @@
 
 Two texts are near-duplicates if twice the characters in their matching blocks, found from the later path's text
 against the earlier one's, are at least ``threshold`` of both lengths. Equal texts are one class and are compared
-once. Candidates share a band of a min-hash signature over their words and have lengths that can reach the
-threshold. Each member of a bucket is measured against the bucket's first, and then, if they still lie in different
-groups, against its neighbour by length: a bucket of a hundred thousand copies makes two hundred thousand pairs at
-most, not all of them.
+once. Candidates share a band of a min-hash signature, over their words or over their runs of five characters, and
+have lengths that can reach the threshold. In each bucket a few leaders, one after the other, are measured against the
+members that are still in no leader's group; then every pair of the bucket whose two texts still lie in different
+groups is measured. So no link between groups is lost inside a bucket, and a bucket of copies of one text makes as many
+pairs as it has members.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import shared_table
 from .components import components
 
-HASHES, ROWS, GRAM = 200, 4, 5
+#: (bands, values a band) over words and over runs of GRAM characters; leaders of a bucket before all its pairs.
+WORD_BANDS, GRAM_BANDS, GRAM, LEADERS = (50, 4), (60, 5), 5, 3
 
 
 def exact_groups(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
@@ -32,27 +34,28 @@ def exact_groups(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
     return rows.join(groups, "digest").select("doc_id", "source_path", "canonical", "group_size")
 
 
-def features(text: str) -> np.ndarray:
-    """Hashes of a text's words, or, where words are long or white space is rare, of its character five-grams."""
-    words = set(text.split())
-    if 20 * len(words) < len(set(text[i : i + GRAM] for i in range(0, len(text), GRAM))):
-        words = {text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
-    codes = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+def _hashed(parts: set[str]) -> np.ndarray:
+    codes = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in parts), np.uint64, len(parts))
     return (codes ^ (codes >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def signature(text: str, factors: np.ndarray) -> list[int]:
-    found = features(text)
+def _bands(found: np.ndarray, bands: int, rows: int, seed: int) -> list[int]:
+    factors = np.random.default_rng(seed).integers(1, 2**63, bands * rows, np.uint64)
     least = np.array([((found ^ (f >> np.uint64(1))) * (f | np.uint64(1))).min() for f in factors])
-    keys = np.zeros(HASHES // ROWS, np.uint64)
-    for r in range(ROWS):
-        keys = keys * np.uint64(0xD1342543DE82EF95) + least[r::ROWS]
-    return (keys ^ np.arange(len(keys), dtype=np.uint64)).view(np.int64).tolist()
+    keys = np.full(bands, np.uint64(seed))
+    for r in range(rows):
+        keys = keys * np.uint64(0xD1342543DE82EF95) + least[r::rows]
+    return (keys ^ np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def signature(text: str) -> list[int]:
+    """Band keys over the words and over the runs of characters: an edit inside a long word leaves most runs as they are."""
+    runs = {text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
+    return _bands(_hashed(set(text.split())), *WORD_BANDS, seed=11) + _bands(_hashed(runs), *GRAM_BANDS, seed=13)
 
 
 def _signatures(texts: pd.Series) -> pd.Series:
-    factors = np.random.default_rng(11).integers(1, 2**63, HASHES, np.uint64)
-    return texts.map(lambda t: signature(t, factors))
+    return texts.map(signature)
 
 
 def ratio_reaches(later: str, earlier: str, threshold: float) -> bool:
@@ -69,6 +72,53 @@ def _measured(threshold: float):
     return run
 
 
+def _reach(n: Column, m: Column, threshold: float) -> Column:
+    """Two lengths can reach the threshold."""
+    return F.least(n, m) >= threshold / (2 - threshold) * F.greatest(n, m)
+
+
+def _bucket_links(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) that join all near-duplicates among the ``members`` (path, n, band) of a bucket; ``classes`` has (path, t)."""
+    later, earlier = classes.select(F.col("path").alias("u"), F.col("t").alias("later")), classes.select(F.col("path").alias("v"), F.col("t").alias("earlier"))
+    measured: DataFrame | None = None
+    links: DataFrame | None = None
+
+    def grow(pairs: DataFrame) -> bool:
+        """Measure the pairs (u, v) that have not been; whether any is linked."""
+        nonlocal measured, links
+        fresh = pairs.distinct() if measured is None else pairs.distinct().join(measured, ["u", "v"], "left_anti")
+        fresh = shared_table(fresh, "pairs")
+        found = shared_table(fresh.join(later, "u").join(earlier, "v").select("u", "v", "later", "earlier").repartition("u", "v").mapInPandas(_measured(threshold), "u string, v string"), "links")
+        measured = fresh if measured is None else measured.unionByName(fresh)
+        links = found if links is None else links.unionByName(found)
+        return not found.isEmpty()
+
+    def grouped() -> DataFrame:
+        groups = shared_table(components(links), "groups").select(F.col("id").alias("path"), "component")
+        return shared_table(members.join(groups, "path", "left").withColumn("group", F.coalesce("component", "path")).drop("component"), "grouped")
+
+    ordered = [F.greatest("path", "leader").alias("u"), F.least("path", "leader").alias("v")]
+    near = _reach(F.col("n"), F.col("leader_n"), threshold)
+    now, led = members.withColumn("group", F.col("path")), None
+    for _ in range(LEADERS):
+        rest = now
+        if led is not None:  # the groups of the leaders so far, as they are now
+            old = led.join(now.select("band", F.col("path").alias("leader"), "group"), ["band", "leader"]).select("band", "group").distinct()
+            rest = now.join(old, ["band", "group"], "left_anti")
+        leaders = shared_table(rest.groupBy("band").agg(F.min(F.struct("path", "n")).alias("l")).select("band", F.col("l.path").alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
+        if leaders.isEmpty():
+            break
+        led = leaders.select("band", "leader") if led is None else led.unionByName(leaders.select("band", "leader"))
+        pairs = rest.join(leaders, "band").where((F.col("path") != F.col("leader")) & near)
+        if grow(pairs.select(*ordered)) or now is members:
+            now = grouped()
+    open_bands = now.groupBy("band").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("band")
+    left = shared_table(now.join(open_bands, "band", "left_semi"), "left")
+    other = left.select("band", F.col("path").alias("leader"), F.col("n").alias("leader_n"), F.col("group").alias("leader_group"))
+    grow(left.join(other, "band").where((F.col("path") > F.col("leader")) & (F.col("group") != F.col("leader_group")) & near).select(*ordered))
+    return links
+
+
 def near_duplicate_groups(corpus: DataFrame, text_col: str = "raw_text", threshold: float = 0.96, sample_chars: int | None = None, preferred: DataFrame | None = None) -> DataFrame:
     """doc_id, source_path, duplicate_of (the group's canonical path); only documents that are not canonical.
 
@@ -84,28 +134,10 @@ def near_duplicate_groups(corpus: DataFrame, text_col: str = "raw_text", thresho
     classes = shared_table(rows.join(heads, (rows["digest"] == heads["digest"]) & (rows["source_path"] == heads["path"])).select("path", "t").dropDuplicates(["path"]), "classes")
     bands = classes.select("path", F.length("t").alias("n"), F.pandas_udf(_signatures, "array<long>")("t").alias("keys")).select("path", "n", F.explode("keys").alias("band"))
     bands = shared_table(bands, "bands")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("path").alias("first")).where("size > 1")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
     members = shared_table(bands.join(shared, "band"), "members")
-    later, earlier = classes.select(F.col("path").alias("u"), F.col("t").alias("later")), classes.select(F.col("path").alias("v"), F.col("t").alias("earlier"))
-    least, most = F.least(F.length("later"), F.length("earlier")), F.greatest(F.length("later"), F.length("earlier"))
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(later, "u").join(earlier, "v").where(least >= threshold / (2 - threshold) * most)
-        return shared_table(both.select("u", "v", "later", "earlier").repartition("u", "v").mapInPandas(_measured(threshold), "u string, v string"), name)
-
-    ordered = lambda other: members.where(F.col("path") != F.col(other)).select(F.greatest("path", other).alias("u"), F.least("path", other).alias("v")).distinct()
-    links = linked(ordered("first"), "first_links")
+    links = _bucket_links(members, classes, threshold)
     joined = shared_table(components(links), "joined")
-    # a bucket of more than ten thousand is sorted in parts of about that size
-    part = F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.ceil(F.col("size") / 10_000)))
-    order = Window.partitionBy("band", part).orderBy("n", "path")
-    near = members.select("path", F.lag("path").over(order).alias("before")).where("before is not null")
-    near = near.select(F.greatest("path", "before").alias("u"), F.least("path", "before").alias("v")).distinct()
-    of = lambda end: joined.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))
-    apart = near.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("u_group", "u") != F.coalesce("v_group", "v")).select("u", "v")
-    more = linked(apart.join(ordered("first"), ["u", "v"], "left_anti"), "near_links")
-    if not more.isEmpty():
-        joined = shared_table(components(links.unionByName(more)), "joined_again")
     named = heads.join(joined, heads["path"] == joined["id"], "left").select("digest", F.coalesce("component", "path").alias("component"))
     grouped = shared_table(paths.join(named, "digest"), "grouped")
     canonical = grouped.groupBy("component").agg(F.min("source_path").alias("canonical"), F.count(F.lit(1)).alias("size")).where("size > 1")
