@@ -30,7 +30,7 @@ def test_words_and_sentences(spark):
     assert got["s"] == [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", t)]
 
 
-@pytest.mark.parametrize(("value", "want"), [("Small Ring", "small-ring"), ("  A__b -- C! ", "a-b-c"), ("***", "unknown"), ("abc def", "abc-de"), ("abcde-f", "abcde")])
+@pytest.mark.parametrize(("value", "want"), [("Small Ring", "small-ring"), ("  A__b -- C! ", "a-b-c"), ("***", "unknown"), ("abc def", "abc-de"), ("abcde-f", "abcde"), ("Größe", "groe"), ("Grüße", "grue"), ("H he: 5 m.", "h-he-5-m"), ("Hühe: 5 m.", "huhe-5-m"), ("naïve ﬁne ½ Œuvre", "naive-fine-12-uvre"), ("日本", "unknown")])
 def test_slug(spark, value, want):
     most = 6 if want in ("abc-de", "abcde") else 60
     assert spark.createDataFrame([(value,)], "v string").selectExpr(text.slug("v", most)).first()[0] == want
@@ -82,23 +82,69 @@ def test_null_and_empty_texts(spark):
     assert normalize.with_knowledge_text(docs).agg(F.count_if(F.col("clean_text") == "")).first()[0] == 3
 
 
-def test_clean_text():
-    raw = "Page 3\nA wrapped\nline here.\n\n\nIntro .... 7\nT E R M S A\nGrounding bar means a bar\nmade of copper"
-    assert normalize.knowledge_text(raw) == "A wrapped line here.\n\nGrounding bar means a bar\nmade of copper"
-    assert normalize.knowledge_text(normalize.knowledge_text(raw)) == normalize.knowledge_text(raw)
-
+def cleaned(spark, how, *texts, **params):
+    return [r["clean_text"] for r in how(corpus(spark, *texts), **params).orderBy("doc_id").collect()]
 
-def test_page_texts_drop_edges_and_repeats():
-    pages = [f"ACME MANUAL\nbody {i} has words here.\nmore of {i} follows.\nand {i} ends.\nCONFIDENTIAL NOTE" for i in range(4)]
-    assert all("ACME" not in p and "CONFIDENTIAL" not in p for p in normalize.page_texts(pages))
-    same = ["a one.\nb two.\nc three.\nd four."] * 2
-    assert normalize.page_texts(same, drop_edges=False)[1].count("three") == 0
 
-
-def test_packing():
-    segments = [(" ".join(["w"] * 300), 1, "A"), (" ".join(["x"] * 300), 2, ""), (" ".join(["y"] * 300), 3, "B")]
-    got = segment.packed(segments, 800, 120, 250)
-    assert [(len(re.findall(r"\w+", t)), a, b, s) for t, a, b, s in got] == [(600, 1, 2, ["A"]), (420, 1, 3, ["A", "B"])]
+def test_clean_text(spark):
+    raw = "Page 3\nA wrapped\nline here.\n\n\nIntro .... 7\nT E R M S A\nGrounding bar means a bar\nmade of copper"
+    want = "A wrapped line here.\n\nGrounding bar means a bar\nmade of copper"
+    assert cleaned(spark, normalize.with_knowledge_text, raw, want, None, "ﬁ\u00a0x\r\ny") == [want, want, "", "fi x y"]
+
+
+def test_lines_that_stay_apart(spark):
+    raw = "The Input\nvoltage - nominal 5\nstays apart\n\nnext one\n# Head\nbody\n1. step\nends;\nmore"
+    # the first two lines make a term line only when they are one; a blank line is taken over by what is no term
+    assert cleaned(spark, normalize.with_knowledge_text, raw) == ["The Input voltage - nominal 5\nstays apart\nnext one\n# Head\nbody\n1. step ends;\nmore"]
+
+
+def test_page_texts_drop_edges_and_repeats(spark):
+    pages = "\f".join(f"ACME MANUAL\nbody {i} has words here.\nmore of {i} follows.\nand {i} ends.\nCONFIDENTIAL NOTE" for i in range(4))
+    same = "\f".join(["a one.\nb two.\nc three.\n\nd four."] * 2)
+    edges = cleaned(spark, normalize.with_page_text, pages)[0]
+    assert "ACME" not in edges and "CONFIDENTIAL" not in edges and "more of 3" in edges
+    assert cleaned(spark, normalize.with_page_text, same, drop_edges=False) == ["a one.\nb two.\nc three.\nd four.\n\na one.\nb two."]
+
+
+def packs(segments, target, overlap, least):
+    """The rule, step by step, over (text, page, section)."""
+    count = lambda s: len(re.findall(r"\w+", s))
+    out, first, lap = [], 0, []
+    while first < len(segments):
+        last, size = first, count(" ".join(lap)) + count(segments[first][0])
+        while last + 1 < len(segments) and (size < least or size + count(segments[last + 1][0]) <= target):
+            last += 1
+            size += count(segments[last][0])
+        body = "\n\n".join([" ".join(lap)] * bool(lap) + [t for t, _, _ in segments[first : last + 1]])
+        near = segments[max(0, first - 2) : last + 1]
+        named = [s for _, _, s in segments[max(0, first - 1) : last + 1] if s]
+        out.append((body, count(body), min(p for _, p, _ in near), max(p for _, p, _ in near), named))
+        lap = body.split()[-min(overlap, target // 2) :]
+        first = last + 1
+    return out
+
+
+@pytest.mark.parametrize(("target", "overlap", "least"), [(800, 120, 250), (60, 20, 25), (30, 50, 3)])
+def test_packing(spark, target, overlap, least):
+    import random
+
+    rng = random.Random(target)
+    segments = [(" ".join(rng.choice(["w", "xx-y", "zz"]) for _ in range(rng.randint(1, 40))), 1 + i // 4, "") for i in range(40)]
+    segments[7] = ("# Head One\nbody", segments[7][1], "")
+    section = ""
+    for i, (t, page, _) in enumerate(segments):
+        section = "Head One" if t.startswith("#") else section
+        segments[i] = (t, page, section)
+    whole = "\f".join("\n\n".join(t for t, p, _ in segments if p == page) for page in range(1, 11))
+    rows = segment.pack_chunks(corpus(spark, whole, None, " "), target=target, overlap=overlap, least=least).orderBy("chunk_index").collect()
+    assert [(r["text"], r["n_words"], r["page_start"], r["page_end"], r["section_path"]) for r in rows] == packs(segments, target, overlap, least)
+
+
+def test_headings_need_no_shuffle(spark, capsys):
+    segment.knowledge_chunks(corpus(spark, "# A\n\nb\n\n# C\n\nd", "e")).explain()
+    assert "Exchange" not in capsys.readouterr().out
+    rows = segment.paragraphs(corpus(spark, "z\n\n# A\n\nb\n\n# C\n\nd", "e", names=["same", "same"])).orderBy("doc_id", "para_idx").collect()
+    assert [(r["text"], r["heading"]) for r in rows] == [("z", "same"), ("# A", "A"), ("b", "A"), ("# C", "C"), ("d", "C"), ("e", "same")]
 
 
 def test_pack_chunks_whatever_the_partitions(spark, sf_dir):
@@ -115,13 +161,8 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 200: 0, 100: 100, 101: 100, 102: 100}
 
 
-def test_near_duplicates_like_brute_force(spark, sf_dir):
-    import duckdb
-
-    rows = duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet' order by doc_id").fetchall()
-    texts = {f"/c/{i:06d}": t for i, t in rows}
-    docs = spark.createDataFrame([(i, f"/c/{i:06d}", t) for i, t in rows], "doc_id long, source_path string, raw_text string")
-    got = {r["source_path"]: r["duplicate_of"] for r in duplicates.near_duplicate_groups(docs).collect()}
+def brute_force_duplicates(texts):
+    """Each path that is not canonical with its canonical path, from all pairs."""
     parent = {p: p for p in texts}
 
     def find(p):
@@ -139,7 +180,46 @@ def test_near_duplicates_like_brute_force(spark, sf_dir):
             if m.quick_ratio() >= 0.96 and m.ratio() >= 0.96:
                 x, y = sorted((find(later), find(earlier)))
                 parent[y] = x
-    assert got == {p: find(p) for p in paths if find(p) != p}
+    return {p: find(p) for p in paths if find(p) != p}
+
+
+def found_duplicates(spark, texts):
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(texts.items())], "doc_id long, source_path string, raw_text string")
+    return {r["source_path"]: r["duplicate_of"] for r in duplicates.near_duplicate_groups(docs).collect()}
+
+
+def test_near_duplicates_like_brute_force(spark, sf_dir):
+    import duckdb
+
+    texts = {f"/c/{i:06d}": t for i, t in duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet' order by doc_id").fetchall()}
+    assert found_duplicates(spark, texts) == brute_force_duplicates(texts)
+
+
+def test_near_duplicates_of_interleaved_families_and_long_words(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda low, high: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(low, high)))
+    texts = []
+    for _ in range(4):  # families too far from each other, but in the same buckets, each with its own near copies
+        base = [word(3, 9) for _ in range(27)]
+        for _ in range(6):
+            family = list(base)
+            family[rng.randrange(27)] = word(9, 12)
+            family[rng.randrange(27)] = word(9, 12)
+            for _ in range(5):
+                copy = list(family)
+                copy[rng.randrange(27)] += "x"
+                texts.append(" ".join(copy))
+    for n in (12, 26, 40):
+        for _ in range(10):
+            words = [word(n, n) for _ in range(180 // n)]
+            texts += [" ".join(words), " ".join(w[:5] + "Z" + w[6:] if j % 3 == 0 else w for j, w in enumerate(words))]
+    paths = [f"/c/{i:03d}" for i in range(len(texts))]
+    rng.shuffle(paths)
+    texts = dict(zip(paths, texts, strict=True))
+    want = brute_force_duplicates(texts)
+    assert len(want) > 80 and found_duplicates(spark, texts) == want
 
 
 def test_preferred_canonical(spark):
