@@ -105,4 +105,43 @@ def fresh_name(columns: list[str], wish: str) -> str:
     return wish
 
 
+class BatchStore:
+    """Batches of rows in a folder that driver and executors share; one writer at a time.
+
+    A batch counts once the writer's success marker is there. A batch that is committed already is left alone, so it may
+    be sent any number of times, also after a failure halfway.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def committed(self, batch: str) -> bool:
+        if not batch or "/" in batch or batch[0] in "._":
+            raise ValueError(f"no batch id: {batch!r}")
+        return self._files.exists(self._path(f"{self.path}/{batch}/_SUCCESS"))
+
+    def commit(self, batch: str, rows: DataFrame) -> bool:
+        """Write a batch; False if it was committed before."""
+        if self.committed(batch):
+            return False
+        rows.write.mode("overwrite").parquet(f"{self.path}/{batch}")
+        return True
+
+    def batches(self) -> list[str]:
+        if not self._files.exists(self._path(self.path)):
+            return []
+        names = sorted(s.getPath().getName() for s in self._files.listStatus(self._path(self.path)))
+        return [b for b in names if b[0] not in "._" and self.committed(b)]
+
+    def drop(self, batch: str) -> None:
+        self._files.delete(self._path(f"{self.path}/{batch}"), True)
+
+    def rows(self, batches: list[str] | None = None) -> DataFrame:
+        """The rows of these batches, by default of all committed ones."""
+        done = self.batches() if batches is None else batches
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{b}" for b in done]) if done else self.spark.createDataFrame([], self.schema)
+
+
 ship_by_value(__name__)

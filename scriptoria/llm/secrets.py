@@ -1,22 +1,23 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of every path is addressed by the SHA-256 of its text. The ledger holds, for each blob, the
-(rule, rule version) pairs that have been run on it and what they found; a scan runs only the pairs that the ledger
-lacks, once for each distinct blob, and joins the findings back to all paths. Matches come from built-in regular
-expression functions alone.
+Every version of every path is addressed by the SHA-256 of its text. The ledger is a folder of committed batches: for
+each blob, the (rule, rule version) pairs that have been run on it and what they found. A scan runs only the pairs that
+the ledger lacks, once for each distinct blob, commits them as one batch, and joins the findings back to all paths.
+Matches come from built-in regular expression functions alone.
 
 Defined results: null text is the empty blob; repeated rows each get their findings; a rule keeps leftmost
-non-overlapping matches whose kept part is long enough; an empty table or ledger gives no findings.
+non-overlapping matches whose kept part is long enough; what two ledger rows both found counts once; a batch that is
+sent again changes nothing; an empty table or ledger gives no findings; other columns play no part.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import regex_spans, shared_table
+from .common import BatchStore, regex_spans, shared_table
 
 
 @dataclass(frozen=True)
@@ -59,13 +60,15 @@ def rule_findings(text: Column, rule: Rule) -> Column:
 def scan_blobs(versions: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, pairs, findings): each blob of ``versions`` with the pairs that ``ledger`` lacks."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("body")).distinct()
+    # copies meet within map tasks; what is left moves once, by its address, as the ledger does
+    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("body")).groupBy("blob").agg(F.first("body").alias("body"))
     wanted = F.array(*[F.lit(r.pair) for r in rules])
     if ledger is None:
         todo = blobs.withColumn("todo", wanted)
     else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("seen"))  # a few pairs for each blob
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.expr("cast(array() as array<string>)")))).where(F.size("todo") > 0)
+        known = ledger.select("blob", F.explode(F.array_intersect("pairs", wanted)).alias("pair"))
+        seen = known.groupBy("blob").agg(F.collect_set("pair").alias("seen"))  # at most one of each rule asked for
+        todo = blobs.join(seen.hint("merge"), "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.expr("cast(array() as array<string>)")))).where(F.size("todo") > 0)
     none = F.expr(f"cast(array() as {FINDINGS})")
     found = F.concat(*[F.when(F.array_contains("todo", r.pair), rule_findings(F.col("body"), r)).otherwise(none) for r in rules])
     return todo.select("blob", F.col("todo").alias("pairs"), found.alias("findings"))
@@ -79,14 +82,32 @@ def path_findings(versions: DataFrame, ledger: DataFrame, id_cols: list[str], te
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     merged = live.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
     ranked = F.transform("findings", lambda f: F.struct(f["start"].alias("start"), F.element_at(order, f["kind"]).alias("rank"), f["end"].alias("end"), f["kind"].alias("kind")))
-    tidy = F.transform(F.array_sort(ranked), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
+    tidy = F.transform(F.array_sort(F.array_distinct(ranked)), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     found = shared_table(merged.select("blob", tidy.alias("findings")), "findings")
     paths = versions.select(*id_cols, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
     return paths.join(found, "blob", "left").select(*id_cols, "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
 
 
+LEDGER = f"blob string, pairs array<string>, findings {FINDINGS}"
+
+
+class Ledger(BatchStore):
+    """What has been run on which blob, in committed batches under ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, LEDGER)
+
+    def scan(self, batch: str, versions: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> bool:
+        """Run on each blob of ``versions`` the rule versions that no batch has run on it; False if the batch was committed before."""
+        known = self.rows() if self.batches() else None
+        return self.commit(batch, scan_blobs(versions, text_col, known, rules))
+
+    def findings(self, versions: DataFrame, id_cols: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        return path_findings(versions, self.rows(), id_cols, text_col, rules)
+
+
 def scan_secrets(versions: DataFrame, id_cols: list[str], text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings of every path, the ledger with what this scan has added)."""
+    """(findings of every path, the ledger with what this scan has added): one scan without a folder."""
     added = shared_table(scan_blobs(versions, text_col, ledger, rules), "ledger")
     whole = added if ledger is None else ledger.select("blob", "pairs", "findings").unionByName(added)
     return path_findings(versions, whole, id_cols, text_col, rules), whole
