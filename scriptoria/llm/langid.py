@@ -6,11 +6,12 @@ the whole document. The out-of-place distance sums, over the document's n-grams,
 its rank in the language (``size`` if it is missing there), divided by the largest such sum. The language with the
 smallest distance is predicted; ties go to the name that sorts first; the score is 1 minus that distance.
 
-Counts are added up in the tasks, then by Spark; what reaches the driver is ``size`` n-grams for each language.
+Counts are added up in the tasks, then by Spark; the driver gets ``size`` n-grams for each language of one block.
 
 Defined results: null text, or text without a letter, gives ``und`` and score 0, and so does every text if nothing
-can be learned; rows with a null language teach nothing; repeated rows count as often as they stand; more than
-``max_langs`` distinct languages are an error; an empty table gives an empty result; other columns are untouched.
+can be learned; rows with a null language teach nothing; repeated rows count as often as they stand; of equally near
+languages the name that sorts first is found; an empty table gives an empty result; other columns are untouched. More
+than ``block_langs`` languages are compared in blocks of about that many, each one more pass over the rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,15 @@ from .common import fresh_name, shared_table, ship_by_value
 ship_by_value(__name__)
 
 SIZE, ORDER, UNKNOWN = 400, 3, "und"
-NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _signs() -> str:
+    """A pattern for runs of other than letters; number signs such as fractions are words to ``re``, but no letters."""
+    numbers = "".join(map(chr, (c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())))
+    return rf"[\W\d_{numbers}]+"
+
+
+NO_LETTERS = re.compile(_signs())
 
 
 def ngrams(text: str | None) -> np.ndarray:
@@ -78,17 +87,12 @@ def _counter(text_at: int, lang_at: int, chunk: int = 1 << 21):
     return run
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE, max_langs: int = 1000) -> dict[str, list[int]]:
-    """Each language's most frequent n-grams, most frequent first."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> DataFrame:
+    """(lang, code, rank): each language's most frequent n-grams, the most frequent has rank 1."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = rows.mapInArrow(_counter(0, 1), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    top = shared_table(counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= size), "profiles")
-    if top.select("lang").distinct().count() > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    profiles: dict[str, list[int]] = {}
-    for r in top.orderBy("lang", "rank").collect():  # size rows for each of at most max_langs languages
-        profiles.setdefault(r["lang"], []).append(r["code"])
-    return profiles
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    return shared_table(counts.withColumn("rank", rank).where(F.col("rank") <= size).drop("n"), "profiles")
 
 
 class Profiles:
@@ -118,24 +122,40 @@ class Profiles:
         return best, score
 
 
-def _predictor(profiles: Profiles, text_col: str, keep: list[str], names: tuple[str, str]):
+def nearer(a: tuple[str, float], b: tuple[str, float]) -> tuple[str, float]:
+    """Of two blocks' answers the one with the higher score; of equal ones a language before none, then by name."""
+    return min(a, b, key=lambda x: (-x[1], x[0] == UNKNOWN, x[0]))
+
+
+def _predictor(profiles: Profiles, text_col: str, keep: list[str], names: tuple[str, str], later: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index
             found = [profiles.predict(t) for t in batch.column(at(text_col)).to_pylist()]
+            if later:
+                before = zip(*(batch.column(at(n)).to_pylist() for n in names), strict=True)
+                found = [nearer(a, b) for a, b in zip(before, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in keep], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, *names])
 
     return run
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", keep: list[str] | None = None, size: int = SIZE) -> tuple[DataFrame, tuple[str, str]]:
+def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", keep: list[str] | None = None, size: int = SIZE, block_langs: int = 1000) -> tuple[DataFrame, tuple[str, str]]:
     """The columns ``keep`` of docs (default: all) with two more, and their names: lang_pred, score."""
     keep = list(docs.columns) if keep is None else list(keep)
     names = tuple(fresh_name([*docs.columns, *keep], n) for n in ("lang_pred", "score"))
     fields = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in keep] + [f"{names[0]} string", f"{names[1]} double"])
-    needed = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*needed).mapInArrow(_predictor(Profiles(profiles, size), text_col, keep, names), schema), names
+    carried = list(dict.fromkeys([*keep, text_col]))
+    blocks = -(-profiles.select("lang").distinct().count() // block_langs) or 1
+    out = docs
+    for b in range(blocks):
+        found: dict[str, list[int]] = {}
+        for r in profiles.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).orderBy("lang", "rank").collect():  # about block_langs times size rows
+            found.setdefault(r["lang"], []).append(r["code"])
+        kept = keep if b == blocks - 1 else carried
+        schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in kept] + [f"`{names[0]}` string", f"`{names[1]}` double"])
+        out = out.select(*carried, *(names if b else ())).mapInArrow(_predictor(Profiles(found, size), text_col, kept, names, b > 0), schema)
+    return out, names
 
 
 def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
