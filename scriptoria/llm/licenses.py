@@ -1,16 +1,20 @@
 """License scans: an exact set-similarity join between text blocks and license templates.
 
-A block is a window of words, twice as long as the longest template and moved by that template's length, so every
-passage of a template's length lies whole inside one block. A block meets a template if it holds at least
-``ceil(threshold * m)`` of the template's m distinct words. Words are ordered by how many blocks of the whole input
-hold them, rarest first. A block that meets the threshold holds one of the template's first ``m - need + 1`` words
-(prefix filter), has at least ``need`` template words (length filter), and from the first shared word on has enough
-words left on both sides (positional filter); what passes is compared in full.
+Templates are texts by label. One of L words has blocks of 2 S words moved by S, where S is L rounded up to a power of
+two, so every passage of the template's length lies whole inside one block. A block meets the template if it holds at
+least ``ceil(threshold * m)`` of its m distinct words. Words are ordered by how many documents of the whole input hold
+them, rarest first. A block that meets the threshold holds one of the template's first ``m - need + 1`` words (prefix
+filter): only blocks around such a word are cut at all. What they hold of the templates' words must be ``need`` words
+(length filter), and from the first shared word on enough words must be left on both sides (positional filter); what
+passes is compared in full.
 
 Beside the join, ``phrase_places`` finds the places where a phrase's words stand consecutively.
 
+The templates' words stand in the plan as literals, and the index of their first words is broadcast: more than
+``MOST_WORDS`` words of all templates are an error, and larger collections are scanned in parts.
+
 Defined results: null text has no words; a document without matches has an empty label list and score 0; repeated
-rows of one id share their labels; an empty table gives an empty result.
+rows of one id share their labels; a template without words matches nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,25 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_WORD_RUN, shared_table
+from .license_texts import TEMPLATES
 
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices that licenses ask for, by the label they get here.
-TEMPLATES = (
-    ("mit-notice", "Released under the MIT License."),
-    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-)
+#: Distinct words of all templates, and words of all of them together.
+MOST_WORDS = 50_000
 THRESHOLD = 0.9
 
 
+#: The letters that are made small: no others.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def words_text(text: Column) -> Column:
     """The lower-case words of a text with one space around each; a single space if there is none."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD_RUN, " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), NOT_WORD_RUN, " ")), F.lit(" "))
 
 
 def word_count(padded: Column) -> Column:
@@ -61,37 +62,52 @@ def phrase_places(padded: Column, phrase: str) -> Column:
     return F.when(F.contains(padded, F.lit(f" {phrase} ")), F.aggregate(spaces, none, step)).otherwise(none)
 
 
-def template_words(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str]]]:
-    split = re.compile(NOT_WORD_RUN)
-    return [(label, list(dict.fromkeys(w for w in split.split(text.lower()) if w))) for label, text in templates]
+def word_list(text: str) -> list[str]:
+    return [w for w in re.split(NOT_WORD_RUN, text.translate(str.maketrans(UPPER, UPPER.lower()))) if w]
+
+
+def template_sets(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[str]]]:
+    """(label, step of its blocks, distinct words) of every template that has words."""
+    lists = [(label, word_list(text)) for label, text in templates]
+    return [(label, 1 << (len(words) - 1).bit_length(), list(dict.fromkeys(words))) for label, words in lists if words]
 
 
 def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, block, label, containment) for every block and template that meet the threshold."""
-    spark, sets = docs.sparkSession, template_words(templates)
-    longest = max(len(text.split()) for _, text in templates)
-    vocabulary = sorted({w for _, words in sets for w in words})
-    words = F.split(F.trim(words_text(F.col(text_col))), " ")
-    # blocks: what each holds of the templates' words, by number in the vocabulary
-    starts = F.expr(f"sequence(1, greatest(1, size(words)), {longest})")
-    blocks = docs.select(F.col(id_col).alias("id"), words.alias("words")).select("id", F.posexplode(F.transform(starts, lambda i: F.array_intersect(F.slice(F.col("words"), i, 2 * longest), F.array(*[F.lit(w) for w in vocabulary])))).alias("block", "held")).where(F.size("held") > 0)
-    blocks = shared_table(blocks, "blocks")
-    counted = {r["word"]: r["n"] for r in blocks.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per template word at most
+    """(id, step, block, label, containment) for every block and template that meet the threshold."""
+    spark, sets = docs.sparkSession, template_sets(templates)
+    vocabulary = sorted({w for _, _, words in sets for w in words})
+    if sum(len(words) for _, _, words in sets) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words in all templates: scan them in parts")
+    literals = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
+    rows = docs.select(F.col(id_col).alias("id"), F.split(F.trim(words_text(F.col(text_col))), " ").alias("words"))
+    counted = {r["word"]: r["n"] for r in rows.select(F.explode(F.array_intersect("words", literals(vocabulary))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per template word at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
-    index = []
-    for label, own in sets:
+    index, heads, own_words = [], {}, {}
+    for label, step, own in sets:
         own = sorted(own, key=rank.__getitem__)
         need = math.ceil(threshold * len(own) - 1e-9)
-        index += [(w, label, own, need, at) for at, w in enumerate(own[: len(own) - need + 1])]
-    index = spark.createDataFrame(index, "word string, label string, own array<string>, need int, at int")  # rows: at most the words of the templates
-    ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
+        first = own[: len(own) - need + 1]
+        index += [(w, label, step, own, need, at) for at, w in enumerate(first)]
+        heads.setdefault(step, set()).update(first)
+        own_words.setdefault(step, set()).update(own)
+    index = spark.createDataFrame(index, "word string, label string, step int, own array<string>, need int, at int")
+    none = F.expr("cast(array() as array<struct<step:int,block:int,held:array<string>>>)")
+
+    def around(step: int) -> Column:
+        """The blocks of one size around the first words of its templates, with what they hold of these templates."""
+        places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(sorted(heads[step])), i)), lambda i: i.isNotNull())
+        numbers = F.array_distinct(F.flatten(F.transform(places, lambda i: F.filter(F.array(F.floor(i / step).cast("int"), F.floor(i / step).cast("int") - 1), lambda k: k >= 0))))
+        return F.transform(numbers, lambda k: F.struct(F.lit(step).alias("step"), k.alias("block"), F.array_intersect(F.slice("words", k * step + 1, 2 * step), literals(own_words[step])).alias("held")))
+
+    found = F.concat(*[around(step) for step in sorted(heads)]) if heads else none
+    blocks = shared_table(rows.select("id", F.explode(found).alias("b")).select("id", "b.*"), "blocks")
+    ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])]) if vocabulary else F.expr("cast(map() as map<string,int>)")
     ordered = F.transform(F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda x: x["w"])
-    heads = sorted({r for _, own in sets for r in own})
-    tokens = blocks.where(F.size("held") >= min(math.ceil(threshold * len(own) - 1e-9) for _, own in sets)).select("id", "block", ordered.alias("held")).select("id", "block", "held", F.posexplode("held").alias("pos", "word")).where(F.col("word").isin(heads))
+    tokens = blocks.select("id", "step", "block", ordered.alias("held")).select("id", "step", "block", "held", F.posexplode("held").alias("pos", "word"))
     left = F.least(F.size("held") - F.col("pos"), F.size("own") - F.col("at"))
-    candidates = tokens.join(F.broadcast(index), "word").where((F.size("held") >= F.col("need")) & (left + F.least("at", "pos") >= F.col("need")))
+    candidates = tokens.join(F.broadcast(index), ["word", "step"]).where((F.size("held") >= F.col("need")) & (left + F.least("at", "pos") >= F.col("need")))
     shared = F.size(F.array_intersect("held", "own"))
-    return candidates.where(shared >= F.col("need")).select("id", "block", "label", (shared / F.size("own")).alias("containment")).distinct().withColumnRenamed("id", id_col)
+    return candidates.where(shared >= F.col("need")).select("id", "step", "block", "label", (shared / F.size("own")).alias("containment")).distinct().withColumnRenamed("id", id_col)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
