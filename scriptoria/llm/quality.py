@@ -6,14 +6,14 @@ Trusted documents are counted in the tasks and added up by Spark; lower orders c
 order has three discounts, from its counts of counts, and each context gives the mass it saves to the next lower
 order. All of this is joins and sums over (language, n-gram) tables, one model for each language.
 
-Scoring is sharded. A task packs its documents into shards of about ``shard_chars`` characters and asks for a shard's
-distinct n-grams once; the distinct n-grams of all shards are joined with the model, order by order; each shard gets
+Scoring is sharded. A task packs its documents into shards of about ``shard_chars`` characters, which are written; then
+each shard asks for its distinct n-grams once; the distinct n-grams of all shards are joined with the model, order by order; each shard gets
 its answers back together with its packed documents and adds up their logarithms. A document's perplexity is per
 character. Short texts score higher and scatter more, so it is adjusted to the length n: over all trusted documents
 of a language its logarithm is fitted as a line in 1/(n + 1) (the marks cost about the same in every text), and the
 distance from that line as a line in 1/sqrt(n + 1). A document is accepted if its distance, in units of the one
-expected at its length, is at most the quantile of the language's trusted documents. The rule is the same for every
-number of documents.
+expected at its length, lies between two quantiles of the language's trusted documents: above the upper one text is
+unlike the language, below the lower one it repeats itself. The rule is the same for every number of documents.
 
 Defined results: null or blank text, and text of a language without trusted text, have null perplexity and are not
 accepted; null language is a language of its own; repeated rows are scored each; labels without a document do
@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ from .common import bloom_buckets, bloom_filter, bloom_passes, integer_id, share
 
 ship_by_value(__name__)
 
-ORDER, QUANTILE = 4, 0.99
+ORDER, QUANTILE, LEAST = 4, 0.99, 0.001
 BEGIN, END = "\x02", "\x03"
 RUN = re.compile(r"[\x00-\x20]+")
 
@@ -46,36 +47,39 @@ def prepared(text: str | None) -> str:
     return RUN.sub(" ", text or "").strip()
 
 
-def gram_codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(alphabet, codes, document of each code): n-grams of all texts, packed as places in their alphabet."""
+def gram_codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of all texts, where each n-gram starts, its code, its text); equal n-grams have equal codes.
+
+    A code packs places in the alphabet of these texts; where too many different characters leave no room for all of
+    ``order``, codes are numbered anew before each further character.
+    """
     c = np.frombuffer("".join(BEGIN * (order - 1) + t + END for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     there = np.zeros(0x110000, bool)
     there[c] = True
-    alphabet = np.flatnonzero(there).astype(np.uint32)
     place = np.zeros(0x110000, np.uint64)
-    place[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    place[there] = np.arange(np.count_nonzero(there), dtype=np.uint64)
     ids = place[c]
-    bits = np.uint64(max(1, (len(alphabet) - 1).bit_length()))
-    if int(bits) * order > 64:
-        raise ValueError(f"{len(alphabet)} different characters in one block of text")
-    codes = ids[: len(ids) - order + 1].copy()
+    bits = max(1, (int(np.count_nonzero(there)) - 1).bit_length())
+    codes, used = ids[: len(ids) - order + 1].copy(), bits
     for j in range(1, order):
-        codes = (codes << bits) | ids[j : j + len(codes)]
+        if used + bits > 64:
+            codes = np.unique(codes, return_inverse=True)[1].astype(np.uint64)
+            used = len(codes).bit_length()
+        codes = (codes << np.uint64(bits)) | ids[j : j + len(codes)]
+        used += bits
     lengths = np.array([len(t) + order for t in texts], np.int64)
     doc = np.repeat(np.arange(len(texts)), lengths)[order - 1 :]
-    real = c[order - 1 :] != ord(BEGIN)
-    return alphabet, codes[real], doc[real]
+    real = np.flatnonzero(c[order - 1 :] != ord(BEGIN))
+    return c, real, codes[real], doc[real]
 
 
-def spelled(alphabet: np.ndarray, codes: np.ndarray, order: int) -> pa.Array:
-    """The n-grams themselves, as strings of exactly ``order`` characters."""
-    bits = np.uint64(max(1, (len(alphabet) - 1).bit_length()))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    chars = np.stack([alphabet[((codes >> (bits * np.uint64(order - 1 - j))) & mask).astype(np.int64)] for j in range(order)], axis=1)
+def spelled(c: np.ndarray, starts: np.ndarray, order: int) -> pa.Array:
+    """The n-grams that start there, as strings of exactly ``order`` characters."""
+    chars = np.stack([c[starts + j] for j in range(order)], axis=1)
     return pa.array(np.ascontiguousarray(chars, np.uint32).view(f"<U{order}").ravel())
 
 
-def _blocks(texts: list[tuple], size: int) -> Iterator[list[tuple]]:
+def _blocks(texts: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
     held, n = [], 0
     for row in texts:
         held.append(row)
@@ -117,9 +121,9 @@ def _trainer(order: int, block: int = 1 << 21):
                     by_lang.setdefault(lang, []).append((clean,))
             for lang, rows in by_lang.items():
                 for held in _blocks(rows, block):
-                    alphabet, codes, _ = gram_codes([r[0] for r in held], order)
-                    codes, counts = np.unique(codes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), spelled(alphabet, codes, order), pa.array(counts, pa.int64())], names=["lang", "g", "c"])
+                    c, starts, codes, _ = gram_codes([r[0] for r in held], order)
+                    _, at, counts = np.unique(codes, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), spelled(c, starts[at], order), pa.array(counts, pa.int64())], names=["lang", "g", "c"])
 
     return run
 
@@ -161,20 +165,6 @@ def train(packs: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFra
     return model
 
 
-def _shards(rows: Iterator[pa.RecordBatch], shard_chars: int) -> Iterator[tuple[int, list[tuple]]]:
-    """(shard, rows of (id, lang, text)): the same shards each time that a partition is read."""
-    part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
-    for batch in rows:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            held.append((row[0], row[1], prepared(row[2])))
-            n += len(held[-1][2])
-            if n >= shard_chars:
-                yield (part << 32) | seq, held
-                seq, held, n = seq + 1, [], 0
-    if held:
-        yield (part << 32) | seq, held
-
-
 def _by_lang(rows: list[tuple]) -> dict[str, list[tuple[int, str]]]:
     out: dict[str, list[tuple[int, str]]] = {}
     for i, (_, lang, text) in enumerate(rows):
@@ -183,25 +173,32 @@ def _by_lang(rows: list[tuple]) -> dict[str, list[tuple[int, str]]]:
     return out
 
 
-def _asker(order: int, shard_chars: int):
+def _packer(shard_chars: int):
+    """Rows (id, lang, text) as packs of about so many characters, each with a number of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _shards(batches, shard_chars):
-            for lang, texts in _by_lang(rows).items():
-                parts = []
-                for held in _blocks(texts, 1 << 21):
-                    alphabet, codes, _ = gram_codes([t for _, t in held], order)
-                    parts.append(spelled(alphabet, np.unique(codes), order))
-                grams = pa.chunked_array(parts).unique().sort() if len(parts) > 1 else parts[0]
-                for chunk in grams.chunks if isinstance(grams, pa.ChunkedArray) else [grams]:
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(chunk), pa.int64()), pa.array([lang] * len(chunk), pa.string()), chunk], names=["shard", "lang", "g"])
+        part, seq = TaskContext.get().partitionId(), 0
+        rows = ((i, lang, prepared(t)) for batch in batches for i, lang, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        for held in _blocks(rows, shard_chars):
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq], pa.int64()), pa.array([zstandard.compress(pickle.dumps(held), 3)], pa.binary())], names=["shard", "pack"])
+            seq += 1
 
     return run
 
 
-def _packer(shard_chars: int):
+def _asker(order: int):
+    """The distinct n-grams of each pack."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _shards(batches, shard_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([zstandard.compress(pickle.dumps(rows), 3)], pa.binary())], names=["shard", "pack"])
+        for shard, pack in ((s, p) for batch in batches for s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for lang, texts in _by_lang(pickle.loads(zstandard.decompress(pack))).items():
+                parts = []
+                for held in _blocks(texts, 1 << 21):
+                    c, starts, codes, _ = gram_codes([t for _, t in held], order)
+                    parts.append(spelled(c, starts[np.unique(codes, return_index=True)[1]], order))
+                grams = pa.chunked_array(parts).unique().sort() if len(parts) > 1 else parts[0]
+                for chunk in grams.chunks if isinstance(grams, pa.ChunkedArray) else [grams]:
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(chunk), pa.int64()), pa.array([lang] * len(chunk), pa.string()), chunk], names=["shard", "lang", "g"])
 
     return run
 
@@ -209,22 +206,23 @@ def _packer(shard_chars: int):
 def _scorer(order: int):
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, langs, lengths, sums = [], [], [], []
-        logs: dict = {}
-        for lang, g, p in zip(answers.column("lang").to_pylist(), answers.column("g").to_pylist(), answers.column("logp").to_pylist(), strict=True):
-            logs.setdefault(lang, {})[g] = p
+        answers = answers.combine_chunks()
         for pack in packs.column("pack").to_pylist():
             rows = pickle.loads(zstandard.decompress(pack))
             total: list = [None] * len(rows)
             for lang, texts in _by_lang(rows).items():
-                known = logs.get(lang)
-                if known is None:
+                own = answers.filter(pc.equal(answers.column("lang"), lang))
+                if not own.num_rows:
                     continue
+                grams, logs = own.column("g").combine_chunks(), own.column("logp").to_numpy()
                 for held in _blocks(texts, 1 << 21):
-                    alphabet, codes, doc = gram_codes([t for _, t in held], order)
-                    codes, at = np.unique(codes, return_inverse=True)
-                    values = np.array([known[g] for g in spelled(alphabet, codes, order).to_pylist()])  # a gram that was never asked for is an error
-                    own = np.bincount(doc, values[at], len(held))
-                    for (i, _), v in zip(held, own.tolist(), strict=True):
+                    c, starts, codes, doc = gram_codes([t for _, t in held], order)
+                    _, first, at = np.unique(codes, return_index=True, return_inverse=True)
+                    found = pc.index_in(spelled(c, starts[first], order), value_set=grams)
+                    if found.null_count:
+                        raise RuntimeError("an n-gram was never asked for")
+                    values = np.bincount(doc, logs[found.to_numpy()][at], len(held))
+                    for (i, _), v in zip(held, values.tolist(), strict=True):
                         total[i] = v
             for (doc_id, lang, text), v in zip(rows, total, strict=True):
                 ids.append(doc_id)
@@ -257,16 +255,16 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_c
     """(id, lang, n_chars, perplexity) of each row; n_chars counts the prepared text."""
     order = len(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    asked = shared_table(rows.mapInArrow(_asker(order, shard_chars), "shard long, lang string, g string"), "asked")
+    packs = shared_table(rows.mapInArrow(_packer(shard_chars), "shard long, pack binary"), "packs")  # written before anything is asked: a shard stays as it is
+    asked = shared_table(packs.mapInArrow(_asker(order), "shard long, lang string, g string"), "asked")
     answers = answers_of(shared_table(asked.select("lang", "g").distinct(), "wanted"), model)
     replies = asked.join(answers, ["lang", "g"]).select("shard", "lang", "g", "logp")
-    packs = rows.mapInArrow(_packer(shard_chars), "shard long, pack binary")
     scored = packs.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_scorer(order), "id long, lang string, n_chars long, logp double")
     return scored.select("id", "lang", "n_chars", F.exp(-F.col("logp") / (F.col("n_chars") + 1)).alias("perplexity"))
 
 
-def verdicts(scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
-    """``scored`` (id, lang, n_chars, perplexity) with threshold and accepted; ``trusted`` has the one column id."""
+def verdicts(scored: DataFrame, trusted: DataFrame, quantile: float, least: float) -> DataFrame:
+    """``scored`` (id, lang, n_chars, perplexity) with threshold, floor and accepted; ``trusted`` has the one column id."""
     y, x, root = F.log("perplexity"), 1 / (F.col("n_chars") + 1), 1 / F.sqrt(F.col("n_chars") + 1)
     known = scored.where("perplexity is not null").join(trusted, "id", "left_semi")
     slope = F.coalesce(F.regr_slope(y, x), F.lit(0.0))
@@ -278,17 +276,18 @@ def verdicts(scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFram
     spreads = known.join(levels, "lang").groupBy("lang", "level", "slope").agg(spread.alias("spread"), base.alias("base"))
     fitted = shared_table(spreads, "spreads")
     unit = F.col("base") + F.col("spread") * root
-    cuts = shared_table(known.join(fitted, "lang").groupBy("lang", "level", "slope", "spread", "base").agg(F.percentile_approx(off / unit, quantile, 10000).alias("cut")), "cuts")
-    # the document at the quantile is accepted in spite of rounding
-    threshold = F.exp(F.col("level") + F.col("slope") * x + F.col("cut") * unit) * (1 + 1e-9)
-    out = scored.join(cuts, "lang", "left").withColumn("threshold", threshold)
-    return out.select("id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("accepted"))
+    cuts = shared_table(known.join(fitted, "lang").groupBy("lang", "level", "slope", "spread", "base").agg(F.percentile_approx(off / unit, [least, quantile], 10000).alias("cut")), "cuts")
+    # the documents at the quantiles are accepted in spite of rounding
+    at = lambda i: F.exp(F.col("level") + F.col("slope") * x + F.get("cut", F.lit(i)) * unit)
+    out = scored.join(cuts, "lang", "left").withColumn("threshold", at(1) * (1 + 1e-9)).withColumn("floor", at(0) * (1 - 1e-9))
+    return out.select("id", "lang", "n_chars", "perplexity", "threshold", "floor", F.coalesce(F.col("perplexity").between(F.col("floor"), F.col("threshold")), F.lit(False)).alias("accepted"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """One row per input row: id, lang, n_chars, perplexity, threshold, accepted. ``trusted_ids`` has the one column ``id_col``."""
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, least: float = LEAST) -> DataFrame:
+    """One row per input row: id, lang, n_chars, perplexity, threshold, floor, accepted. ``trusted_ids`` has the one column ``id_col``."""
+    integer_id(docs, id_col)
     trusted = trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
     model = train(trusted_packs(docs, trusted, id_col, text_col, lang_col), order)
     scored = shared_table(perplexities(docs, model, id_col, text_col, lang_col), "perplexities")
-    out = verdicts(scored, trusted.select(F.col(id_col).cast("long").alias("id")), quantile)
-    return out.select(F.col("id").alias(id_col), F.nullif(F.col("lang"), F.lit("")).alias("lang"), "n_chars", "perplexity", "threshold", "accepted")
+    out = verdicts(scored, trusted.select(F.col(id_col).cast("long").alias("id")), quantile, least)
+    return out.select(F.col("id").alias(id_col), F.nullif(F.col("lang"), F.lit("")).alias("lang"), "n_chars", "perplexity", "threshold", "floor", "accepted")
