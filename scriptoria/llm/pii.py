@@ -1,7 +1,8 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Numbers and dates that pass their validity test are permuted under a key within their own format: a payment card
-stays a card with a right check digit, an IPv4 address stays one, a calendar date stays one between 1900 and 2099.
+stays a card with a right check digit, an account number (IBAN) keeps its country and gets right check digits, an IPv4
+address stays one, a calendar date stays one between 1900 and 2099, in the order and with the signs and zeros it had.
 Equal values get equal pseudonyms in every document, however they are punctuated, so records stay linked. The
 permutation is a Feistel network over two moduli whose product is the size of the format; each round adds a keyed
 SHA-256 value of the other half. A mail address has no number to permute: both its parts become keyed digests under
@@ -10,7 +11,11 @@ the reserved domain ``example.invalid``, so it stays an address and stays linked
 Cards are looked for between the other findings, in whole runs of digits with single blanks or hyphens: of a run's
 groups, the leftmost that start a valid card are taken with as many more as still make one, and the search goes on
 behind it. A phone number in brackets or after +1 may have any area code and exchange; numbers of each validity are
-permuted among themselves, so that a number has one pseudonym in every form.
+permuted among themselves, so that a number has one pseudonym in every form. After another country code in front of
+2 to 4 groups the 6 to 12 digits behind the code are permuted. A date of two numbers and a year is day and month if that
+is a date, else month and day.
+
+The key is one row of a table that a scalar subquery reads: it stands in no plan, and so in no log of plans.
 
 Only built-in functions are used. Defined results: null text stays null; what fails its validity test stays as it
 is; texts without findings come back unchanged; an empty table gives an empty result; other columns are untouched.
@@ -21,29 +26,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.settle import settled
 from .common import fresh_name
 
 ROUNDS = 10
 #: The patterns, in the order in which they are tried at a place.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9]|-[0-9])"
+DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}(?:-[01]?[0-9]-[0-3]?[0-9]|/[01]?[0-9]/[0-3]?[0-9]|\.[01]?[0-9]\.[0-3]?[0-9])|[0-3]?[0-9](?:/[0-3]?[0-9]/|\.[0-3]?[0-9]\.|-[0-3]?[0-9]-)(?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9])(?:(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}|\+1[ .-]?[0-9]{3}[ .-][0-9]{3}|(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2})[ .-][0-9]{4}(?![0-9])"
+FOREIGN = r"(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]\(?[0-9]{2,8}\)?){2,4}(?![0-9]|[ .-][0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
-ANY = "|".join((MAIL, IPV4, DATE, SSN, PHONE))
-KINDS = (("mail", MAIL), ("ipv4", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("card", CARD))
+ANY = "|".join((MAIL, IPV4, DATE, SSN, PHONE, IBAN, FOREIGN))
+KINDS = (("mail", MAIL), ("ipv4", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("iban", IBAN), ("foreign", FOREIGN), ("card", CARD))
 #: Digits of a card number.
 LEAST_CARD, MOST_CARD = 13, 19
 #: Days from 1900-01-01 to 2099-12-31, and two factors of that number.
 DAYS = (17, 4297)
 
 
-def feistel(key: str, tag: str, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
+def feistel(key: Column, tag: str, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
     """struct<a,b>: the permuted halves, a under ``left_size`` and b under ``right_size``."""
 
     def keyed(i: Column, half: Column) -> Column:
-        return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
+        return F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(tag), i.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
     def step(acc: Column, i: Column) -> Column:
         odd = i % 2 == 1
@@ -72,15 +80,39 @@ def _into(shape: Column, digits: Column) -> Column:
     return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]") & (F.length(_digits(F.substr(shape, F.lit(1), i + 1))) > more), F.substr(digits, F.length(_digits(F.substr(shape, F.lit(1), i + 1))) - more, F.lit(1))).otherwise(c)), "")
 
 
+def _digit_string(digits: Column, key: Column, tag: str) -> Column:
+    """The pseudonym of a string of 2 to 30 digits among those of its length."""
+    size = lambda n: F.element_at(F.array(*[F.lit(10**i) for i in range(1, 16)]), n)
+
+    def whole(half: Column, rest: Column) -> Column:
+        f = feistel(key, tag, F.substr(digits, F.lit(1), half).cast("long"), F.substr(digits, half + 1, rest).cast("long"), size(half), size(rest))
+        return _one(f, lambda r: F.concat(F.lpad(r["a"].cast("string"), half, F.lit("0")), F.lpad(r["b"].cast("string"), rest, F.lit("0"))))
+
+    half = F.floor(F.length(digits) / 2).cast("int")
+    return whole(half, F.length(digits) - half)
+
+
+def _mod97(x: Column) -> Column:
+    """The remainder of a string whose capitals stand for the numbers from 10 on."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
+def _respaced(shape: Column, letters: Column) -> Column:
+    """``letters`` with blanks where ``shape`` has them."""
+    at = lambda i: F.length(F.replace(F.substr(shape, F.lit(1), i + 1), F.lit(" "), F.lit("")))
+    return F.array_join(F.transform(F.filter(F.split(shape, ""), lambda c: c != ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(letters, at(i), F.lit(1)))), "")
+
+
 def _one(value: Column, build) -> Column:
     """``build`` of a computed value that is used more than once: it is computed once."""
     return F.element_at(F.transform(F.array(value), build), 1)
 
 
-def pseudonym(kind: str, piece: Column, key: str) -> Column:
+def pseudonym(kind: str, piece: Column, key: Column) -> Column:
     """The pseudonym of a piece of this kind; null if it fails the validity test."""
     if kind == "mail":
-        return F.concat(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(piece)), 256), 1, 16), F.lit("@example.invalid"))
+        return F.concat(F.substring(F.sha2(F.concat_ws("|", key, F.lit("mail"), F.lower(piece)), 256), 1, 16), F.lit("@example.invalid"))
     if kind == "ipv4":
         parts = F.transform(F.split(piece, r"\."), lambda x: x.cast("long"))
 
@@ -90,12 +122,26 @@ def pseudonym(kind: str, piece: Column, key: str) -> Column:
 
         return _one(parts, address)
     if kind == "date":
-
-        def day(n: Column) -> Column:
+        first = F.lit("1900-01-01").cast("date")
+        numbers = F.transform(F.split(piece, "[/.-]"), lambda x: x.cast("int"))
+        made = lambda y, m, d: F.datediff(F.try_to_date(F.concat_ws("-", y.cast("string"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd"), first)
+        # in front of a year at the end: day and month, else month and day
+        year_first = F.get(F.split(piece, "[/.-]"), F.lit(0))
+        orders = lambda n: F.when(F.length(year_first) == 4, F.struct(made(F.get(n, F.lit(0)), F.get(n, F.lit(1)), F.get(n, F.lit(2))).alias("n"), F.lit("ymd").alias("order"))).otherwise(F.coalesce(F.when(made(F.get(n, F.lit(2)), F.get(n, F.lit(1)), F.get(n, F.lit(0))).isNotNull(), F.struct(made(F.get(n, F.lit(2)), F.get(n, F.lit(1)), F.get(n, F.lit(0))).alias("n"), F.lit("dmy").alias("order"))), F.struct(made(F.get(n, F.lit(2)), F.get(n, F.lit(0)), F.get(n, F.lit(1))).alias("n"), F.lit("mdy").alias("order"))))
+        sign = F.regexp_extract(piece, "[/.-]", 0)
+        padded = ~piece.rlike("(?:^|[/.-])[0-9](?:[/.-]|$)")
+
+        def written(day: Column, order: Column) -> Column:
+            two = lambda pattern, short: F.when(padded, F.date_format(day, pattern)).otherwise(F.date_format(day, short))
+            y, m, d = F.date_format(day, "yyyy"), two("MM", "M"), two("dd", "d")
+            return F.when(order == "ymd", F.concat(y, sign, m, sign, d)).when(order == "dmy", F.concat(d, sign, m, sign, y)).otherwise(F.concat(m, sign, d, sign, y))
+
+        def day(x: Column) -> Column:
+            n = x["n"]
             f = feistel(key, kind, F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
-            return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), _one(f, lambda r: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (r["a"] * DAYS[1] + r["b"]).cast("int")), "yyyy-MM-dd")))
+            return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), _one(f, lambda r: _one(F.date_add(first, (r["a"] * DAYS[1] + r["b"]).cast("int")), lambda d: written(d, x["order"]))))
 
-        return _one(F.datediff(F.try_to_date(piece, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date")), day)
+        return _one(numbers, lambda n: _one(orders(n), day))
     digits = _digits(piece)
     if kind == "ssn":
 
@@ -118,16 +164,25 @@ def pseudonym(kind: str, piece: Column, key: str) -> Column:
             return _one(f, lambda r: _into(piece, F.concat(F.lpad((r["a"] + area_from).cast("string"), 3, "0"), F.lpad((r["b"] + rest_from).cast("string"), 7, "0"))))
 
         return _one(F.substring(digits, -10, 10), line)
+    if kind == "foreign":
+        code = F.regexp_extract(piece, r"^\+[0-9]+", 0)
+        return _one(F.substr(digits, F.length(code), F.lit(40)), lambda d: F.when(F.length(d).between(6, 12), _one(_digit_string(d, key, kind), lambda w: _into(piece, w))))
+    if kind == "iban":
+
+        def account(x: Column) -> Column:
+            body = F.substring(x, 5, 40)
+            number = _digits(body)
+            whole = _one(_digit_string(number, key, kind), lambda w: _into(body, w))
+            fresh = _one(whole, lambda w: F.concat(F.substring(x, 1, 2), F.lpad((98 - _mod97(F.concat(w, F.substring(x, 1, 2), F.lit("00")))).cast("string"), 2, "0"), w))
+            valid = (_mod97(F.concat(body, F.substring(x, 1, 4))) == 1) & (F.length(number) >= 2)
+            return F.when(valid, _one(fresh, lambda w: _respaced(piece, w)))
+
+        return _one(F.replace(piece, F.lit(" "), F.lit("")), account)
     assert kind == "card"
 
     def card(d: Column) -> Column:
-        body = F.length(d) - 1
-        half = F.floor(body / 2).cast("int")
-        rest = body - half
-        size = lambda n: F.element_at(F.array(*[F.lit(10**i) for i in range(1, 11)]), n)
-        f = feistel(key, "card", F.substr(d, F.lit(1), half).cast("long"), F.substr(d, half + 1, rest).cast("long"), size(half), size(rest))
-        front = lambda r: F.concat(F.lpad(r["a"].cast("string"), half, F.lit("0")), F.lpad(r["b"].cast("string"), rest, F.lit("0")))
-        whole = _one(f, lambda r: _one(front(r), lambda b: F.concat(b, (F.pmod(-_luhn_sum(F.concat(b, F.lit("0"))), F.lit(10))).cast("string"))))
+        front = _digit_string(F.substr(d, F.lit(1), F.length(d) - 1), key, kind)
+        whole = _one(front, lambda b: F.concat(b, (F.pmod(-_luhn_sum(F.concat(b, F.lit("0"))), F.lit(10))).cast("string")))
         return F.when(_luhn_sum(d) % 10 == 0, _one(whole, lambda w: _into(piece, w)))
 
     return _one(digits, card)
@@ -145,7 +200,7 @@ def _part(gap: Column, old: Column | None = None, kind: Column | None = None, ne
     return F.struct(gap.alias("gap"), (null if old is None else old).alias("old"), (null if kind is None else kind).alias("kind"), (null if new is None else new).alias("new"))
 
 
-def _run_parts(run: Column, key: str) -> Column:
+def _run_parts(run: Column, key: Column) -> Column:
     """The parts of a run of digits: cards, and what stands between them."""
 
     def of_groups(groups: Column) -> Column:
@@ -176,15 +231,21 @@ def _run_parts(run: Column, key: str) -> Column:
     return _one(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), of_groups)
 
 
-def _gap_parts(gap: Column, key: str) -> Column:
+def _gap_parts(gap: Column, key: Column) -> Column:
     """The parts of a stretch between the findings of the other kinds."""
     pairs = F.zip_with(F.split(gap, CARD, -1), F.regexp_extract_all(gap, F.lit(CARD), F.lit(0)), lambda g, run: F.when(run.isNull(), F.array(_part(g))).otherwise(F.concat(F.array(_part(g)), _run_parts(run, key))))
     return F.when(gap.rlike(CARD), F.flatten(pairs)).otherwise(F.array(_part(gap)))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:
-    """``docs`` with the text pseudonymised; ``counts_col``, if named, gets struct<mail,ipv4,date,ssn,phone,card>."""
+    """``docs`` with the text pseudonymised; ``counts_col``, if named, gets a struct of counts by kind (its name may get
+    underscores, so that it is no column of ``docs``)."""
     text = F.col(text_col)
+    names = list(docs.columns)
+    key_col, parts_col = fresh_name(names, "pii_key"), fresh_name(names, "pii_parts")
+    secret = docs.sparkSession.createDataFrame([(key,)], "k string")
+    docs = settled(docs.withColumn(key_col, secret.scalar()), key_col)
+    key = F.col(key_col)
 
     def replaced(piece: Column) -> Column:
         which = F.lit(None).cast("struct<kind:string,new:string>")
@@ -197,7 +258,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col:
     gaps = F.transform(F.split(text, ANY, -1), lambda g: _gap_parts(g, key))
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced)
     parts = F.when(text.rlike(f"{ANY}|{CARD}"), F.flatten(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(m, F.array().cast(f"array<{PART}>"))))))
-    parts_col = fresh_name(docs.columns, "pii_parts")
     rows = docs.withColumn(parts_col, parts)
     new_text = F.when(F.col(parts_col).isNull(), text).otherwise(F.array_join(F.transform(parts_col, lambda x: F.concat(x["gap"], F.coalesce(x["new"], x["old"], F.lit("")))), ""))
     out = []
@@ -205,5 +265,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col:
         of_kind = lambda kind: lambda x: (x["kind"] == kind) & x["new"].isNotNull()
         counts = F.struct(*[F.size(F.filter(parts_col, of_kind(kind))).alias(kind) for kind, _ in KINDS])
         zero = F.struct(*[F.lit(0).alias(kind) for kind, _ in KINDS])
-        out = [F.when(F.col(parts_col).isNull(), zero).otherwise(counts).alias(counts_col)]
-    return rows.select(*[new_text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *out)
+        out = [F.when(F.col(parts_col).isNull(), zero).otherwise(counts).alias(fresh_name(names, counts_col))]
+    return rows.select(*[new_text.alias(c) if c == text_col else F.col(c) for c in names], *out)
