@@ -7,10 +7,11 @@ distinct texts (suffix array, wavelet matrix), searches all windows backwards at
 sampled suffix positions and merges them into removal spans. Nothing is shuffled; a lost task is run again from its
 input.
 
-Test items reach the tasks in blocks of at most ``block_bytes`` of text: each block is one more pass over the rows.
+Test items reach the tasks as broadcasts of at most ``block_bytes`` of text: each block is one more pass over the rows,
+so that a worker holds one block's windows at a time.
 
 Defined results: null texts have no words and no spans; a test item without words has no window; occurrences of an
-item without an id count for the spans but are not listed; repeated rows each get their own result; without test
+item without an id count for the spans but are not listed; ids of any type are listed as strings, in string order; repeated rows each get their own result; without test
 items nothing is contaminated; an empty table gives an empty result; other columns are untouched.
 """
 
@@ -43,9 +44,9 @@ def words_of(text: bytes) -> list[bytes]:
 class Windows:
     """The windows of a block of test items, as symbols; 0 ends a document, 1 is any word that no item has."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.symbol: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        owners: dict[tuple[int, ...], set[str]] = {}
         for item_id, text in items:
             words = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in words_of(text)]
             for i in range(max(1, len(words) - window + 1) if words else 0):
@@ -56,7 +57,7 @@ class Windows:
         for i, phrase in enumerate(owners):
             self.reversed[i, : len(phrase)] = phrase[::-1]
 
-    def in_shard(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[int]]]:
+    def in_shard(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
         """For each text: number of words, merged spans of words, ids of items with an occurrence."""
         n_words, symbols = [], []
         for text in texts:
@@ -64,7 +65,7 @@ class Windows:
             n_words.append(len(words))
             symbols.append(np.fromiter(chain(map(self.symbol.get, words, repeat(1)), (0,)), np.int32, len(words) + 1))
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[int]] = [set() for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
         if not len(self.lengths) or not texts:
             return n_words, spans, [[] for _ in texts]
         whole = np.concatenate(symbols)
@@ -105,12 +106,12 @@ def _merged(a: list[dict], b: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _pass(windows: Windows, text_col: str, keep: list[str], names: tuple[str, str, str], shard_words: int, later: bool):
+def _pass(block, text_col: str, keep: list[str], names: tuple[str, str, str], shard_words: int, later: bool):
     """A mapInArrow function that adds the three columns, or, if ``later``, merges into those that are there."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def annotate(batches: list[pa.RecordBatch], shard: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        n_words, spans, items = windows.in_shard(list(shard))
+        n_words, spans, items = block.value.in_shard(list(shard))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
             of = [shard[t or b""] for t in texts]
@@ -122,7 +123,7 @@ def _pass(windows: Windows, text_col: str, keep: list[str], names: tuple[str, st
                 span_rows = [[{"start": a, "end": b} for a, b in spans[k]] for k in of]
                 item_rows = [items[k] for k in of]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            columns += [pa.array([n_words[k] for k in of], pa.int64()), pa.array(span_rows, span_type), pa.array(item_rows, pa.list_(pa.int64()))]
+            columns += [pa.array([n_words[k] for k in of], pa.int64()), pa.array(span_rows, span_type), pa.array(item_rows, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """The columns ``keep`` of docs (default: all) with three more, and their names: n_words, spans, items."""
     keep = list(docs.columns) if keep is None else list(keep)
     names = tuple(fresh_name([*docs.columns, *keep], n) for n in ("n_words", "spans", "items"))
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).cast("binary").alias("t"))
+    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).cast("binary").alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     out, carried = docs, [*dict.fromkeys([*keep, text_col])]
@@ -160,9 +161,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         last = b == blocks - 1
         kept = keep if last else carried
         types = {f.name: f.dataType for f in docs.schema.fields}
-        schema = T.StructType([T.StructField(c, types[c]) for c in kept] + [T.StructField(names[0], T.LongType()), T.StructField(names[1], SPANS), T.StructField(names[2], T.ArrayType(T.LongType()))])
+        schema = T.StructType([T.StructField(c, types[c]) for c in kept] + [T.StructField(names[0], T.LongType()), T.StructField(names[1], SPANS), T.StructField(names[2], T.ArrayType(T.StringType()))])
         needed = [*carried, *(names[1:] if b else ())]
-        out = out.select(*needed).mapInArrow(_pass(Windows([(r["i"], bytes(r["t"])) for r in part], window), text_col, kept, names, shard_words, b > 0), schema)
+        block = docs.sparkSession.sparkContext.broadcast(Windows([(r["i"], bytes(r["t"])) for r in part], window))
+        out = out.select(*needed).mapInArrow(_pass(block, text_col, kept, names, shard_words, b > 0), schema)
     return out, names
 
 

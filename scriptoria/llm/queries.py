@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, langid, licenses, mixing, near_dedup, pii, quality, secrets, token_counts
+from .common import shared_dir
 
-#: The key of the pseudonyms: set ``spark.scriptoria.pii.key`` in production; the default serves tests only.
+#: The key of the pseudonyms: ``spark.scriptoria.pii.key``; the other one serves tests, on a local master alone.
 PII_KEY_CONF, PII_TEST_KEY = "spark.scriptoria.pii.key", "not-a-secret"
 
 
@@ -18,7 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    # documents arrive in two loads, which together are all of them; the second scan runs on blobs that the first lacks alone
+    load = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(2))
+    for number in range(2):
+        ledger.scan(f"load-{number}", docs.where(load == number))
+    found = ledger.findings(docs, ["doc_id"])
     of = lambda kinds: F.filter("findings", lambda f: f["kind"].isin(*kinds))
     counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(secrets.joined_spans(of(secrets.BASE_KINDS)), 256).alias("base_sha256"), secrets.joined_spans(F.col("findings")).alias("spans"))
@@ -58,7 +66,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get(PII_KEY_CONF, PII_TEST_KEY)
+    key = spark.conf.get(PII_KEY_CONF, PII_TEST_KEY if spark.sparkContext.master.startswith("local") else None)
+    if not key:
+        raise ValueError(f"set {PII_KEY_CONF}")
     masked = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key, counts_col="found")
     return masked.select("doc_id", "text", *[F.col(f"found.{kind}").cast("long").alias(f"n_{kind}") for kind, _ in pii.KINDS])
 
@@ -69,7 +79,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, (n_words, spans, items) = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    names = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
+    names = F.array_join(items, ",")
     return found.select("doc_id", F.col(n_words).alias("n_words"), decontaminate.hit_words(F.col(spans)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), decontaminate.contaminated(F.col(n_words), F.col(spans)).alias("contaminated"))
 
 
@@ -118,16 +128,15 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
 
 
 def _op6_sql() -> str:
-    sets = licenses.template_words(licenses.TEMPLATES)
-    longest = max(len(text.split()) for _, text in licenses.TEMPLATES)
-    values = ", ".join(f"('{label}', {words!r})" for label, words in sets)
+    sets = licenses.template_sets(licenses.TEMPLATES)
+    values = ", ".join(f"('{label}', {step}, {words!r})" for label, step, words in sets)
     phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in licenses.PHRASES)
-    return f"""with d as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
-phrases(label, ws) as (values {phrases}), templates(label, ws) as (values {values}),
+    return f"""with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+phrases(label, ws) as (values {phrases}), templates(label, step, ws) as (values {values}), steps as (select distinct step from templates),
 places as (select doc_id, label, i from (select doc_id, label, ws, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = ws[1])) as i from d, phrases) where w[i:i + len(ws) - 1] = ws),
 base as (select doc_id, count(*) as n, min(i) - 1 as f, max(i) - 1 as l, string_agg(distinct label, ',' order by label) as b, list(distinct label) as ls from places group by doc_id),
-blocks as (select doc_id, w[i:i + {2 * longest - 1}] as b from (select doc_id, w, unnest(range(1, greatest(1, len(w)) + 1, {longest})) as i from d)),
-found as (select doc_id, label, max(len(list_intersect(ws, b)) / len(ws)::double) as c from blocks, templates where len(list_intersect(ws, b)) >= ceil({licenses.THRESHOLD} * len(ws) - 1e-9) group by doc_id, label),
+blocks as (select doc_id, step, w[i:i + 2 * step - 1] as b from (select doc_id, step, w, unnest(range(1, greatest(1, len(w)) + 1, step)) as i from d, steps)),
+found as (select doc_id, label, max(len(list_intersect(ws, b)) / len(ws)::double) as c from blocks join templates using (step) where len(list_intersect(ws, b)) >= ceil({licenses.THRESHOLD} * len(ws) - 1e-9) group by doc_id, label),
 best as (select doc_id, max(c) as s, list(label) as ls from found group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, f::bigint as first_word, l::bigint as last_word, coalesce(b, '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(best.ls, [])))), ','), '') as labels, coalesce(s, 0.0)::double as score
@@ -143,8 +152,8 @@ e as (select u, v from l union all select v, u from l),
 r(id, c) as (select doc_id, doc_id from documents union select e.v, r.c from r join e on e.u = r.id)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, doc_id = c as kept from (select id as doc_id, min(c) as c from r group by id) left join n using (doc_id)"""
 
-_OP10_SQL = """with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
-bw as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
+_OP10_SQL = """with dw as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+bw as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
 win as (select distinct item_id, least(13, len(w)) as k, array_to_string(w[i:i + 12], ' ') as g from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as i from bw where len(w) > 0)),
 ks as (select distinct k from win),
 grams as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from dw, ks where len(w) >= k)),

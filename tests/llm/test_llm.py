@@ -54,6 +54,20 @@ def test_secret_ledger_scans_only_what_is_new(spark, odd, none):
     assert secrets.scan_secrets(odd, ["doc_id"])[0].count() == len(ODD) and secrets.scan_secrets(none, ["doc_id"])[0].count() == 0
 
 
+def test_secret_ledger_of_versions_in_committed_batches(spark, tmp_path):
+    """Two versions of one path; a scan that is sent again, a torn one, and rows that came in twice change no finding."""
+    versions = spark.createDataFrame([("a", 1, "token=abcdef1"), ("a", 2, "token=abcdef1 and secret: zzzzzz"), ("b", 1, None)], "path string, version int, text string")
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.findings(versions, ["path", "version"]).count() == 3
+    assert ledger.scan("one", versions.where("version = 1")) and ledger.scan("two", versions)
+    assert ledger.rows(["two"]).count() == 1  # the blobs of the first scan are not scanned again
+    assert not ledger.scan("two", versions.limit(0))
+    ledger.commit("copied", ledger.rows(["one"]))
+    (tmp_path / "ledger" / "torn").mkdir()
+    found = {(r["path"], r["version"]): len(r["findings"]) for r in ledger.findings(versions, ["path", "version"]).collect()}
+    assert found == {("a", 1): 1, ("a", 2): 2, ("b", 1): 0} and ledger.batches() == ["copied", "one", "two"]
+
+
 # 2 mixing
 
 
@@ -74,6 +88,26 @@ def test_mixing_meets_its_targets(spark, odd, none):
     assert max(r[1] for r in limited) == 2
     assert mixing.mixture(docs, cover=True).where("copies < 1").count() == 0
     assert mixing.mixture(odd).count() == len(ODD) and mixing.mixture(none).count() == 0
+    sources = docs.groupBy("source").agg((F.count(F.lit(1)) * 10).alias("tokens"))
+    t = mixing.bisect_exponent(sources, 0.95, 10.0, 10000)
+    assert mixing.targets_met(sources, t, 0.95, 10.0, 10000) == {"entropy": True, "epochs": True}
+    t = mixing.bisect_exponent(sources, None, 2.0, 100000)
+    assert mixing.targets_met(sources, t, None, 2.0, 100000) == {"epochs": False}
+
+
+def test_mixing_places_rows_and_not_ids(spark, odd, none):
+    """Rows of one id with different texts, rows without an id, names that are taken."""
+    rows = [(1, "a b", "en", "s", 3), (1, "a b c d", "en", "s", 7), (None, "e", "en", "s", 1), (None, "f g", "en", None, 3), (1, "a b", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("Copies", F.lit("x")).withColumn("block", F.lit(1)).withColumn("n_tokens", F.lit(2))
+    out, (n, copies, start) = mixing.with_places(docs, cover=True)
+    assert out.columns == [*docs.columns, n, copies, start] and len({c.lower() for c in out.columns}) == len(out.columns)
+    got = out.where("source = 's'").orderBy(start).collect()
+    assert sorted((r["text"], r[n]) for r in got) == [("a b", 2), ("a b", 2), ("a b c d", 4), ("e", 1)]
+    at = 0
+    for r in got:
+        assert r[start] == at and r[copies] >= 1
+        at += r[n]
+    assert mixing.with_places(none)[0].count() == 0 and mixing.with_places(odd)[0].count() == len(ODD)
 
 
 @pytest.mark.parametrize("tokens", [[1000000, 300000, 100000, 30000, 10000, 3000], [500000] + [50000] * 9 + [500]])
@@ -100,7 +134,7 @@ def test_language_like_brute_force(spark, sf_dir):
     rows = docs.where(~langid.held_out(F.col("doc_id"))).collect()
 
     def grams(t):
-        t = re.sub(r"[\W\d_]+", " ", (t or "").lower()).strip()
+        t = " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split())
         t = f" {t} " if t else ""
         return Counter(t.replace(" ", "")) + Counter(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1))
 
@@ -113,19 +147,36 @@ def test_language_like_brute_force(spark, sf_dir):
         sums[r["lang"]].update(grams(r["text"]))
     profiles = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in sums.items()}
     got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 12)) for r in queries.op3_language_id(spark, sf_dir).collect()}
-    for r in docs.limit(60).collect():
+    for r in docs.collect():
         own = top(grams(r["text"]))
+        if not own:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
         scores = {lang: 1 - sum(abs(p[g] - i) if g in p else langid.SIZE for i, g in enumerate(own)) / (len(own) * langid.SIZE) for lang, p in profiles.items()}
         best = max(sorted(scores), key=scores.get)
         assert got[r["doc_id"]] == (best, round(scores[best], 12))
 
 
+PROFILE = "lang string, code long, rank int"
+
+
 def test_language_odd_rows(spark, odd, none):
-    found, (lang, score) = langid.identify(odd, {"en": [ord("o")]})
+    english = spark.createDataFrame([("en", ord("o"), 1)], PROFILE)
+    found, (lang, score) = langid.identify(odd, english)
     got = [(r["doc_id"], r[lang], r[score] > 0) for r in found.collect()]
     assert sorted(got) == [(1, "und", False), (2, "und", False), (3, "und", False), (4, "en", True), (4, "en", True), (5, "en", True), (6, "und", False)]
-    assert {r[lang] for r in langid.identify(odd, {})[0].collect()} == {"und"}
-    assert langid.learn(none) == {} and langid.identify(none, {"en": [1]})[0].count() == 0
+    assert {r[lang] for r in langid.identify(odd, english.limit(0))[0].collect()} == {"und"}
+    assert langid.learn(none).count() == 0 and langid.identify(none, english)[0].count() == 0
+
+
+def test_language_of_number_signs_ties_and_many_languages(spark):
+    docs = spark.createDataFrame([(1, "½ ²"), (2, "ⅷ ①"), (3, "oo ½"), (4, "zz")], "doc_id long, text string")
+    rows = [(f"l{i:02d}", ord(c), 1) for i, c in enumerate("xyzzoo")]
+    profiles = spark.createDataFrame(rows, PROFILE)
+    for block in (1000, 2, 1):  # however many passes it takes, of equal languages the first name
+        found, (lang, score) = langid.identify(docs, profiles, block_langs=block)
+        got = {r["doc_id"]: (r[lang], r[score] > 0) for r in found.collect()}
+        assert got == {1: ("und", False), 2: ("und", False), 3: ("l04", True), 4: ("l02", True)}
 
 
 # 4 token counts
@@ -150,8 +201,12 @@ def test_rollup_like_brute_force_and_idempotent(spark, sf_dir, tmp_path, none):
     assert got == {k: tuple(v) for k, v in want.items()}
     assert not rollup.commit("load-0", rollup.totals())  # committed already: nothing changes
     assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()} == got
-    (tmp_path / "r" / "torn").mkdir()  # a batch that failed halfway has no marker
-    assert "torn" not in rollup.batches() and rollup.totals().count() == len(got)
+    (tmp_path / "r" / "v999999999999").mkdir()  # a commit that failed halfway has no marker
+    assert rollup.batches() == ["delete", "load-0", "load-1", "load-2", "load-3", "revise"] and rollup.totals().count() == len(got)
+    assert len(rollup.versions.batches()) == 2  # older versions of the totals are gone
+    delta = spark.createDataFrame([("new", None, "t", 1, 5)], token_counts.DELTA)
+    assert rollup.commit("more", delta) and rollup.totals().where("source = 'new'").first()["n_tokens"] == 5 and rollup.totals().count() == len(got) + 1
+    assert rollup.commit("less", delta.selectExpr("source", "lang", "tokenizer", "-n_docs as n_docs", "-n_tokens as n_tokens")) and rollup.totals().count() == len(got)
     with pytest.raises(ValueError, match="batch id"):
         rollup.commit("a/b", rollup.totals())
     empty = token_counts.Rollup(spark, f"file://{tmp_path}/none")
@@ -160,6 +215,11 @@ def test_rollup_like_brute_force_and_idempotent(spark, sf_dir, tmp_path, none):
 
 def test_token_counts_of_odd_rows(spark, odd):
     got = token_counts.count_tokens(odd).where("tokenizer = 'byte-bpe-50k'").collect()
+    assert all(r["n_squeezed"] is None for r in got)
+    again = token_counts.count_tokens(odd, revised=spark.createDataFrame([(5,), (99,)], "id long")).where("tokenizer = 'byte-bpe-50k' and n_squeezed is not null").collect()
+    assert [(r["doc_id"], r["n_squeezed"] < r["n_tokens"]) for r in again] == [(5, True)]
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_counts.count_tokens(odd.withColumn("doc_id", F.lit("x")))
     assert sorted((r["doc_id"], r["n_tokens"] > 0) for r in got) == [(1, False), (2, False), (3, True), (4, True), (4, True), (5, True), (6, True)]
 
 
@@ -192,11 +252,37 @@ def test_license_odd_rows_and_places(spark, odd, none):
     assert (got[1]["n_words"], places["n"], places["first"], places["last"]) == (9, 3, 1, 7)
     assert got[2]["template_labels"] == ["mit-notice"] and got[2]["score"] == 1.0
     assert got[3]["template_labels"] == ["cc-by-nc-4.0"] and got[3]["n_words"] == 607
+    kelvin = licenses.license_scan(spark.createDataFrame([(1, "this wor\u212a is MIT LICENSE")], "doc_id long, text string")).first()
+    assert kelvin["n_words"] == 5 and kelvin["phrases"][0]["places"]["n"] == 1
     assert licenses.license_scan(none).count() == 0
     rows = sorted((r["doc_id"], r["n_words"], r["score"]) for r in licenses.license_scan(odd).collect())
     assert rows == [(1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0), (4, 1, 0.0), (4, 1, 0.0), (5, 2, 0.0), (6, 2, 0.0)]
 
 
+def test_license_texts_like_brute_force(spark):
+    """Every template among other words, cut up to the threshold and beyond it, against all its blocks."""
+    rng = random.Random(9)
+    filler = [f"filler{i}" for i in range(50)] + ["the", "of", "software", "license", "copyright"]
+    texts = []
+    for _, text in licenses.TEMPLATES:
+        words = licenses.word_list(text)
+        for gone in (0, max(1, len(words) // 12), len(words) // 5):
+            kept = [w for i, w in enumerate(words) if i not in set(rng.sample(range(len(words)), gone))]
+            texts.append(" ".join([rng.choice(filler) for _ in range(rng.randint(0, 400))] + kept + [rng.choice(filler) for _ in range(rng.randint(0, 90))]))
+    want = set()
+    for i, text in enumerate(texts):
+        words = licenses.word_list(text)
+        for label, step, own in licenses.template_sets(licenses.TEMPLATES):
+            held = max(len(set(own) & set(words[at : at + 2 * step])) for at in range(0, max(1, len(words)), step))
+            if held >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9):
+                want.add((i, label))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], label) for r in licenses.license_scan(docs).collect() for label in r["template_labels"]}
+    assert got == want and len(want) > 40
+    with pytest.raises(ValueError, match="in parts"):
+        licenses.license_scan(docs, templates=(("long", " ".join(map(str, range(licenses.MOST_WORDS + 1)))),))
+
+
 # 7 quality
 
 
@@ -240,6 +326,40 @@ def test_perplexity_like_brute_force(spark):
         assert abs(got[i] / want - 1) < 1e-5
 
 
+def test_grams_of_any_alphabet():
+    rng = random.Random(2)
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) if rng.random() < 0.5 else chr(rng.randrange(0x10000, 0x30000)) for _ in range(150_000))
+    assert len(set(wide)) > 65_536
+    for texts in ([wide, "ab"], ["abab", "ba"]):
+        c, starts, codes, doc = quality.gram_codes(texts, 4)
+        grams = quality.spelled(c, starts, 4).to_pylist()
+        whole = ["".join((quality.BEGIN * 3 + t + quality.END)[i : i + 4]) for t in texts for i in range(len(t) + 1)]
+        assert grams == whole and len(set(codes.tolist())) == len(set(grams))
+        assert len({(g, k) for g, k in zip(grams, codes.tolist(), strict=True)}) == len(set(grams)) and doc.tolist() == [i for i, t in enumerate(texts) for _ in range(len(t) + 1)]
+
+
+def test_quality_verdicts_like_numpy(spark):
+    """Thresholds, floors and verdicts of given perplexities against the fit in NumPy; what repeats itself is under the floor."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = rng.integers(20, 4000, 2000)
+    y = 1.5 + 8 / (n + 1) + rng.normal(0, 0.02 + 0.8 / np.sqrt(n + 1))
+    y[:5], y[5:10] = 0.4, 3.0
+    rows = [(i, "en", int(a), float(np.exp(b))) for i, (a, b) in enumerate(zip(n, y, strict=True))]
+    scored = spark.createDataFrame(rows, "id long, lang string, n_chars long, perplexity double")
+    got = {r["id"]: r for r in quality.verdicts(scored, scored.where("id >= 10").select("id"), 0.99, 0.001).collect()}
+    x, root, known = 1 / (n + 1), 1 / np.sqrt(n + 1), np.arange(len(n)) >= 10
+    slope, level = np.polyfit(x[known], y[known], 1)
+    off = y - level - slope * x
+    spread, _ = np.polyfit(root[known], np.abs(off[known]), 1)
+    base = max(np.abs(off[known]).mean() - spread * root[known].mean(), np.abs(off[known]).mean() / 10)
+    score = off / (base + spread * root)
+    low, high = np.sort(score[known])[[int(np.ceil(q * known.sum())) - 1 for q in (0.001, 0.99)]]
+    assert {i for i, r in got.items() if r["accepted"]} == set(np.flatnonzero((score >= low - 1e-9) & (score <= high + 1e-9)).tolist())
+    assert not any(got[i]["accepted"] for i in range(10)) and all(got[i]["perplexity"] < got[i]["floor"] for i in range(5))
+
+
 def test_quality_keeps_good_texts_and_finds_junk(spark, sf_dir):
     got = queries.op7_quality(spark, sf_dir).join(queries.table(spark, sf_dir, "labels"), "doc_id").where("toxic = 0").groupBy("quality").agg(F.avg(F.col("accepted").cast("int"))).collect()
     by = {r[0]: r[1] for r in got}
@@ -310,10 +430,146 @@ def test_pseudonyms_of_any_area_code_and_of_cards_beside_other_digits(spark):
 
 
 def test_feistel_is_a_permutation(spark):
-    out = spark.range(12 * 35).select(pii.feistel("k", "t", F.col("id") % 12, F.floor(F.col("id") / 12), F.lit(12), F.lit(35)).alias("f")).select("f.a", "f.b").distinct()
+    out = spark.range(12 * 35).select(pii.feistel(F.lit("k"), "t", F.col("id") % 12, F.floor(F.col("id") / 12), F.lit(12), F.lit(35)).alias("f")).select("f.a", "f.b").distinct()
     assert out.count() == 12 * 35 and out.agg(F.max("a"), F.max("b")).first()[:] == (11, 34)
 
 
+def brute_feistel(key, tag, a, b, m, n):
+    for i in range(1, pii.ROUNDS + 1):
+        keyed = lambda half: int(hashlib.sha256(f"{key}|{tag}|{i}|{half}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        a, b = ((a + keyed(b) % m) % m, b) if i % 2 else (a, (b + keyed(a) % n) % n)
+    return a, b
+
+
+def brute_digits(key, tag, d):
+    half = len(d) // 2
+    a, b = brute_feistel(key, tag, int(d[:half]), int(d[half:]), 10**half, 10 ** (len(d) - half))
+    return f"{a:0{half}d}{b:0{len(d) - half}d}"
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+
+
+def refilled(shape, digits):
+    """``shape`` with its last digits replaced."""
+    left, out = list(digits), []
+    for c in reversed(shape):
+        out.append(left.pop() if c.isdigit() and left else c)
+    return "".join(reversed(out))
+
+
+def brute_pseudonym(kind, piece, key):
+    import datetime
+
+    if kind == "mail":
+        return hashlib.sha256(f"{key}|mail|{piece.lower()}".encode()).hexdigest()[:16] + "@example.invalid"
+    d = re.sub("[^0-9]", "", piece)
+    if kind == "ipv4":
+        p = [int(x) for x in piece.split(".")]
+        if max(p) > 255:
+            return None
+        a, b = brute_feistel(key, kind, p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536)
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    if kind == "date":
+        parts, sign, first = [int(x) for x in re.split("[/.-]", piece)], re.search("[/.-]", piece)[0], datetime.date(1900, 1, 1)
+        for order in (("ymd",) if len(re.split("[/.-]", piece)[0]) == 4 else ("dmy", "mdy")):
+            at = dict(zip(order, parts, strict=True))
+            try:
+                days = (datetime.date(at["y"], at["m"], at["d"]) - first).days
+            except ValueError:
+                continue
+            a, b = brute_feistel(key, kind, days // 4297, days % 4297, 17, 4297)
+            new = first + datetime.timedelta(a * 4297 + b)
+            wide = 1 if re.search(r"(?:^|[/.-])\d(?:[/.-]|$)", piece) else 2
+            return sign.join({"y": str(new.year), "m": f"{new.month:0{wide}d}", "d": f"{new.day:0{wide}d}"}[k] for k in order)
+        return None
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if not 0 < area < 900 or area == 666 or not group or not serial:
+            return None
+        a, b = brute_feistel(key, kind, area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if kind == "phone":
+        area, rest = int(d[-10:-7]), int(d[-7:])
+        low_rest, low_area = rest < 2_000_000, area < 200
+        area_from, areas = (0, 1000) if low_rest else (0, 200) if low_area else (200, 800)
+        rest_from, rests = (0, 2_000_000) if low_rest else (2_000_000, 8_000_000)
+        a, b = brute_feistel(key, kind, area - area_from, rest - rest_from, areas, rests)
+        return refilled(piece, f"{a + area_from:03d}{b + rest_from:07d}")
+    if kind == "foreign":
+        code = re.match(r"\+(\d+)", piece)[1]
+        number = d[len(code) :]
+        return refilled(piece, brute_digits(key, kind, number)) if 6 <= len(number) <= 12 else None
+    if kind == "iban":
+        x = piece.replace(" ", "")
+        mod = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
+        number = re.sub("[^0-9]", "", x[4:])
+        if mod(x[4:] + x[:4]) != 1 or len(number) < 2:
+            return None
+        body = refilled(x[4:], brute_digits(key, kind, number))
+        left = list(x[:2] + f"{98 - mod(body + x[:2] + '00'):02d}" + body)
+        return "".join(c if c == " " else left.pop(0) for c in piece)
+    return None
+
+
+def brute_masked(text, key):
+    """(new text, findings by kind) one match after the other."""
+    found = Counter()
+
+    def other(m):
+        kind = next(k for k, p in pii.KINDS if re.fullmatch(p, m[0]))
+        new = brute_pseudonym(kind, m[0], key)
+        found[kind] += new is not None
+        return m[0] if new is None else new
+
+    def cards(m):
+        groups, out, i = re.findall("[ -]?[0-9]+", m[0]), "", 0
+        while i < len(groups):
+            for n in range(min(pii.MOST_CARD, len(groups) - i), 0, -1):
+                run = "".join(groups[i : i + n])
+                d = re.sub("[^0-9]", "", run)
+                if pii.LEAST_CARD <= len(d) <= pii.MOST_CARD and luhn(d) % 10 == 0:
+                    body = brute_digits(key, "card", d[:-1])
+                    out += refilled(run, body + str(-luhn(body + "0") % 10))
+                    found["card"] += 1
+                    i += n
+                    break
+            else:
+                out += groups[i]
+                i += 1
+        return out
+
+    out, at = "", 0
+    for m in re.finditer(pii.ANY, text):
+        out += re.sub(pii.CARD, cards, text[at : m.start()]) + other(m)
+        at = m.end()
+    return out + re.sub(pii.CARD, cards, text[at:]), found
+
+
+def test_pseudonyms_like_brute_force(spark, sf_dir):
+    """The whole table, and texts with every format, valid and not."""
+    planted = [
+        "born 31/12/1999 or 2000-2-3, 12/31/1999 and 1999.12.31; 1999-12-31. not 32/13/1999, 1899-01-01 or 2023-02-30",
+        "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 and GB82 WEST 1234 5698 7654 32, bad DE88 3704 0044 0532 0130 00",
+        "call +44 20 7946 0958 or +49-30-1234567 or +1 (212) 555-0123 or (017) 155-7713",
+        "4539 1488 0343 6467 12 ip 10.1.2.3, 300.1.1.1 Ann@b.org 078-05-1120 666-01-0001 4539148803436467",
+    ]
+    docs = queries.table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string"))
+    got = pii.pseudonymise(docs, "key", counts_col="n").collect()
+    for r, (_, old) in zip(sorted(got, key=lambda r: r["doc_id"]), sorted((r["doc_id"], r["text"]) for r in docs.collect()), strict=True):
+        new, found = brute_masked(old, "key")
+        assert (r["text"], r["n"].asDict()) == (new, {k: found[k] for k, _ in pii.KINDS})
+    assert sum(sum(r["n"]) for r in got) > 30
+
+
+def test_pseudonym_key_stands_in_no_plan(spark, capsys):
+    docs = spark.createDataFrame([(1, "a@b.org", 3)], "doc_id long, text string, N int")
+    out = pii.pseudonymise(docs, "a-very-secret-key", counts_col="n")
+    out.explain("extended")
+    assert "a-very-secret-key" not in capsys.readouterr().out and out.columns == ["doc_id", "text", "N", "n_"]
+
+
 # 9 near dedup
 
 
@@ -408,7 +664,7 @@ def test_decontamination_in_blocks_and_odd_rows(spark, odd, none):
     for block in (8 << 20, 4):
         found, (n, spans, items) = decontaminate.find_contamination(odd, benchmark, block_bytes=block)
         got = sorted((r["doc_id"], r[n], [(s["start"], s["end"]) for s in r[spans]], r[items]) for r in found.collect())
-        assert got == [(1, 0, [], []), (2, 0, [], []), (3, 0, [], []), (4, 1, [], []), (4, 1, [], []), (5, 2, [(0, 2)], [1]), (6, 2, [(0, 2)], [])]
+        assert got == [(1, 0, [], []), (2, 0, [], []), (3, 0, [], []), (4, 1, [], []), (4, 1, [], []), (5, 2, [(0, 2)], ["1"]), (6, 2, [(0, 2)], [])]
     assert sorted(r["doc_id"] for r in decontaminate.clean(odd, benchmark).collect()) == [1, 2, 3, 4, 4]
     assert decontaminate.clean(none, benchmark).count() == 0
     assert decontaminate.clean(odd, benchmark.limit(0)).count() == len(ODD)
@@ -419,6 +675,14 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, "short", "en", "s", 5)], DOC)
     benchmark = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100, 120)))], "item_id long, text string")
     assert secrets.scan_secrets(docs, ["doc_id"])[0].where("size(findings) = 1").count() == 1
+    assert {r["n_tokens"] for r in mixing.mixture(docs).collect()} == {400_001, 1}
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(docs))[0].collect()} == {"en"}
+    assert min(r["n_tokens"] for r in token_counts.count_tokens(docs).where("doc_id = 1").collect()) > 400_000
+    notice = docs.where("doc_id = 1").withColumn("text", F.concat("text", F.lit("Licensed under CC BY-NC 4.0.")))
+    assert licenses.license_scan(notice).first()["template_labels"] == ["cc-by-nc-4.0"]
+    assert quality.classify(docs, docs.select("doc_id")).where("perplexity is null").count() == 0
+    masked = pii.pseudonymise(docs.withColumn("text", F.concat("text", F.lit("a@b.org"))), "k", counts_col="found")
+    assert [r["found"]["mail"] for r in masked.collect()] == [1, 1]
     found, (_, spans, _) = decontaminate.find_contamination(docs, benchmark)
     assert {r["doc_id"]: len(r[spans]) for r in found.collect()} == {1: 80, 2: 0}
     assert near_dedup.near_duplicates(docs).where("kept").count() == 2
@@ -457,19 +721,28 @@ def test_pipeline_like_brute_force(spark, sf_dir):
 
     want = {i for i, t in heads.items() if clean(t)}
     got = corpus_pipeline.run(spark, sf_dir).collect()
+    for source in {r["source"] for r in got}:  # each source's rows follow one another in one permutation
+        at = 0
+        for r in sorted((r for r in got if r["source"] == source), key=lambda r: (r["start_token"], r["n_tokens"])):
+            assert (r["start_token"], r["n_tokens"]) == (at, len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) and 1 <= r["copies"] <= 4
+            at += r["n_tokens"]
     assert {r["doc_id"] for r in got} == want and len(got) == len(want) and min(r["copies"] for r in got) >= 1
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "mixing"]
 
 
-def test_pipeline_stages_take_odd_and_empty_tables(spark, sf_dir, odd, none):
+def test_pipeline_stages_take_odd_and_empty_tables(spark, sf_dir, odd, none, tmp_path):
     import corpus_pipeline
 
-    for start in (odd, none):
+    odd = odd.unionByName(odd.limit(1).drop("doc_id", "text", "lang").crossJoin(spark.createDataFrame([(i, f"one two three four five six{i}", "en") for i in range(10, 16)], "doc_id long, text string, lang string")).select(*odd.columns))
+    clashing = odd.withColumn("N_Tokens", F.lit(1)).withColumn("copies", F.lit(1)).withColumn("start_token", F.lit(1))
+    for i, start in enumerate((odd, none, clashing)):
         docs = start
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
             assert name == "mixing" or docs.columns == start.columns
-        docs.count()
+        docs.write.parquet(f"file://{tmp_path}/{i}")
+        kept = spark.read.parquet(f"file://{tmp_path}/{i}")
+        assert kept.columns[: len(start.columns)] == start.columns and sorted(r["doc_id"] for r in kept.collect()) == ([] if start is none else [4, 5, *range(10, 16)])
 
 
 def test_digest_is_of_the_normalised_text(spark):
