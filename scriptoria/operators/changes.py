@@ -58,6 +58,33 @@ def provenance(promoted: DataFrame, accepted: DataFrame) -> DataFrame:
     return rows.groupBy("target_type", "title", "body").agg(F.count("chunk_id").alias("n_places"), F.countDistinct("doc_id").alias("n_docs"), F.min("chunk_id").alias("first_chunk"))
 
 
+def log_fields(lines: DataFrame) -> DataFrame:
+    """``lines`` (line) with at, kind, detail, fields and a summary: ``time kind key=value key=value``; a value ends where the next key begins."""
+    x = F.trim("line")
+    parsed = lines.withColumns({"at": F.regexp_extract(x, r"^([^ ]+) ", 1), "kind": F.regexp_extract(x, r"^[^ ]+ ([^ ]+)", 1), "detail": F.trim(F.regexp_extract(x, r"^[^ ]+ [^ ]+ (.*)$", 1))})
+    keys = F.regexp_extract_all("detail", F.lit(r"([A-Za-z0-9_]+)="), F.lit(1))
+    values = F.transform(F.split("detail", r"(?:^|[^A-Za-z0-9_])[A-Za-z0-9_]+="), F.trim)
+    pairs = F.zip_with(keys, F.slice(values, 2, F.size(values)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    # of a key that stands twice the last value counts
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    parsed = parsed.withColumn("fields", F.map_from_entries(last))
+    field = lambda name: F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(""))
+    file = lambda name, none: F.coalesce(F.nullif(F.element_at(F.split(field(name), "/"), -1), F.lit("")), F.lit(none))
+    kind = F.col("kind")
+    summary = (
+        F.when(kind == "scan", F.concat(F.lit("Scan run: "), "detail")).when(kind == "review_update", F.concat(F.lit("Review updated: "), field("review_id"), F.lit(" -> "), field("status")))
+        .when(kind == "duplicate_promote", F.concat(F.lit("Duplicate canonical changed: "), file("canonical", "unknown"))).when(kind == "export", F.concat(F.lit("Export completed: "), file("package", "package")))
+        .otherwise(F.coalesce(F.nullif("detail", F.lit("")), kind))
+    )
+    unknown = ~x.contains(" ")
+    return parsed.withColumns({"at": F.when(unknown, "").otherwise(F.col("at")), "kind": F.when(unknown, "unknown").otherwise(kind), "summary": F.when(unknown, x).otherwise(summary)})
+
+
+def kept_outputs(outputs: DataFrame, valid: DataFrame) -> DataFrame:
+    """Derived outputs (source_path, ...) whose document is still there; the rest is to be deleted."""
+    return outputs.join(valid.select("source_path"), "source_path", "left_semi")
+
+
 def duplicate_artifacts(artifacts: DataFrame) -> DataFrame:
     """Artifacts (file_name, content) whose content an artifact with a smaller name has already."""
     first = artifacts.groupBy(F.sha2("content", 256).alias("digest")).agg(F.min("file_name").alias("first_name"), F.count(F.lit(1)).alias("n"))

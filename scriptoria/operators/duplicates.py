@@ -147,3 +147,35 @@ def near_duplicate_groups(corpus: DataFrame, text_col: str = "raw_text", thresho
         votes = inside.groupBy("component", "wish").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("n"), "wish")).alias("v"))
         canonical = canonical.join(votes, "component", "left").select("component", F.coalesce("v.wish", "canonical").alias("canonical"), "size")
     return grouped.join(canonical, "component").where("source_path <> canonical").select("doc_id", "source_path", F.col("canonical").alias("duplicate_of"))
+
+
+def promoted(groups: DataFrame, chosen: DataFrame) -> DataFrame:
+    """source_path, duplicate_of after ``chosen`` paths (source_path) became canonical in their groups.
+
+    ``groups`` has (source_path, duplicate_of) of what is not canonical. The former canonical is now a duplicate, and all
+    others of the group double the chosen one; of several chosen in one group the smallest path is taken.
+    """
+    picked = groups.join(chosen.select("source_path"), "source_path", "left_semi").groupBy("duplicate_of").agg(F.min("source_path").alias("fresh"))
+    members = groups.select("source_path", "duplicate_of").unionByName(groups.select(F.col("duplicate_of").alias("source_path"), "duplicate_of").distinct())
+    rows = members.join(picked, "duplicate_of", "left").withColumn("canonical", F.coalesce("fresh", "duplicate_of"))
+    return rows.where("source_path <> canonical").select("source_path", F.col("canonical").alias("duplicate_of"))
+
+
+def _aligned(older: pd.Series, newer: pd.Series) -> pd.DataFrame:
+    out = []
+    for a, b in zip(older, newer, strict=True):
+        a, b = (list(x) if x is not None else [] for x in (a, b))
+        n = {"equal": 0, "delete": 0, "insert": 0}
+        for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if op == "equal":
+                n["equal"] += j - i
+            else:  # a replacement takes lines away and puts others in
+                n["delete"] += j - i
+                n["insert"] += m - k
+        out.append((n["equal"], n["delete"], n["insert"]))
+    return pd.DataFrame(out, columns=["n_equal", "n_only_first", "n_only_second"])
+
+
+def line_diff(first: Column, second: Column) -> Column:
+    """struct<n_equal,n_only_first,n_only_second>: two arrays of lines side by side, aligned by their matching blocks."""
+    return F.pandas_udf(_aligned, "n_equal long, n_only_first long, n_only_second long")(first, second)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from ..functions import rules, text
 from ..functions.dialect import ANSI as A
-from ..operators import detect, profile, review, segment
+from ..operators import detect, markup, profile, review, segment
 from ..sources.tables import MANUAL_TEXT
 
+#: Fixed value: a canonical name's purpose, type, topic, stem, date, digest.
+CANONICAL = r"^([a-z]+)__([a-z0-9]+)__([a-z0-9-]+)__([a-z0-9-]+)__(nodate|[0-9]{8})__([0-9a-f]{8})[.]md$"
+
 DOCS = """docs as (select doc_id, '/corpus/' || source || '/doc_' || lpad(doc_id::varchar, 6, '0') || '.txt' as source_path, 'doc_' || lpad(doc_id::varchar, 6, '0') || '.txt' as source_filename,
  source as source_folder_name, 'txt' as document_type, 'doc_' || lpad(doc_id::varchar, 6, '0') as title, text as raw_text from documents)"""
 _BRAND = "regexp_replace(lower(p_brand), '[^a-z0-9]', '-', 'g')"
@@ -141,7 +144,82 @@ new as (select source_path, sha256(coalesce(case when doc_id % 7 = 0 then raw_te
 
 
 def _in_order(column: str, order: tuple[str, ...]) -> str:
-    return f"case {column} " + " ".join(f"when '{v}' then {i}" for i, v in enumerate(order)) + f" else {len(order)} end"
+    return f"case {column} " + " ".join(f"when '{v}' then {i}" for i, v in enumerate(order)) + " else 9 end"
+
+
+_FILE = "lower(string_split(source_path, '/')[-1])"
+_PRIORITY = f"{_in_order('status', review.STATUS_ORDER)}, {_in_order('extraction_status', review.EXTRACTION_ORDER)}, {_in_order('kind', review.KIND_ORDER)}, {_in_order('severity', review.SEVERITY_ORDER)}, {_FILE}"
+_TIES = f"source_path, {_in_order('kind', review.QUEUE_KINDS)}"
+_SORTED = {"priority": _PRIORITY, "file": _FILE, "kind": "kind desc", "severity": f"{_in_order('severity', review.SEVERITY_ORDER)} desc", "status": f"{_in_order('status', review.STATUS_ORDER)} desc"}
+
+
+def _filters() -> str:
+    parts = []
+    for name, (statuses, kinds) in review.FILTERS.items():
+        rules_ = [f"{column} in ({', '.join(map(repr, values))})" for column, values in (("status", statuses), ("kind", kinds)) if values]
+        parts.append(f"select '{name}' as filter from refused where {' and '.join(rules_) or 'true'}")
+    return f"with {_documents()} select filter, count(*) as n from ({' union all '.join(parts)}) group by filter"
+
+
+def _added(whole: str, first: str) -> str:
+    """What a list of table expressions adds to the chunks that it starts with."""
+    return whole[whole.index(f"{first} as (") :]
+
+
+_SUMMARY = f"""sc as (select *, {text.sentences("replace(text, chr(10), ' ')", A)}[1] as lead from chunks),
+spts as (select doc_id, chunk_index, 0 as sub, heading as point from sc where heading <> '' and heading <> title union all select doc_id, chunk_index, 1, lead from sc where {text.words("lead", A)} between 8 and 35),
+staken as (select *, {text.slug("point", 220, A)} as key from (select *, (select count(*) from spts q where q.doc_id = spts.doc_id and q.chunk_index < spts.chunk_index) as earlier from spts) where earlier < 6),
+sfirst as (select *, row_number() over (partition by doc_id, key order by chunk_index, sub) as k from staken),
+srank as (select * from (select doc_id, row_number() over (partition by doc_id order by chunk_index, sub) as rank, point from sfirst where k = 1) where rank <= 6)"""
+_WARN = f"""ws as (select doc_id, unnest(ss) as sentence, generate_subscripts(ss, 1) as i from (select *, {text.sentences("raw_text", A)} as ss from docs)), ww as (select *, {text.slug("sentence", 220, A)} as key from ws where {A.has("sentence", detect.WARNING_WORD)}),
+wf as (select doc_id, min(i) as i from ww group by doc_id, key), wrank as (select wf.doc_id, row_number() over (partition by wf.doc_id order by wf.i) as rank, sentence from wf join ww on wf.doc_id = ww.doc_id and wf.i = ww.i)"""
+_TOPIC_OF_PATH = "case when regexp_matches(source_path, 'brand-1') then 'installation' when regexp_matches(source_path, '/brand-2[^/]*/') then 'maintenance' else 'service' end"
+_CACHE_KEY = "sha256(concat_ws('|', {checksum}, 'none', 'none', '1'))"
+
+
+def _fallback_points() -> str:
+    return f"""with {_facts()}, {_SUMMARY}, {_WARN},
+fp as (select doc_id, 0 as part, rank, point as value from srank union all select * from (select doc_id, 1, row_number() over (partition by doc_id order by chunk_index, sentence_idx) as rank, body from best_facts) where rank <= 3
+ union all select doc_id, 2, rank, sentence from wrank where rank <= 2),
+fl as (select *, {text.lines("value", A)} as ls from fp), fc as (select *, {rules.promotion_text("ls", A)} as clean from fl), fb as (select *, {rules.bare("clean", A)} as bare from fc),
+fk as (select *, {text.slug("clean", 220, A)} as key from fb where clean <> '' and not {rules.admin_at_least("value", "ls", 50, A)} and not {rules.admin_heading("bare", A)} and {text.words("clean", A)} >= 4),
+fo as (select *, row_number() over (partition by doc_id, key order by part, rank) as k from fk)
+select * from (select doc_id, row_number() over (partition by doc_id order by part, rank) as place, clean as point from fo where k = 1) where place <= 5"""
+
+
+def _enriched() -> str:
+    domain = profile.first_label("source_path || ' ' || lower(title) || ' ' || lower(substr(raw_text, 1, 600))", profile.PROJECT_DOMAINS, A)
+    return f"""with {_topics()}, {_added(_glossary(), "raw_lines")}, {_SUMMARY}, {_WARN},
+pl as (select doc_id, list(point order by rank) as points from srank where rank <= 3 group by doc_id),
+tl as (select doc_id, list(term order by score desc, lower(term), term)[1:8] as terms from best_terms group by doc_id),
+ll as (select doc_id, topic_label as label from (select *, row_number() over (partition by doc_id order by score desc, chunk_index, topic_label) as k from accepted) where k = 1),
+nl as (select doc_id, list(sentence order by rank) as notes from wrank where rank <= 4 group by doc_id),
+ruled as (select doc_id, coalesce(regexp_replace(substr(points[1], 1, 80), '[.]+$', ''), trim(title)) as clean_title, {domain} as domain, coalesce(substr(label, 1, 60), substr(terms[1], 1, 60), 'general') as topic,
+ coalesce(trim(array_to_string(points, ' ')), '') as synopsis, coalesce(array_to_string(terms, '|'), '') as glossary_hints, coalesce(array_to_string(notes, '|'), '') as review_notes from docs left join pl using (doc_id) left join tl using (doc_id) left join ll using (doc_id) left join nl using (doc_id))
+select doc_id, clean_title, case when p_partkey is null then domain else 'hardware' end as domain, coalesce(nullif(trim(p_name), ''), topic) as topic, synopsis, glossary_hints, review_notes,
+ case when p_partkey is null or p_size <= 25 then 55 else 100 end::bigint as confidence, case when p_partkey is null then 'deterministic' else 'model' end as mode from ruled left join (select * from part where p_type like '%LARGE%') on p_partkey = doc_id"""
+
+
+def _quality_report() -> str:
+    return f"""with {_facts()}, {_added(_glossary(), "raw_lines")}, {_added(_procedures(), "p0")}, {_added(_topics(), "t0")},
+every as (select 'glossary' as t, {text.slug("term", 100, A)} as key, rejection_reason as r from glossary union all select 'procedures', lower(proc_title), rejection_reason from procs
+ union all select 'reference_facts', {text.slug("body", 220, A)}, rejection_reason from facts union all select 'knowledge_core', topic_key, rejection_reason from topics),
+a as (select count(*) filter (r is null and t = 'glossary') as glossary_kept, count(*) filter (r is null and t = 'procedures') as procedures_kept, count(*) filter (r is null and t = 'reference_facts') as reference_facts_kept,
+ count(*) filter (r is null and t = 'knowledge_core') as knowledge_core_kept, count(*) filter (r is null) as accepted, count(*) filter (r is not null) as rejected, count(distinct t || '::' || key) filter (r is null) as n_keys from every)
+select * exclude (n_keys), (select count(*) from docs) as documents, (select count(*) from docs where coalesce(trim(raw_text), '') = '') as empty_documents, (select count(*) from chunks) as n_chunks,
+ case when accepted > 0 then floor((accepted - n_keys) * 1000 / accepted::double + 0.5) else 0 end::bigint as dedupe_thousandths from a"""
+
+
+def _top(source: str, order: str, columns: str) -> str:
+    return f"with {source} select row_number() over (order by {order}) as place, {columns} order by {order} limit 50"
+
+
+_MARKDOWN = f"""with {MANUALS}, m as (select *, {_TOPIC_OF_PATH} as topic, coalesce({text.found_date("raw_text", A)}, 'nodate') as day,
+ regexp_replace(regexp_replace(regexp_replace(raw_text, '\\r\\n?', chr(10), 'g'), '[ \\t\\f]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') as body,
+ trim({A.sub("translate(title, '-_', '  ')", text.SPACE + "+", " ")}) as shown from docs),
+c as (select doc_id, '# ' || coalesce(nullif(shown, ''), 'Knowledge File') || chr(10) || chr(10) || '## Metadata' || chr(10) || chr(10) || '- Source file: ' || source_filename || chr(10) || '- Source path: ' || source_path || chr(10) || '- Document type: ' || document_type
+ || chr(10) || '- Knowledge set: reference' || chr(10) || '- Topic: ' || topic || case when day <> 'nodate' then chr(10) || '- Document date: ' || day else '' end || chr(10) || chr(10) || '## Content' || chr(10) || chr(10) || {text.stripped("body", A)} || chr(10) as content from m)
+select doc_id, strlen(content) as n_bytes, sha256(content) as digest from c"""
 
 
 _PLAIN = "'[^ \\t\\n\\r\\f]+'"
@@ -204,14 +282,53 @@ f as (select doc_id, min(i) as i from w group by doc_id, key), r as (select f.do
 pts as (select doc_id, chunk_index, 0 as sub, heading as point from c where heading <> '' and heading <> title union all select doc_id, chunk_index, 1, lead from c where {text.words("lead", A)} between 8 and 35),
 taken as (select *, {text.slug("point", 220, A)} as key from (select *, (select count(*) from pts q where q.doc_id = pts.doc_id and q.chunk_index < pts.chunk_index) as earlier from pts) where earlier < 6),
 f as (select *, row_number() over (partition by doc_id, key order by chunk_index, sub) as k from taken), r as (select doc_id, row_number() over (partition by doc_id order by chunk_index, sub) as rank, point from f where k = 1) select * from r where rank <= 6""",
-    "repeated_edge_lines": f"""with l as (select doc_id, source, {text.lines("text", A)} as ls from documents), e as (select source, unnest(list_concat(ls[1:2], ls[-2:])) as line from l where len(ls) > 0),
-n as (select source, line, count(*) as n from e where length(line) between 3 and 120 group by all), c as (select source, greatest(2, floor(count(*) / 3)) as least from documents group by source) select source as source_folder_name, line, n from n join c using (source) where n >= least""",
+    "repeated_edge_lines": f"""with l as (select conv_id, {text.lines("text", A)} as ls from conversations), e as (select conv_id, unnest(list_concat(ls[1:2], ls[-2:])) as line from l where len(ls) > 0),
+n as (select conv_id, line, count(*) as n from e where length(line) between 3 and 120 group by all), c as (select conv_id, greatest(2, floor(count(*) / 3)) as least from conversations group by conv_id) select conv_id, line, n from n join c using (conv_id) where n >= least""",
     "html_title": r"select page_id, url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\r\f]+', ' ', 'g')) as title from pages",
     "json_status": "select event_type, case when json_valid(props) then 'success' else 'partial' end as status, count(*) as n from events group by all",
     "exact_duplicates": f"with {DOCS}, g as (select doc_id, source_path, min(source_path) over (partition by coalesce(raw_text, '')) as canonical, count(*) over (partition by coalesce(raw_text, '')) as group_size from docs) select * from g where group_size > 1",
     "review_queue": f"with {_documents()} select doc_id || '::' || kind as review_id, source_path, kind, severity, 'open' as status, title, detail, confidence from queue",
-    "review_priority": f"""with {_documents()} select doc_id || '::' || kind as review_id, kind, severity, status, source_path from refused
-order by {_in_order("status", review.STATUSES)}, kind <> 'extraction_issue', {_in_order("severity", review.SEVERITIES)}, {_in_order("kind", review.KINDS)}, lower(string_split(source_path, '/')[-1]), source_path limit 20""",
+    "review_priority": f"""with {_documents()} select refused.doc_id || '::' || kind as review_id, kind, severity, status, source_path from refused join (select source_path, extraction_status from drows) using (source_path) order by {_PRIORITY}, {_TIES} limit 20""",
+    "review_sorted": f"with {_documents()}, q as (select refused.*, extraction_status from refused join (select source_path, extraction_status from drows) using (source_path)) "
+    + " union all ".join(f"select * from (select '{by}' as sorted_by, doc_id || '::' || kind as review_id from q order by {order}, {_TIES} limit 10)" for by, order in _SORTED.items()),
+    "review_filters": _filters(),
+    "review_actions": f"""with {_documents()}, q as (select refused.*, extraction_status from refused join (select source_path, extraction_status from drows) using (source_path))
+select doc_id || '::' || kind as review_id, case when kind in ('extraction_issue', 'empty') or extraction_status in ('failed', 'unsupported') then 'retry_then_ignore' when kind = 'duplicate' then 'keep_stronger_copy' when kind = 'taxonomy' then 'override_then_accept'
+ when kind in ('ocr', 'ai_low_confidence') then 'inspect_then_accept_or_retry' when kind = 'low_signal' then 'keep_if_useful' else 'accept_or_ignore' end as action,
+ concat_ws(',', case severity when 'high' then 'sev_high' when 'medium' then 'sev_medium' end, case status when 'accepted' then 'status_accepted' when 'rejected' then 'status_rejected' end, case when kind in ('extraction_issue', 'empty') then 'kind_extraction' end) as tags from q""",
+    "review_overrides": f"""with {_documents()}, k as (select doc_id, bool_or(kind = 'taxonomy') as tax, bool_or(kind = 'low_signal') as low, bool_or(kind not in ('taxonomy', 'low_signal')) as other from queue group by doc_id),
+o as (select drows.*, tax, low, other, 'Area of ' || source_folder_name as area, string_split(source_filename, '.')[1] as stem from drows left join k using (doc_id))
+select doc_id, case when low then 'Short: ' || stem else stem end as title, case when tax then replace({text.slug("area", 40, A)}, '-', '_') else probable_domain end as probable_domain, case when low then 'rejected' when other then 'flagged' else 'clean' end as review_status from o""",
+    "fallback_points": _fallback_points(),
+    "enriched": _enriched(),
+    "enrichment_to_ask": f"""with {_SNAPSHOTS}, a as (select source_path, {_CACHE_KEY.format(checksum="checksum")} as cache_key from new), b as (select {_CACHE_KEY.format(checksum="checksum")} as cache_key from old)
+select min(source_path) as source_path, cache_key from a where cache_key not in (select cache_key from b) group by cache_key""",
+    "quality_report": _quality_report(),
+    "glossary_order": _top(_glossary(), "score desc, lower(term), doc_id", "doc_id, term, score from best_terms"),
+    "procedures_order": _top(_procedures() + ", r as (select *, row_number() over (partition by lower(proc_title), steps_text order by doc_id, chunk_index) as r, max(score) over (partition by lower(proc_title), steps_text) as best from procs where rejection_reason is null), one as (select proc_title as title, source_filename, best as score, steps_text from r where r = 1)", "score desc, lower(title), lower(source_filename), steps_text", "title, source_filename, score from one"),
+    "topics_order": _top(_topics() + ", g as (select topic_key, arg_min(topic_label, (doc_id, chunk_index)) as label, count(*) as n_candidates, (sum(score) + 250 * count(distinct source_filename))::bigint as group_score from accepted group by topic_key)", "group_score desc, n_candidates desc, lower(label), topic_key", "topic_key, label, group_score from g"),
+    "record_columns": f"""with {_chunks()}, {_LINES}, s as (select unnest(ss) as x from (select {text.sentences("text", A)} as ss from chunks)),
+k as (select 'definitions' as kind, count(*) as n from lines where {A.has("line", detect.DEFINITION)} union all select 'requirements', count(*) from s where {A.has("x", detect.REQUIREMENT)} union all select 'warnings', count(*) from lines where {A.has("line", detect.WARNING)})
+select kind, n, """ + ", ".join(f"case kind when '{kind}' then n else 0 end as n_{c}" for kind, cs in (("definitions", ("term", "definition")), ("requirements", ("requirement_text", "requirement_type")), ("warnings", ("warning_type", "warning_text"))) for c in cs) + " from k where n > 0",
+    "rendered_markdown": _MARKDOWN,
+    "corpus_names": f"with {MANUALS} select distinct source_folder_name, replace({text.slug('source_folder_name', 80, A)}, '-', '_') as corpus_name from docs",
+    "low_quality_pages": f"""with p as (select len(regexp_extract_all(html, '<a ')) > len(regexp_extract_all(html, '<p')) as image_heavy, array_to_string({markup.pieces("html", A)}, chr(10)) as shown from pages),
+q as (select image_heavy, length(shown) as n, length(trim(shown)) as t, len(regexp_extract_all(shown, '\\p{{L}}')) as l from p)
+select image_heavy, t = 0 or (image_heavy and (t < 40 or l < greatest(10.0, t * 0.2))) as low_quality, count(*) as n_pages, sum(n)::bigint as n_chars from q group by all""",
+    "html_text": f"""with p as (select page_id, array_to_string({markup.pieces("coalesce(html, '')", A)}, chr(10)) as shown, {markup.raw_title("coalesce(html, '')", A)} as t from pages)
+select page_id, nullif(trim({A.sub(markup.resolved("t", A), text.SPACE + "+", " ")}), '') as title, {markup.resolved("shown", A)} as text from p""",
+    "degraded_documents": f"with {_documents()} select source_path, extraction_status as status, 'Extraction finished with status ' || extraction_status || '.' as reason, document_type, coalesce(duplicate_of, '') as duplicate_of from drows where extraction_status <> 'success' or duplicate_of is not null",
+    "scan_report": f"""with {_documents()} select 'type:' || document_type as metric, count(*) as n from drows group by document_type union all select 'documents', count(*) from drows
+union all select s || '_docs', (select count(*) from drows where extraction_status = s) from (values ('partial'), ('failed'), ('metadata_only'), ('unsupported')) v(s) union all select 'duplicates', count(duplicate_of) from drows union all select 'open_reviews', count(*) from refused where status = 'open'""",
+    "recent_issues": f"""with {_documents()}, i as (select 0 as part, source_path, 0 as k, case when extraction_status <> 'success' then extraction_status else 'duplicate' end as status, case when extraction_status <> 'success' then 'Extraction finished with status ' || extraction_status || '.'
+ else 'Near-duplicate of ' || string_split(duplicate_of, '/')[-1] || '.' end as reason from drows where extraction_status <> 'success' or duplicate_of is not null
+ union all select 1, source_path, {_in_order("kind", review.QUEUE_KINDS)}, kind, title from refused where status = 'open')
+select row_number() over (order by part, source_path, k) as place, source_path, status, reason from i order by part, source_path, k limit 12""",
+    "batch_summary": f"""with {_documents()}, f as (select source_folder_name as corpus, count(*) as p, count(*) filter (word_count > 0 and extraction_status <> 'failed') as c, count(*) filter (extraction_status = 'failed') as x, source_folder_name = (select min(source_folder_name) from drows) as skipped from drows group by 1)
+select corpus, case when skipped then 'SKIPPED' when c > 0 then 'SUCCESS' else 'FAILED' end as status, case when skipped then 0 else p end as processed, case when skipped then 0 else c end as contributed, case when skipped then 0 else x end as failed from f""",
+    "promoted_duplicates": f"with {DOCS}, g as (select source_path, max(source_path) over (partition by coalesce(raw_text, '')) as duplicate_of from docs) select * from g where source_path <> duplicate_of",
+    "recent_activity": """with e as (select *, row_number() over (order by ts desc, event_id desc) as place from events)
+select place, strftime(ts, '%Y-%m-%dT%H:%M:%S') as at, event_type as kind, 'user=' || user_id || ' id=' || event_id as summary from e where place <= 24""",
     "review_counts": f"with {_documents()} select count(*) filter (status = 'open') as open, count(*) filter (status = 'accepted') as accepted, count(*) filter (status = 'rejected') as rejected, count(*) as total from refused",
     "retry_targets": f"with {_documents()} select distinct source_path, document_type, extraction_status from queue join drows using (source_path) where kind = 'extraction_issue'",
     "export_eligible": f"with {_documents()} select doc_id, source_path, word_count from drows where extraction_status <> 'failed' and source_path not in (select source_path from refused where status = 'rejected')",
@@ -243,3 +360,5 @@ select p.target_type, p.title, p.body, count(a.chunk_id) as n_places, count(dist
 
 
 ORACLE_SQL["provenance"] = _provenance()
+ORACLE_SQL["canonical_parts"] = f"""with n as (select doc_id, canonical_name as name from ({ORACLE_SQL["canonical_name"]}) union all select doc_id, source_filename from (with {MANUALS} select doc_id, source_filename from docs))
+select doc_id, name, regexp_matches(name, '{CANONICAL}') as is_canonical, regexp_extract(name, '{CANONICAL}', 3) as topic, regexp_extract(name, '{CANONICAL}', 4) as stem, regexp_extract(name, '{CANONICAL}', 5) as doc_date from n"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.dialect import SPARK
-from ..operators import aggregate, changes, detect, duplicates, normalize, profile, review, segment
+from ..operators import aggregate, changes, detect, duplicates, enrichment, markup, normalize, profile, reports, review, segment
 from ..shared import shared_dir, shared_table
 from ..sources import tables
 from ..streaming import scan
@@ -196,9 +196,105 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.summaries(segment.knowledge_chunks(tables.documents(spark, d)))
 
 
+def fallback_points(spark: SparkSession, d: str) -> DataFrame:
+    """What stands for a document when no topic is found: its points, facts and warnings."""
+    manuals = tables.manuals(spark, d)
+    chunks = _chunks(spark, d)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "sentence_idx"))
+    found = aggregate.document_facts(detect.facts(chunks)).select("doc_id", place.cast("long").alias("rank"), F.col("body").alias("text"))
+    return enrichment.fallback_points(aggregate.summaries(chunks), found, detect.warning_sentences(manuals))
+
+
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and hints by rule for every manual, and a model's answers for those of the cache: parts that are labelled large."""
+    manuals, chunks = tables.manuals(spark, d), _chunks(spark, d)
+    topics_ = aggregate.accepted(detect.topics(chunks))
+    ruled = enrichment.by_rule(manuals, aggregate.summaries(chunks), aggregate.document_glossary(detect.glossary(chunks)), topics_, detect.warning_sentences(manuals))
+    keys = manuals.select("doc_id", enrichment.cache_key(F.sha2("raw_text", 256), "none", "none", "1").alias("cache_key"))
+    answers = tables.table(spark, d, "part").where("p_type like '%LARGE%'").select(F.col("p_partkey").alias("doc_id"), F.lit(" ").alias("clean_title"), F.lit("hardware").alias("domain"), F.col("p_name").alias("topic"), F.when(F.col("p_size") > 25, "1.7").otherwise("no number").alias("confidence"))
+    cache = keys.join(answers, "doc_id").drop("doc_id")
+    out = enrichment.enriched(ruled, keys, cache)
+    return out.select("doc_id", "clean_title", "domain", "topic", "synopsis", F.array_join("glossary_hints", "|").alias("glossary_hints"), F.array_join("review_notes", "|").alias("review_notes"), F.floor(F.col("confidence") * 100 + 0.5).cast("long").alias("confidence"), "mode")
+
+
+def enrichment_to_ask(spark: SparkSession, d: str) -> DataFrame:
+    """After the documents have changed: whom a model would have to be asked about again."""
+    old, new = _snapshots(spark, d)
+    key = enrichment.cache_key(F.col("checksum"), "none", "none", "1").alias("cache_key")
+    return enrichment.to_ask(new.select(F.col("source_path").alias("doc_id"), key), old.select(key)).select(F.col("doc_id").alias("source_path"), "cache_key")
+
+
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d)
+    every = shared_table(reports.unified_candidates(detect.glossary(chunks), detect.procedures(chunks), detect.facts(chunks), detect.topics(chunks)), "candidates")
+    return reports.quality_report(every, tables.manuals(spark, d), chunks.agg(F.count(F.lit(1)).alias("n_chunks")))
+
+
+def _ranked(rows: DataFrame, order: list, most: int = 50) -> DataFrame:
+    """The first ``most`` rows with their place."""
+    top = rows.orderBy(*order).limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # ``most`` rows
+
+
+def glossary_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = aggregate.document_glossary(detect.glossary(_chunks(spark, d)))
+    return _ranked(rows, [F.desc("score"), F.lower("term"), "doc_id"]).select("place", "doc_id", "term", "score")
+
+
+def procedures_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = aggregate.corpus_procedures(detect.procedures(_chunks(spark, d)))
+    return _ranked(rows, [F.desc("score"), F.lower("title"), F.lower("source_filename"), "steps_text"]).select("place", "title", "source_filename", "score")
+
+
+def topics_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = aggregate.topic_groups(detect.topics(_chunks(spark, d)))
+    return _ranked(rows, [F.desc("group_score"), F.desc("n_candidates"), F.lower("label"), "topic_key"]).select("place", "topic_key", "label", "group_score")
+
+
+def record_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Records of three kinds in one table with the columns of all: how many rows of a kind have which."""
+    chunks = _chunks(spark, d)
+    kinds = {"definitions": detect.definition_records, "requirements": detect.requirement_records, "warnings": detect.warning_records}
+    parts = [of(chunks).withColumn("kind", F.lit(kind)) for kind, of in kinds.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    own = ["term", "definition", "requirement_text", "requirement_type", "warning_type", "warning_text"]
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in own])
+
+
 # cleaning
 
 
+def line_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's lines beside those of its clean text."""
+    rows = normalize.with_knowledge_text(tables.documents(spark, d))
+    return rows.select("doc_id", duplicates.line_diff(F.split("raw_text", "\n"), F.split("clean_text", "\n")).alias("x")).select("doc_id", "x.*")
+
+
+def rendered_markdown(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.manuals(spark, d)
+    date = F.coalesce(F.expr(text.found_date("raw_text")), F.lit("nodate"))
+    out = reports.rendered_markdown(rows, "reference", changes.first_rule(F.col("source_path"), TAXONOMY, "general"), date)
+    return out.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+
+
+def corpus_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.manuals(spark, d).select("source_folder_name").distinct()
+    return rows.select("source_folder_name", F.replace(F.expr(text.slug("source_folder_name", 80)), F.lit("-"), F.lit("_")).alias("corpus_name"))
+
+
+#: Fixed value: purpose, type, topic, stem, date, digest.
+CANONICAL = r"^([a-z]+)__([a-z0-9]+)__([a-z0-9-]+)__([a-z0-9-]+)__(nodate|[0-9]{8})__([0-9a-f]{8})[.]md$"
+
+
+def canonical_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical names read back into their parts, and the names of the sources, which are none."""
+    names = canonical_name(spark, d).select("doc_id", F.col("canonical_name").alias("name")).unionByName(tables.manuals(spark, d).select("doc_id", F.col("source_filename").alias("name")))
+    part = lambda g: F.regexp_extract("name", CANONICAL, g)
+    return names.select("doc_id", "name", F.col("name").rlike(CANONICAL).alias("is_canonical"), part(3).alias("topic"), part(4).alias("stem"), part(5).alias("doc_date"))
+
+
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return normalize.with_knowledge_text(tables.documents(spark, d)).select("doc_id", "clean_text")
 
@@ -208,9 +304,8 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_edge_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of a source as the pages of one document."""
-    docs = tables.documents(spark, d).select("source_folder_name", "raw_text")
-    return normalize.repeated_edge_lines(docs, "source_folder_name", "raw_text")
+    """The turns of a conversation as the pages of one document."""
+    return normalize.repeated_edge_lines(tables.table(spark, d, "conversations").select("conv_id", "text"), "conv_id", "text")
 
 
 # pages and events
@@ -222,10 +317,16 @@ def html_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.extract import html_column
+    return markup.with_visible_text(tables.table(spark, d, "pages")).select("page_id", "title", "text")
+
 
-    found = html_column(F.col("html"))
-    return tables.table(spark, d, "pages").select("page_id", found.alias("h")).select("page_id", "h.title", "h.text", "h.status")
+def low_quality_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by whether they are of low quality; those with more links than paragraphs count as mostly not text."""
+    rows = tables.table(spark, d, "pages")
+    heavy = F.regexp_count("html", F.lit("<a ")) > F.regexp_count("html", F.lit("<p"))
+    shown = F.array_join(F.expr(markup.pieces("html")), "\n")
+    found = rows.select(heavy.alias("image_heavy"), shown.alias("shown")).select("image_heavy", reports.low_quality_page(F.col("shown"), F.col("image_heavy")).alias("low_quality"), F.length("shown").alias("n"))
+    return found.groupBy("image_heavy", "low_quality").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_chars"))
 
 
 def json_status(spark: SparkSession, d: str) -> DataFrame:
@@ -257,10 +358,46 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return review.review_queue(_documents(spark, d)).select("review_id", "source_path", "kind", "severity", "status", "title", "detail", "confidence")
 
 
+def _reviewed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The document rows, and their queue with the duplicates rejected."""
+    docs = _documents(spark, d)
+    return docs, shared_table(review.reject_duplicates(review.review_queue(docs)), "queue")
+
+
 def review_priority(spark: SparkSession, d: str) -> DataFrame:
-    """The first twenty open items of the queue in the reviewer's order."""
-    queue = review.reject_duplicates(review.review_queue(_documents(spark, d)))
-    return queue.orderBy(*review.by_priority(queue)).limit(20).select("review_id", "kind", "severity", "status", "source_path")
+    """The first twenty items of the queue in the reviewer's order."""
+    docs, queue = _reviewed(spark, d)
+    return review.in_order(queue, docs).limit(20).select("review_id", "kind", "severity", "status", "source_path")
+
+
+def review_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten items by each of the five orders, the last three from behind."""
+    docs, queue = _reviewed(spark, d)
+    top = lambda by: review.in_order(queue, docs, by, by in ("kind", "severity", "status")).limit(10).select(F.lit(by).alias("sorted_by"), "review_id")
+    first, *rest = [top(by) for by in review.SORTS]
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def review_filters(spark: SparkSession, d: str) -> DataFrame:
+    return review.filter_counts(_reviewed(spark, d)[1])
+
+
+def review_actions(spark: SparkSession, d: str) -> DataFrame:
+    docs, queue = _reviewed(spark, d)
+    rows = queue.join(docs.select("source_path", "extraction_status"), "source_path")
+    return rows.select("review_id", review.action().alias("action"), F.array_join(review.tags(), ",").alias("tags"))
+
+
+def review_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of every open item: weak classifications get the folder as domain, low-signal ones a title and are rejected."""
+    docs = _documents(spark, d).withColumn("title", F.regexp_replace("source_filename", "[.][^.]*$", ""))
+    queue = shared_table(review.review_queue(docs), "queue")
+    edit = lambda kind, status, title, domain: queue.join(docs.select("source_path", "source_folder_name", F.col("title").alias("own")), "source_path").where(F.col("kind") == kind).select("review_id", F.lit(status).alias("status"), title.alias("override_title"), domain.alias("override_domain"), F.lit("edited").alias("resolution_note"))
+    null = F.lit(None).cast("string")
+    edits = edit("taxonomy", "accepted", null, F.concat(F.lit(" Area of "), "source_folder_name")).unionByName(edit("low_signal", "rejected", F.concat(F.lit("Short: "), "own"), null))
+    return review.with_overrides(docs, review.updated(queue, edits)).select("doc_id", "title", "probable_domain", "review_status")
 
 
 def review_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -282,6 +419,34 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return review.diagnostics(docs, review.review_queue(docs))
 
 
+def degraded_documents(spark: SparkSession, d: str) -> DataFrame:
+    return reports.degraded_documents(_documents(spark, d))
+
+
+def scan_report(spark: SparkSession, d: str) -> DataFrame:
+    docs, queue = _reviewed(spark, d)
+    return reports.scan_report(docs, queue)
+
+
+def recent_issues(spark: SparkSession, d: str) -> DataFrame:
+    docs, queue = _reviewed(spark, d)
+    return reports.recent_issues(docs, queue)
+
+
+def batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Every folder of documents; all but the first by name were to run."""
+    docs = _documents(spark, d)
+    names = docs.select(F.col("source_folder_name").alias("corpus")).distinct()
+    return reports.batch_summary(docs, names.join(names.agg(F.min("corpus").alias("corpus")), "corpus", "left_anti"))
+
+
+def promoted_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The exact copies after the last path of each group was made canonical."""
+    groups = duplicates.exact_groups(tables.documents(spark, d)).where("source_path <> canonical").select("source_path", F.col("canonical").alias("duplicate_of"))
+    groups = shared_table(groups, "groups")
+    return duplicates.promoted(groups, groups.groupBy("duplicate_of").agg(F.max("source_path").alias("source_path")).select("source_path"))
+
+
 def folder_candidates(spark: SparkSession, d: str) -> DataFrame:
     return review.folder_candidates(_documents(spark, d))
 
@@ -328,15 +493,26 @@ def artifact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return changes.duplicate_artifacts(last)
 
 
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines ``time kind key=value ...`` made of events."""
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    line = F.concat(at, F.lit(" "), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" id="), F.col("event_id").cast("string"))
+    return tables.table(spark, d, "events").select("event_id", "ts", line.alias("line"))
+
+
 def log_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Log lines `time kind key=value ...` made of events, and read back into fields."""
-    line = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" id="), F.col("event_id").cast("string"))
-    rows = tables.table(spark, d, "events").select(line.alias("line"))
-    pairs = F.regexp_extract_all("line", F.lit(r"([A-Za-z_]+)=([^ ]+)"), F.lit(0))
-    parsed = rows.select(F.regexp_extract("line", r"^([^ ]+) ([^ ]+)", 1).alias("at"), F.regexp_extract("line", r"^([^ ]+) ([^ ]+)", 2).alias("kind"), F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.split(p, "=")[0].alias("k"), F.split(p, "=")[1].alias("v")))).alias("fields"))
+    """Log lines read back into fields."""
+    parsed = changes.log_fields(_log(spark, d))
     return parsed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"), F.countDistinct(F.col("fields")["user"]).alias("n_users"), F.max(F.col("fields")["id"].cast("long")).alias("last_id"))
 
 
+def recent_activity(spark: SparkSession, d: str) -> DataFrame:
+    """The last 24 of the last 40 log lines, newest first, each with a summary."""
+    order = [F.desc("ts"), F.desc("event_id")]
+    tail = _log(spark, d).orderBy(*order).limit(40).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # forty rows
+    return changes.log_fields(tail).where("place <= 24").select(F.col("place").cast("long").alias("place"), "at", "kind", "summary")
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return scan.event_counts(tables.table(spark, d, "events"))
 
@@ -420,5 +596,28 @@ QUERIES: dict[str, Query] = {
     "log_parse": log_parse,
     "event_windows": event_windows,
     "stream_scan": stream_scan,
+    "review_sorted": review_sorted,
+    "review_filters": review_filters,
+    "review_actions": review_actions,
+    "review_overrides": review_overrides,
+    "fallback_points": fallback_points,
+    "enriched": enriched,
+    "enrichment_to_ask": enrichment_to_ask,
+    "quality_report": quality_report,
+    "glossary_order": glossary_order,
+    "procedures_order": procedures_order,
+    "topics_order": topics_order,
+    "record_columns": record_columns,
+    "line_diffs": line_diffs,
+    "rendered_markdown": rendered_markdown,
+    "corpus_names": corpus_names,
+    "canonical_parts": canonical_parts,
+    "low_quality_pages": low_quality_pages,
+    "degraded_documents": degraded_documents,
+    "scan_report": scan_report,
+    "recent_issues": recent_issues,
+    "batch_summary": batch_summary,
+    "promoted_duplicates": promoted_duplicates,
+    "recent_activity": recent_activity,
     "package_files": package_files,
 }

@@ -22,6 +22,7 @@ MANUAL_TEXT = """concat('# ', upper(p_type), ' ASSEMBLY', chr(10), chr(10),
  case when p_partkey % 3 = 0 then concat('WARNING: Disconnect power before service of ', p_brand, '.', chr(10), chr(10)) else '' end,
  case when p_partkey % 4 = 0 then concat('part | torque', chr(10), p_name, ' | ', cast(p_size as {string}), chr(10), chr(10)) else '' end,
  case when p_partkey % 5 = 0 then concat('REVISION 3', chr(10), 'SHEET NO A1.', cast(p_partkey % 90 as {string}), chr(10), 'ISSUED FOR PERMIT', chr(10), chr(10)) else '' end,
+ case when p_partkey % 6 = 0 then concat('# General Notes', chr(10), chr(10), '1. A fence stands all around the tower.', chr(10), '2. The gate is green.', chr(10), chr(10)) else '' end,
  'Bonding shall follow ANSI/TIA-222-H revised 2024-0', cast(1 + p_partkey % 9 as {string}), '-15.')"""
 
 
