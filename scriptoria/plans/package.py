@@ -1,88 +1,26 @@
 """The knowledge package of a corpus: Markdown pages of topics, facts, terms, procedures and entities.
 
-Detection and aggregation are distributed; what is written is small, since each table is a summary of the corpus.
-Pages are cut by a fold over sections in their order, which reads them one after the other and holds one page.
+Detection, aggregation and paging are distributed. The writer at the end fetches the pages one by one: a page has at
+most ``paging.TARGET_BYTES``, and the driver holds one at a time.
 """
 
 from __future__ import annotations
 
-import re
 import zipfile
-from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, changes, detect, normalize, review, segment
+from ..functions import text
+from ..operators import aggregate, changes, detect, enrichment, normalize, review, segment
 from ..shared import shared_table
+from . import paging
 
-#: Words of a core page and of other pages, bytes of a file.
-CORE_WORDS, PAGE_WORDS, MOST_BYTES = 1600, 1700, 8_000_000
+#: What each part holds.
 DESCRIPTIONS = {"knowledge_core": "What the sources say, by topic.", "reference_facts": "Requirements, values, dates and standards.", "glossary": "Terms and acronyms.", "procedures": "Numbered instructions.", "entities": "Standards, organizations, products and documents.", "INSTRUCTIONS": "How to use this package.", "FILE_GUIDE": "What each file holds."}
 
 
-def _count(s: str) -> int:
-    return len(re.findall(r"\w+", s))
-
-
-def pages(sections: Iterator[str], target: int) -> Iterator[str]:
-    """Greedy pages of at most ``target`` words, a longer section alone; a short last page joins the one before if that stays under five fourths."""
-    done: str | None = None
-    page = ""
-    for section in sections:
-        grown = f"{page}\n\n{section}" if page else section
-        if page and _count(grown) > target:
-            if done is not None:
-                yield done
-            done, page = page, section
-        else:
-            page = grown
-    if done is not None and page and _count(page) < 120 and _count(f"{done}\n\n{page}") <= target * 5 // 4:
-        yield f"{done}\n\n{page}"
-        return
-    yield from (p for p in (done, page) if p)
-
-
-def by_bytes(page: str, most: int = MOST_BYTES) -> list[str]:
-    """Pieces of at most ``most`` UTF-8 bytes, cut between paragraphs where that is possible."""
-    pieces, held = [], ""
-    for paragraph in page.split("\n\n"):
-        grown = f"{held}\n\n{paragraph}" if held else paragraph
-        if len(grown.encode()) <= most:
-            held = grown
-            continue
-        if held:
-            pieces.append(held)
-        raw = paragraph.encode()
-        while len(raw) > most:
-            head = raw[:most].decode("utf-8", "ignore")
-            pieces.append(head)
-            raw = raw[len(head.encode()) :]
-        held = raw.decode()
-    return [*pieces, held] if held else pieces
-
-
-def paged(sections: DataFrame, target: int) -> DataFrame:
-    """(file_name, content) from (stem, place, section): sections are streamed in order through one fold per stem."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((stem, section) for b in batches for stem, section in zip(b["stem"], b["section"], strict=True))
-        from itertools import groupby
-
-        for stem, group in groupby(rows, key=lambda r: r[0]):
-            parts = (piece for page in pages((s for _, s in group), target) for piece in by_bytes(page))
-            for i, part in enumerate(parts, 1):
-                yield pd.DataFrame({"stem": [stem], "page": [i], "content": [part]})
-
-    ordered = sections.select("stem", "place", "section").repartition("stem").sortWithinPartitions("stem", "place")
-    cut = ordered.mapInPandas(run, "stem string, page long, content string")
-    total = F.count(F.lit(1)).over(Window.partitionBy("stem"))
-    suffix = F.when((total > 1) | (F.col("stem") == "knowledge_core"), F.concat(F.lit("_p"), F.lpad(F.col("page").cast("string"), 2, "0"))).otherwise("")
-    return cut.withColumn("suffix", suffix).select(F.concat("stem", "suffix", F.lit(".md")).alias("file_name"), "content")
-
-
 def _listed(rows: DataFrame, stem: str, heading: str, group: str, order: list, line) -> DataFrame:
     """One section per group: a heading and a list."""
     items = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("items"))
@@ -90,12 +28,25 @@ def _listed(rows: DataFrame, stem: str, heading: str, group: str, order: list, l
     return items.select(F.lit(stem).alias("stem"), F.struct(F.lit(0).cast("long").alias("a"), F.col(group).alias("b")).alias("place"), body.alias("section"))
 
 
+def fallback_core(clean: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(place, section) for each document, of its points, facts and warnings: the core of a corpus in which no topic passes."""
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "sentence_idx"))
+    facts = aggregate.document_facts(detect.facts(chunks)).select("doc_id", order.cast("long").alias("rank"), F.col("body").alias("text"))
+    points = enrichment.fallback_points(aggregate.summaries(chunks), facts, detect.warning_sentences(clean, "clean_text"))
+    lists = points.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "point"))).alias("ps"))  # five a document
+    rows = clean.select("doc_id", "title", "source_filename").join(lists, "doc_id")
+    body = F.array_join(F.transform("ps", lambda p: F.concat(F.lit("- "), p["point"])), "\n")
+    return rows.select(F.struct(F.lit(0).cast("long").alias("a"), F.concat(F.lower("title"), F.lit("\x00"), "source_filename").alias("b")).alias("place"), F.concat(F.lit("## "), "title", F.lit("\n\n"), body, F.lit("\n\nSources: "), "source_filename").alias("section"))
+
+
 def sections(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """(stem, place, section) of every part of the package, from a corpus of raw texts."""
     clean = normalize.with_knowledge_text(corpus, text_col)
     chunks = shared_table(segment.knowledge_chunks(clean, "clean_text"), "chunks")
     topics = shared_table(detect.topics(chunks), "topics")
-    core = aggregate.topic_sections(topics).select(F.lit("knowledge_core").alias("stem"), F.struct((-F.col("group_score")).cast("long").alias("a"), F.lower("label").alias("b")).alias("place"), "section")
+    core = shared_table(aggregate.topic_sections(topics).select(F.lit("knowledge_core").alias("stem"), F.struct((-F.col("group_score")).cast("long").alias("a"), F.lower("label").alias("b")).alias("place"), "section"), "core")
+    if core.isEmpty():
+        core = fallback_core(clean, chunks).select(F.lit("knowledge_core").alias("stem"), "place", "section")
     facts = aggregate.reference_facts(detect.facts(chunks))
     fact_part = _listed(facts, "reference_facts", "Reference Facts", "category", [F.col("rank")], F.concat(F.lit("- "), "text", F.lit(" [sources: "), F.array_join("sources", ", "), F.lit("]")))
     terms = aggregate.corpus_glossary(detect.glossary(chunks))
@@ -109,8 +60,7 @@ def sections(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
 
 def artifacts(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """(file_name, content) of the package."""
-    parts = shared_table(sections(corpus, text_col), "sections")
-    return paged(parts.where("stem = 'knowledge_core'"), CORE_WORDS).unionByName(paged(parts.where("stem <> 'knowledge_core'"), PAGE_WORDS))
+    return paging.paged(shared_table(sections(corpus, text_col).withColumn("id", F.monotonically_increasing_id()), "sections"))
 
 
 def guides(files: list[str], name: str) -> dict[str, str]:
@@ -122,7 +72,7 @@ def guides(files: list[str], name: str) -> dict[str, str]:
 def validation(found: DataFrame, queue: DataFrame | None = None) -> DataFrame:
     """(message): files that are no Markdown, too large, or doubles of another; open reviews."""
     sized = found.where(~F.col("file_name").endswith(".md")).select(F.concat(F.lit("not Markdown: "), "file_name").alias("message"))
-    large = found.where(F.octet_length("content") > MOST_BYTES).select(F.concat(F.lit("too large: "), "file_name").alias("message"))
+    large = found.where(F.octet_length("content") > paging.MOST_BYTES).select(F.concat(F.lit("too large: "), "file_name").alias("message"))
     double = changes.duplicate_artifacts(found).select(F.concat(F.lit("same content: "), "file_name", F.lit(" and "), "first_name").alias("message"))
     out = sized.unionByName(large).unionByName(double)
     if queue is not None:
@@ -131,14 +81,22 @@ def validation(found: DataFrame, queue: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def write(found: DataFrame, folder: str | Path, name: str = "knowledge", zipped: bool = False) -> list[str]:
-    """Write the package's files, one at a time, and return their names."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
+def write_files(found: DataFrame, folder: str | Path) -> list[str]:
+    """Write files (file_name, content), one at a time, and return their names."""
     names = []
     for row in found.orderBy("file_name").toLocalIterator():
-        (out / row["file_name"]).write_text(row["content"] + "\n", encoding="utf-8")
+        file = Path(folder) / row["file_name"]
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(row["content"] + "\n", encoding="utf-8")
         names.append(row["file_name"])
+    return names
+
+
+def write(found: DataFrame, folder: str | Path, name: str = "knowledge", zipped: bool = False) -> list[str]:
+    """Write the package's files with their guides and return their names."""
+    out = Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    names = write_files(found, out)
     for file, body in guides(names, name).items():
         (out / file).write_text(body, encoding="utf-8")
         names.append(file)
@@ -147,3 +105,33 @@ def write(found: DataFrame, folder: str | Path, name: str = "knowledge", zipped:
             for file in sorted(names):
                 z.write(out / file, file)
     return sorted(names)
+
+
+def debug_files(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
+    """(file_name, content): of every document its raw and clean text, its chunks, accepted and rejected candidates.
+
+    Documents of one name in different folders get a file each: the name is followed by the document's id.
+    """
+    from ..operators import reports
+
+    clean = normalize.with_knowledge_text(corpus, text_col)
+    chunks = shared_table(segment.knowledge_chunks(clean, "clean_text"), "chunks")
+    found = reports.unified_candidates(detect.glossary(chunks), detect.procedures(chunks), detect.facts(chunks), detect.topics(chunks))
+    stem = F.concat(F.replace(F.expr(text.slug("title", 80)), F.lit("-"), F.lit("_")), F.lit("_"), F.col("doc_id").cast("string"))
+    names = clean.select("doc_id", stem.alias("stem"))
+    as_file = lambda folder, suffix: F.concat(F.lit(f"{folder}/"), "stem", F.lit(suffix)).alias("file_name")
+    texts = clean.withColumn("stem", stem)
+    out = texts.select(as_file("extracted", ".txt"), F.coalesce(text_col, F.lit("")).alias("content")).unionByName(texts.select(as_file("normalized", ".txt"), F.col("clean_text").alias("content")))
+
+    def listed(rows: DataFrame, folder: str, order: list, block, title: str) -> DataFrame:
+        """Blocks of a document's rows; a document without any says so."""
+        per_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, block.alias("block")))).alias("bs"))  # of one document
+        body = F.coalesce(F.array_join(F.transform("bs", lambda b: b["block"]), "\n\n"), F.lit("Nothing recorded."))
+        return names.join(per_doc, "doc_id", "left").select(as_file(folder, ".md"), F.concat(F.lit(f"# {title}\n\n"), body, F.lit("\n")).alias("content"))
+
+    chunk = F.concat(F.lit("## "), "chunk_id", F.lit("\n- heading: "), "heading", F.lit("\n\n"), "text")
+    candidate = F.concat(F.lit("## "), "target_type", F.lit(": "), "title", F.lit("\n- score: "), F.col("score").cast("string"), F.coalesce(F.concat(F.lit("\n- rejection: "), "rejection_reason"), F.lit("")), F.lit("\n- chunk: "), "chunk_id", F.lit("\n\n"), "body")
+    place = ["target_type", "chunk_id", "title", "body"]
+    out = out.unionByName(listed(chunks, "chunks", ["chunk_index"], chunk, "Chunks"))
+    out = out.unionByName(listed(found.where("rejection_reason is null"), "promotion_candidates", place, candidate, "Accepted Candidates"))
+    return out.unionByName(listed(found.where("rejection_reason is not null"), "rejected_candidates", place, candidate, "Rejected Candidates"))

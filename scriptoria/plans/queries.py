@@ -532,6 +532,11 @@ def package_files(spark: SparkSession, d: str) -> DataFrame:
     return package.artifacts(tables.manuals(spark, d)).select("file_name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
 
 
+def debug_files(spark: SparkSession, d: str) -> DataFrame:
+    """The manuals' debug files, with size and digest."""
+    return package.debug_files(tables.manuals(spark, d)).select("file_name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+
+
 QUERIES: dict[str, Query] = {
     "reference_facts": reference_facts,
     "word_count_by_source": word_count_by_source,
@@ -620,4 +625,5 @@ QUERIES: dict[str, Query] = {
     "promoted_duplicates": promoted_duplicates,
     "recent_activity": recent_activity,
     "package_files": package_files,
+    "debug_files": debug_files,
 }

@@ -21,6 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators.markup import with_visible_text
+
 #: Fixed values.
 TYPES = {"txt": "txt", "md": "md", "csv": "csv", "tsv": "tsv", "html": "html", "htm": "html", "xml": "xml", "json": "json", "pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "png": "png", "jpg": "jpg", "jpeg": "jpeg", "tif": "tif", "tiff": "tiff", "bmp": "bmp", "webp": "webp"} | dict.fromkeys("yaml yml ini log rst toml rtf cfg conf".split(), "txt")
 IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
@@ -147,10 +150,14 @@ def _runs(e: ElementTree.Element) -> str:
 
 @register("docx")
 def word_file(content: bytes, strategy: str) -> Extracted:
+    """Paragraphs outside tables; the title is the file's property."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml"))
-    paragraphs = [p for p in (_runs(e).strip() for e in body.iter() if _local(e) == "p") if p]
-    return Extracted("\n".join(paragraphs), title=paragraphs[0][:120] if paragraphs else None, method="docx")
+        core = ElementTree.fromstring(z.read("docProps/core.xml")) if "docProps/core.xml" in z.namelist() else []
+    in_tables = {id(p) for t in body.iter() if _local(t) == "tbl" for p in t.iter()}
+    paragraphs = [p for p in (_runs(e).strip() for e in body.iter() if _local(e) == "p" and id(e) not in in_tables) if p]
+    title = next((e.text.strip() for e in core if _local(e) == "title" and (e.text or "").strip()), None)
+    return Extracted("\n".join(paragraphs), title=title, method="docx")
 
 
 @register("pptx")
@@ -246,19 +253,47 @@ def _extracting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([rest, columns], axis=1)
 
 
-def listing(spark: SparkSession, path: str, supported_only: bool = True) -> DataFrame:
-    """Files below a folder with type, corpus and relative path; their content is read only if it is asked for."""
+def listing(spark: SparkSession, path: str | list[str], supported_only: bool = True) -> DataFrame:
+    """Files below one or more folders, each once, with type, corpus and relative path; content is read only if it is asked for."""
+    roots = [path] if isinstance(path, str) else list(dict.fromkeys(path))
+    one = _below(spark, roots[0])
+    for root in roots[1:]:
+        one = one.unionByName(_below(spark, root))
+    rows = one if len(roots) == 1 else one.join(one.groupBy("path").agg(F.min("root").alias("root")), ["path", "root"])  # a file below two roots belongs to the first by name
+    rows = rows.drop("root")
+    return rows.where("document_type is not null") if supported_only else rows
+
+
+def _below(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     types = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    base = path.rstrip("/") + "/"
+    base = re.sub(r"^[a-z]+:/+", "/", path.rstrip("/") + "/")
     relative = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    rows = files.withColumn("relative_path", F.substring(relative, F.length(F.lit(re.sub(r"^[a-z]+:/+", "/", base))) + 1, 1_000_000)).withColumn("document_type", F.try_element_at(types, suffix))
+    rows = files.withColumns({"relative_path": F.substring(relative, len(base) + 1, 1_000_000), "document_type": F.try_element_at(types, suffix), "root": F.lit(base)})
     parts = F.split("relative_path", "/")
     ignored = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED_DIRS) | F.lower(p).rlike("_gpt_knowledge$|_debug$") | p.rlike(r"(?i)\.(?:tmp|bak)$"))
-    rows = rows.where(~ignored).withColumn("corpus", F.when(F.size(parts) > 1, parts[0]).otherwise(""))
-    return rows.where("document_type is not null") if supported_only else rows
+    return rows.where(~ignored).withColumn("corpus", F.when(F.size(parts) > 1, parts[0]).otherwise(""))
+
+
+#: Types whose text is made of columns, if the bytes are UTF-8: only other bytes and formats go through Python.
+PLAIN = ("txt", "md", "html")
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """Text files and HTML in UTF-8, with the columns of ``SCHEMA``."""
+    html = (F.col("document_type") == "html") & (F.col("strategy") != "raw")
+    read = with_visible_text(rows.withColumn("_raw", F.decode("content", "UTF-8")).withColumn("_html", F.when(html, F.col("_raw"))), "_html", "_page_title", "_page_text")
+    body = F.when(html, F.col("_page_text")).otherwise(F.col("_raw"))
+    method = F.when(html, "html").when(F.col("document_type") == "html", "raw").otherwise("plain")
+    low = F.regexp_count(body, F.lit(text.WORD)) < LOW_TEXT_WORDS
+    none = F.lit(None).cast("string")
+    columns = {
+        "title": F.when(html, F.col("_page_title")), "text": body, "pages": F.when(body != "", F.array(body)).otherwise(F.expr("cast(array() as array<string>)")), "method": method,
+        "status": F.when(low, "partial").otherwise("success"), "chain": F.array(method), "warnings": F.when(low, F.array(F.lit("low text"))).otherwise(F.expr("cast(array() as array<string>)")), "failure": none,
+    }
+    return read.withColumns(columns).drop("_raw", "_html", "_page_title", "_page_text", "content")
 
 
 def extracted(files: DataFrame, strategy: Column | str = "default", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -266,7 +301,8 @@ def extracted(files: DataFrame, strategy: Column | str = "default", most_bytes:
     content = F.when(F.col("length") <= most_bytes, F.col("content"))
     rows = files.select("path", "relative_path", "corpus", "modificationTime", "length", F.coalesce("document_type", F.lit("")).alias("document_type"), F.sha2(content, 256).alias("checksum"), (strategy if isinstance(strategy, Column) else F.lit(strategy)).alias("strategy"), content.alias("content"))
     kept = ", ".join(f"{c} {t}" for c, t in rows.drop("content").dtypes)
-    out = rows.mapInPandas(_extracting, f"{kept}, {SCHEMA}")
+    plain = F.col("document_type").isin(*PLAIN) & F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
+    out = rows.where(~plain).mapInPandas(_extracting, f"{kept}, {SCHEMA}").unionByName(_plain(rows.where(plain)))
     status = F.when(F.col("status") == "partial", 0.6).when(F.col("status") == "metadata_only", 0.25).when(F.col("status") == "unsupported", 0.1).when(F.col("status") == "failed", 0.0).otherwise(1.0)
     low = F.array_contains("warnings", "low text")
     before = F.when(low & (F.col("status") == "partial") & (F.size("warnings") == 1), 1.0).otherwise(status)
@@ -274,14 +310,3 @@ def extracted(files: DataFrame, strategy: Column | str = "default", most_bytes:
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     preview = F.substring(F.coalesce(F.nullif("text", F.lit("")), F.col("failure"), F.array_join("warnings", "\n"), F.lit("")), 1, PREVIEW_CHARS)
     return out.withColumns({"title": F.coalesce("title", stem), "quality": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality)), 3), "preview": preview})
-
-
-def html_column(html: Column) -> Column:
-    """struct<title,text,status> of a column of HTML."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [extract((h or "").encode(), "html") for h in batch]
-            yield pd.DataFrame({"title": [e.title for e in found], "text": [e.text for e in found], "status": [e.status for e in found]})
-
-    return F.pandas_udf(run, "title string, text string, status string")(html)

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptoria.functions import rules, text
-from scriptoria.operators import aggregate, changes, components, detect, duplicates, normalize, review, segment
-from scriptoria.plans import package
-from scriptoria.plans.project import Project
+from scriptoria.operators import aggregate, changes, components, detect, duplicates, enrichment, normalize, reports, review, segment
+from scriptoria.plans import outputs, package, paging
+from scriptoria.plans.project import Project, compile_batch
 from scriptoria.sources import extract
 
 CORPUS = "doc_id long, source_path string, source_filename string, source_folder_name string, document_type string, title string, raw_text string"
@@ -244,11 +244,36 @@ def test_globs(spark):
     assert {r["p"] for r in rows.where(changes.glob(F.col("p"), ["**/x.txt"])).collect()} == {"a/b/x.txt", "x.txt"}
 
 
-def test_pages_of_a_package():
-    words = lambda n: " ".join(["w"] * n)
-    assert [len(p.split()) for p in package.pages(iter([words(900), words(900), words(50)]), 1600)] == [900, 950]
-    assert [len(p.split()) for p in package.pages(iter([words(1500), words(90)]), 1550)] == [1590]
-    assert all(len(p.encode()) <= 50 for p in package.by_bytes("ä" * 60 + "\n\n" + "b" * 20, 50))
+def folded_pages(sections, target, short, core):
+    """The rule, section by section: (words of each page)."""
+    pages = []
+    for n in sections:
+        if pages and pages[-1] + n <= target:
+            pages[-1] += n
+        else:
+            pages.append(n)
+    if len(pages) > 1 and pages[-1] < short and pages[-2] + pages[-1] <= target * 5 // 4:
+        pages[-2:] = [pages[-2] + pages[-1]]
+    return [n for i, n in enumerate(pages) if not core or n >= 40 or (n >= 8 and len(pages) == 1)]
+
+
+def test_pages_like_a_fold(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = {"knowledge_core": [900, 900, 50], "glossary": [1500, 150, 1600, 90], "procedures": [rng.randint(5, 400) for _ in range(60)], "entities": [5000, 3, 1690, 20]}
+    rows = [(i, stem, f"{k:05d}", f"{stem}{k} " + " ".join(["word"] * (n - 1))) for i, (stem, k, n) in enumerate((stem, k, n) for stem, sizes in parts.items() for k, n in enumerate(sizes))]
+    rng.shuffle(rows)
+    got = {r["file_name"]: r["content"] for r in paging.paged(spark.createDataFrame(rows, "id long, stem string, place string, section string").repartition(3)).collect()}
+    for stem, sizes in parts.items():
+        core = stem == "knowledge_core"
+        want = folded_pages(sizes, 1600 if core else 1700, 120 if core else 100, core)
+        names = sorted(n for n in got if n.startswith(stem))
+        assert [len(got[n].split()) for n in names] == want, stem
+        assert names == ([f"{stem}_p{i:02d}.md" for i in range(1, len(want) + 1)] if core or len(want) > 1 else [f"{stem}.md"])
+        assert re.findall(rf"{stem}(\d+)", " ".join(got[n] for n in names)) == [str(k) for k in range(len(sizes))]
+    assert paging.paged(spark.createDataFrame([(1, "glossary", "a", "# Glossary\n\n## X")], "id long, stem string, place string, section string")).count() == 0
+    assert all(len(p.encode()) <= 50 for p in paging.by_bytes("ä" * 60 + "\n\n" + "b" * 20, 50)) and "".join(paging.by_bytes("ä" * 60, 50)) == "ä" * 60
 
 
 def _zip(files):
@@ -261,9 +286,9 @@ def _zip(files):
 
 def test_extractors():
     w = 'xmlns:w="w"'
-    docx = _zip({"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Body text</w:t></w:r></w:p></w:body></w:document>"})
+    docx = _zip({"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>Head</w:t></w:r></w:p><w:tbl><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tbl><w:p><w:r><w:t>Body text</w:t></w:r></w:p></w:body></w:document>", "docProps/core.xml": "<p><title>Manual</title></p>"})
     xlsx = _zip({"xl/sharedStrings.xml": "<sst><si><t>name</t></si></sst>", "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c t="s"><v>0</v></c><c><v>5</v></c></row></sheetData></worksheet>'})
-    assert extract.extract(docx, "docx").text == "Head\nBody text"
+    assert (extract.extract(docx, "docx").text, extract.extract(docx, "docx").title) == ("Head\nBody text", "Manual")
     assert extract.extract(xlsx, "xlsx").text == "name | 5"
     assert extract.extract(b"a\tb\n1\t2", "tsv").text == "a | b\n1 | 2"
     assert extract.extract(b'{"a": 1,, }', "json").status == "partial"
@@ -328,3 +353,98 @@ def test_rules_read_alike_in_both_dialects(spark):
     for rule in (rules.admin_line, lambda x, d: rules.fact_score(x, text.words(x, d), d), lambda x, d: rules.fragment(x, text.words(x, d), d)):
         ours = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in lines], "l string").selectExpr("l", f"{rule('l', SPARK)} as v").collect()}
         assert ours == dict(con.sql(f"select l, {rule('l', ANSI)} from t").fetchall())
+
+
+def test_files_by_columns_like_the_extractors(spark, tmp_path):
+    """Text and HTML in UTF-8 are read by columns, other bytes in Python, both with the same result."""
+    files = {"a.txt": "one two ".encode() * 20, "b.txt": b"caf\xe9", "c.html": b"<title>T &amp; U</title><p>x &eacute; y<br>z</p><script>no</script>", "e.json": b'{"a": 1}'}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r["path"].rpartition("/")[2]: r for r in extract.extracted(extract.listing(spark, [f"file://{tmp_path}", f"file://{tmp_path}"])).collect()}
+    assert set(got) == set(files)
+    for name, body in files.items():
+        want = extract.extract(body, name.rpartition(".")[2])
+        r = got[name]
+        assert (r["text"], r["status"], r["method"], r["warnings"], r["pages"]) == (want.text, want.status, want.method, want.warnings, want.pages or ([want.text] if want.text else [])), name
+        assert r["title"] == (want.title or name.rpartition(".")[0])
+    raw = extract.extracted(extract.listing(spark, f"file://{tmp_path}").where("document_type = 'html'"), "raw").first()
+    assert raw["text"].startswith("<title>") and raw["method"] == "raw"
+
+
+def test_review_retry_promote_and_export(spark, tmp_path):
+    source, body = tmp_path / "in", "The installer shall verify torque is 11 Nm before service. " * 8
+    source.mkdir()
+    for name in ("a.txt", "b.txt", "c.txt"):
+        (source / name).write_text(body if name != "c.txt" else "Bonding shall follow ANSI/TIA-222-H in every case. " * 9)
+    (source / "bad.json").write_text('{"a": 1,,}')
+    project = Project(spark, f"file://{tmp_path}/work")
+    where = f"file://{source}"
+    project.scan(where)
+    item = {(r["source_path"].rpartition("/")[2], r["kind"]): r["review_id"] for r in project.queue().collect()}
+    project.update(item["b.txt", "duplicate"], title="  Torque Manual ", domain="Field Work", note="seen")
+    now = {r["source_filename"]: r for r in project.current().collect()}
+    assert (now["b.txt"]["title"], now["b.txt"]["probable_domain"], now["b.txt"]["review_status"]) == ("Torque Manual", "field_work", "flagged")
+    with pytest.raises(ValueError, match="no review item"):
+        project.update("none", status="accepted")
+    project.promote(item["b.txt", "duplicate"])
+    kinds = {(r["source_path"].rpartition("/")[2], r["kind"]) for r in project.queue().collect()}
+    assert ("a.txt", "duplicate") in kinds and ("b.txt", "duplicate") not in kinds
+    with pytest.raises(ValueError, match="no duplicate item"):
+        project.promote(item["bad.json", "extraction_issue"])
+    (source / "bad.json").write_text('{"a": "' + body + '"}')
+    assert {r["change"]: r["n"] for r in project.retry(where).collect()}.get("changed") == 1
+    assert {r["source_filename"]: r["extraction_status"] for r in project.current().collect()}["bad.json"] == "success"
+    (source / "c.txt").write_text("Changed. " * 40)
+    project.scan(where, since="2999-01-01")  # no file is that new: what was read stays
+    assert "Bonding" in {r["source_filename"]: r["raw_text"] for r in project.current().collect()}["c.txt"]
+    found = project.diagnostics(str(tmp_path / "diagnostics"))
+    assert found["corpus_metrics"]["duplicates"] == 1 and "a.txt" in (tmp_path / "diagnostics" / "diagnostics.md").read_text()
+    assert any("open reviews" in r["message"] for r in project.validation().collect())
+    files, _ = project.export(str(tmp_path / "out"))
+    assert project.latest_export() == str(tmp_path / "out") and "reference_facts.md" in files
+    lines = [(r["kind"], r["summary"]) for r in project.history().collect()]
+    assert lines[-1] == ("export", "Export completed: out") and ("duplicate_promote", "Duplicate canonical changed: b.txt") in lines
+
+
+def test_batch_of_folders(spark, tmp_path):
+    for folder, text_ in (("one", "The installer shall verify torque is 11 Nm before service. " * 8), ("two", "Bonding shall follow ANSI/TIA-222-H in every case here. " * 8), ("three", "x")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "a.txt").write_text(text_)
+    (tmp_path / "in" / "loose.txt").write_text("loose")
+    rows = {r["corpus"]: (r["status"], r["processed"]) for r in compile_batch(spark, f"file://{tmp_path}/in", str(tmp_path / "out"), only=["one", "two"]).collect()}
+    assert rows == {"one": ("SUCCESS", 1), "two": ("SUCCESS", 1), "three": ("SKIPPED", 0)}
+    assert (tmp_path / "out" / "one" / "reference_facts.md").exists() and not (tmp_path / "out" / "three").exists()
+
+
+def test_core_of_a_corpus_without_topics(spark):
+    docs = corpus(spark, "The tower stands on a hill near the old river town and it is very tall.", "Short.")
+    found = {r["file_name"]: r["content"] for r in package.artifacts(docs).collect()}
+    assert "knowledge_core_p01.md" in found and "- The tower stands" in found["knowledge_core_p01.md"]
+
+
+def test_tables_as_json_and_csv(spark, tmp_path):
+    docs = corpus(spark, "# Head\n\nThe bar means the copper bar.\n\nThe installer shall verify torque.", "x")
+    names = outputs.write(docs, f"file://{tmp_path}")
+    assert "documents.csv" in names and spark.read.json(f"file://{tmp_path}/extracted_requirements.jsonl").count() == 1
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/documents.csv").count() == 2
+    one = outputs.one_table({"a": spark.range(2), "b": spark.range(1).withColumn("x", F.array(F.lit("p"), F.lit("q")))})
+    assert [r["x"] for r in outputs.flattened(one).where("kind = 'b'").collect()] == ["p | q"]
+
+
+def test_line_diff_and_log_lines(spark):
+    rows = spark.createDataFrame([(["a", "b", "c"], ["a", "x", "c", "d"]), (None, ["a"])], "p array<string>, q array<string>")
+    assert [tuple(r["d"]) for r in rows.select(duplicates.line_diff(F.col("p"), F.col("q")).alias("d")).collect()] == [(2, 1, 2), (0, 0, 1)]
+    lines = ["2024-01-01T00:00:00 review_update review_id=7::empty status=accepted", "2024 export package=/a/b c.zip", "word", "", "2024 other some detail", "2024 scan files=3 files=4"]
+    got = changes.log_fields(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert [(r["kind"], r["summary"]) for r in got] == [("review_update", "Review updated: 7::empty -> accepted"), ("export", "Export completed: b c.zip"), ("unknown", "word"), ("unknown", ""), ("other", "some detail"), ("scan", "Scan run: files=3 files=4")]
+    assert got[-1]["fields"] == {"files": "4"}
+
+
+def test_confidence_is_a_share(spark):
+    rows = spark.createDataFrame([("0.25",), ("7",), ("-1",), ("none",), (None,)], "v string")
+    assert [r[0] for r in rows.select(enrichment.safe_confidence(F.col("v"), 0.55)).collect()] == [0.25, 1.0, 0.0, 0.55, 0.55]
+
+
+def test_low_quality_pages(spark):
+    rows = spark.createDataFrame([("", False), ("short", False), ("short", True), ("1234 " * 20, True), ("plain words here " * 9, True)], "t string, images boolean")
+    assert [r[0] for r in rows.select(reports.low_quality_page(F.col("t"), F.col("images"))).collect()] == [True, False, True, True, False]
