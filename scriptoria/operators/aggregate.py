@@ -96,10 +96,11 @@ def topic_sections(candidates: DataFrame, most: int = 5) -> DataFrame:
 
 
 def topic_terms(corpus: DataFrame, words: Column, most: int = 3) -> DataFrame:
-    """doc_id, rank, term, n: a document's most frequent topic words, by count, length, spelling."""
-    counted = corpus.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc(F.length("term")), "term"))
-    return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
+    """doc_id, rank, term, n: a document's most frequent topic words, by count, length, spelling; found inside the row."""
+    from .detect import with_ranked_words
+
+    rows = with_ranked_words(corpus, words, "terms", most, counts=True)
+    return rows.select("doc_id", F.posexplode("terms").alias("place", "t")).select("doc_id", F.col("t.term").alias("term"), F.col("t.n").alias("n"), (F.col("place") + 1).cast("long").alias("rank"))
 
 
 def summaries(chunks: DataFrame, most: int = 6) -> DataFrame:

@@ -73,9 +73,11 @@ def facts(chunks: DataFrame) -> DataFrame:
     return settled(out, "body", "category", "score", "rejection_reason")
 
 
-def with_ranked_words(rows: DataFrame, words: Column, out: str, size: int = 3) -> DataFrame:
+def with_ranked_words(rows: DataFrame, words: Column, out: str, size: int = 3, counts: bool = False) -> DataFrame:
     """``rows`` with the most frequent words of an array: by count, then length, both falling, then by themselves.
 
+    With ``counts`` the new column has structs of term and n.
+
     Equal words stand together in the sorted array, so counts are the lengths of its runs: one pass, however long it is.
     """
     rows = settled(rows.withColumn("_sorted", F.array_sort(words)), "_sorted")
@@ -83,8 +85,11 @@ def with_ranked_words(rows: DataFrame, words: Column, out: str, size: int = 3) -
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
     rows = settled(rows.withColumn("_starts", F.when(n > 0, starts)), "_starts")
     runs = F.zip_with("_starts", F.concat(F.slice("_starts", 2, n), F.array(n)), lambda a, b: F.struct((a - b).alias("n"), (-F.length(at(a))).alias("l"), at(a).alias("w")))
-    top = F.transform(F.slice(F.array_sort(runs), 1, size), lambda x: x["w"])
-    return rows.withColumn(out, F.when(n > 0, top).otherwise(F.expr("cast(array() as array<string>)"))).drop("_sorted", "_starts")
+    # a, b of a run: n is start minus end, so it is negative and sorts the longest runs first
+    pick = (lambda x: F.struct(x["w"].alias("term"), (-x["n"]).cast("long").alias("n"))) if counts else (lambda x: x["w"])
+    top = F.transform(F.slice(F.array_sort(runs), 1, size), pick)
+    none = F.expr(f"cast(array() as array<{'struct<term:string,n:bigint>' if counts else 'string'}>)")
+    return rows.withColumn(out, F.when(n > 0, top).otherwise(none)).drop("_sorted", "_starts")
 
 
 def topics(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +30,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end; write or collect what you need of them before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    It stays until the process, or the innermost :func:`scope`, ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scriptoria-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if _open:
+        _open[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,21 +8,36 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+MARKS = "source_path string, checksum string, batch long"
 
 
 class ScanState:
-    """source_path, checksum by micro-batch: a folder for each batch id, so a batch that is run again replaces itself."""
+    """source_path, checksum by micro-batch: a folder for each batch id, so a batch that is run again replaces itself.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Every ``compact_every`` batches the state is written as one snapshot; reading takes the newest snapshot and the
+    batches after it, so the cost of a batch does not grow with how many there were.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 20):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _done(self, kind: str) -> list[int]:
+        """The ids of the batches or snapshots that were written to their end."""
+        if not self._files.exists(self._path(self.path)):
+            return []
+        names = [s.getPath().getName() for s in self._files.listStatus(self._path(self.path))]
+        return sorted(int(n[len(kind) + 1 :]) for n in names if n.startswith(f"{kind}-") and self._files.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
 
     def before(self, batch_id: int) -> DataFrame:
-        if not _exists(self.spark, self.path):
-            return self.spark.createDataFrame([], "source_path string, checksum string, batch long")
-        rows = self.spark.read.schema("source_path string, checksum string, batch long").parquet(f"{self.path}/*").where(F.col("batch") < batch_id)
+        snapshot = max((i for i in self._done("snapshot") if i < batch_id), default=None)
+        parts = [f"{self.path}/batch-{i:010d}" for i in self._done("batch") if i < batch_id and (snapshot is None or i > snapshot)]
+        if snapshot is not None:
+            parts.append(f"{self.path}/snapshot-{snapshot:010d}")
+        if not parts:
+            return self.spark.createDataFrame([], MARKS)
+        rows = self.spark.read.schema(MARKS).parquet(*parts)
         return rows.groupBy("source_path").agg(F.max_by("checksum", "batch").alias("checksum"), F.max("batch").alias("batch"))
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
@@ -30,6 +45,8 @@ class ScanState:
         latest = batch.groupBy("source_path").agg(F.max("checksum").alias("checksum"))
         fresh = latest.join(old, ["source_path", "checksum"], "left_anti")
         fresh.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id:010d}")
+        if batch_id % self.compact_every == self.compact_every - 1:
+            self.before(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/snapshot-{batch_id:010d}")
 
     def current(self) -> DataFrame:
         return self.before(1 << 62)

@@ -448,3 +448,26 @@ def test_confidence_is_a_share(spark):
 def test_low_quality_pages(spark):
     rows = spark.createDataFrame([("", False), ("short", False), ("short", True), ("1234 " * 20, True), ("plain words here " * 9, True)], "t string, images boolean")
     assert [r[0] for r in rows.select(reports.low_quality_page(F.col("t"), F.col("images"))).collect()] == [True, False, True, True, False]
+
+
+def test_scan_state_is_compacted(spark, tmp_path):
+    from scriptoria.streaming.scan import ScanState
+
+    state = ScanState(spark, f"file://{tmp_path}/state", compact_every=2)
+    for i in range(5):
+        rows = [(f"/{i % 3}", f"v{i}"), ("/same", "v")]
+        state.add(spark.createDataFrame(rows, "source_path string, checksum string"), i)
+    state.add(spark.createDataFrame([("/1", "v4x")], "source_path string, checksum string"), 4)  # a batch that is run again replaces itself
+    got = {r["source_path"]: (r["checksum"], r["batch"]) for r in state.current().collect()}
+    assert got == {"/0": ("v3", 3), "/1": ("v4x", 4), "/2": ("v2", 2), "/same": ("v", 0)}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("snapshot")) == ["snapshot-0000000001", "snapshot-0000000003"]
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    from scriptoria.shared import scope, shared_table
+
+    with scope(spark):
+        table = shared_table(spark.range(3), "numbers")
+        assert table.count() == 3
+        file = table.inputFiles()[0].replace("file://", "")
+    assert not __import__("os").path.exists(file)
