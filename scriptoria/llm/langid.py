@@ -30,15 +30,13 @@ ship_by_value(__name__)
 
 SIZE, ORDER, UNKNOWN = 400, 3, "und"
 NO_LETTERS = re.compile(r"[\W\d_]+")
-#: Number signs such as fractions are words to ``re``, but no letters; a set of characters alone is looked up fast.
-NUMBER_SIGNS = re.compile("[ " + "".join(map(chr, (c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()))) + "]+")
 
 
 def ngrams(text: str | None) -> np.ndarray:
     """The packed n-grams of a text, 21 bits a character; none if it has no letter."""
     clean = NO_LETTERS.sub(" ", (text or "").lower())
-    if not clean.isascii():
-        clean = NUMBER_SIGNS.sub(" ", clean)
+    if not clean.replace(" ", "").isalpha():  # number signs such as fractions are words to ``re``, but no letters
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
     clean = clean.strip()
     if not clean:
         return np.empty(0, np.int64)
