@@ -6,8 +6,8 @@ Trusted documents are counted in the tasks and added up by Spark; lower orders c
 order has three discounts, from its counts of counts, and each context gives the mass it saves to the next lower
 order. All of this is joins and sums over (language, n-gram) tables, one model for each language.
 
-Scoring is sharded. A task packs its documents into shards of about ``shard_chars`` characters, which are written; then
-each shard asks for its distinct n-grams once; the distinct n-grams of all shards are joined with the model, order by order; each shard gets
+Scoring is sharded. A task packs its documents, sorted, into shards of about ``shard_chars`` characters; each shard asks
+for its distinct n-grams once; the distinct n-grams of all shards are joined with the model, order by order; each shard gets
 its answers back together with its packed documents and adds up their logarithms. A document's perplexity is per
 character. Short texts score higher and scatter more, so it is adjusted to the length n: over all trusted documents
 of a language its logarithm is fitted as a line in 1/(n + 1) (the marks cost about the same in every text), and the
@@ -173,25 +173,28 @@ def _by_lang(rows: list[tuple]) -> dict[str, list[tuple[int, str]]]:
     return out
 
 
-def _packer(shard_chars: int):
-    """Rows (id, lang, text) as packs of about so many characters, each with a number of its own."""
+def _shards(batches: Iterator[pa.RecordBatch], shard_chars: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(shard, rows of (id, lang, text)) of about so many characters: the same shards each time that sorted rows are read."""
+    part = TaskContext.get().partitionId()
+    rows = ((i, lang, prepared(t)) for batch in batches for i, lang, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+    for seq, held in enumerate(_blocks(rows, shard_chars)):
+        yield (part << 32) | seq, held
+
 
+def _packer(shard_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        rows = ((i, lang, prepared(t)) for batch in batches for i, lang, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        for held in _blocks(rows, shard_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq], pa.int64()), pa.array([zstandard.compress(pickle.dumps(held), 3)], pa.binary())], names=["shard", "pack"])
-            seq += 1
+        for shard, held in _shards(batches, shard_chars):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([zstandard.compress(pickle.dumps(held), 3)], pa.binary())], names=["shard", "pack"])
 
     return run
 
 
-def _asker(order: int):
-    """The distinct n-grams of each pack."""
+def _asker(order: int, shard_chars: int):
+    """The distinct n-grams of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, pack in ((s, p) for batch in batches for s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            for lang, texts in _by_lang(pickle.loads(zstandard.decompress(pack))).items():
+        for shard, rows in _shards(batches, shard_chars):
+            for lang, texts in _by_lang(rows).items():
                 parts = []
                 for held in _blocks(texts, 1 << 21):
                     c, starts, codes, _ = gram_codes([t for _, t in held], order)
@@ -251,12 +254,14 @@ def answers_of(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Da
     return now.where("p is not null").select("lang", "g", F.log("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", shard_chars: int = 24 << 20) -> DataFrame:
+def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", shard_chars: int = 16 << 20) -> DataFrame:
     """(id, lang, n_chars, perplexity) of each row; n_chars counts the prepared text."""
     order = len(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    packs = shared_table(rows.mapInArrow(_packer(shard_chars), "shard long, pack binary"), "packs")  # written before anything is asked: a shard stays as it is
-    asked = shared_table(packs.mapInArrow(_asker(order), "shard long, lang string, g string"), "asked")
+    # sorted: a partition that is read again, in whatever order its rows come, gives the same shards
+    rows = rows.sortWithinPartitions("id", "lang", F.xxhash64("text"))
+    packs = rows.mapInArrow(_packer(shard_chars), "shard long, pack binary")
+    asked = shared_table(rows.mapInArrow(_asker(order, shard_chars), "shard long, lang string, g string"), "asked")
     answers = answers_of(shared_table(asked.select("lang", "g").distinct(), "wanted"), model)
     replies = asked.join(answers, ["lang", "g"]).select("shard", "lang", "g", "logp")
     scored = packs.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_scorer(order), "id long, lang string, n_chars long, logp double")
