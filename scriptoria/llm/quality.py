@@ -6,8 +6,8 @@ Trusted documents are counted in the tasks and added up by Spark; lower orders c
 order has three discounts, from its counts of counts, and each context gives the mass it saves to the next lower
 order. All of this is joins and sums over (language, n-gram) tables, one model for each language.
 
-Scoring is sharded. A task packs its documents, sorted, into shards of about ``shard_chars`` characters; each shard asks
-for its distinct n-grams once; the distinct n-grams of all shards are joined with the model, order by order; each shard gets
+Scoring is sharded. A task packs its documents into shards of about ``shard_chars`` characters; each shard asks for its
+distinct n-grams once (the input is read twice, so it must be a table, or written as one: rows in another order are an error); the distinct n-grams of all shards are joined with the model, order by order; each shard gets
 its answers back together with its packed documents and adds up their logarithms. A document's perplexity is per
 character. Short texts score higher and scatter more, so it is adjusted to the length n: over all trusted documents
 of a language its logarithm is fitted as a line in 1/(n + 1) (the marks cost about the same in every text), and the
@@ -174,7 +174,7 @@ def _by_lang(rows: list[tuple]) -> dict[str, list[tuple[int, str]]]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_chars: int) -> Iterator[tuple[int, list[tuple]]]:
-    """(shard, rows of (id, lang, text)) of about so many characters: the same shards each time that sorted rows are read."""
+    """(shard, rows of (id, lang, text)) of about so many characters: the same shards each time that a table is read."""
     part = TaskContext.get().partitionId()
     rows = ((i, lang, prepared(t)) for batch in batches for i, lang, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
     for seq, held in enumerate(_blocks(rows, shard_chars)):
@@ -258,8 +258,6 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], id_c
     """(id, lang, n_chars, perplexity) of each row; n_chars counts the prepared text."""
     order = len(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    # sorted: a partition that is read again, in whatever order its rows come, gives the same shards
-    rows = rows.sortWithinPartitions("id", "lang", F.xxhash64("text"))
     packs = rows.mapInArrow(_packer(shard_chars), "shard long, pack binary")
     asked = shared_table(rows.mapInArrow(_asker(order, shard_chars), "shard long, lang string, g string"), "asked")
     answers = answers_of(shared_table(asked.select("lang", "g").distinct(), "wanted"), model)
