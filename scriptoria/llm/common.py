@@ -86,15 +86,23 @@ def regex_spans(text: Column, pattern: str) -> Column:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows in the jobs that run inside: rows that carry whole texts are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the jobs that run inside."""
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows in the jobs that run inside: rows that carry whole texts are large."""
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}):
+        yield
 
 
 def fresh_name(columns: list[str], wish: str) -> str:

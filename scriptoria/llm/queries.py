@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, licenses, mixing, near_dedup, pii, quality, secrets, token_counts
+from . import decontaminate, exact_dedup, langid, lexical, licenses, merkle, mixing, near_dedup, packing, pii, quality, secrets, token_counts
 from .common import shared_dir
 
 #: The key of the pseudonyms: ``spark.scriptoria.pii.key``; the other one serves tests, on a local master alone.
@@ -83,6 +84,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col(n_words).alias("n_words"), decontaminate.hit_words(F.col(spans)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), decontaminate.contaminated(F.col(n_words), F.col(spans)).alias("contaminated"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in merkle.FIELDS]
+    small = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(drawn, merkle.record_hash([*fields[:-1], small]))
+    leaves = docs.select("doc_id", "lang", merkle.record_hash(fields).alias("leaf"), tampered.alias("tampered"))
+    found, (subroot, root, proof) = merkle.prove(leaves, "leaf", "lang", "doc_id")
+    proved = found.select("doc_id", "leaf", F.col(subroot).alias("subroot"), F.col(root).alias("root"), F.sha2(merkle.siblings(F.col(proof)), 256).alias("proof_sha256"), merkle.fold(F.coalesce("tampered", "leaf"), F.col(proof)).alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(table(spark, sf_dir, "documents"))
+    own = pieces.select("key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return own.join(packing.pack(pieces.select("key", "length")), "key").drop("key")
+
+
 def _spans_sql(name: str, pattern: str, keep: str) -> str:
     quoted = pattern.replace("'", "''")
     return f"""{name} as (
@@ -164,6 +187,50 @@ select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
 from dw left join hit using (doc_id) left join its using (doc_id)"""
 
 
+def _crc32_sql(value: str) -> str:
+    """CRC-32 of a text of ASCII characters, by its rule."""
+    rows = "list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i))"
+    step = f"lambda c, b: xor(c >> 8, ({rows})[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_transform(string_split({value}, ''), lambda x: ascii(x)::bigint), {step}, 4294967295), 4294967295)"
+
+
+def _op11_sql() -> str:
+    said = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    small = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    head = " || ".join(said(c) for c in merkle.FIELDS[:-1])
+
+    def tree(name: str, leaves: str) -> str:
+        return f"""{name}(g, lvl, i, h, m) as (select g, 0, i, h, count(*) over (partition by g) from ({leaves})
+  union all select g, lvl, i, h, count(*) over (partition by g) from (select g, lvl + 1 as lvl, i // 8 as i, sha256(string_agg(h, '' order by i)) as h from {name} where m > 1 group by g, lvl, i // 8)),
+{name}_side as (select a.g, a.lvl, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as l, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as r
+  from {name} a join {name} b on a.g = b.g and a.lvl = b.lvl and a.i // 8 = b.i // 8 where a.m > 1 group by a.g, a.lvl, a.i)"""
+
+    return f"""with recursive crc as (select doc_id, {_crc32_sql("doc_id::varchar")} as c from documents),
+d as (select doc_id, coalesce('=' || lang, '') as g, sha256({head} || {said("text")}) as leaf, sha256({head} || {said(small)}) as lower_leaf from documents),
+o as (select d.doc_id, g, leaf, case when c % 3 = 0 then lower_leaf else leaf end as told, row_number() over (partition by g order by d.doc_id) - 1 as i from d join crc using (doc_id)),
+{tree("t", "select g, i, leaf as h from o")},
+subroots as (select g, h, row_number() over (order by g) - 1 as i from t where m = 1),
+{tree("s", "select '' as g, i, h from subroots")},
+f(doc_id, g, lvl, i, h, p) as (select doc_id, g, 0, i, told, '' from o
+  union all select doc_id, f.g, f.lvl + 1, f.i // 8, sha256(l || h || r), p || l || r from f join t_side using (g, lvl, i)),
+low as (select doc_id, f.g, h, p from f join (select g, max(lvl) as top from t group by g) x on f.g = x.g and f.lvl = x.top),
+u(doc_id, lvl, i, h, p) as (select doc_id, 0, n.i, low.h, p from low join subroots n using (g)
+  union all select doc_id, u.lvl + 1, u.i // 8, sha256(l || h || r), p || l || r from u join s_side using (lvl, i)),
+up as (select doc_id, h, p from u where lvl = (select max(lvl) from s))
+select o.doc_id, leaf, n.h as subroot, (select h from s where m = 1) as root, sha256(p) as proof_sha256, up.h as folded_root, up.h = (select h from s where m = 1) as verified
+from o join subroots n using (g) join up using (doc_id)"""
+
+
+_OP12_SQL = """with w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+q as (select distinct item_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) as term from benchmark),
+g as (select count(*)::bigint as docs, sum(len(w))::bigint as terms from w where len(w) > 0),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from w) where term in (select term from q) group by doc_id, term),
+df as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as weight from tf, g group by term, docs),
+m as (select doc_id, 10 + (90 * len(w) * docs) // terms as m from w, g where len(w) > 0),
+s as (select item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join tf using (term) join df using (term) join m using (doc_id) group by item_id, doc_id)
+select item_id, rank, doc_id, score from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0) where rank <= 10"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_source_mixing": op2_source_mixing,
@@ -175,6 +242,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -184,4 +254,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scans": _op6_sql(),
     "op9_near_dedup": _OP9_SQL,
     "op10_decontamination": _OP10_SQL,
+    "op11_merkle_manifest": _op11_sql(),
+    "op12_lexical_search": _OP12_SQL,
 }
