@@ -6,6 +6,9 @@ from __future__ import annotations
 class Dialect:
     def __init__(self, spark: bool):
         self.spark = spark
+        #: Repeats a group without end and gives nothing back: Java's engine goes a step deeper for each repetition
+        #: otherwise and runs out of stack on long texts; the oracle's never does.
+        self.all_of = "*+" if spark else "*"
 
     def text(self, value: str) -> str:
         """A string literal."""

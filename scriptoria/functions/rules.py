@@ -25,7 +25,7 @@ VALUE = rf"(?i)(?:^|{NOT_W})[0-9]+(?:\.[0-9]+)?[ \t]?(?:(?:{UNITS})(?:$|{NOT_W})
 COLON_VALUE = rf"(?i):[ \t]*[0-9]+(?:\.[0-9]+)?[ \t]?(?:(?:{UNITS})(?:$|{NOT_W})|%{W})"
 IDENTIFIER = rf"(?:^|{NOT_W})(?:ANSI|TIA|OSHA|BICSI|IEEE|NEC|NFPA|ISO|IEC|PN|P/N|Part|Model|SKU)(?:$|[^a-z])"
 NOISE_WORD = bounded("ii|iii|iv|v|text|page")
-SPACED_LETTERS = rf"(?:^|{NOT_W})(?:[A-Za-z](?:$|[ \t]+|{NOT_W}[ \t]*)){{4,}}"
+SPACED_LETTERS = rf"(?:^|{NOT_W})(?:[A-Za-z](?:$|[ \t]+|{NOT_W}[ \t]*)){{4}}"
 NOTE_STYLE = bounded("contractor shall|coordinate with|field conditions|diagrammatic only|unless otherwise noted|verify in field|do not scale|all work shall|typical unless noted otherwise")
 ADMIN_WORDS = bounded(
     "revision|rev|rev[.]?[ \\t]*(?:no|#)|sheet|sheet[ \\t]*(?:no|number|title)|issued[ \\t]*for|drawn[ \\t]*by|checked[ \\t]*by|approved[ \\t]*by|"
@@ -219,10 +219,19 @@ def procedure_score(title: str, heading: str, steps: str, joined: str, hits: str
     )
 
 
+def long_words(x: str, d: Dialect = SPARK) -> str:
+    """Words of four characters or more."""
+    return d.groups(f"concat(' ', {x})", rf"[^A-Za-z0-9_]({TOPIC_WORD})", 1)
+
+
+def topic_word(t: str, d: Dialect = SPARK) -> str:
+    """A word that may name a topic."""
+    return f"(not {_in(f'lower({t})', TOPIC_STOP_WORDS, d)} and not {d.has(t, '^[A-Z0-9.-]{1,4}$')} and not {admin_heading(t, d)})"
+
+
 def topic_words(x: str, d: Dialect = SPARK) -> str:
-    """Lower-case words of four characters or more that may name a topic."""
-    kept = d.keep(d.groups(f"concat(' ', {x})", rf"[^A-Za-z0-9_]({TOPIC_WORD})", 1), "t", f"not {_in('lower(t)', TOPIC_STOP_WORDS, d)} and not {d.has('t', '^[A-Z0-9.-]{1,4}$')} and not {admin_heading('t', d)}")
-    return d.each(kept, "t", "lower(t)")
+    """Those words in lower case."""
+    return d.each(d.keep(long_words(x, d), "t", topic_word("t", d)), "t", "lower(t)")
 
 
 def topic_score(x: str, n: str, heading: str, title: str, signal: str, d: Dialect = SPARK) -> str:

@@ -80,8 +80,12 @@ def folded(x: str, d: Dialect = SPARK) -> str:
     """Letters without their accents, ligatures and numbers in a circle or raised as plain ones; what is then not ASCII goes."""
     wide = r"[^\x00-\x7F]"
     longer = x
-    for char, plain in FOLD_LONG:
-        longer = f"replace({longer}, {d.text(char)}, {d.text(plain)})"
+    if d.spark:  # one expression that loops over the pairs; a call in a call for each is too large a method to be compiled
+        pairs = ", ".join(f"struct({d.text(char)} as c, {d.text(plain)} as p)" for char, plain in FOLD_LONG)
+        longer = f"aggregate(array({pairs}), {x}, (t, f) -> replace(t, f.c, f.p))"
+    else:
+        for char, plain in FOLD_LONG:
+            longer = f"replace({longer}, {d.text(char)}, {d.text(plain)})"
     # the long ones are tried only where there is one
     some = f"case when {d.has(x, '[' + ''.join(c for c, _ in FOLD_LONG) + ']')} then {longer} else {x} end"
     return f"case when {d.has(x, wide)} then {d.sub(f'translate({some}, {d.text(FOLD_FROM)}, {d.text(FOLD_TO)})', wide, '')} else {x} end"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import rules, text
 
 
 def accepted(candidates: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def topic_terms(corpus: DataFrame, words: Column, most: int = 3) -> DataFrame:
     """doc_id, rank, term, n: a document's most frequent topic words, by count, length, spelling; found inside the row."""
     from .detect import with_ranked_words
 
-    rows = with_ranked_words(corpus, words, "terms", most, counts=True)
+    rows = with_ranked_words(corpus, words, "terms", most, counts=True, keep=rules.topic_word)
     return rows.select("doc_id", F.posexplode("terms").alias("place", "t")).select("doc_id", F.col("t.term").alias("term"), F.col("t.n").alias("n"), (F.col("place") + 1).cast("long").alias("rank"))
 
 

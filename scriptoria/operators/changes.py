@@ -63,7 +63,7 @@ def log_fields(lines: DataFrame) -> DataFrame:
     x = F.trim("line")
     parsed = lines.withColumns({"at": F.regexp_extract(x, r"^([^ ]+) ", 1), "kind": F.regexp_extract(x, r"^[^ ]+ ([^ ]+)", 1), "detail": F.trim(F.regexp_extract(x, r"^[^ ]+ [^ ]+ (.*)$", 1))})
     keys = F.regexp_extract_all("detail", F.lit(r"([A-Za-z0-9_]+)="), F.lit(1))
-    values = F.transform(F.split("detail", r"(?:^|[^A-Za-z0-9_])[A-Za-z0-9_]+="), F.trim)
+    values = F.transform(F.split("detail", r"(?:^|[^A-Za-z0-9_])[A-Za-z0-9_]+="), lambda v: F.trim(v))
     pairs = F.zip_with(keys, F.slice(values, 2, F.size(values)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
     # of a key that stands twice the last value counts
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))

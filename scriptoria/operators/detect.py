@@ -5,6 +5,8 @@ Accepted and rejected candidates come in one table; a candidate is accepted if i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,28 +75,40 @@ def facts(chunks: DataFrame) -> DataFrame:
     return settled(out, "body", "category", "score", "rejection_reason")
 
 
-def with_ranked_words(rows: DataFrame, words: Column, out: str, size: int = 3, counts: bool = False) -> DataFrame:
+def _runs(rows: DataFrame, sorted_col: str, word: Callable[[Column], Column], run: Callable[[Column, Column, Column], Column], out: str) -> DataFrame:
+    """``rows`` with ``run(entry, start, end)`` of each run of equal words in a sorted array, in place of that array."""
+    n, at = F.size(sorted_col), lambda i: F.get(sorted_col, i)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (word(at(i)) != word(at(i - 1))))
+    rows = settled(rows.withColumn("_starts", F.when(n > 0, starts)), "_starts")
+    found = F.zip_with("_starts", F.concat(F.slice("_starts", 2, n), F.array(n)), lambda a, b: run(at(a), a, b))
+    return settled(rows.withColumn(out, found), out).drop(sorted_col, "_starts")
+
+
+def with_ranked_words(rows: DataFrame, words: Column, out: str, size: int = 3, counts: bool = False, keep: Callable[[str], str] | None = None) -> DataFrame:
     """``rows`` with the most frequent words of an array: by count, then length, both falling, then by themselves.
 
-    With ``counts`` the new column has structs of term and n.
+    With ``counts`` the new column has structs of term and n. With ``keep`` only words that it holds for count, and what
+    counts is their lower case; it (a rule as SQL text) is asked once for each different word.
 
-    Equal words stand together in the sorted array, so counts are the lengths of its runs: one pass, however long it is.
+    Equal words stand together in a sorted array, so counts are the lengths of its runs: one pass, however long it is.
     """
     rows = settled(rows.withColumn("_sorted", F.array_sort(words)), "_sorted")
-    n, at = F.size("_sorted"), lambda i: F.get("_sorted", i)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-    rows = settled(rows.withColumn("_starts", F.when(n > 0, starts)), "_starts")
-    runs = F.zip_with("_starts", F.concat(F.slice("_starts", 2, n), F.array(n)), lambda a, b: F.struct((a - b).alias("n"), (-F.length(at(a))).alias("l"), at(a).alias("w")))
-    # a, b of a run: n is start minus end, so it is negative and sorts the longest runs first
+    rows = _runs(rows, "_sorted", lambda w: w, lambda w, a, b: F.struct(w.alias("w"), (b - a).alias("n")), "_counted")
+    if keep is not None:
+        small = F.transform(F.expr(SPARK.keep("_counted", "x", keep("x.w"))), lambda x: F.struct(F.lower(x["w"]).alias("w"), x["n"].alias("n")))
+        rows = settled(rows.withColumn("_sorted", F.array_sort(small)), "_sorted")
+        total = lambda a, b: F.aggregate(F.slice("_sorted", a + 1, b - a), F.lit(0), lambda s, x: s + x["n"])
+        rows = _runs(rows, "_sorted", lambda x: x["w"], lambda x, a, b: F.struct(x["w"].alias("w"), total(a, b).alias("n")), "_counted")
+    runs = F.transform("_counted", lambda x: F.struct((-x["n"]).alias("n"), (-F.length(x["w"])).alias("l"), x["w"].alias("w")))
     pick = (lambda x: F.struct(x["w"].alias("term"), (-x["n"]).cast("long").alias("n"))) if counts else (lambda x: x["w"])
     top = F.transform(F.slice(F.array_sort(runs), 1, size), pick)
     none = F.expr(f"cast(array() as array<{'struct<term:string,n:bigint>' if counts else 'string'}>)")
-    return rows.withColumn(out, F.when(n > 0, top).otherwise(none)).drop("_sorted", "_starts")
+    return rows.withColumn(out, F.coalesce(top, none)).drop("_counted")
 
 
 def topics(chunks: DataFrame) -> DataFrame:
     """doc_id, source_filename, chunk_id, heading, chunk_index, topic_key, topic_label, body, score, rejection_reason."""
-    rows = with_ranked_words(chunks, F.expr(rules.topic_words("promotion_text")), "terms")
+    rows = with_ranked_words(chunks, F.expr(rules.long_words("promotion_text")), "terms", keep=rules.topic_word)
     named = (F.col("heading") != "") & (F.col("heading") != F.col("title")) & ~F.col("heading").rlike("^[0-9]+$") & ~F.expr(rules.admin_heading("bare_heading"))
     rows = rows.withColumn("bare_heading", F.expr(rules.bare("heading"))).withColumn("joined_terms", F.array_join("terms", " "))
     label = F.when(named, F.col("heading")).when(F.size("terms") > 0, F.expr(text.title_case("joined_terms"))).otherwise(F.col("title"))

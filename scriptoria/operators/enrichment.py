@@ -22,7 +22,7 @@ def safe_confidence(value: Column, fallback: float) -> Column:
 
 def distinct_texts(values: Column, most: int) -> Column:
     """The first ``most`` different texts that are not blank, stripped, in their order."""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda x: x != "")), 1, most)
 
 
 def cache_key(checksum: Column, provider: str, model: str, prompt_version: str) -> Column:

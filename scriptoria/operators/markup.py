@@ -17,14 +17,35 @@ from ..functions import text
 from ..functions.dialect import SPARK, Dialect
 from .settle import settled
 
-HIDDEN = r"(?is)<!--.*?(?:-->|$)|<script(?:[ \t\n\r\f/][^>]*)?>.*?</script[ \t\n\r\f]*>|<style(?:[ \t\n\r\f/][^>]*)?>.*?</style[ \t\n\r\f]*>|<noscript(?:[ \t\n\r\f/][^>]*)?>.*?</noscript[ \t\n\r\f]*>|<template(?:[ \t\n\r\f/][^>]*)?>.*?</template[ \t\n\r\f]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title[ \t\n\r\f]*>"
-TAG = r"<[!?][^>]*>|</?[A-Za-z][^>]*>"
+SPACE = r"[ \t\n\r\f]"
+#: Elements whose content is not shown; one that is not closed hides the rest.
+SILENT = ("script", "style", "noscript", "template")
 #: References that are replaced in place, the ampersand last; a reference may lack its semicolon.
 COMMON = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&nbsp;?", " "), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&"))
 OTHER = r"&(?:#[0-9xX]|(?:[b-fh-kmo-pr-zA-Z]|g[^t]|l[^t]|n[^b]|q[^u]|a[^m])[A-Za-z0-9]*;)"
 
 
+def _attributes(d: Dialect) -> str:
+    """The rest of a tag up to its end; in quotes after an equals sign a closing angle bracket is plain text."""
+    return rf"""(?:={SPACE}*"[^"]*"|={SPACE}*'[^']*'|[^>]){d.all_of}"""
+
+
+def _sub(x: str, pattern: str, new: str, d: Dialect) -> str:
+    """``pattern`` holds both quotes, which a raw literal can't: they come in by their codes."""
+    return d.sub(x, pattern.replace('"', r"\x22").replace("'", r"\x27"), new)
+
+
+def _hidden(d: Dialect) -> str:
+    elements = [rf"<{name}(?:[ \t\n\r\f/]{_attributes(d)})?>.*?(?:</{name}{SPACE}*>|\z)" for name in SILENT]
+    return "|".join([r"(?is)<!--.*?(?:-->|\z)", *elements])
+
+
+def _tag(d: Dialect) -> str:
+    """A tag, or one that the text ends within."""
+    return rf"<[!?][^>]*>|</?[A-Za-z]{_attributes(d)}(?:>|\z)"
+
+
 def resolved(x: str, d: Dialect = SPARK) -> str:
     for pattern, char in COMMON:
         x = d.sub(x, pattern, char)
@@ -33,13 +54,13 @@ def resolved(x: str, d: Dialect = SPARK) -> str:
 
 def pieces(html: str, d: Dialect = SPARK) -> str:
     """The visible pieces of text, references unresolved."""
-    shown = d.sub(d.sub(html, HIDDEN, "<!>"), TITLE, "<!>")
-    marked = d.sub(shown, TAG, "\x1f")
+    shown = d.sub(_sub(html, _hidden(d), "<!>", d), TITLE, "<!>")
+    marked = _sub(shown, _tag(d), "\x1f", d)
     return d.keep(d.each(d.split(marked, "chr(31)"), "p", text.stripped("p", d)), "p", "p <> ''")
 
 
 def raw_title(html: str, d: Dialect = SPARK) -> str:
-    return d.group(d.sub(html, HIDDEN, "<!>"), TITLE, 1)
+    return d.group(_sub(html, _hidden(d), "<!>", d), TITLE, 1)
 
 
 def _unescaped(texts: pd.Series) -> pd.Series:

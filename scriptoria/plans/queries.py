@@ -177,7 +177,7 @@ def topic_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_terms(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.topic_terms(tables.documents(spark, d), F.expr(rules.topic_words("raw_text")))
+    return aggregate.topic_terms(tables.documents(spark, d), F.expr(rules.long_words("raw_text")))
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:

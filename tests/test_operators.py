@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptoria.functions import rules, text
-from scriptoria.operators import aggregate, changes, components, detect, duplicates, enrichment, normalize, reports, review, segment
+from scriptoria.operators import aggregate, changes, components, detect, duplicates, enrichment, markup, normalize, reports, review, segment
 from scriptoria.plans import outputs, package, paging
 from scriptoria.plans.project import Project, compile_batch
 from scriptoria.sources import extract
@@ -471,3 +471,53 @@ def test_tables_of_a_scope_go_with_it(spark):
         assert table.count() == 3
         file = table.inputFiles()[0].replace("file://", "")
     assert not __import__("os").path.exists(file)
+
+
+# faults that tables do not show
+
+
+def test_log_values_and_distinct_texts_keep_their_digits(spark):
+    lines = spark.createDataFrame([("2024-01-01T00:00 scan user=11 id=2202",), ("t review_update user=a user= bb  status=010",)], "line string")
+    assert [dict(r["fields"]) for r in changes.log_fields(lines).collect()] == [{"user": "11", "id": "2202"}, {"user": "bb", "status": "010"}]
+    assert spark.range(1).select(enrichment.distinct_texts(F.array(*map(F.lit, ["0a0", " c ", "c", " ", "1"])), 9).alias("x")).first()["x"] == ["0a0", "c", "1"]
+
+
+@pytest.mark.parametrize("shape", ["a " * 500_000, "a-" * 500_000, "1 " * 500_000, "A. " * 300_000, "x@b." + "b." * 500_000, "." * 1_000_000, "9" * 1_000_000, "<a b='" * 150_000, "ANSI-" * 200_000])
+def test_long_texts_of_any_shape(spark, shape):
+    """A megabyte in one line goes through cleaning, noise, scores, entities and HTML; no pattern needs a stack as deep as the text."""
+    docs = spark.createDataFrame([(1, shape, "f.txt", "T")], "doc_id long, raw_text string, source_filename string, title string")
+    clean = normalize.with_knowledge_text(docs).first()["clean_text"]
+    assert clean == ("" if shape[:2] in ("a ", "99") else shape.strip())  # letters apart and page numbers are noise
+    scores = [rules.glossary_score("'Term'", "'Term'", "raw_text", "3"), rules.fact_score("raw_text", "3"), rules.topic_score("raw_text", "30", "''", "''", "true"), f"size({text.sentences('raw_text')})", f"size({rules.long_words('raw_text')})"]
+    assert None not in docs.select(*[F.expr(x) for x in scores]).first()
+    detect.entities(docs).collect()
+    markup.with_visible_text(docs.withColumnRenamed("raw_text", "html")).collect()
+
+
+def test_tags_like_the_standard_parser(spark):
+    """Attributes in quotes, stray quotes, tags and elements that are not closed, against the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Visible(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.pieces, self.silent = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.silent += tag in markup.SILENT
+
+        def handle_endtag(self, tag):
+            self.silent -= tag in markup.SILENT and self.silent > 0
+
+        def handle_data(self, data):
+            if not self.silent:
+                self.pieces.append(data)
+
+    pages = ['<a title="x>y">z</a>', "<a title='x>y' b=1>z</a> end", '<p class=a"b>one</p><p>two "quoted" > three</p>', '<img alt = "a > b" src=x>t<br/>u', "<p>a<script type='a>b'>var x = '<p>';</script>b", "<p>seen</p><script>never closed <p>x</p>", "a<style>p{}</style >b", "<b>1 < 2</b> and 3 > 2", "<!-- a > b -->c<!doctype html>d", "<template><p>no</p></template>yes", '<td data-x="1" data-y=\'"\'>q</td>']
+    got = markup.with_visible_text(spark.createDataFrame(list(enumerate(pages)), "i int, html string")).orderBy("i").collect()
+    for page, r in zip(pages, got, strict=True):
+        parser = Visible()
+        parser.feed(page)
+        parser.close()
+        want = [x.strip() for x in parser.pieces]
+        assert "".join(r["text"].split()) == "".join("".join(want).split()), page
