@@ -2,22 +2,33 @@
 
 Two texts are near-duplicates if twice the characters in their matching blocks, found from the later path's text
 against the earlier one's, are at least ``threshold`` of both lengths. Equal texts are one class and are compared
-once. Candidates share a band of a min-hash signature, over their words or over their runs of five characters, and
-have lengths that can reach the threshold. In each bucket a few leaders, one after the other, are measured against the
-members that are still in no leader's group; then every pair of the bucket whose two texts still lie in different
-groups is measured. So no link between groups is lost inside a bucket, and a bucket of copies of one text makes as many
-pairs as it has members.
+once. Two ways lead to candidates:
+
+- ``segments`` loses nothing. Of n characters of the longer text and m of the other, d = (1 - threshold) * (n + m) at
+  most lie outside the matching blocks. The longer one is cut into segments of s characters, more than d of them; a
+  character outside the blocks, or a place where something was put in, spoils one segment at most, so of any d + 1
+  segments one stands in the other text as it is, and no further than d from its place. The d + 1 segments that are
+  rarest among all texts are looked up; the other side offers every run of s characters. That is a row for each
+  character, of which those that are no one's segment go at once.
+- ``bands`` is the cheaper variant: texts that share a band of a min-hash signature, over their words or over their runs of
+  five characters. It finds nearly all, by chance.
+
+In each bucket of either kind a few leaders, one after the other, are measured against the members that are still in no
+leader's group; then the pairs whose two texts still lie in different groups are measured. So no link between groups is
+lost, and copies of one text make as many pairs as they are. A pair is measured only if enough segments of one text
+stand in the other, near their places, for several lengths of segments; both bounds are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import shared_table
@@ -25,6 +36,9 @@ from .components import components
 
 #: (bands, values a band) over words and over runs of GRAM characters; leaders of a bucket before all its pairs.
 WORD_BANDS, GRAM_BANDS, GRAM, LEADERS = (50, 4), (60, 5), 5, 3
+#: The longest segment, and the lengths whose bound a pair must pass before it is measured.
+LONGEST, BOUND_LENGTHS = 32, (3, 5, 9)
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def exact_groups(corpus: DataFrame, text_col: str = "raw_text") -> DataFrame:
@@ -58,6 +72,76 @@ def _signatures(texts: pd.Series) -> pd.Series:
     return texts.map(signature)
 
 
+def outside(n: int, m: int, threshold: float) -> int:
+    """How many of n + m characters may lie outside the matching blocks."""
+    return int((1 - threshold) * (n + m) + 1e-9)
+
+
+def segment_length(n: int, threshold: float) -> int:
+    """The longest segment of which a text of n characters has more than it may lose against one that is not longer."""
+    return max((s for s in range(1, min(LONGEST, n) + 1) if n // s > outside(n, n, threshold)), default=1)
+
+
+def segment_lengths(low: int, high: int, threshold: float) -> list[int]:
+    """Those of all texts of ``low`` to ``high`` characters; from some length on they are the same."""
+    share = 2 * (1 - threshold)
+    last = max(s for s in range(1, LONGEST + 1) if s * share < 1)
+    same_from = int(1 / (1 / last - share)) + last + 1
+    found = {segment_length(n, threshold) for n in range(low, min(high, same_from) + 1)}
+    return sorted(found | ({last} if high > same_from else set()))
+
+
+def runs(text: str, size: int) -> np.ndarray:
+    """A number for each run of ``size`` characters, the same wherever the run stands."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(codes) < size:
+        return np.zeros(0, np.int64)
+    power = np.full(len(codes), np.uint64(_BASE))
+    power[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * np.cumprod(power))])
+    power = np.full(len(codes) - size + 1, np.uint64(_INVERSE))
+    power[0] = 1
+    found = (sums[size:] - sums[:-size]) * np.cumprod(power)
+    return ((found ^ (found >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95) + np.uint64(size)).view(np.int64)
+
+
+def _segments(threshold: float, own_only: bool, rows: int = 1 << 16):
+    """id, n, gram, pos, need: a text's runs; need is how many of its own segments are looked up (0: no segment of its own)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(text)
+                own, need = segment_length(n, threshold), outside(n, n, threshold) + 1
+                for size in [own] if own_only else segment_lengths(n, int(n * (2 - threshold) / threshold + 1e-9), threshold):
+                    grams = runs(text, size)
+                    at = np.arange(len(grams))
+                    mine = (at % size == 0) & (size == own)
+                    if own_only:
+                        grams, at, mine = grams[mine], at[mine], mine[mine]
+                    for k in range(0, len(grams), rows):
+                        part = slice(k, k + rows)
+                        m = len(grams[part])
+                        yield pa.RecordBatch.from_arrays([pa.array([id_] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(grams[part]), pa.array(at[part], pa.int64()), pa.array(np.where(mine[part], need, 0), pa.int64())], names=["id", "n", "gram", "pos", "need"])
+
+    return run
+
+
+def may_reach(a: str, b: str, threshold: float) -> bool:
+    """False only if the two cannot reach the threshold: too many segments of the longer stand nowhere near in the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    spare = outside(len(a), len(b), threshold)
+    for size in BOUND_LENGTHS:
+        missing = 0
+        for at in range(0, len(a) - size + 1, size):
+            if b.find(a[at : at + size], max(0, at - spare), at + size + spare) < 0:
+                missing += 1
+                if missing > spare:
+                    return False
+    return True
+
+
 def ratio_reaches(later: str, earlier: str, threshold: float) -> bool:
     match = SequenceMatcher(None, later, earlier)
     return match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold and match.ratio() >= threshold
@@ -66,7 +150,7 @@ def ratio_reaches(later: str, earlier: str, threshold: float) -> bool:
 def _measured(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [ratio_reaches(x, y, threshold) for x, y in zip(b["later"], b["earlier"], strict=True)]
+            keep = [may_reach(x, y, threshold) and ratio_reaches(x, y, threshold) for x, y in zip(b["later"], b["earlier"], strict=True)]
             yield b.loc[keep, ["u", "v"]]
 
     return run
@@ -77,8 +161,11 @@ def _reach(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= threshold / (2 - threshold) * F.greatest(n, m)
 
 
-def _bucket_links(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Links (u, v) that join all near-duplicates among the ``members`` (path, n, band) of a bucket; ``classes`` has (path, t)."""
+def _bucket_links(members: DataFrame, classes: DataFrame, threshold: float, rest_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (u, v) that join all near-duplicates among the ``members`` (path, n, band) of a bucket; ``classes`` has (path, t).
+
+    ``rest_of`` gives, of members with their groups, the pairs (u, v) of different groups that are left to be measured.
+    """
     later, earlier = classes.select(F.col("path").alias("u"), F.col("t").alias("later")), classes.select(F.col("path").alias("v"), F.col("t").alias("earlier"))
     measured: DataFrame | None = None
     links: DataFrame | None = None
@@ -113,30 +200,67 @@ def _bucket_links(members: DataFrame, classes: DataFrame, threshold: float) -> D
         if grow(pairs.select(*ordered)) or now is members:
             now = grouped()
     open_bands = now.groupBy("band").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("band")
-    left = shared_table(now.join(open_bands, "band", "left_semi"), "left")
-    other = left.select("band", F.col("path").alias("leader"), F.col("n").alias("leader_n"), F.col("group").alias("leader_group"))
-    grow(left.join(other, "band").where((F.col("path") > F.col("leader")) & (F.col("group") != F.col("leader_group")) & near).select(*ordered))
+    grow(rest_of(shared_table(now.join(open_bands, "band", "left_semi"), "left")))
     return links
 
 
-def near_duplicate_groups(corpus: DataFrame, text_col: str = "raw_text", threshold: float = 0.96, sample_chars: int | None = None, preferred: DataFrame | None = None) -> DataFrame:
+def _by_bands(classes: DataFrame, threshold: float) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Members of the buckets of more than one text, and all pairs of a bucket across groups."""
+    keys = classes.select("path", F.length("t").alias("n"), F.pandas_udf(_signatures, "array<long>")("t").alias("keys"))
+    bands = shared_table(keys.select("path", "n", F.explode("keys").alias("band")), "bands")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
+
+    def rest_of(left: DataFrame) -> DataFrame:
+        other = left.select("band", F.col("path").alias("v"), F.col("n").alias("m"), F.col("group").alias("other"))
+        across = (F.col("path") > F.col("v")) & (F.col("group") != F.col("other")) & _reach(F.col("n"), F.col("m"), threshold)
+        return left.join(other, "band").where(across).select(F.col("path").alias("u"), "v")
+
+    return bands.join(shared, "band"), rest_of
+
+
+def _by_segments(classes: DataFrame, threshold: float) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Members of the buckets of the rarest segments, and the pairs whose segment stands near its place in the other text."""
+    texts = shared_table(classes.select("path", "t", F.monotonically_increasing_id().alias("id")), "texts")
+    schema = "id long, n long, gram long, pos long, need long"
+    every = lambda own: texts.select("id", "t").mapInArrow(_segments(threshold, own), schema)
+    held = shared_table(every(False).join(every(True).select("gram").distinct(), "gram", "left_semi"), "held")
+    counts = shared_table(held.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "counts")
+    rarest = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("f", F.lit(1)), "gram", "pos"))  # segments of one text
+    own = held.where("need > 0").join(counts, "gram", "left").withColumn("place", rarest)
+    wanted = shared_table(own.where("place <= need and f > 1").select("gram", "id", "n", "pos"), "wanted")
+    offered = shared_table(held.join(wanted.select("gram").distinct(), "gram", "left_semi").select("gram", "id", "n", "pos"), "offered")
+    names = texts.select("id", "path")
+    members = offered.select("gram", "id", "n").distinct().join(names, "id").select("path", "n", F.col("gram").alias("band"))
+
+    def rest_of(left: DataFrame) -> DataFrame:
+        groups = left.select("path", "group").distinct().join(names, "path").select("id", "path", "group")
+        side = lambda rows, path, group, n, pos: rows.join(groups, "id").select("gram", F.col("path").alias(path), F.col("group").alias(group), F.col("n").alias(n), F.col("pos").alias(pos))
+        a, b = side(wanted, "p", "g", "n", "at"), side(offered, "q", "h", "m", "place")
+        near = (F.col("n") >= F.col("m")) & _reach(F.col("n"), F.col("m"), threshold) & (F.abs(F.col("at") - F.col("place")) <= (1 - threshold) * (F.col("n") + F.col("m")) + 1e-9)
+        pairs = a.join(b, "gram").where((F.col("g") != F.col("h")) & near)
+        return pairs.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v"))
+
+    return members, rest_of
+
+
+def near_duplicate_groups(corpus: DataFrame, text_col: str = "raw_text", threshold: float = 0.96, sample_chars: int | None = None, preferred: DataFrame | None = None, candidates: str = "segments") -> DataFrame:
     """doc_id, source_path, duplicate_of (the group's canonical path); only documents that are not canonical.
 
     ``sample_chars`` limits the comparison to the start of each text, as small installations want it; the default
     compares whole texts. ``preferred`` (source_path, canonical) holds earlier choices: the path of the group with
-    most votes is canonical, of equal votes the smallest; without votes the smallest path.
+    most votes is canonical, of equal votes the smallest; without votes the smallest path. ``candidates`` is ``segments``
+    (no link is lost; thresholds over a half) or ``bands``.
     """
+    if candidates not in ("segments", "bands") or (candidates == "segments" and not 0.5 < threshold <= 1):
+        raise ValueError(f"no candidates {candidates!r} for a threshold of {threshold}")
     text = F.col(text_col) if sample_chars is None else F.substring(F.col(text_col), 1, sample_chars)
     rows = corpus.select("doc_id", "source_path", text.alias("t")).where(F.length(F.trim(F.translate("t", "\n\t\r\f", "    "))) > 0)
     rows = rows.withColumn("digest", F.sha2("t", 256))
     paths = shared_table(rows.select("doc_id", "source_path", "digest"), "paths")
     heads = paths.groupBy("digest").agg(F.min("source_path").alias("path"))
     classes = shared_table(rows.join(heads, (rows["digest"] == heads["digest"]) & (rows["source_path"] == heads["path"])).select("path", "t").dropDuplicates(["path"]), "classes")
-    bands = classes.select("path", F.length("t").alias("n"), F.pandas_udf(_signatures, "array<long>")("t").alias("keys")).select("path", "n", F.explode("keys").alias("band"))
-    bands = shared_table(bands, "bands")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    members = shared_table(bands.join(shared, "band"), "members")
-    links = _bucket_links(members, classes, threshold)
+    members, rest_of = (_by_segments if candidates == "segments" else _by_bands)(classes, threshold)
+    links = _bucket_links(shared_table(members, "members"), classes, threshold, rest_of)
     joined = shared_table(components(links), "joined")
     named = heads.join(joined, heads["path"] == joined["id"], "left").select("digest", F.coalesce("component", "path").alias("component"))
     grouped = shared_table(paths.join(named, "digest"), "grouped")
