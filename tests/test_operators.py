@@ -255,7 +255,7 @@ def test_segments_lose_no_pair(threshold):
         own, offered = duplicates.runs(long_, size)[::size], duplicates.runs(short, size)
         spoilt = sum(1 for k, g in enumerate(own) if not any(abs(k * size - j) <= most for j in (offered == g).nonzero()[0]))
         assert spoilt <= most < duplicates.outside(len(long_), len(long_), threshold) + 1 <= len(own)
-    assert met > 60
+    assert met > (60 if threshold < 0.99 else 8)  # one character in a hundred leaves short texts no room
 
 
 def test_unlike_texts_of_one_bucket_are_not_measured(spark):
