@@ -31,7 +31,7 @@ from .common import fresh_name
 
 ROUNDS = 10
 #: The patterns, in the order in which they are tried at a place.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}(?:-[01]?[0-9]-[0-3]?[0-9]|/[01]?[0-9]/[0-3]?[0-9]|\.[01]?[0-9]\.[0-3]?[0-9])|[0-3]?[0-9](?:/[0-3]?[0-9]/|\.[0-3]?[0-9]\.|-[0-3]?[0-9]-)(?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"

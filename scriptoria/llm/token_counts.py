@@ -126,12 +126,17 @@ class Rollup:
 
 
 def corpus_rollup(docs: DataFrame, labels: DataFrame, path: str | None = None, vocabularies: Mapping[str, str] = VOCABULARIES, load_batches: int = 4) -> Rollup:
-    """A rollup of documents: loaded in batches, then low-quality texts revised (runs of white space collapsed), then toxic ones deleted."""
+    """A rollup of documents: loaded in batches, then low-quality texts revised (runs of white space collapsed), then toxic ones deleted.
+
+    A document may have several labels that repeat or contradict each other: one toxic label is enough, then no revision;
+    without one, one of low quality is enough. Labels without a document change nothing; null labels say nothing.
+    """
     import uuid
 
     spark = docs.sparkSession
     rollup = Rollup(spark, path or f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    poor, toxic = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct(), labels.where("toxic = 1").select("doc_id").distinct()
+    said = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"), F.min("quality").alias("quality"))  # of several labels the worst counts
+    poor, toxic = said.where("quality = 0 and not toxic").select("doc_id"), said.where("toxic").select("doc_id")
     counts = shared_table(count_tokens(docs, vocabularies=vocabularies, revised=poor), "counts")
     for b in range(load_batches):
         rollup.commit(f"load-{b}", inserts(counts.where(F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(load_batches)) == b)))
