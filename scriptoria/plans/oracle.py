@@ -362,3 +362,15 @@ select p.target_type, p.title, p.body, count(a.chunk_id) as n_places, count(dist
 ORACLE_SQL["provenance"] = _provenance()
 ORACLE_SQL["canonical_parts"] = f"""with n as (select doc_id, canonical_name as name from ({ORACLE_SQL["canonical_name"]}) union all select doc_id, source_filename from (with {MANUALS} select doc_id, source_filename from docs))
 select doc_id, name, regexp_matches(name, '{CANONICAL}') as is_canonical, regexp_extract(name, '{CANONICAL}', 3) as topic, regexp_extract(name, '{CANONICAL}', 4) as stem, regexp_extract(name, '{CANONICAL}', 5) as doc_date from n"""
+ORACLE_SQL["table_sentences"] = ORACLE_SQL["sentence_split"]
+ORACLE_SQL["table_headings"] = ORACLE_SQL["heading_fill"]
+ORACLE_SQL["stream_revisions"] = """with s as (select source, doc_id, coalesce(text, '') as t, unnest(range(0, doc_id % 3 + 1)) as r from documents),
+k as (select source, doc_id, max_by(sha256(t || case when r = 2 then '!' else '' end), r) as checksum from s group by source, doc_id)
+select source, count(*) as n_docs, count(distinct checksum) as n_texts, min(checksum) as first_checksum from k group by source"""
+ORACLE_SQL["stage_progress"] = f"""with {_facts()} select 'documents' as stage, count(*) as n from docs union all select 'chunks', count(*) from chunks
+union all select 'candidates', count(*) from facts union all select 'accepted', count(*) from facts where rejection_reason is null"""
+ORACLE_SQL["state_changes"] = """with m as (select doc_id, sha256(coalesce(text, '')) as checksum from documents),
+v1 as (select * from m where doc_id % 10 <> 0), v2 as (select doc_id, case when doc_id % 7 = 0 then 'revised' else checksum end as checksum from v1 where doc_id % 11 <> 0)
+select 2 as version, 'changed' as change, doc_id, v2.checksum from v1 join v2 using (doc_id) where v1.checksum <> v2.checksum union all select 2, 'removed', doc_id, checksum from v1 where doc_id % 11 = 0
+union all select 3, 'added', doc_id, checksum from m where doc_id % 10 = 0"""
+ORACLE_SQL["state_as_of"] = "select doc_id, case when doc_id % 7 = 0 then 'revised' else sha256(coalesce(text, '')) end as checksum from documents where doc_id % 10 <> 0 and doc_id % 11 <> 0"

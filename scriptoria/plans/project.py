@@ -1,6 +1,7 @@
 """A project workspace: scan folders, keep state and a review queue, export a package.
 
-State tables are versioned: a scan writes the next version beside the present one and then moves a pointer.
+State tables are committed version by version (:mod:`.commits`): two writers lose nothing, a scan writes only the buckets
+of documents that it changes, a line of the log is a row that is added.
 """
 
 from __future__ import annotations
@@ -16,47 +17,29 @@ from ..operators import changes, detect, duplicates, profile, reports, review, s
 from ..shared import shared_table
 from ..sources import extract
 from . import package
+from .commits import CommittedTable
 
 DOCUMENT = "doc_id string, source_path string, source_filename string, source_folder_name string, document_type string, checksum string, extraction_status string, quality double, title string, raw_text string, strategy string"
 
 LINES, EXPORT, CANONICAL = "n long, line string", "n long, exported_at string, folder string, n_files long", "source_path string, canonical string"
-
-
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        """The newest version with a success marker; 0 if there is none."""
-        if not self._files.exists(self._path(self.path)):
-            return 0
-        names = [s.getPath().getName() for s in self._files.listStatus(self._path(self.path))]
-        return max((int(n[1:]) for n in names if n[:1] == "v" and self._files.exists(self._path(f"{self.path}/{n}/_SUCCESS"))), default=0)
-
-    def read(self, schema: str) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], schema)
-
-    def write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
+REVIEW = "doc_id string, source_path string, review_id string, kind string, severity string, title string, detail string, confidence double, suggestion string, status string, override_title string, override_domain string, resolution_note string"
 
 
 class Project:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.documents, self.reviews, self.exports, self.canonicals, self.lines = (VersionedTable(spark, f"{folder.rstrip('/')}/{t}") for t in ("documents", "reviews", "exports", "canonicals", "log"))
+        tables = {"documents": DOCUMENT, "reviews": REVIEW, "exports": EXPORT, "canonicals": CANONICAL, "log": LINES}
+        self.documents, self.reviews, self.exports, self.canonicals, self.lines = (CommittedTable(spark, f"{folder.rstrip('/')}/{t}", schema) for t, schema in tables.items())
 
     def log(self, kind: str, **fields: object) -> None:
-        """Add a line to the workspace's log, a table of its own version."""
+        """Add a line to the workspace's log."""
         line = F.concat_ws(" ", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(kind), *[F.lit(f"{k}={v}") for k, v in fields.items()])
         fresh = self.spark.range(1).select(F.lit(self.lines.version() + 1).cast("long").alias("n"), line.alias("line"))
-        self.lines.write(self.lines.read(LINES).unionByName(fresh).coalesce(1))
+        self.lines.append(fresh)
 
     def history(self, most: int = 24, of: int = 40) -> DataFrame:
         """The last lines of the log, newest last, with their fields and a summary."""
-        tail = self.lines.read(LINES).orderBy(F.desc("n")).limit(of).orderBy(F.desc("n")).limit(most)
+        tail = self.lines.read().orderBy(F.desc("n")).limit(of).orderBy(F.desc("n")).limit(most)
         return changes.log_fields(tail).orderBy("n")
 
     def scan(self, source: str | list[str], force: bool = False, only: list[str] | None = None, strategy: str = "default", include: list[str] | None = None, exclude: list[str] | None = None, since: str | None = None) -> DataFrame:
@@ -71,7 +54,7 @@ class Project:
             files = files.where(~changes.glob(F.col("relative_path"), exclude))
         if only is not None:
             files = files.where(F.col("path").isin(only))
-        state = self.documents.read(DOCUMENT)
+        state = self.documents.read()
         marks = files.select(F.col("path").alias("source_path"), F.coalesce(F.sha2(F.when(F.col("length") <= extract.MOST_BYTES, F.col("content")), 256), F.lit("")).alias("checksum"))
         marks = shared_table(marks, "marks")
         todo = changes.to_process(marks, state, force)
@@ -81,20 +64,19 @@ class Project:
         fresh = extract.extracted(files.join(todo.select(F.col("source_path").alias("path")), "path", "left_semi"), strategy)
         rows = fresh.select(F.substring(F.coalesce("checksum", F.sha2("path", 256)), 1, 16).alias("doc_id"), F.col("path").alias("source_path"), F.element_at(F.split("path", "/"), -1).alias("source_filename"), F.element_at(F.split("path", "/"), -2).alias("source_folder_name"), "document_type", F.coalesce("checksum", F.lit("")).alias("checksum"), F.col("status").alias("extraction_status"), "quality", "title", F.col("text").alias("raw_text"), "strategy")
         rows = shared_table(rows, "fresh")
-        kept = state.join(rows.select("source_path"), "source_path", "left_anti")
-        if only is None:
-            kept = kept.join(marks.select("source_path"), "source_path", "left_semi")
+        gone = state.select("source_path")
+        gone = shared_table(gone.join(marks.select("source_path"), "source_path", "left_anti") if only is None else gone.limit(0), "gone")
         counts = changes.classified(marks, state).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
         counts = shared_table(counts if only is None else counts.where("change <> 'removed'"), "counts")
-        self.documents.write(rows.unionByName(kept.select(*rows.columns)))
+        self.documents.merge(rows, gone, "source_path")
         self.refresh_reviews()
         self.log("scan", files=marks.count())
         return counts
 
     def rows(self) -> DataFrame:
         """Document rows with what the review rules read."""
-        docs = self.documents.read(DOCUMENT)
-        copies = duplicates.near_duplicate_groups(docs, "raw_text", preferred=self.canonicals.read(CANONICAL))
+        docs = self.documents.read()
+        copies = duplicates.near_duplicate_groups(docs, "raw_text", preferred=self.canonicals.read())
         domain = docs.select("source_path", profile.project_domain(docs).alias("probable_domain"))
         words = F.coalesce(F.expr(text.words("raw_text")), F.lit(0))
         chunks = segment.knowledge_chunks(docs.where("raw_text is not null").withColumn("doc_id", F.xxhash64("source_path")))
@@ -105,16 +87,15 @@ class Project:
         return rows.join(domain, "source_path").join(copies.select("source_path", "duplicate_of"), "source_path", "left")
 
     def queue(self) -> DataFrame:
-        return self.reviews.read("doc_id string, source_path string, review_id string, kind string, severity string, title string, detail string, confidence double, suggestion string, status string, override_title string, override_domain string, resolution_note string")
+        return self.reviews.read()
 
     def refresh_reviews(self) -> None:
-        old = self.queue()
-        new = review.review_queue(shared_table(self.rows().drop("raw_text"), "rows"), old)
-        self.reviews.write(new.select(*old.columns))
+        rows = shared_table(self.rows().drop("raw_text"), "rows")
+        self.reviews.update(lambda old: review.review_queue(rows, old).select(*old.columns))
 
     def review(self, step) -> DataFrame:
         """Apply a change such as ``review.approve_all`` to the queue; returns its counts."""
-        self.reviews.write(step(self.queue()))
+        self.reviews.update(step)
         return review.review_counts(self.queue())
 
     def update(self, review_id: str, status: str | None = None, title: str | None = None, domain: str | None = None, note: str | None = None) -> DataFrame:
@@ -128,12 +109,12 @@ class Project:
 
     def current(self) -> DataFrame:
         """Documents with titles and domains as the reviews leave them."""
-        docs = self.documents.read(DOCUMENT)
+        docs = self.documents.read()
         return review.with_overrides(docs.withColumn("probable_domain", profile.project_domain(docs)), self.queue())
 
     def retry(self, source: str | list[str], strategy: str = "default", kinds: tuple[str, ...] = ("extraction_issue",), document_types: tuple[str, ...] = ()) -> DataFrame:
         """Read again, with a strategy, the documents of open items of these kinds."""
-        targets = review.retry_targets(self.queue(), self.documents.read(DOCUMENT), kinds, document_types)
+        targets = review.retry_targets(self.queue(), self.documents.read(), kinds, document_types)
         paths = [r["source_path"] for r in targets.select("source_path").collect()]  # what a reviewer picked
         return self.scan(source, force=True, only=paths, strategy=strategy)
 
@@ -142,11 +123,12 @@ class Project:
         item = self.queue().where(F.col("review_id") == review_id).select("kind", "source_path", "doc_id").first()
         if item is None or item["kind"] != "duplicate":
             raise ValueError(f"no duplicate item {review_id}")
-        groups = duplicates.near_duplicate_groups(self.documents.read(DOCUMENT), "raw_text", preferred=self.canonicals.read(CANONICAL))
+        groups = duplicates.near_duplicate_groups(self.documents.read(), "raw_text", preferred=self.canonicals.read())
         members = groups.select("source_path", "duplicate_of").unionByName(groups.select(F.col("duplicate_of").alias("source_path"), "duplicate_of").distinct())
         group = members.where(F.col("source_path") == item["source_path"]).select("duplicate_of")
         votes = members.join(group, "duplicate_of", "left_semi").select("source_path", F.lit(item["source_path"]).alias("canonical"))
-        self.canonicals.write(self.canonicals.read(CANONICAL).join(votes.select("source_path"), "source_path", "left_anti").unionByName(votes))
+        votes = shared_table(votes, "votes")
+        self.canonicals.update(lambda old: old.join(votes.select("source_path"), "source_path", "left_anti").unionByName(votes))
         self.refresh_reviews()
         self.log("duplicate_promote", canonical=item["source_path"])
 
@@ -173,7 +155,7 @@ class Project:
 
     def validation(self) -> DataFrame:
         """(message): what stands against an export."""
-        docs, queue = self.documents.read(DOCUMENT), self.queue()
+        docs, queue = self.documents.read(), self.queue()
         said = lambda rows, rule, words: rows.agg(F.count_if(rule).alias("n")).where("n > 0").select(F.concat(F.col("n").cast("string"), F.lit(f" {words}")).alias("message"))
         out = said(docs, F.col("extraction_status").isin("failed", "unsupported"), "documents could not be read")
         out = out.unionByName(said(docs, F.coalesce(F.trim("raw_text"), F.lit("")) == "", "documents without text"))
@@ -188,13 +170,13 @@ class Project:
         messages = [r["message"] for r in package.validation(found, queue).collect()]  # about the package's few files
         files = package.write(found, folder, zipped=zipped)
         history = self.spark.range(1).select(F.lit(self.exports.version() + 1).cast("long").alias("n"), F.current_timestamp().cast("string").alias("exported_at"), F.lit(folder).alias("folder"), F.lit(len(files)).cast("long").alias("n_files"))
-        self.exports.write(self.exports.read(EXPORT).unionByName(history).coalesce(1))
+        self.exports.append(history)
         self.log("export", package=folder)
         return files, sorted(messages)
 
     def latest_export(self) -> str | None:
         """The folder of the newest export."""
-        return self.exports.read(EXPORT).agg(F.max_by("folder", "n")).first()[0]
+        return self.exports.read().agg(F.max_by("folder", "n")).first()[0]
 
 
 def compile_batch(spark: SparkSession, root: str, out: str, only: list[str] | None = None, zipped: bool = False) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..functions import tables as table_functions
 from ..functions.dialect import SPARK
 from ..operators import aggregate, changes, detect, duplicates, enrichment, markup, normalize, profile, reports, review, segment
-from ..shared import shared_dir, shared_table
+from ..shared import settings, shared_dir, shared_table
 from ..sources import tables
-from ..streaming import scan
+from ..streaming import keyed, progress, scan
 from . import package
+from .commits import CommittedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -527,6 +529,78 @@ def stream_scan(spark: SparkSession, d: str) -> DataFrame:
     return state.current().groupBy(F.split("source_path", "/")[2].alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct("checksum").alias("n_texts"))
 
 
+def table_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences by the table function, from Spark SQL."""
+    table_functions.register(spark)
+    tables.documents(spark, d).select("doc_id", "raw_text").createOrReplaceTempView("scriptoria_documents")
+    rows = spark.sql("select doc_id, sentence_idx, sentence from corpus_sentences(TABLE(scriptoria_documents))")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.expr(text.words("sentence"))).alias("n_words"), F.max(F.length("sentence")).cast("long").alias("longest"), F.min_by("sentence", "sentence_idx").alias("first_sentence"))
+
+
+def table_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by the table function, over paragraphs as rows in any order."""
+    table_functions.register(spark)
+    rows = segment.paragraphs(tables.manuals(spark, d), heading=segment.SECTION_HEADING, start=None)
+    rows.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "text").createOrReplaceTempView("scriptoria_paragraphs")
+    return spark.sql(f"select doc_id, para_idx, section from corpus_headings(TABLE(scriptoria_paragraphs), {SPARK.text(segment.SECTION_HEADING)})")
+
+
+def _sights(spark: SparkSession, d: str) -> DataFrame:
+    """Each document up to three times: as it was, an hour later with the same text, two days later with another."""
+    docs = tables.documents(spark, d).select("doc_id", "source_path", F.coalesce("raw_text", F.lit("")).alias("t"))
+    rows = docs.withColumn("round", F.explode(F.expr("sequence(0, cast(pmod(doc_id, 3) as int))")))
+    checksum = F.sha2(F.concat("t", F.when(F.col("round") == 2, "!").otherwise("")), 256)
+    modified = F.timestamp_micros(F.expr("(1704067200 + case round when 0 then 0 when 1 then 3600 else 172800 end + pmod(doc_id, 1000)) * 1000000L"))
+    return rows.select("doc_id", "round", "source_path", checksum.alias("checksum"), modified.alias("modified"))
+
+
+def stream_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Revised documents in a stream whose files come out of order, through the keyed state: per source what is known in the end."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    arrival = F.pmod(F.xxhash64("doc_id", "round"), F.lit(4))  # one folder after the other, the rounds of a document in any order
+    for number in range(4):
+        _sights(spark, d).where(arrival == number).select("source_path", "checksum", "modified").coalesce(2).write.mode("append").parquet(f"{base}/in")
+    with settings(spark, keyed.PROVIDER):
+        sights = spark.readStream.schema("source_path string, checksum string, modified timestamp").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+        changes_ = keyed.changes_stream(sights)
+        changes_.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    known = keyed.current(spark.read.schema(keyed.CHANGE).parquet(f"{base}/out"))
+    return known.groupBy(F.split("source_path", "/")[2].alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct("checksum").alias("n_texts"), F.min("checksum").alias("first_checksum"))
+
+
+def stage_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that went through each stage of a compile, counted while it ran."""
+    stages = progress.Stages()
+    chunks = stages.watch("chunks", segment.knowledge_chunks(stages.watch("documents", tables.manuals(spark, d))))
+    found = stages.watch("candidates", detect.facts(chunks))
+    stages.watch("accepted", found.where("rejection_reason is null")).write.format("noop").mode("overwrite").save()
+    return stages.table(spark)
+
+
+def _committed(spark: SparkSession, d: str) -> CommittedTable:
+    """Three versions of the fingerprints: nine documents in ten, then revised and withdrawn ones, then all the rest."""
+    table = CommittedTable(spark, f"{shared_dir(spark)}/committed-{uuid.uuid4().hex}", "doc_id long, checksum string")
+    marks = tables.documents(spark, d).select("doc_id", F.sha2(F.coalesce("raw_text", F.lit("")), 256).alias("checksum"))
+    none = marks.select("doc_id").limit(0)
+    table.merge(marks.where("pmod(doc_id, 10) <> 0"), none, "doc_id")
+    revised = marks.where("pmod(doc_id, 10) <> 0 and pmod(doc_id, 7) = 0 and pmod(doc_id, 11) <> 0").withColumn("checksum", F.lit("revised"))
+    table.merge(revised, marks.where("pmod(doc_id, 11) = 0").select("doc_id"), "doc_id")
+    table.merge(marks.where("pmod(doc_id, 10) = 0"), none, "doc_id")
+    return table
+
+
+def state_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changed between versions of a committed table, document by document."""
+    table = _committed(spark, d)
+    feed = table.changes(1, 2, "doc_id").withColumn("version", F.lit(2)).unionByName(table.changes(2, 3, "doc_id").withColumn("version", F.lit(3)))
+    return feed.select("version", "change", "doc_id", "checksum")
+
+
+def state_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The table as of its second version."""
+    return _committed(spark, d).as_of(2)
+
+
 def package_files(spark: SparkSession, d: str) -> DataFrame:
     """The files of the manuals' knowledge package, with size and digest."""
     return package.artifacts(tables.manuals(spark, d)).select("file_name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
@@ -601,6 +675,12 @@ QUERIES: dict[str, Query] = {
     "log_parse": log_parse,
     "event_windows": event_windows,
     "stream_scan": stream_scan,
+    "table_sentences": table_sentences,
+    "table_headings": table_headings,
+    "stream_revisions": stream_revisions,
+    "stage_progress": stage_progress,
+    "state_changes": state_changes,
+    "state_as_of": state_as_of,
     "review_sorted": review_sorted,
     "review_filters": review_filters,
     "review_actions": review_actions,

@@ -30,6 +30,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the jobs that run inside."""
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 _open: list[list[str]] = []
 
 

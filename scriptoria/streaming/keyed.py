@@ -35,7 +35,7 @@ class Known(StatefulProcessor):
         self.handle = handle
         self.known = handle.getValueState("known", "checksum string, modified long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = self.known.get() if self.known.exists() else None
         sights = sorted((int(m), c) for part in rows for c, m in zip(part["checksum"], part["at"], strict=True))
         out = []
@@ -53,7 +53,7 @@ class Known(StatefulProcessor):
                 self.handle.registerTimer(now[1] // 1000 + self.retire_ms)
         yield _rows(out)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.known.exists():
             checksum, at = self.known.get()
             self.known.clear()
