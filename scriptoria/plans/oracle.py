@@ -374,3 +374,4 @@ v1 as (select * from m where doc_id % 10 <> 0), v2 as (select doc_id, case when
 select 2 as version, 'changed' as change, doc_id, v2.checksum from v1 join v2 using (doc_id) where v1.checksum <> v2.checksum union all select 2, 'removed', doc_id, checksum from v1 where doc_id % 11 = 0
 union all select 3, 'added', doc_id, checksum from m where doc_id % 10 = 0"""
 ORACLE_SQL["state_as_of"] = "select doc_id, case when doc_id % 7 = 0 then 'revised' else sha256(coalesce(text, '')) end as checksum from documents where doc_id % 10 <> 0 and doc_id % 11 <> 0"
+ORACLE_SQL["corpus_source"] = "select page_id, strlen(html) + 1 as length, sha256(html || chr(10)) as checksum, 'plain' as method from pages where html is not null"

@@ -14,6 +14,7 @@ from ..functions.dialect import SPARK
 from ..operators import aggregate, changes, detect, duplicates, enrichment, markup, normalize, profile, reports, review, segment
 from ..shared import settings, shared_dir, shared_table
 from ..sources import tables
+from ..sources.datasource import CorpusFiles
 from ..streaming import keyed, progress, scan
 from . import package
 from .commits import CommittedTable
@@ -529,6 +530,17 @@ def stream_scan(spark: SparkSession, d: str) -> DataFrame:
     return state.current().groupBy(F.split("source_path", "/")[2].alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct("checksum").alias("n_texts"))
 
 
+def corpus_source(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as files, a folder each, read again through the data source; its listing takes the filters over."""
+    spark.dataSource.register(CorpusFiles)
+    base = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    pages = tables.table(spark, d, "pages").where("html is not null").select("page_id", "html")
+    pages.repartition("page_id").write.partitionBy("page_id").text(base)
+    with settings(spark, {"spark.sql.python.filterPushdown.enabled": "true"}):
+        rows = spark.read.format("corpus_files").option("pushFilters", "true").load(base).where("document_type = 'txt' and corpus <> ''")
+        return shared_table(rows.select(F.regexp_extract("corpus", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "length", "checksum", "method"), "read_files")
+
+
 def table_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences by the table function, from Spark SQL."""
     table_functions.register(spark)
@@ -675,6 +687,7 @@ QUERIES: dict[str, Query] = {
     "log_parse": log_parse,
     "event_windows": event_windows,
     "stream_scan": stream_scan,
+    "corpus_source": corpus_source,
     "table_sentences": table_sentences,
     "table_headings": table_headings,
     "stream_revisions": stream_revisions,

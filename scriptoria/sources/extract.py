@@ -253,6 +253,12 @@ def _extracting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([rest, columns], axis=1)
 
 
+def ignored_name(name: str) -> bool:
+    """A folder or file that no listing shows."""
+    low = name.lower()
+    return name.startswith(".") or name in IGNORED_DIRS or low.endswith(("_gpt_knowledge", "_debug", ".tmp", ".bak"))
+
+
 def listing(spark: SparkSession, path: str | list[str], supported_only: bool = True) -> DataFrame:
     """Files below one or more folders, each once, with type, corpus and relative path; content is read only if it is asked for."""
     roots = [path] if isinstance(path, str) else list(dict.fromkeys(path))
@@ -271,7 +277,7 @@ def _below(spark: SparkSession, path: str) -> DataFrame:
     types = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
     base = re.sub(r"^[a-z]+:/+", "/", path.rstrip("/") + "/")
     relative = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    rows = files.withColumns({"relative_path": F.substring(relative, len(base) + 1, 1_000_000), "document_type": F.try_element_at(types, suffix), "root": F.lit(base)})
+    rows = files.withColumn("relative_", relative).withColumns({"relative_path": F.expr(f"substring(relative_, {len(base) + 1})"), "document_type": F.try_element_at(types, suffix), "root": F.lit(base)}).drop("relative_")
     parts = F.split("relative_path", "/")
     ignored = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED_DIRS) | F.lower(p).rlike("_gpt_knowledge$|_debug$") | p.rlike(r"(?i)\.(?:tmp|bak)$"))
     return rows.where(~ignored).withColumn("corpus", F.when(F.size(parts) > 1, parts[0]).otherwise(""))
@@ -302,7 +308,11 @@ def extracted(files: DataFrame, strategy: Column | str = "default", most_bytes:
     rows = files.select("path", "relative_path", "corpus", "modificationTime", "length", F.coalesce("document_type", F.lit("")).alias("document_type"), F.sha2(content, 256).alias("checksum"), (strategy if isinstance(strategy, Column) else F.lit(strategy)).alias("strategy"), content.alias("content"))
     kept = ", ".join(f"{c} {t}" for c, t in rows.drop("content").dtypes)
     plain = F.col("document_type").isin(*PLAIN) & F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
-    out = rows.where(~plain).mapInPandas(_extracting, f"{kept}, {SCHEMA}").unionByName(_plain(rows.where(plain)))
+    return graded(rows.where(~plain).mapInPandas(_extracting, f"{kept}, {SCHEMA}").unionByName(_plain(rows.where(plain))))
+
+
+def graded(out: DataFrame) -> DataFrame:
+    """Extracted rows with a title for each, quality and preview."""
     status = F.when(F.col("status") == "partial", 0.6).when(F.col("status") == "metadata_only", 0.25).when(F.col("status") == "unsupported", 0.1).when(F.col("status") == "failed", 0.0).otherwise(1.0)
     low = F.array_contains("warnings", "low text")
     before = F.when(low & (F.col("status") == "partial") & (F.size("warnings") == 1), 1.0).otherwise(status)

@@ -1,4 +1,4 @@
-"""Committed tables, table functions, keyed scan state and progress, against plain Python."""
+"""Committed tables, table functions, the data source, keyed scan state and progress, against plain Python."""
 
 import re
 import threading
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from scriptoria.functions import tables as table_functions
 from scriptoria.operators import segment
 from scriptoria.plans.commits import CommittedTable
+from scriptoria.sources import extract
+from scriptoria.sources.datasource import BatchReader, CorpusFiles
 from scriptoria.streaming import keyed, progress
 
 KV = "k string, v int"
@@ -160,3 +162,55 @@ def test_stages_of_a_batch_job(spark):
     assert out.count() == 3
     assert stages.counts() == {"documents": {"n": 2, "chars": 15}, "sentences": {"n": 3}}
     assert re.match("stage", stages.table(spark).columns[0]) and stages.table(spark).count() == 2
+
+
+def corpus_files(folder):
+    (folder / "a" / ".hidden").mkdir(parents=True)
+    (folder / "b_debug").mkdir()
+    files = {"a/one.txt": b"one two three " * 20, "a/two.html": b"<title>T</title><p>" + b"word " * 40 + b"</p><script>x</script>", "three.csv": b"a,b\n1,2", "a/bad.json": b'{"a": 1,,}', "a/x.exe": b"x", "a/empty.txt": b"", "a/.hidden/no.txt": b"no", "b_debug/no.txt": b"no", "a/no.bak": b"no", "a/latin.txt": b"caf\xe9 " * 30}
+    for name, body in files.items():
+        (folder / name).write_bytes(body)
+
+
+@pytest.mark.parametrize("supported_only", [True, False])
+def test_data_source_like_the_extractors(spark, tmp_path, supported_only):
+    corpus_files(tmp_path)
+    spark.dataSource.register(CorpusFiles)
+    rows = spark.read.format("corpus_files").option("supportedOnly", str(supported_only)).option("partitionBytes", "100").load(f"file://{tmp_path}")
+    assert rows.rdd.getNumPartitions() > 2
+    own = extract.extracted(extract.listing(spark, f"file://{tmp_path}", supported_only))
+    columns = [c for c in own.columns if c != "modificationTime"]
+    found, want = (sorted(df.select(columns).collect(), key=lambda r: r["path"]) for df in (extract.graded(rows), own))
+    assert found == want and len(found) == (5 if supported_only else 6)
+    with pytest.raises(ValueError, match="mounted"):
+        BatchReader({"path": "s3://x/y"})
+
+
+def test_data_source_pushes_filters_into_the_listing(spark, tmp_path):
+    corpus_files(tmp_path)
+    spark.dataSource.register(CorpusFiles)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = spark.read.format("corpus_files").option("partitionBytes", "1").option("pushFilters", "true").load(str(tmp_path))
+        some = rows.where("document_type in ('txt', 'csv') and length > 10 and relative_path like 'a/%' and method = 'plain'")
+        assert sorted(r["relative_path"] for r in some.collect()) == ["a/latin.txt", "a/one.txt"]
+        assert some.rdd.getNumPartitions() == 2  # only those files are opened
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
+def test_data_source_as_a_stream(spark, tmp_path):
+    """Files that come later are a batch of their own, also after a restart; nothing is read twice."""
+    corpus_files(tmp_path / "in")
+    spark.dataSource.register(CorpusFiles)
+
+    def run():
+        stream = spark.readStream.format("corpus_files").load(str(tmp_path / "in")).select("relative_path", "text")
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["relative_path"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run() == ["a/bad.json", "a/latin.txt", "a/one.txt", "a/two.html", "three.csv"]
+    time.sleep(0.05)
+    (tmp_path / "in" / "a" / "late.md").write_text("# late")
+    assert run() == ["a/bad.json", "a/late.md", "a/latin.txt", "a/one.txt", "a/two.html", "three.csv"] == run()
