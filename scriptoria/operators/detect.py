@@ -25,6 +25,8 @@ DEFINITION = r"(?i)^([A-Z][A-Za-z0-9 /()-]{2,60})[ \t]+(?:means|is defined as)[
 WARNING = r"(?i)^(warning|caution|danger|note)[ \t]*[:-]?[ \t]*(.+)$"
 SPEC = r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9 /()-]{2,40}?)[ \t]*[:=][ \t]*([-+]?[0-9]+(?:\.[0-9]+)?)[ \t]*([A-Za-z%/.-]{0,11}[A-Za-z]|)(?:$|[^A-Za-z0-9_])"
 REQUIREMENT = rf"(?i)(?:^|{text.NOT_W})(shall|must|required|prohibited)(?:$|{text.NOT_W})"
+#: Fixed value: characters on either side of a part's place.
+CONTEXT_CHARS = 120
 WARNING_WORD = text.bounded("warning|caution|danger|note")
 ENTITY_STOP = ("NECESSARY", "SHALL", "QTY", "SIZE", "NOTE", "NOTES", "CONSTRUCTION", "GENERAL", "DETAIL", "TITLE", "PAGE", "NUMBER", "NUMBERS", "DESCRIPTION", "WEIGHT", "PROVIDED", "WITHOUT", "DRAWING", "SHEET", "PROJECT", "REVISION", "STANDARD", "SYSTEM", "ENTITY", "ENTITIES", "SITE", "LEGAL", "ISOLATED", "TAGS", "NUMBERS/TAGS", "LAT")
 STANDARD_BODIES = ("ANSI", "OSHA", "BICSI", "IEEE", "NFPA", "NEC", "ISO", "IEC", "TIA")
@@ -170,9 +172,36 @@ def warning_records(chunks: DataFrame) -> DataFrame:
     return lines_of(chunks).where(F.col("line").rlike(WARNING)).select("doc_id", "chunk_index", F.col("line_no").cast("long").alias("item"), F.lower(F.regexp_extract("line", WARNING, 1)).alias("warning_type"), F.trim(F.regexp_extract("line", WARNING, 2)).alias("warning_text"))
 
 
+def with_contexts(rows: DataFrame, text_col: str, pattern: str, least: int, out: str, radius: int = CONTEXT_CHARS) -> DataFrame:
+    """``rows`` with ``out``: for each match of ``pattern``, ``radius`` characters on either side of where it starts, stripped.
+
+    A match may take along the character before it, which then counts as standing before the start. The text is parted
+    into what lies between the matches and the matches; of each piece the first and last ``radius`` characters are kept, and
+    a context is read off the nearest pieces. A match has ``least`` characters or more, so that is a fixed number of pieces:
+    the cost grows with the length of the text, however many matches there are, and no text is copied for one.
+    """
+    found = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
+    rows = settled(rows.withColumn("_found", found).withColumn("_gaps", F.split(F.col(text_col), pattern, -1)), "_found", "_gaps")
+    before = F.transform("_found", lambda m: F.regexp_extract(m, "^[^A-Za-z0-9_]", 0))
+    pairs = F.zip_with("_gaps", F.arrays_zip(F.col("_found").alias("m"), before.alias("b")), lambda gap, x: F.array(F.concat(gap, F.coalesce(x["b"], F.lit(""))), F.coalesce(F.substr(x["m"], F.length(x["b"]) + 1), F.lit(""))))
+    rows = settled(rows.withColumn("_pieces", F.flatten(pairs)), "_pieces")
+    rows = settled(rows.withColumn("_heads", F.transform("_pieces", lambda p: F.left(p, F.lit(radius)))).withColumn("_tails", F.transform("_pieces", lambda p: F.right(p, F.lit(radius)))), "_heads", "_tails")
+    near = 2 * (-(-radius // least) + 1)  # pieces: a match and a gap, in turns
+    at = lambda i: 2 * i + 2  # noqa: E731  of the i-th match, counted from 1
+    left = lambda i: F.right(F.array_join(F.slice("_tails", F.greatest(F.lit(1), at(i) - near), F.least(F.lit(near), at(i) - 1)), ""), F.lit(radius))
+    right = lambda i: F.left(F.array_join(F.slice("_heads", at(i), F.lit(near)), ""), F.lit(radius))
+    contexts = F.transform("_found", lambda m, i: F.concat(left(i), right(i)))
+    rows = settled(rows.withColumn("_contexts", contexts), "_contexts")
+    return rows.withColumn(out, F.expr(SPARK.each("_contexts", "c", text.stripped("c")))).drop("_found", "_gaps", "_pieces", "_heads", "_tails", "_contexts")
+
+
 def part_records(chunks: DataFrame) -> DataFrame:
-    rows = chunks.select("doc_id", "chunk_index", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(PART_ID), F.lit(1))).alias("item", "part_number"))
-    return rows.groupBy("doc_id", "chunk_index", "part_number").agg(F.min("item").cast("long").alias("item"))
+    """doc_id, chunk_index, part_number, item, description: each part once a chunk, where it stands first, with what is around it."""
+    rows = with_contexts(chunks.select("doc_id", "chunk_index", "text"), "text", PART_ID, 5, "contexts")  # two characters of a label, three of a number
+    numbers = F.regexp_extract_all(F.col("text"), F.lit(PART_ID), F.lit(1))
+    rows = rows.select("doc_id", "chunk_index", F.posexplode(F.arrays_zip(numbers.alias("part_number"), F.col("contexts").alias("description"))).alias("item", "p"))
+    first = F.min(F.struct("item", "p.description")).alias("f")
+    return rows.groupBy("doc_id", "chunk_index", "p.part_number").agg(first).select("doc_id", "chunk_index", "part_number", F.col("f.item").cast("long").alias("item"), F.col("f.description").alias("description"))
 
 
 def spec_records(chunks: DataFrame) -> DataFrame:

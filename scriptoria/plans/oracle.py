@@ -252,8 +252,10 @@ select doc_id, (i // {segment.PREVIEW_WORDS})::bigint as unit, case when len(w)
     "requirements": f"""with {_chunks()}, s as (select doc_id, chunk_index, unnest(ss) as requirement_text, (generate_subscripts(ss, 1) - 1)::bigint as item from (select *, {text.sentences("text", A)} as ss from chunks))
 select doc_id, chunk_index, item, requirement_text, lower({A.group("requirement_text", detect.REQUIREMENT, 1)}) as requirement_type from s where {A.has("requirement_text", detect.REQUIREMENT)}""",
     "warnings": f"with {_chunks()}, {_LINES} select doc_id, chunk_index, line_no as item, lower({A.group('line', detect.WARNING, 1)}) as warning_type, trim({A.group('line', detect.WARNING, 2)}) as warning_text from lines where {A.has('line', detect.WARNING)}",
-    "parts": f"""with {_chunks()}, s as (select doc_id, chunk_index, unnest(ps) as part_number, (generate_subscripts(ps, 1) - 1)::bigint as item from (select *, {A.groups("text", detect.PART_ID, 1)} as ps from chunks))
-select doc_id, chunk_index, part_number, min(item) as item from s group by doc_id, chunk_index, part_number""",
+    "parts": f"""with {_chunks()}, s as (select doc_id, chunk_index, text, string_split_regex(text, {A.text(detect.PART_ID)}) as gaps, {A.groups("text", detect.PART_ID, 0)} as ms, {A.groups("text", detect.PART_ID, 1)} as ps from chunks),
+u as (select *, unnest(range(1, len(ms) + 1)) as i from s),
+v as (select doc_id, chunk_index, text, ps[i] as part_number, (i - 1)::bigint as item, (coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) + case when regexp_matches(ms[i], '^[^A-Za-z0-9_]') then 1 else 0 end)::bigint as st from u)
+select doc_id, chunk_index, part_number, min(item) as item, arg_min({text.stripped(f"substr(text, greatest(st - {detect.CONTEXT_CHARS}, 0) + 1, least(st, {detect.CONTEXT_CHARS}) + {detect.CONTEXT_CHARS})", A)}, item) as description from v group by doc_id, chunk_index, part_number""",
     "specs": f"""with {_chunks()}, s as (select *, {A.groups("text", detect.SPEC, 1)} as a, {A.groups("text", detect.SPEC, 2)} as b, {A.groups("text", detect.SPEC, 3)} as c from chunks)
 select doc_id, chunk_index, (generate_subscripts(a, 1) - 1)::bigint as item, trim(unnest(a)) as parameter, unnest(b) as value, unnest(c) as unit from s""",
     "procedure_steps": f"with {_chunks()}, {_LINES} select doc_id, chunk_index, line_no as item, line as step_text from lines where regexp_matches(line, '^[0-9]+[.)][ \\t]+')",

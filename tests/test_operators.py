@@ -581,3 +581,21 @@ def test_tags_like_the_standard_parser(spark):
         parser.close()
         want = [x.strip() for x in parser.pieces]
         assert "".join(r["text"].split()) == "".join("".join(want).split()), page
+
+
+def test_part_contexts(spark):
+    """What stands around each part, against slices of the text; matches side by side, at both ends, a hundred thousand of them."""
+    import time
+
+    texts = ["PN 12345 at the start and Model: ABC-1 in the middle; " + "filler words " * 20 + "SKU 99-x/7", "PN AAA PN BBB,PN CCC\nPN AAA" + " é" * 200 + " PN DDD", "none here", "", "(PN XYZ)" * 40]
+    chunks = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, chunk_index int, text string")
+    got = {(r["chunk_index"], r["part_number"]): (r["item"], r["description"]) for r in detect.part_records(chunks).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for n, m in enumerate(re.finditer(detect.PART_ID, t)):
+            start = m.start() + (not re.match("[A-Za-z0-9_]", m[0]))
+            want.setdefault((i, m[1]), (n, t[max(0, start - 120) : start + 120].strip()))
+    assert got == want and len(got) == 7
+    many = spark.createDataFrame([(1, 0, " ".join(f"PN X{i:05d}é" for i in range(100_000)))], "doc_id long, chunk_index int, text string")
+    began = time.time()
+    assert detect.part_records(many).count() == 100_000 and time.time() - began < 60
