@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import shared_dir, shared_table
+from ..shared import settings, shared_dir, shared_table
 
-__all__ = ["shared_dir", "shared_table"]
+__all__ = ["settings", "shared_dir", "shared_table"]
 
 #: White space as the operators read it: space, and tab to carriage return.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -97,19 +97,6 @@ def regex_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.expr(EMPTY_SPANS))
 
 
-@contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
-    """Settings of the jobs that run inside."""
-    before = {key: spark.conf.get(key) for key in conf}
-    for key, value in conf.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-
-
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows in the jobs that run inside: rows that carry whole texts are large."""
