@@ -10,8 +10,9 @@ passes is compared in full.
 
 Beside the join, ``phrase_places`` finds the places where a phrase's words stand consecutively.
 
-The templates' words stand in the plan as literals, and the index of their first words is broadcast: more than
-``MOST_WORDS`` words of all templates are an error, and larger collections are scanned in parts.
+The templates' words stand in the plan as literals, and the index of their first words is broadcast. So templates are
+joined in parts of at most ``MOST_WORDS`` words, a part's tables written before the next begins; a longer template is a
+part of its own. Whether a block meets a template depends on nothing but the two, so the parts' rows are the whole join.
 
 Defined results: null text has no words; a document without matches has an empty label list and score 0; repeated
 rows of one id share their labels; a template without words matches nothing; an empty table gives an empty result.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from .license_texts import TEMPLATES
 
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Distinct words of all templates, and words of all of them together.
+#: Words of the templates that are joined at a time.
 MOST_WORDS = 50_000
 THRESHOLD = 0.9
 
@@ -72,12 +74,31 @@ def template_sets(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int
     return [(label, 1 << (len(words) - 1).bit_length(), list(dict.fromkeys(words))) for label, words in lists if words]
 
 
-def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def in_parts(sets: list[tuple[str, int, list[str]]], most_words: int) -> list[list[tuple[str, int, list[str]]]]:
+    """The templates in their order, in runs of at most so many words."""
+    parts: list[list[tuple[str, int, list[str]]]] = []
+    room = 0
+    for one in sets:
+        if not parts or len(one[2]) > room:
+            parts.append([])
+            room = most_words
+        parts[-1].append(one)
+        room -= len(one[2])
+    return parts
+
+
+def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, most_words: int = MOST_WORDS) -> DataFrame:
     """(id, step, block, label, containment) for every block and template that meet the threshold."""
-    spark, sets = docs.sparkSession, template_sets(templates)
+    parts = in_parts(template_sets(templates), most_words) or [[]]
+    found = [_matches_of(docs, id_col, text_col, part, threshold) for part in parts]
+    if len(found) == 1:
+        return found[0]
+    return reduce(DataFrame.unionByName, [shared_table(rows, "matches") for rows in found]).distinct()  # templates of one label
+
+
+def _matches_of(docs: DataFrame, id_col: str, text_col: str, sets: list[tuple[str, int, list[str]]], threshold: float) -> DataFrame:
+    spark = docs.sparkSession
     vocabulary = sorted({w for _, _, words in sets for w in words})
-    if sum(len(words) for _, _, words in sets) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} words in all templates: scan them in parts")
     literals = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
     rows = docs.select(F.col(id_col).alias("id"), F.split(F.trim(words_text(F.col(text_col))), " ").alias("words"))
     counted = {r["word"]: r["n"] for r in rows.select(F.explode(F.array_intersect("words", literals(vocabulary))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per template word at most
@@ -110,9 +131,9 @@ def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return candidates.where(shared >= F.col("need")).select("id", "step", "block", "label", (shared / F.size("own")).alias("containment")).distinct().withColumnRenamed("id", id_col)
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, most_words: int = MOST_WORDS) -> DataFrame:
     """One row per input row: id, n_words, phrases array<struct<label,n,first,last>>, template_labels, score."""
     padded = words_text(F.col(text_col))
     base = docs.select(F.col(id_col).alias("id"), padded.alias("padded")).select("id", word_count(F.col("padded")).alias("n_words"), F.array(*[F.struct(F.lit(label).alias("label"), phrase_places(F.col("padded"), phrase).alias("places")) for phrase, label in PHRASES]).alias("phrases"))
-    found = template_matches(docs, id_col, text_col, templates, threshold).groupBy(F.col(id_col).alias("found_id")).agg(F.array_sort(F.collect_set("label")).alias("template_labels"), F.max("containment").alias("score"))
+    found = template_matches(docs, id_col, text_col, templates, threshold, most_words).groupBy(F.col(id_col).alias("found_id")).agg(F.array_sort(F.collect_set("label")).alias("template_labels"), F.max("containment").alias("score"))
     return base.join(found, base["id"].eqNullSafe(found["found_id"]), "left").select(F.col("id").alias(id_col), "n_words", "phrases", F.coalesce("template_labels", F.expr("cast(array() as array<string>)")).alias("template_labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -279,8 +279,11 @@ def test_license_texts_like_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], label) for r in licenses.license_scan(docs).collect() for label in r["template_labels"]}
     assert got == want and len(want) > 40
-    with pytest.raises(ValueError, match="in parts"):
-        licenses.license_scan(docs, templates=(("long", " ".join(map(str, range(licenses.MOST_WORDS + 1)))),))
+    few = licenses.TEMPLATES[:6]
+    parts = licenses.in_parts(licenses.template_sets(few), 120)
+    assert len(parts) > 2 and [t for part in parts for t in part] == licenses.template_sets(few) and all(len(p) == 1 or sum(len(t[2]) for t in p) <= 120 for p in parts)
+    matches = lambda **k: sorted(map(tuple, licenses.template_matches(docs, templates=few, **k).collect()))
+    assert matches(most_words=120) == matches() != []
 
 
 # 7 quality
@@ -639,7 +642,8 @@ def test_fm_index_like_brute_force(seed):
         top = rng.randint(1, 4)
         texts = [" ".join(f"w{rng.randint(0, top)}" for _ in range(rng.randint(0, 30))).encode() for _ in range(rng.randint(1, 6))]
         items = [(i, " ".join(f"W{rng.randint(0, max(0, top - 1))}" for _ in range(rng.randint(0, 6))).encode()) for i in range(4)]
-        n_words, spans, found = decontaminate.Windows(items, 3).in_shard(texts)
+        n_words, spans, found = decontaminate.Windows([items], 3).in_shard(texts)
+        assert decontaminate.Windows([items[:1], [], items[1:]], 3).in_shard(texts) == (n_words, spans, found)
         for d, t in enumerate(texts):
             words, hit, who = t.split(), set(), set()
             for i, item in items:
@@ -661,8 +665,9 @@ def test_suffix_array():
 
 def test_decontamination_in_blocks_and_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "one two"), (2, None), (3, "!!"), (None, "12 34"), (5, "seven eight nine ten")], "item_id long, text string")
-    for block in (8 << 20, 4):
-        found, (n, spans, items) = decontaminate.find_contamination(odd, benchmark, block_bytes=block)
+    for block, at_once in ((8 << 20, 8), (4, 8), (4, 3)):
+        found, (n, spans, items) = decontaminate.find_contamination(odd, benchmark, block_bytes=block, pass_blocks=at_once)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") == 1
         got = sorted((r["doc_id"], r[n], [(s["start"], s["end"]) for s in r[spans]], r[items]) for r in found.collect())
         assert got == [(1, 0, [], []), (2, 0, [], []), (3, 0, [], []), (4, 1, [], []), (4, 1, [], []), (5, 2, [(0, 2)], ["1"]), (6, 2, [(0, 2)], [])]
     assert sorted(r["doc_id"] for r in decontaminate.clean(odd, benchmark).collect()) == [1, 2, 3, 4, 4]
