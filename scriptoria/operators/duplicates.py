@@ -285,17 +285,24 @@ def promoted(groups: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.where("source_path <> canonical").select("source_path", F.col("canonical").alias("duplicate_of"))
 
 
+def _steps(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(op, from, to, from, to) over two lists of lines by their matching blocks; a replacement takes lines away and puts others in."""
+    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if op == "equal":
+            yield op, i, j, k, m
+        else:
+            if j > i:
+                yield "delete", i, j, k, k
+            if m > k:
+                yield "insert", j, j, k, m
+
+
 def _aligned(older: pd.Series, newer: pd.Series) -> pd.DataFrame:
     out = []
     for a, b in zip(older, newer, strict=True):
-        a, b = (list(x) if x is not None else [] for x in (a, b))
         n = {"equal": 0, "delete": 0, "insert": 0}
-        for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if op == "equal":
-                n["equal"] += j - i
-            else:  # a replacement takes lines away and puts others in
-                n["delete"] += j - i
-                n["insert"] += m - k
+        for op, i, j, k, m in _steps(*(list(x) if x is not None else [] for x in (a, b))):
+            n[op] += max(j - i, m - k)
         out.append((n["equal"], n["delete"], n["insert"]))
     return pd.DataFrame(out, columns=["n_equal", "n_only_first", "n_only_second"])
 
@@ -303,3 +310,45 @@ def _aligned(older: pd.Series, newer: pd.Series) -> pd.DataFrame:
 def line_diff(first: Column, second: Column) -> Column:
     """struct<n_equal,n_only_first,n_only_second>: two arrays of lines side by side, aligned by their matching blocks."""
     return F.pandas_udf(_aligned, "n_equal long, n_only_first long, n_only_second long")(first, second)
+
+
+def _line_rows(rows_at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["id", "seq", "op", "first_no", "second_no", "line"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = (batch.column(c)[r].as_py() or [] for c in (1, 2))
+                seq = 0
+                for op, i, j, k, m in _steps(a, b):
+                    lines, at = (b, k) if op == "insert" else (a, i)
+                    for start in range(0, max(j - i, m - k), rows_at_once):
+                        n = min(rows_at_once, max(j - i, m - k) - start)
+                        place = lambda begin, has: pa.array(np.arange(begin + start, begin + start + n), pa.int64()) if has else pa.nulls(n, pa.int64())  # noqa: B023, E731
+                        own = lines[at + start : at + start + n]
+                        columns = [pa.repeat(batch.column(0)[r], n), pa.array(np.arange(seq, seq + n), pa.int64()), pa.array([op] * n), place(i, op != "insert"), place(k, op != "delete"), pa.array(own, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+                        seq += n
+
+    return run
+
+
+def aligned_lines(pairs: DataFrame, id_col: str, first: Column, second: Column, rows_at_once: int = 10_000) -> DataFrame:
+    """id_col, seq, op, first_no, second_no, line: two arrays of lines of each row side by side, a row a line.
+
+    ``op`` is equal, delete (of the first alone) or insert (of the second alone); places count from 0 and are null where a
+    side lacks the line. The rows without inserts are the first side, those without deletes the second. A task holds one
+    pair and at most ``rows_at_once`` lines of its result. Null arrays have no lines; pairs without lines give no row;
+    repeated ids give the rows of each.
+    """
+    kind = pairs.schema[id_col].dataType.simpleString()
+    rows = pairs.select(F.col(id_col).alias("id"), first.alias("first"), second.alias("second"))
+    out = rows.mapInArrow(_line_rows(rows_at_once), f"id {kind}, seq long, op string, first_no long, second_no long, line string")
+    return out.withColumnRenamed("id", id_col)
+
+
+def rebuilt(aligned: DataFrame, id_col: str, second: bool = False) -> DataFrame:
+    """id_col, n_lines, text: one side put together again from the rows of :func:`aligned_lines`; ids without rows are not there."""
+    place = "second_no" if second else "first_no"
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(place, "line"))), lambda x: x["line"])  # the lines of one text
+    return aligned.where(F.col(place).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(lines, "\n").alias("text"))

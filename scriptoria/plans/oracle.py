@@ -377,3 +377,11 @@ select 2 as version, 'changed' as change, doc_id, v2.checksum from v1 join v2 us
 union all select 3, 'added', doc_id, checksum from m where doc_id % 10 = 0"""
 ORACLE_SQL["state_as_of"] = "select doc_id, case when doc_id % 7 = 0 then 'revised' else sha256(coalesce(text, '')) end as checksum from documents where doc_id % 10 <> 0 and doc_id % 11 <> 0"
 ORACLE_SQL["corpus_source"] = "select page_id, strlen(html) + 1 as length, sha256(html || chr(10)) as checksum, 'plain' as method from pages where html is not null"
+
+ORACLE_SQL["line_rebuilds"] = """select doc_id, case when text is null then 0 else length(text) - length(replace(text, chr(10), '')) + 1 end::bigint as n_lines, sha256(text) as digest from documents"""
+ORACLE_SQL["path_rules"] = f"""with {MANUALS}, numbered as (select *, lpad(p_partkey::varchar, 6, '0') as number from part),
+rules as (select p_partkey as pos, case p_partkey % 4 when 0 then '**/part_' || number || '.md' when 1 then '/manuals/brand-[!3]*/*_' || number || '.??' when 2 then '*_' || number || '[.]*' else '/corpus/*/doc_' || substr(number, 1, 5) || '[0-4].txt' end as pattern, p_type || '/' || p_partkey::varchar as label from numbered
+ union all select distinct 1::bigint << 40, '*/' || {_BRAND} || '/*', p_brand from part),
+paths as (select distinct source_path from (select source_path from docs union all select '/corpus/' || source || '/doc_' || lpad(doc_id::varchar, 6, '0') || '.txt' from documents)),
+fits as (select source_path, min((pos, label)) as first from paths join rules on source_path glob pattern or (pattern like '**/%' and source_path glob substr(pattern, 4)) group by source_path)
+select p.source_path, first[1] as rule_pos, coalesce(first[2], 'general') as rule_label from paths p left join fits f on p.source_path = f.source_path"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions import tables as table_functions
 from ..functions.dialect import SPARK
-from ..operators import aggregate, changes, detect, duplicates, enrichment, markup, normalize, profile, reports, review, segment
+from ..operators import aggregate, changes, detect, duplicates, enrichment, markup, normalize, profile, reports, review, rulesets, segment
 from ..shared import settings, shared_dir, shared_table
 from ..sources import tables
 from ..sources.datasource import CorpusFiles
@@ -275,6 +275,36 @@ def line_diffs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", duplicates.line_diff(F.split("raw_text", "\n"), F.split("clean_text", "\n")).alias("x")).select("doc_id", "x.*")
 
 
+def _alignments(spark: SparkSession, d: str) -> DataFrame:
+    rows = normalize.with_knowledge_text(tables.documents(spark, d))
+    return duplicates.aligned_lines(rows, "doc_id", F.split("raw_text", "\n"), F.split("clean_text", "\n"))
+
+
+def line_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document beside that of its clean text."""
+    return _alignments(spark, d)
+
+
+def line_rebuilds(spark: SparkSession, d: str) -> DataFrame:
+    """The documents put together again from their aligned lines."""
+    back = duplicates.rebuilt(_alignments(spark, d), "doc_id").select("doc_id", "n_lines", F.sha2("text", 256).alias("digest"))
+    return tables.documents(spark, d).select("doc_id").join(back, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "digest")
+
+
+def path_rules(spark: SparkSession, d: str) -> DataFrame:
+    """All paths by a rule for each part and one for each brand; the first that fits counts."""
+    number = F.lpad(F.col("p_partkey").cast("string"), 6, "0")
+    pattern = (
+        F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("**/part_"), number, F.lit(".md"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("/manuals/brand-[!3]*/*_"), number, F.lit(".??")))
+        .when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("*_"), number, F.lit("[.]*"))).otherwise(F.concat(F.lit("/corpus/*/doc_"), F.substring(number, 1, 5), F.lit("[0-4].txt")))
+    )
+    part = tables.table(spark, d, "part")
+    own = part.select(F.col("p_partkey").alias("pos"), pattern.alias("pattern"), F.concat_ws("/", "p_type", F.col("p_partkey").cast("string")).alias("label"))
+    brand = part.groupBy("p_brand").agg(F.max("p_partkey").alias("last")).select(F.lit(1 << 40).alias("pos"), F.concat(F.lit("*/"), F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "-"), F.lit("/*")).alias("pattern"), F.col("p_brand").alias("label"))
+    paths = tables.manuals(spark, d).select("source_path").unionByName(tables.documents(spark, d).select("source_path"))
+    return rulesets.first_fitting(paths, own.unionByName(brand), "general")
+
+
 def rendered_markdown(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.manuals(spark, d)
     date = F.coalesce(F.expr(text.found_date("raw_text")), F.lit("nodate"))
@@ -707,6 +737,9 @@ QUERIES: dict[str, Query] = {
     "topics_order": topics_order,
     "record_columns": record_columns,
     "line_diffs": line_diffs,
+    "line_alignments": line_alignments,
+    "line_rebuilds": line_rebuilds,
+    "path_rules": path_rules,
     "rendered_markdown": rendered_markdown,
     "corpus_names": corpus_names,
     "canonical_parts": canonical_parts,

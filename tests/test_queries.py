@@ -13,7 +13,7 @@ def test_same_as_sql(spark, sf_dir, oracle, same, name):
 
 def test_every_query_with_sql_is_registered():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"pack_chunks", "topic_pages", "clean_text", "page_text", "near_duplicates", "package_files", "debug_files", "line_diffs"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"pack_chunks", "topic_pages", "clean_text", "page_text", "near_duplicates", "package_files", "debug_files", "line_diffs", "line_alignments"}
 
 
 def test_entry_without_the_llm_folders(tmp_path):
