@@ -12,7 +12,7 @@ top. Case counts.
 Defined results: null paths and paths that no rule fits get the default and a null position; rules with a null position,
 pattern or label fit nothing; of rules at one position the smallest label counts; repeated paths fare alike; without rules all get the
 default; a pattern without any literal is tested on every path; a path longer than any file system takes (4 KB) gets its
-rule too, but cutting its windows costs the square of its length (100,000 characters: minutes); an empty table gives an empty result; other columns are
+rule too, but cutting its windows costs the square of its length; an empty table gives an empty result; other columns are
 kept, whatever their names.
 """
 
