@@ -25,7 +25,7 @@ DEFINITION = r"(?i)^([A-Z][A-Za-z0-9 /()-]{2,60})[ \t]+(?:means|is defined as)[
 WARNING = r"(?i)^(warning|caution|danger|note)[ \t]*[:-]?[ \t]*(.+)$"
 SPEC = r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9 /()-]{2,40}?)[ \t]*[:=][ \t]*([-+]?[0-9]+(?:\.[0-9]+)?)[ \t]*([A-Za-z%/.-]{0,11}[A-Za-z]|)(?:$|[^A-Za-z0-9_])"
 REQUIREMENT = rf"(?i)(?:^|{text.NOT_W})(shall|must|required|prohibited)(?:$|{text.NOT_W})"
-#: Fixed value: characters on either side of a part's place.
+#: Fixed value: characters on either side of where a part or a measured value stands.
 CONTEXT_CHARS = 120
 WARNING_WORD = text.bounded("warning|caution|danger|note")
 ENTITY_STOP = ("NECESSARY", "SHALL", "QTY", "SIZE", "NOTE", "NOTES", "CONSTRUCTION", "GENERAL", "DETAIL", "TITLE", "PAGE", "NUMBER", "NUMBERS", "DESCRIPTION", "WEIGHT", "PROVIDED", "WITHOUT", "DRAWING", "SHEET", "PROJECT", "REVISION", "STANDARD", "SYSTEM", "ENTITY", "ENTITIES", "SITE", "LEGAL", "ISOLATED", "TAGS", "NUMBERS/TAGS", "LAT")
@@ -205,9 +205,11 @@ def part_records(chunks: DataFrame) -> DataFrame:
 
 
 def spec_records(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk_index, item, parameter, value, unit and what is around it; null text has none."""
+    rows = with_contexts(chunks.select("doc_id", "chunk_index", "text"), "text", SPEC, 5, "contexts")  # three characters of a name, a sign, a digit
     found = lambda g: F.regexp_extract_all(F.col("text"), F.lit(SPEC), F.lit(g))
-    rows = chunks.select("doc_id", "chunk_index", F.posexplode(F.arrays_zip(found(1).alias("parameter"), found(2).alias("value"), found(3).alias("unit"))).alias("item", "s"))
-    return rows.select("doc_id", "chunk_index", F.col("item").cast("long").alias("item"), F.trim("s.parameter").alias("parameter"), "s.value", "s.unit")
+    rows = rows.select("doc_id", "chunk_index", F.posexplode(F.arrays_zip(found(1).alias("parameter"), found(2).alias("value"), found(3).alias("unit"), F.col("contexts").alias("context"))).alias("item", "s"))
+    return rows.select("doc_id", "chunk_index", F.col("item").cast("long").alias("item"), F.trim("s.parameter").alias("parameter"), "s.value", "s.unit", "s.context")
 
 
 def step_records(chunks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import rules, text
 from ..functions.dialect import ANSI as A
-from ..operators import detect, markup, profile, review, segment
+from ..operators import delimited, detect, markup, profile, review, segment
 from ..sources.tables import MANUAL_TEXT
 
 #: Fixed value: a canonical name's purpose, type, topic, stem, date, digest.
@@ -224,6 +224,8 @@ select doc_id, strlen(content) as n_bytes, sha256(content) as digest from c"""
 
 _PLAIN = "'[^ \\t\\n\\r\\f]+'"
 
+_CELL_SPACE = A.text(delimited.CELL_SPACE)
+
 ORACLE_SQL: dict[str, str] = {
     "reference_facts": _reference_facts(DOCS),
     "manual_reference_facts": _reference_facts(MANUALS),
@@ -256,8 +258,10 @@ select doc_id, chunk_index, item, requirement_text, lower({A.group("requirement_
 u as (select *, unnest(range(1, len(ms) + 1)) as i from s),
 v as (select doc_id, chunk_index, text, ps[i] as part_number, (i - 1)::bigint as item, (coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) + case when regexp_matches(ms[i], '^[^A-Za-z0-9_]') then 1 else 0 end)::bigint as st from u)
 select doc_id, chunk_index, part_number, min(item) as item, arg_min({text.stripped(f"substr(text, greatest(st - {detect.CONTEXT_CHARS}, 0) + 1, least(st, {detect.CONTEXT_CHARS}) + {detect.CONTEXT_CHARS})", A)}, item) as description from v group by doc_id, chunk_index, part_number""",
-    "specs": f"""with {_chunks()}, s as (select *, {A.groups("text", detect.SPEC, 1)} as a, {A.groups("text", detect.SPEC, 2)} as b, {A.groups("text", detect.SPEC, 3)} as c from chunks)
-select doc_id, chunk_index, (generate_subscripts(a, 1) - 1)::bigint as item, trim(unnest(a)) as parameter, unnest(b) as value, unnest(c) as unit from s""",
+    "specs": f"""with {_chunks()}, s as (select doc_id, chunk_index, text, string_split_regex(text, {A.text(detect.SPEC)}) as gaps, {A.groups("text", detect.SPEC, 0)} as ms, {A.groups("text", detect.SPEC, 1)} as a, {A.groups("text", detect.SPEC, 2)} as b, {A.groups("text", detect.SPEC, 3)} as c from chunks),
+u as (select *, unnest(range(1, len(ms) + 1)) as i from s),
+v as (select *, (coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) + case when regexp_matches(ms[i], '^[^A-Za-z0-9_]') then 1 else 0 end)::bigint as st from u)
+select doc_id, chunk_index, (i - 1)::bigint as item, trim(a[i]) as parameter, b[i] as value, c[i] as unit, {text.stripped(f"substr(text, greatest(st - {detect.CONTEXT_CHARS}, 0) + 1, least(st, {detect.CONTEXT_CHARS}) + {detect.CONTEXT_CHARS})", A)} as context from v""",
     "procedure_steps": f"with {_chunks()}, {_LINES} select doc_id, chunk_index, line_no as item, line as step_text from lines where regexp_matches(line, '^[0-9]+[.)][ \\t]+')",
     "table_lines": f"with {_chunks()}, s as (select doc_id, chunk_index, list_filter(line_list, lambda l: contains(l, ' | ')) as ls from chunks) select doc_id, chunk_index, array_to_string(ls, chr(10)) as table_text from s where len(ls) > 0",
     "glossary": f"with {_glossary()} select doc_id, chunk_id, heading, term, body, score from best_terms",
@@ -287,6 +291,8 @@ f as (select *, row_number() over (partition by doc_id, key order by chunk_index
     "repeated_edge_lines": f"""with l as (select conv_id, {text.lines("text", A)} as ls from conversations), e as (select conv_id, unnest(list_concat(ls[1:2], ls[-2:])) as line from l where len(ls) > 0),
 n as (select conv_id, line, count(*) as n from e where length(line) between 3 and 120 group by all), c as (select conv_id, greatest(2, floor(count(*) / 3)) as least from conversations group by conv_id) select conv_id, line, n from n join c using (conv_id) where n >= least""",
     "html_title": r"select page_id, url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\r\f]+', ' ', 'g')) as title from pages",
+    "cell_text": f"""select doc_id, case when doc_id % 2 = 0 then 'csv' else 'tsv' end as document_type,
+'source | lang | text' || chr(10) || trim(coalesce(source, ''), {_CELL_SPACE}) || ' | ' || trim(coalesce(lang, ''), {_CELL_SPACE}) || ' | ' || trim(coalesce(text, ''), {_CELL_SPACE}) as text from documents""",
     "json_status": "select event_type, case when json_valid(props) then 'success' else 'partial' end as status, count(*) as n from events group by all",
     "exact_duplicates": f"with {DOCS}, g as (select doc_id, source_path, min(source_path) over (partition by coalesce(raw_text, '')) as canonical, count(*) over (partition by coalesce(raw_text, '')) as group_size from docs) select * from g where group_size > 1",
     "review_queue": f"with {_documents()} select doc_id || '::' || kind as review_id, source_path, kind, severity, 'open' as status, title, detail, confidence from queue",

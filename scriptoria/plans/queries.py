@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions import tables as table_functions
 from ..functions.dialect import SPARK
-from ..operators import aggregate, changes, detect, duplicates, enrichment, markup, normalize, profile, reports, review, rulesets, segment
+from ..operators import aggregate, changes, delimited, detect, duplicates, enrichment, markup, normalize, profile, reports, review, rulesets, segment
 from ..shared import settings, shared_dir, shared_table
 from ..sources import tables
 from ..sources.datasource import CorpusFiles
@@ -362,6 +362,16 @@ def low_quality_pages(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("image_heavy", "low_quality").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_chars"))
 
 
+def cell_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as delimited text of two rows, its values in quotes, with commas and tabs in turns, and read back as cells."""
+    columns = ("source", "lang", "text")
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
+    written = {kind: F.concat(F.lit(by.join(columns) + "\r\n"), F.concat_ws(by, *quoted)) for kind, by in delimited.DELIMITERS.items()}
+    rows = tables.table(spark, d, "documents").withColumn("document_type", F.when(F.col("doc_id") % 2 == 0, "csv").otherwise("tsv"))
+    rows = rows.select("doc_id", "document_type", F.when(F.col("document_type") == "csv", written["csv"]).otherwise(written["tsv"]).alias("raw"))
+    return delimited.with_cell_text(rows, "raw", "document_type", "text").select("doc_id", "document_type", "text")
+
+
 def json_status(spark: SparkSession, d: str) -> DataFrame:
     ok = F.try_parse_json("props").isNotNull()
     return tables.table(spark, d, "events").groupBy("event_type", F.when(ok, "success").otherwise("partial").alias("status")).agg(F.count(F.lit(1)).alias("n"))
@@ -698,6 +708,7 @@ QUERIES: dict[str, Query] = {
     "repeated_edge_lines": repeated_edge_lines,
     "html_title": html_title,
     "html_text": html_text,
+    "cell_text": cell_text,
     "json_status": json_status,
     "exact_duplicates": exact_duplicates,
     "near_duplicates": near_duplicates,

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.delimited import DELIMITERS, with_cell_text
 from ..operators.markup import with_visible_text
 
 #: Fixed values.
@@ -72,14 +73,20 @@ def plain(content: bytes, strategy: str) -> Extracted:
     return Extracted(text, method="plain", warnings=warnings)
 
 
-@register("csv", "tsv")
-def cells(content: bytes, strategy: str, delimiter: str = ",") -> Extracted:
-    text, warnings = decoded(content)
-    try:
-        rows = [" | ".join(c.strip() for c in row) for row in csv.reader(io.StringIO(text), delimiter="\t" if "\t" in text.split("\n", 1)[0] else delimiter, strict=True)]
-    except csv.Error as e:
-        return Extracted(text, method="cells", status="partial", warnings=[*warnings, str(e)])
-    return Extracted("\n".join(rows), method="cells", warnings=warnings)
+def _cells(kind: str) -> Extractor:
+    """As :func:`scriptoria.operators.delimited.with_cell_text` reads them; for bytes that are not UTF-8."""
+
+    def read(content: bytes, strategy: str) -> Extracted:
+        text, warnings = decoded(content)
+        csv.field_size_limit(len(text) + 1)
+        rows = csv.reader(io.StringIO(text, newline=""), delimiter=DELIMITERS[kind])
+        return Extracted("\n".join(" | ".join(c.strip() for c in row) for row in rows), method="cells", warnings=warnings)
+
+    return read
+
+
+for _kind in DELIMITERS:
+    register(_kind)(_cells(_kind))
 
 
 class _Visible(HTMLParser):
@@ -284,22 +291,24 @@ def _below(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Types whose text is made of columns, if the bytes are UTF-8: only other bytes and formats go through Python.
-PLAIN = ("txt", "md", "html")
+PLAIN = ("txt", "md", "html", *DELIMITERS)
 
 
 def _plain(rows: DataFrame) -> DataFrame:
-    """Text files and HTML in UTF-8, with the columns of ``SCHEMA``."""
+    """Text files, HTML and delimited text in UTF-8, with the columns of ``SCHEMA``."""
     html = (F.col("document_type") == "html") & (F.col("strategy") != "raw")
     read = with_visible_text(rows.withColumn("_raw", F.decode("content", "UTF-8")).withColumn("_html", F.when(html, F.col("_raw"))), "_html", "_page_title", "_page_text")
-    body = F.when(html, F.col("_page_text")).otherwise(F.col("_raw"))
-    method = F.when(html, "html").when(F.col("document_type") == "html", "raw").otherwise("plain")
+    table = F.col("document_type").isin(*DELIMITERS)
+    read = with_cell_text(read.withColumn("_delimited", F.when(table, F.col("_raw"))), "_delimited", "document_type", "_table_text")
+    body = F.when(html, F.col("_page_text")).when(table, F.col("_table_text")).otherwise(F.col("_raw"))
+    method = F.when(html, "html").when(table, "cells").when(F.col("document_type") == "html", "raw").otherwise("plain")
     low = F.regexp_count(body, F.lit(text.WORD)) < LOW_TEXT_WORDS
     none = F.lit(None).cast("string")
     columns = {
         "title": F.when(html, F.col("_page_title")), "text": body, "pages": F.when(body != "", F.array(body)).otherwise(F.expr("cast(array() as array<string>)")), "method": method,
         "status": F.when(low, "partial").otherwise("success"), "chain": F.array(method), "warnings": F.when(low, F.array(F.lit("low text"))).otherwise(F.expr("cast(array() as array<string>)")), "failure": none,
     }
-    return read.withColumns(columns).drop("_raw", "_html", "_page_title", "_page_text", "content")
+    return read.withColumns(columns).drop("_raw", "_html", "_page_title", "_page_text", "_delimited", "_table_text", "content")
 
 
 def extracted(files: DataFrame, strategy: Column | str = "default", most_bytes: int = MOST_BYTES) -> DataFrame:
