@@ -1,10 +1,12 @@
 """Rules from a table: the first of many shell patterns that fits a path, without a branch per rule.
 
-A pattern's literal runs are text that every path it fits must hold. Of its longest run, cut to a power of two of
-characters, and of the windows of that size in its other runs, the one that the fewest paths hold is the rule's anchor.
-Paths meet rules in one equality join, of their own windows of these sizes with the anchors; only what meets is tested
-by the whole pattern. So the work grows with the paths and with what their rarest literals find, not with paths times
-rules, and rules change without a new plan. Windows of paths that are no rule's are dropped where they are made.
+A pattern's literal runs are text that every path it fits must hold. Of each run, cut to a size of the ladder below, the
+windows of that size may stand for the rule (runs of less than half the longest one's size are left out); the one that the
+fewest paths hold is the rule's anchor. Paths meet rules in one equality join, of their own windows of the sizes in use
+with the anchors, as 64-bit hashes; only what meets is tested by the whole pattern. So the work grows with the paths and
+with what their rarest literals find, not with paths times rules, and rules change without a new plan. Windows of paths
+that are no rule's are dropped in a first join. Both sides of every join are shuffled: a table of rules is never
+sent whole, as its size on disk says little of its windows'.
 
 Patterns are shell patterns: ``*`` (also across slashes), ``?``, ``[abc]``, ``[a-c]``, ``[!a]``; ``**/x`` also fits x at the
 top. Case counts.
@@ -22,13 +24,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import shared_table
 
 #: Sizes of windows, in characters.
-SIZES = (32, 16, 8, 4, 2, 1)
+SIZES = (32, 24, 16, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 IN_CLASS = re.compile(r"[\\\[\]&^~-]")
 
 
@@ -68,12 +70,13 @@ def shell_regex(pattern: str) -> str:
 
 
 def anchors(pattern: str) -> list[str]:
-    """Windows of one size of which every path that the pattern fits holds each; one empty window without literals."""
+    """Windows of the pattern's longer runs, of which every path that it fits holds each; one empty window without literals."""
     runs = "".join(x if kind == "literal" else "\0" for kind, x in _tokens(pattern)).split("\0")
-    size = next((n for n in SIZES if n <= max(map(len, runs))), 0)
-    if not size:
+    sized = [(run, next((n for n in SIZES if n <= len(run)), 0)) for run in runs]
+    longest = max(size for _, size in sized)
+    if not longest:
         return [""]
-    return list(dict.fromkeys(run[i : i + size] for run in runs for i in range(len(run) - size + 1)))
+    return list(dict.fromkeys(run[i : i + size] for run, size in sized if 2 * size >= longest for i in range(len(run) - size + 1)))
 
 
 def _compiled(patterns: pd.Series) -> pd.DataFrame:
@@ -93,24 +96,26 @@ def compiled(rules: DataFrame) -> DataFrame:
 
 def first_fitting(rows: DataFrame, rules: DataFrame, default: str, path_col: str = "source_path") -> DataFrame:
     """(path_col, rule_pos, rule_label) of each distinct path of ``rows`` by ``rules`` (pos, pattern, label)."""
-    paths = shared_table(rows.select(F.col(path_col).alias("path")).distinct(), "rule_paths")
+    paths = shared_table(rows.select(F.col(path_col).alias("path")).distinct().select(F.monotonically_increasing_id().alias("id"), "path"), "rule_paths")
     ruled = shared_table(compiled(rules).select(F.monotonically_increasing_id().alias("rule"), "*"), "rules")
-    possible = ruled.select("rule", F.explode("grams").alias("gram"))
-    sizes = F.array(*[F.lit(n) for n in SIZES])
+    possible = ruled.select("rule", F.explode("grams").alias("window"))
+    used = [r["size"] for r in possible.select(F.length("window").alias("size")).distinct().collect()]  # of ``SIZES``, and 0
+    possible = possible.select("rule", F.xxhash64("window").alias("gram"))
     n = F.length("path")
-    cut = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring("path", i, size))
-    windows = F.flatten(F.transform(F.filter(sizes, lambda size: size <= n), cut))
-    held = paths.where("path is not null").select("path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), windows))).alias("gram"))
-    met = held.join(possible.select("gram").distinct(), "gram", "left_semi")
+    cut = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.substring("path", i, F.lit(size))))
+    none = F.array().cast("array<bigint>")
+    windows = F.concat(none, *[F.when(n >= size, cut(size)).otherwise(none) if size else F.array(F.xxhash64(F.lit(""))) for size in used])
+    held = paths.where("path is not null").select("id", F.explode(F.array_distinct(windows)).alias("gram"))
+    met = shared_table(held.join(possible.select("gram").distinct().hint("merge"), "gram", "left_semi"), "met")
     counts = met.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-    rarest = F.row_number().over(Window.partitionBy("rule").orderBy("f", "gram"))  # windows of one pattern
     # a window that no path holds rules its pattern out, so it must be the one that is taken
-    seen = possible.join(counts, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0))).withColumn("place", rarest)
-    chosen = shared_table(seen.where("place = 1 and f > 0").select("gram", "rule").join(ruled.drop("grams"), "rule"), "anchors")
-    fits = held.join(chosen, "gram").where(F.expr("path rlike regex"))
-    first = fits.groupBy("path").agg(F.min(F.struct("pos", "label")).alias("rule"))
-    out = paths.join(first, "path", "left")
-    return out.select(F.col("path").alias(path_col), F.col("rule.pos").alias("rule_pos"), F.coalesce("rule.label", F.lit(default)).alias("rule_label"))
+    seen = possible.join(counts.hint("merge"), "gram", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    chosen = seen.groupBy("rule").agg(F.min(F.struct("f", "gram")).alias("x")).where("x.f > 0").select("x.gram", "rule")
+    pairs = met.join(chosen.hint("merge"), "gram").select("id", "rule")
+    tested = pairs.join(paths.hint("merge"), "id").join(ruled.drop("grams").hint("merge"), "rule")
+    first = tested.where(F.expr("path rlike regex")).groupBy("id").agg(F.min(F.struct("pos", "label")).alias("first"))
+    out = paths.join(first.hint("merge"), "id", "left")
+    return out.select(F.col("path").alias(path_col), F.col("first.pos").alias("rule_pos"), F.coalesce("first.label", F.lit(default)).alias("rule_label"))
 
 
 def with_rule(rows: DataFrame, rules: DataFrame, default: str, path_col: str = "source_path", label_col: str = "rule_label") -> DataFrame:

@@ -55,6 +55,16 @@ def test_many_rules_that_share_their_beginning(spark):
     assert len(got) == 3_000 and all(r["rule_label"] == (str(number[r["source_path"]]) if number[r["source_path"]] < 10_000 else "none") for r in got)
 
 
+def test_rules_are_met_by_whole_runs_and_never_broadcast(spark):
+    """A rule of seven literal characters meets its own path, not all that share four; no side of a join is sent whole."""
+    assert rulesets.anchors("*_012345[.]*") == ["_012345"]
+    assert "_012345." in rulesets.anchors("/manuals/brand-[!3]*/*_012345.??")
+    rules = spark.range(500).select(F.col("id").alias("pos"), F.format_string("*_%06d[.]*", "id").alias("pattern"), F.col("id").cast("string").alias("label"))
+    found = rulesets.first_fitting(spark.range(500).select(F.format_string("/m/part_%06d.md", "id").alias("source_path")), rules, "none")
+    assert {(int(r["source_path"][8:14]), r["rule_label"]) for r in found.collect()} == {(i, str(i)) for i in range(500)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_aligned_lines_give_both_sides(spark, sf_dir):
     """On all documents, raw and clean; the counts are those of the short form."""
     rows = normalize.with_knowledge_text(tables.documents(spark, sf_dir)).select("doc_id", "raw_text", "clean_text").cache()
