@@ -29,3 +29,13 @@ def test_entry_without_the_llm_folders(tmp_path):
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'reference_facts' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
+
+
+def test_manuals_of_one_small_file_are_spread(spark, sf_dir):
+    """A part's row is small and its manual much work: one task for a whole file would leave the other cores idle."""
+    from pyspark.sql import functions as F
+
+    from scriptoria.sources import tables
+
+    sizes = [r["count"] for r in tables.manuals(spark, sf_dir).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism and max(sizes) <= sum(sizes) / 4
