@@ -94,3 +94,15 @@ def test_aligned_lines_of_random_lists(spark):
         assert [r["line"] for r in own if r["op"] != "delete"] == b and [r["second_no"] for r in own if r["op"] != "delete"] == list(range(len(b)))
         equal = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
         assert sum(r["op"] == "equal" for r in own) == equal
+
+
+def test_few_whole_texts_a_batch(spark, sf_dir, monkeypatch):
+    """A worker that lines texts up gets few of them at a time, and the session's own setting is left as it was."""
+    from scriptoria.plans import queries
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(key), queries.shared_table
+    monkeypatch.setattr(queries, "shared_table", lambda df, name: seen.append(int(spark.conf.get(key))) or write(df, name))
+    assert queries.line_diffs(spark, sf_dir).count() == tables.documents(spark, sf_dir).count()
+    queries.line_rebuilds(spark, sf_dir)
+    assert len(seen) == 2 and max(seen) <= 64 and spark.conf.get(key) == before
