@@ -18,6 +18,7 @@ texts are encoded whole. The string of a special token in a text is that token,
 from __future__ import annotations
 
 import os
+from array import array
 from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -51,8 +52,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.forget()
+
+    def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.ids, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # of all words in a row, and where each begins
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text ends in them; ``texts`` is large binary without nulls."""
@@ -67,23 +71,25 @@ class Encoder:
         cut[ends] = True
         at = np.flatnonzero(cut)
         words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(self.ids) > KEPT_WORDS:
-            self.number, self.ids = {}, []
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.number) > KEPT_WORDS:
+            self.forget()
         new = [w for w in names if w not in self.number]
+        got, lengths = array("I"), []
         for start in range(0, len(new), 8192):
-            part = new[start : start + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.number[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, "<u4"))
-        known = [self.ids[self.number[w]] for w in names]
-        flat = np.concatenate(known) if known else np.zeros(0, "<u4")
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        codes = words.indices.to_numpy()
-        n = sizes[codes]
+            for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[start : start + 8192]], add_special_tokens=False):
+                ids = e.ids
+                got.extend(ids)
+                lengths.append(len(ids))
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.ids = np.concatenate([self.ids, np.array(got, "<u4")])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
+        codes = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
+        n = np.diff(self.bounds)[codes]
         total = np.concatenate([[0], np.cumsum(n)])
-        from_ = np.repeat((np.cumsum(sizes) - sizes)[codes] - total[:-1], n) + np.arange(total[-1])
-        return flat[from_], total[np.searchsorted(at, ends[1:])]
+        from_ = np.repeat(self.bounds[codes] - total[:-1], n) + np.arange(total[-1])
+        return self.ids[from_], total[np.searchsorted(at, ends[1:])]
 
 
 def _cutter(vocabulary, length: int, end_id: int, batch_bytes: int = 4 << 20):

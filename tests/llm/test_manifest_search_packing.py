@@ -212,6 +212,20 @@ def test_packing_of_the_table(spark, sf_dir):
 ROUGH = ["a b", " a", "a ", "a  b", "a\n\n b", "a\n b\t\tc", "it's. 'tis' 'S we'll,x", "x.  y  z", "é ñ a,é", "<|endoftext|> a <|endoftext|>", "12 a12,b 1.2\x1c x", "\x85 a", "  ", "a(b)c\"d\"e f:g;h", "日本 語,a 日", "a\r\n\r\nb . c", "😀 a😀 ,b"]
 
 
+def test_encoder_keeps_words_in_flat_arrays(monkeypatch):
+    """One array of ids for all words it knows, and the same ids after it forgot them."""
+    import pyarrow as pa
+
+    with open(packing.VOCABULARY, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    texts = [["one two", ""], ["two three é\n\nthree", "one"], [""], []]
+    encoded = lambda part: tuple(x.tolist() for x in encoder.encode(pa.array([t.encode() for t in part], pa.large_binary())))
+    first = [encoded(part) for part in texts]
+    assert len(encoder.bounds) == len(encoder.number) + 1 and encoder.bounds[-1] == len(encoder.ids)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 0)
+    assert first == [encoded(part) for part in texts]
+
+
 def test_encoder_cuts_only_between_pretokens():
     import pyarrow as pa
 
