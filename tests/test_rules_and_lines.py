@@ -106,3 +106,34 @@ def test_few_whole_texts_a_batch(spark, sf_dir, monkeypatch):
     assert queries.line_diffs(spark, sf_dir).count() == tables.documents(spark, sf_dir).count()
     queries.line_rebuilds(spark, sf_dir)
     assert len(seen) == 2 and max(seen) <= 64 and spark.conf.get(key) == before
+
+
+def test_quick_patterns_find_the_same(spark):
+    """Words beside each other, signs, letters beyond the first plane and line ends: the quick form says what the pattern says."""
+    import random
+    import re
+
+    from scriptoria.functions import rules
+    from scriptoria.functions.quick import quick
+    from scriptoria.operators import detect
+
+    patterns = list(dict.fromkeys(p for p in [*vars(rules).values(), *vars(detect).values()] if isinstance(p, str) and quick(p) != p))
+    assert len(patterns) > 20 and all("(?<!" in quick(p) for p in patterns)
+    assert quick(rules.HEADING) == rules.HEADING
+    pick = random.Random(5)
+    words = sorted({w for p in patterns for w in re.findall(r"[A-Za-z]+(?: [a-z]+)*|20|[0-9]", p)}) + ["a", "b", "C"]
+    glue = [" ", "", "_", "\n", "é", "\U00010410", "\U0001d7d8", "1", "-", ".", "́", ":", " # ", "\t", "%", "\r\n", " ", "/", "@"]
+    texts = ["".join(pick.choice(glue) + pick.choice([str.lower, str.upper, str.title])(pick.choice(words)) + pick.choice(glue) for _ in range(pick.randint(1, 5))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    other = [F.sum((F.col("t").rlike(p) != F.col("t").rlike(quick(p))).cast("int")).alias(p) for p in patterns]
+    other.append(F.sum((F.col("t").rlike(rules.SPACED_LETTERS) != F.expr(rules.spaced_letters("t"))).cast("int")).alias("spaced letters"))
+    assert {k: v for k, v in rows.agg(*other).first().asDict().items() if v} == {}
+
+
+def test_records_of_a_text_skip_the_chunk_features(spark, sf_dir):
+    """Parts and measured values read a chunk's text alone: its admin lines are not looked for, and a cheap mark is tried first."""
+    from scriptoria.plans.queries import QUERIES
+
+    for name in ("parts", "specs"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "copyright" not in plan and "Filter" in plan
