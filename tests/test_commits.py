@@ -214,3 +214,17 @@ def test_data_source_as_a_stream(spark, tmp_path):
     time.sleep(0.05)
     (tmp_path / "in" / "a" / "late.md").write_text("# late")
     assert run() == ["a/bad.json", "a/late.md", "a/latin.txt", "a/one.txt", "a/two.html", "three.csv"] == run()
+
+
+def test_revisions_read_the_texts_once_and_in_all_tasks(spark, sf_dir, monkeypatch):
+    """The sights are made once, not for each of the four folders by two tasks, and no frame is built for a key."""
+    import inspect
+
+    from scriptoria.plans import queries
+    from scriptoria.streaming import keyed
+
+    made, own = [], queries._sights
+    monkeypatch.setattr(queries, "_sights", lambda *a: made.append(a) or own(*a))
+    found = queries.stream_revisions(spark, sf_dir).groupBy().sum("n_docs").first()[0]
+    assert len(made) == 1 and found == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert "pandas" not in inspect.getsource(keyed.Known)
