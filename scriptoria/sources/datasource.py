@@ -18,10 +18,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import groupby
 
+from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from . import extract
@@ -51,6 +54,26 @@ def local(path: str) -> str:
     return re.sub(r"^file:/*", "/", path)
 
 
+def written_folders(root: str, key: str) -> Callable[[Iterator[Row]], None]:
+    """Writes rows (key, text) that come in the order of their keys: a folder for each key with one file, a line a text.
+
+    Hadoop's local file system may start a process for each folder and file that it makes, so tasks write them themselves.
+    A file is put in place by a rename, so a task that runs again replaces what it wrote.
+    """
+
+    def write(rows: Iterator[Row]) -> None:
+        for value, texts in groupby(rows, lambda r: r[0]):
+            folder = os.path.join(root, f"{key}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
+            os.makedirs(folder, exist_ok=True)
+            unfinished = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(unfinished, "wb") as file:
+                for row in texts:
+                    file.write(row[1].encode() + b"\n")
+            os.replace(unfinished, os.path.join(folder, "part.txt"))
+
+    return write
+
+
 def found_below(root: str, supported_only: bool) -> Iterator[Found]:
     """Files that are not ignored, as the listing names them."""
     root = root.rstrip("/")

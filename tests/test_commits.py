@@ -228,3 +228,14 @@ def test_revisions_read_the_texts_once_and_in_all_tasks(spark, sf_dir, monkeypat
     found = queries.stream_revisions(spark, sf_dir).groupBy().sum("n_docs").first()[0]
     assert len(made) == 1 and found == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert "pandas" not in inspect.getsource(keyed.Known)
+
+
+def test_pages_become_files_without_a_process_for_each(spark, sf_dir, tmp_path):
+    """Tasks write the folders themselves; repeated and missing keys keep all their lines, and a second run replaces the first."""
+    from scriptoria.sources.datasource import written_folders
+
+    rows = spark.createDataFrame([(1, "a"), (2, "é\nb"), (2, "c"), (None, "d")], "page_id long, html string")
+    for _ in range(2):
+        rows.repartition("page_id").sortWithinPartitions("page_id", "html").foreachPartition(written_folders(str(tmp_path), "page_id"))
+    found = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {"page_id=1/part.txt": "a\n", "page_id=2/part.txt": "c\né\nb\n", "page_id=__HIVE_DEFAULT_PARTITION__/part.txt": "d\n"}
