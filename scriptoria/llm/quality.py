@@ -1,8 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
 N-grams are runs of ``order`` characters (runs of white space are one space) with marks before and after a document.
-A Bloom filter of fixed size over the trusted ids lets map tasks drop most other texts before the exact join by id.
-Trusted documents are counted in the tasks and added up by Spark; lower orders count distinct left neighbours. Every
+A Bloom filter of fixed size over the trusted ids lets map tasks drop most other texts; what it lets pass is counted in
+the tasks and added up by Spark. Ids that pass without being trusted come out of an exact join of ids, and the counts
+of their documents are taken off again. Lower orders count distinct left neighbours. Every
 order has three discounts, from its counts of counts, and each context gives the mass it saves to the next lower
 order. All of this is joins and sums over (language, n-gram) tables, one model for each language.
 
@@ -103,31 +104,78 @@ def _likely(words):
     return run
 
 
-def trusted_packs(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(pack, lang) of the documents whose id is in ``trusted``."""
-    words = docs.sparkSession.sparkContext.broadcast(bloom_filter(trusted))
-    key = F.col(id_col).cast("long")
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(key.alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"), *bloom_buckets(key))
-    likely = rows.mapInArrow(_likely(words), "id long, lang string, pack binary")
-    return likely.join(trusted.select(F.col(id_col).cast("long").alias("id")).hint("merge"), "id", "left_semi").select("pack", "lang")
+def _passing(words):
+    """The ids of the rows (id, buckets...) that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.filter(bloom_passes(words.value, batch, 1)).column(0)], names=["id"])
+
+    return run
+
+
+def _counted(of_lang: dict[str, list[tuple]], order: int, sign: int, block: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """(lang, g, c) of prepared texts by language, in blocks."""
+    for lang, rows in of_lang.items():
+        for held in _blocks(rows, block):
+            c, starts, codes, _ = gram_codes([r[0] for r in held], order)
+            _, at, counts = np.unique(codes, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), spelled(c, starts[at], order), pa.array(sign * counts, pa.int64())], names=["lang", "g", "c"])
+
+
+def _counter(words, order: int):
+    """Counts of the rows (id, lang, text, buckets...) that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(bloom_passes(words.value, batch, 3))
+            by_lang: dict = {}
+            for lang, text in zip(kept.column(1).to_pylist(), kept.column(2).to_pylist(), strict=True):
+                if clean := prepared(text):
+                    by_lang.setdefault(lang, []).append((clean,))
+            yield from _counted(by_lang, order, 1)
+
+    return run
 
 
-def _trainer(order: int, block: int = 1 << 21):
+def _uncounter(order: int):
+    """The counts of packed texts, to be taken off."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_lang: dict = {}
             for pack, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if clean := zstandard.decompress(pack).decode("utf-8", "surrogatepass"):
                     by_lang.setdefault(lang, []).append((clean,))
-            for lang, rows in by_lang.items():
-                for held in _blocks(rows, block):
-                    c, starts, codes, _ = gram_codes([r[0] for r in held], order)
-                    _, at, counts = np.unique(codes, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), spelled(c, starts[at], order), pa.array(counts, pa.int64())], names=["lang", "g", "c"])
+            yield from _counted(by_lang, order, -1)
 
     return run
 
 
+def trusted_packs(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, order: int = ORDER) -> DataFrame:
+    """(lang, g, c): n-gram counts of the trusted documents, packed by task: rows of one n-gram are to be added up.
+
+    Every document that passes the filter of the ``trusted`` ids is counted where it is read; those of them that are not
+    trusted are taken off again. So no trusted text is shuffled: the exact join meets ids, and only texts that pass
+    without being trusted are sent to it.
+    """
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    known = trusted.select(F.col(id_col).cast("long").alias("id"))
+    words = broadcast(bloom_filter(known))
+    key = F.col(id_col).cast("long")
+    there = docs.where(F.col(id_col).isNotNull())
+    passing = there.select(key.alias("id"), *bloom_buckets(key)).mapInArrow(_passing(words), "id long")
+    wrong = shared_table(passing.distinct().join(known.hint("merge"), "id", "left_anti"), "wrong")
+    rows = there.where(F.col(text_col).isNotNull()).select(key.alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"), *bloom_buckets(key))
+    counts = "lang string, g string, c long"
+    every = rows.mapInArrow(_counter(words, order), counts)
+    if wrong.isEmpty():
+        return every
+    likely = rows.mapInArrow(_likely(broadcast(bloom_filter(wrong))), "id long, lang string, pack binary")
+    off = likely.join(wrong.hint("merge"), "id", "left_semi").select("pack", "lang").mapInArrow(_uncounter(order), counts)
+    return every.unionByName(off)
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """The three discounts of modified Kneser-Ney, kept between 0.05 (each context saves some mass) and the count that they lower."""
     if not n1 or not n2:
@@ -137,10 +185,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), float(i + 1)) for i, d in enumerate(raw))
 
 
-def train(packs: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order 1..order: (lang, g, p) of seen n-grams and (lang, ctx, gamma) of seen contexts, from (pack, lang)."""
-    spark = packs.sparkSession
-    counted = packs.mapInArrow(_trainer(order), "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+def train(counted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order 1..order: (lang, g, p) of seen n-grams and (lang, ctx, gamma) of seen contexts, from the rows of :func:`trusted_packs`."""
+    spark = counted.sparkSession
+    counted = counted.groupBy("lang", "g").agg(F.sum("c").alias("c")).where("c > 0")
     counts = {order: shared_table(counted, "top")}
     for k in range(order - 1, 0, -1):
         counts[k] = shared_table(counts[k + 1].groupBy("lang", F.expr(f"right(g, {k})").alias("g")).agg(F.count(F.lit(1)).alias("c")), f"order{k}")
@@ -184,7 +232,7 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_chars: int) -> Iterator[tup
 def _packer(shard_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, held in _shards(batches, shard_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([zstandard.compress(pickle.dumps(held), 3)], pa.binary())], names=["shard", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([zstandard.compress(pickle.dumps(held), 5)], pa.binary())], names=["shard", "pack"])
 
     return run
 
@@ -290,7 +338,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     """One row per input row: id, lang, n_chars, perplexity, threshold, floor, accepted. ``trusted_ids`` has the one column ``id_col``."""
     integer_id(docs, id_col)
     trusted = trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    model = train(trusted_packs(docs, trusted, id_col, text_col, lang_col), order)
+    model = train(trusted_packs(docs, trusted, id_col, text_col, lang_col, order), order)
     scored = shared_table(perplexities(docs, model, id_col, text_col, lang_col), "perplexities")
     out = verdicts(scored, trusted.select(F.col(id_col).cast("long").alias("id")), quantile, least)
     return out.select(F.col("id").alias(id_col), F.nullif(F.col("lang"), F.lit("")).alias("lang"), "n_chars", "perplexity", "threshold", "floor", "accepted")

@@ -392,6 +392,23 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.classify(none, none.select("doc_id")).count() == 0
 
 
+def test_trusted_texts_are_not_shuffled(spark, monkeypatch):
+    """No text goes to the join by id; with a filter so small that other documents pass, theirs are taken off again."""
+    from scriptoria.llm import common
+
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abc ") for _ in range(40)), rng.choice(["en", "de"]), "s", 1) for i in range(300)], DOC)
+    trusted = docs.where("doc_id % 7 < 2").select(F.col("doc_id").cast("int"))
+    counts = lambda: quality.trusted_packs(docs, trusted, "doc_id", "text", "lang")
+    sums = lambda df: sorted(map(tuple, df.groupBy("lang", "g").agg(F.sum("c").alias("c")).where("c <> 0").collect()))
+    found = counts()
+    want = sums(found)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and want
+    monkeypatch.setattr(common, "BLOOM_BITS", 128)
+    found = counts()
+    assert found.where("c < 0").count() > 0 and sums(found) == want
+
+
 # 8 pseudonyms
 
 
