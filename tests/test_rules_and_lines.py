@@ -137,3 +137,30 @@ def test_records_of_a_text_skip_the_chunk_features(spark, sf_dir):
     for name in ("parts", "specs"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "copyright" not in plan and "Filter" in plan
+
+
+def test_slugs_in_one_pass_and_marked_patterns(spark):
+    """A slug takes two replacements, not six, and is what the rule says; marks drop no match of their patterns."""
+    import random
+    import re
+
+    from scriptoria.functions import rules, text
+    from scriptoria.functions.dialect import ANSI, SPARK
+    from scriptoria.functions.quick import quick
+
+    assert text.slug("x", 12).count("regexp_replace") <= 2 < text.slug("x", 12, ANSI).count("regexp_replace")
+    rng = random.Random(6)
+    signs = ["a", "B", "7", " ", "_", "-", "--", "/", "\\", ".", ":", "www.", "WwW.", "http://", "\n", "\t", "\u00e9", "\u00bd", "\u4e2d", "'"]
+    texts = ["", "-", "a-", "-a", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(600))]
+
+    def slug(x, most):
+        x = re.sub(r"[ \t\n\r\f_]+", "-", re.sub(r"[^a-z0-9_ \t\n\r\f-]", " ", x.lower()))
+        x = re.sub("-$", "", re.sub("^-|-$", "", re.sub("-+", "-", x))[:most])
+        return x or "unknown"
+
+    patterns = [(rules.PATH_MARKS, rules.PATH_LIKE), (rules.PATH_MARKS, r"https?://|www\.|[A-Za-z]:\\"), (rules.SLASHES, rf"\.\\|\\\\|//|/{text.W}+/")]
+    both = [f"{SPARK.has_marked('x', marks, p)} = rlike(x, {SPARK.text(quick(p))}) as same{i}" for i, (marks, p) in enumerate(patterns)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for r in df.selectExpr("x", f"{text.folded('x')} as plain", f"{text.slug('x', 6)} as s", f"{text.slug('x', 90)} as t", *both).collect():
+        assert (r["s"], r["t"]) == (slug(r["plain"], 6), slug(r["plain"], 90)), r["x"]
+        assert r["same0"] and r["same1"] and r["same2"], r["x"]
