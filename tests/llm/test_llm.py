@@ -341,6 +341,20 @@ def test_grams_of_any_alphabet():
         assert len({(g, k) for g, k in zip(grams, codes.tolist(), strict=True)}) == len(set(grams)) and doc.tolist() == [i for i, t in enumerate(texts) for _ in range(len(t) + 1)]
 
 
+def test_quality_distinct_codes_and_white_space_without_sorting_all():
+    """The same first places, codes and texts as a sort of all codes and one pattern give."""
+    import numpy as np
+
+    rng, rnd = np.random.default_rng(8), random.Random(8)
+    for codes in [np.zeros(0, np.uint64), np.array([5], np.uint64), rng.integers(0, 40, 3000, np.uint64), rng.integers(0, 2**63, 500, np.uint64)]:
+        first, which = quality.distinct(codes)
+        _, index, inverse, counts = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+        assert first.tolist() == index.tolist() and which.tolist() == inverse.tolist() and np.bincount(which, minlength=len(first)).tolist() == counts.tolist()
+    run = re.compile(r"[\x00-\x20]+")
+    for text in [None, "", " ", "\x85 a\xa0", *["".join(rnd.choice("ab  \n\t\x00\x1c\x1f\x20\x7f\u2003é") for _ in range(rnd.randrange(30))) for _ in range(2000)]]:
+        assert quality.prepared(text) == run.sub(" ", text or "").strip()
+
+
 def test_quality_verdicts_like_numpy(spark):
     """Thresholds, floors and verdicts of given perplexities against the fit in NumPy; what repeats itself is under the floor."""
     import numpy as np
