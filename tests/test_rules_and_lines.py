@@ -164,3 +164,18 @@ def test_slugs_in_one_pass_and_marked_patterns(spark):
     for r in df.selectExpr("x", f"{text.folded('x')} as plain", f"{text.slug('x', 6)} as s", f"{text.slug('x', 90)} as t", *both).collect():
         assert (r["s"], r["t"]) == (slug(r["plain"], 6), slug(r["plain"], 90)), r["x"]
         assert r["same0"] and r["same1"] and r["same2"], r["x"]
+
+
+def test_procedures_drop_chunks_before_their_features(spark, sf_dir):
+    """Chunks without the mark of a step change nothing, and are dropped."""
+    from scriptoria.operators import detect, segment
+    from scriptoria.plans import queries
+    from scriptoria.sources import tables
+
+    rows = [(1, "1. Turn it on.\n2) Remove it.\n\n 3.\tCheck the bolt\n\nno step here 4.5\n\n5 . none\n\n12)  Verify the gate\n\nx")]
+    corpus = spark.createDataFrame(rows, "doc_id long, raw_text string").selectExpr("doc_id", "'p' as source_path", "'p.md' as source_filename", "'t' as title", "raw_text")
+    whole, marked = segment.knowledge_chunks(corpus), segment.knowledge_chunks(corpus, mark=detect.STEP_MARK)
+    assert sorted(r[0] for r in marked.select("chunk_index").collect()) == [0, 1, 4] and whole.count() == 6
+    assert sorted(map(str, detect.procedures(whole).collect())) == sorted(map(str, detect.procedures(marked).collect()))
+    every = segment.knowledge_chunks(tables.manuals(spark, sf_dir))
+    assert sorted(map(str, detect.procedures(every).collect())) == sorted(map(str, queries._procedures(spark, sf_dir).collect()))
