@@ -81,8 +81,8 @@ def _into(shape: Column, digits: Column) -> Column:
 
 
 def _digit_string(digits: Column, key: Column, tag: str) -> Column:
-    """The pseudonym of a string of 2 to 30 digits among those of its length."""
-    size = lambda n: F.element_at(F.array(*[F.lit(10**i) for i in range(1, 16)]), n)
+    """The pseudonym of a string of 2 to 32 digits among those of its length; an account number has at most 31."""
+    size = lambda n: F.element_at(F.array(*[F.lit(10**i) for i in range(1, 17)]), n)
 
     def whole(half: Column, rest: Column) -> Column:
         f = feistel(key, tag, F.substr(digits, F.lit(1), half).cast("long"), F.substr(digits, half + 1, rest).cast("long"), size(half), size(rest))

@@ -597,6 +597,29 @@ def test_pseudonyms_like_brute_force(spark, sf_dir):
     assert sum(sum(r["n"]) for r in got) > 30
 
 
+def test_pseudonyms_of_the_longest_account_numbers(spark):
+    """An account number may have 31 digits behind its check digits, and fewer than two."""
+    bodies = ["1234567" * 4 + "890", "1234567" * 4 + "89", "9" * 31, "0" * 30 + "1", "ABCD" * 7 + "EF1", "WXYZ" * 2, "WXYZ1ABC"]
+    texts = [f"to DE{98 - int(''.join(str(int(c, 36)) for c in b + 'DE00')) % 97:02d}{b}." for b in bodies]
+    texts += [" ".join(texts[0][3 + i : 7 + i] for i in range(0, 36, 4))]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key", counts_col="n").orderBy("doc_id").collect()
+    for r, old in zip(got, texts, strict=True):
+        new, found = brute_masked(old, "key")
+        assert (r["text"], r["n"].asDict()) == (new, {k: found[k] for k, _ in pii.KINDS})
+    assert [r["n"]["iban"] for r in got] == [1, 1, 1, 1, 0, 0, 0, 1]
+
+
+def test_pseudonyms_on_a_cluster_without_a_key(spark, sf_dir):
+    """Without a key a cluster gets a random one: values stay linked within a result, and two results share none."""
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=spark.conf, read=spark.read, sparkContext=SimpleNamespace(master="spark://driver:7077"))
+    docs = [op.where("n_mail > 0").orderBy("doc_id").collect() for op in (queries.op8_pii_pseudonyms(s, sf_dir) for s in (cluster, cluster, spark))]
+    mails = [{m for r in rows for m in re.findall(r"[0-9a-f]{16}@example\.invalid", r["text"])} for rows in docs]
+    assert len({len(m) for m in mails}) == 1 and len(mails[0] | mails[1] | mails[2]) == 3 * len(mails[0]) > 0
+    assert [[r[c] for c in r.asDict() if c != "text"] for r in docs[0]] == [[r[c] for c in r.asDict() if c != "text"] for r in docs[2]]
+
+
 def test_pseudonym_key_stands_in_no_plan(spark, capsys):
     docs = spark.createDataFrame([(1, "a@b.org", 3)], "doc_id long, text string, N int")
     out = pii.pseudonymise(docs, "a-very-secret-key", counts_col="n")
