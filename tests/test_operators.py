@@ -599,3 +599,31 @@ def test_part_contexts(spark):
     many = spark.createDataFrame([(1, 0, " ".join(f"PN X{i:05d}é" for i in range(100_000)))], "doc_id long, chunk_index int, text string")
     began = time.time()
     assert detect.part_records(many).count() == 100_000 and time.time() - began < 60
+
+
+def test_debug_files_find_candidates_once(spark):
+    """Each document's five files, of repeated and null ids and of texts without candidates too; chunks are read once for each kind."""
+    manual = "# PUMP ASSEMBLY\n\nA pump means the device that moves water in a tower.\n\nThe installer shall verify torque is 5 Nm before service.\n\n# Installation Procedure\n\n1. Remove the cover plate.\n2. Tighten the bolt to 5 Nm.\n3. Verify bond continuity."
+    texts = [(1, manual), (2, "REVISION 3\nSHEET NO A1.7\nISSUED FOR PERMIT"), (3, ""), (4, None), (5, "The gate is green."), (5, manual.replace("5 Nm", "7 Nm")), (None, manual)]
+    rows = [(i, f"/m/{k}.md", f"{k}.md", "m", "md", f"Part {k}", t) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, CORPUS)
+    out = package.debug_files(docs)
+    # a reader for each of the four kinds and one for the list of chunks
+    assert len(re.findall(r"\(\d+\) Scan parquet", out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted").split("== Initial Plan ==")[-1])) == 5
+    got = sorted((r["file_name"] or "", r["content"]) for r in out.collect())
+    clean = normalize.with_knowledge_text(docs)
+    chunks = segment.knowledge_chunks(clean, "clean_text")
+    found = reports.unified_candidates(detect.glossary(chunks), detect.procedures(chunks), detect.facts(chunks), detect.topics(chunks)).collect()
+    chunks, want = chunks.collect(), []
+    for r in clean.collect():
+        i, stem = r["doc_id"], None if r["doc_id"] is None else f"part_{r['title'][5:]}_{r['doc_id']}"
+        name = lambda folder, suffix: "" if stem is None else f"{folder}/{stem}{suffix}"  # noqa: B023, E731
+        body = lambda blocks: "\n\n".join(blocks) or "Nothing recorded."
+        own = sorted((c["chunk_index"], f"## {c['chunk_id']}\n- heading: {c['heading']}\n\n{c['text']}") for c in chunks if i is not None and c["doc_id"] == i)
+        want += [(name("extracted", ".txt"), r["raw_text"] or ""), (name("normalized", ".txt"), r["clean_text"]), (name("chunks", ".md"), f"# Chunks\n\n{body([b for _, b in own])}\n")]
+        for folder, title, ok in (("promotion_candidates", "Accepted", True), ("rejected_candidates", "Rejected", False)):
+            mine = [f for f in found if i is not None and f["doc_id"] == i and (f["rejection_reason"] is None) == ok]
+            mine = sorted((f["target_type"], f["chunk_id"], f["title"], f["body"], f"## {f['target_type']}: {f['title']}\n- score: {f['score']}" + ("" if ok else f"\n- rejection: {f['rejection_reason']}") + f"\n- chunk: {f['chunk_id']}\n\n{f['body']}") for f in mine)
+            want.append((name(folder, ".md"), f"# {title} Candidates\n\n{body([f[-1] for f in mine])}\n"))
+    assert got == sorted(want) and len(got) == 35
+    assert any(f["rejection_reason"] is None for f in found) and any(f["rejection_reason"] for f in found)
