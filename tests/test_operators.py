@@ -627,3 +627,47 @@ def test_debug_files_find_candidates_once(spark):
             want.append((name(folder, ".md"), f"# {title} Candidates\n\n{body([f[-1] for f in mine])}\n"))
     assert got == sorted(want) and len(got) == 35
     assert any(f["rejection_reason"] is None for f in found) and any(f["rejection_reason"] for f in found)
+
+
+@pytest.mark.parametrize("threshold", [0.96, 0.9, 0.99])
+def test_counts_lose_no_pair(threshold):
+    """Whatever reaches the threshold has counts of characters and of runs that are close enough; measuring stops early with the same answer."""
+    import random
+
+    import numpy as np
+
+    rng, reached = random.Random(7), 0
+    for _ in range(120):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz é日") for _ in range(rng.randrange(1, 400)))
+        other = edited(rng, text, rng.choice([0.0, 0.02, 0.05, 0.2]))
+        whole = not other or SequenceMatcher(None, text, other).ratio() >= threshold
+        if not other:
+            continue
+        assert duplicates.ratio_reaches(text, other, threshold) == whole
+        if whole:
+            reached += 1
+            most = duplicates.outside(len(text), len(other), threshold)
+            assert np.abs(duplicates.character_counts(text) - duplicates.character_counts(other)).sum() <= most
+            a, b = (dict(zip(*(x.tolist() for x in duplicates.run_counts(t)), strict=True)) for t in (text, other))
+            assert sum(abs(a.get(k, 0) - b.get(k, 0)) for k in a | b) <= (2 * duplicates.RUN - 1) * most
+    assert reached > 20
+
+
+def test_sketches_in_small_blocks_like_brute_force(spark, monkeypatch):
+    """Many blocks of a length, neighbouring lengths, chains of copies, texts shorter than a run."""
+    import random
+
+    monkeypatch.setattr(duplicates, "BLOCK_TEXTS", 4)
+    rng, texts = random.Random(5), ["a", "a b", "abc", "abcd", "ab", "x" * 30, "x" * 31, "x" * 29 + "y"]
+    for n in (25, 60, 120, 300):
+        for _ in range(5):
+            text = "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+            texts.append(text)
+            for _ in range(4):  # each is near the one before, the last not near the first
+                text = edited(rng, text, 0.03) + rng.choice(["", "zz"])
+                texts.append(text)
+    paths = [f"/c/{i:03d}" for i in range(len(texts))]
+    rng.shuffle(paths)
+    texts = dict(zip(paths, texts, strict=True))
+    want = brute_force_duplicates(texts)
+    assert len(want) > 20 and found_duplicates(spark, texts, candidates="sketches") == want
